@@ -139,3 +139,7 @@ SELECT b.item_id, d.doc_id FROM documents d JOIN benchmark b ON instr(d.text, b.
 def q_passage_match(spark, sf_dir):
     """Passage-in-document pairs."""
     return exs.passage_pairs(spark, sf_dir)
+
+
+# Register the themed catalogues (they import ``query`` from here).
+from qsumm.plans import catalog_text  # noqa: E402,F401
