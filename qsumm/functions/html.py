@@ -57,3 +57,16 @@ def html_sections(col) -> Column:
         markup_to_text(F.regexp_extract(p, r"(?is)^(.*?)</h[1-6]", 1)).alias("title"),
         markup_to_text(F.regexp_replace(p, r"(?is)^.*?</h[1-6]\s*>", "")).alias("text"),
     ))
+
+
+def html_sections_raw(col) -> Column:
+    """Like ``html_sections`` but the section body keeps its markup (``raw``), for
+    length rules measured before any cleaning."""
+    clean = F.regexp_replace(_c(col), DROP_BLOCKS, " ")
+    marked = F.regexp_replace(clean, HEADING_OPEN, _MARK)
+    pieces = F.split(marked, _MARK, -1)
+    body = F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
+    return F.transform(body, lambda p: F.struct(
+        markup_to_text(F.regexp_extract(p, r"(?is)^(.*?)</h[1-6]", 1)).alias("title"),
+        F.regexp_replace(p, r"(?is)^.*?</h[1-6]\s*>", "").alias("raw"),
+    ))
