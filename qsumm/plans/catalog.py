@@ -144,3 +144,4 @@ def q_passage_match(spark, sf_dir):
 # Register the themed catalogues (they import ``query`` from here).
 from qsumm.plans import catalog_text  # noqa: E402,F401
 from qsumm.plans import catalog_stats  # noqa: E402,F401
+from qsumm.plans import catalog_vocab  # noqa: E402,F401
