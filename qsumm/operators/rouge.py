@@ -92,9 +92,12 @@ def lcs_best_udf(a: pd.Series, many: pd.Series) -> pd.Series:
 
 
 def _occurrence_tagged(arr: Column) -> Column:
-    s = F.array_sort(arr)
-    return F.transform(s, lambda x, i: F.concat(
-        x, F.lit("\u0001"), (i - F.array_position(s, x) + 1).cast("string")))
+    """Each element suffixed with its occurrence number among equal elements.
+
+    The sorted array is bound once through a one-element ``transform`` so the
+    inner lambda does not sort again for every element."""
+    return F.element_at(F.transform(F.array(F.array_sort(arr)), lambda s: F.transform(s, lambda x, i: F.concat(
+        x, F.lit("\u0001"), (i - F.array_position(s, x) + 1).cast("string")))), 1)
 
 
 def clipped_overlap(h, r) -> Column:

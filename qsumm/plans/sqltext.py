@@ -48,8 +48,8 @@ def ngrams(t: str, n: int) -> str:
 
 
 def occ(a: str) -> str:
-    return (f"list_transform(list_sort({a}), lambda x, i: x || chr(1) || "
-            f"CAST(i - list_position(list_sort({a}), x) AS VARCHAR))")
+    return (f"list_transform([list_sort({a})], lambda srt: list_transform(srt, lambda x, i: x || chr(1) || "
+            f"CAST(i - list_position(srt, x) AS VARCHAR)))[1]")
 
 
 def clipped_overlap(h: str, r: str) -> str:
@@ -79,3 +79,32 @@ def tag_sentences(s: str) -> str:
 
 def remove_tags(x: str) -> str:
     return f"replace(replace({x}, '<s>', ''), '</s>', '')"
+
+
+def grams_sep(t: str, n: int, sep: str = "chr(1)") -> str:
+    if n == 1:
+        return t
+    return (f"list_transform(range(1, len({t}) - {n} + 2), "
+            f"lambda i: array_to_string({t}[i:i + {n - 1}], {sep}))")
+
+
+def characters(x: str) -> str:
+    return f"regexp_extract_all({x}, '(?s).')"
+
+
+def bleu_counts(h: str, r: str, max_n: int = 4, sep: str = "chr(1)", prefix: str = "b") -> str:
+    """Select-list fragment: ``{prefix}{n}_num``, ``{prefix}{n}_den``, ``{prefix}_c``, ``{prefix}_r``."""
+    parts = []
+    for n in range(1, max_n + 1):
+        parts.append(f"{clipped_overlap(grams_sep(h, n, sep), grams_sep(r, n, sep))} AS {prefix}{n}_num")
+        parts.append(f"CAST(greatest(len({h}) - {n - 1}, 1) AS BIGINT) AS {prefix}{n}_den")
+    parts.append(f"CAST(len({h}) AS BIGINT) AS {prefix}_c")
+    parts.append(f"CAST(len({r}) AS BIGINT) AS {prefix}_r")
+    return ",\n       ".join(parts)
+
+
+def bleu_expr(nums, dens, c: str, r: str) -> str:
+    any_zero = " OR ".join(f"{n} = 0" for n in nums)
+    logs = " + ".join(f"ln(CAST({n} AS DOUBLE) / {d})" for n, d in zip(nums, dens))
+    bp = f"(CASE WHEN {c} > {r} THEN 1.0 WHEN {c} = 0 THEN 0.0 ELSE exp(1 - CAST({r} AS DOUBLE) / {c}) END)"
+    return f"(CASE WHEN {any_zero} THEN 0.0 ELSE {bp} * exp(({logs}) / {len(nums)}) END)"
