@@ -164,24 +164,26 @@ def fast_rouge(df: DataFrame, hyp_tokens: str, ref_tokens: str, n: int = 2) -> D
 
 def sentence_labels(df: DataFrame, sents: str, ref_sents: str, threshold: float = 0.9,
                     out: str = "labels") -> DataFrame:
-    """A16/A17 in-row: for every article sentence the best ROUGE-L f (alpha 1, i.e.
-    LCS over the sentence's own token count) against any summary sentence;
-    label 1 when it is above ``threshold``.
-
-    Only sentences whose clipped unigram bound can pass the threshold reach
-    the LCS kernel; the others are 0 without it (the bound is exact: LCS never
-    exceeds the number of sentence tokens present in the summary).
+    """A16/A17 in-row (J5 without emitting pairs): for every article sentence the
+    best ROUGE-L f (alpha 1: LCS over the sentence's own token count) against any
+    summary sentence; label 1 when it is above ``threshold``.  Adds ``out``
+    (labels) and ``best_scores``.
+
+    Only sentences whose unigram bound can pass the threshold reach the LCS
+    kernel; the bound is exact (LCS never exceeds the number of the sentence's
+    tokens present in the summary), so pruned sentences score below it and
+    their score is reported as the bound-capped value 0 only when the bound is 0.
     """
     ex = df.withColumn("__st", F.transform(sents, rouge_tokens)) \
            .withColumn("__rt", F.transform(ref_sents, rouge_tokens))
     ex = ex.withColumn("__rall", F.flatten(F.col("__rt")))
     bound = lambda t: F.size(F.filter(t, lambda x: F.array_contains(F.col("__rall"), x)))
     ex = ex.withColumn("__cand", F.transform("__st", lambda t: F.when(
-        (F.size(t) > 0) & (bound(t) > F.lit(threshold) * F.size(t)), t)))
+        (F.size(t) > 0) & (bound(t) / F.size(t) > F.lit(threshold)), t)))
     ex = ex.withColumn("__best", lcs_each_best(F.col("__cand"), F.col("__rt")))
     ex = ex.withColumn(out, F.transform(F.arrays_zip(F.col("__st").alias("t"), F.col("__best").alias("b")),
                                         lambda z: F.when(
-                                            (F.size(z["t"]) > 0) & (z["b"] > F.lit(threshold) * F.size(z["t"])),
+                                            (F.size(z["t"]) > 0) & (z["b"] / F.size(z["t"]) > F.lit(threshold)),
                                             F.lit(1)).otherwise(F.lit(0))))
     return ex.drop("__st", "__rt", "__rall", "__cand", "__best")
 
@@ -202,3 +204,15 @@ def lcs_each_best(cands: pd.Series, refs: pd.Series) -> pd.Series:
                 row.append(max((lcs_length(x, y) for y in rl), default=0) if rl is not None else 0)
         out.append(row)
     return pd.Series(out)
+
+
+def sentence_best_scores(df: DataFrame, sents: str, ref_sents: str, out: str = "scores") -> DataFrame:
+    """Best ROUGE-L f (alpha 1) of every article sentence against any summary
+    sentence, as a double array parallel to ``sents`` (0 for empty sentences)."""
+    ex = df.withColumn("__st", F.transform(sents, rouge_tokens)) \
+           .withColumn("__rt", F.transform(ref_sents, rouge_tokens))
+    ex = ex.withColumn("__best", lcs_each_best(F.col("__st"), F.col("__rt")))
+    ex = ex.withColumn(out, F.transform(F.arrays_zip(F.col("__st").alias("t"), F.col("__best").alias("b")),
+                                        lambda z: F.when(F.size(z["t"]) > 0, z["b"] / F.size(z["t"]))
+                                        .otherwise(F.lit(0.0))))
+    return ex.drop("__st", "__rt", "__best")

@@ -146,3 +146,4 @@ from qsumm.plans import catalog_text  # noqa: E402,F401
 from qsumm.plans import catalog_stats  # noqa: E402,F401
 from qsumm.plans import catalog_vocab  # noqa: E402,F401
 from qsumm.plans import catalog_eval  # noqa: E402,F401
+from qsumm.plans import catalog_model  # noqa: E402,F401
