@@ -112,3 +112,58 @@ def q_topk_by_score(spark, sf_dir):
                                   "sents", "ref_sents", "scores")
     picked = top_k_positions("scores", F.size("sents"), 3, 200)
     return lab.select("item_id", "doc_id", F.array_join(F.transform(picked, lambda i: i.cast("string")), ",").alias("picked"))
+
+
+@query("model_topk", f"""
+WITH {PAIRS_SQL.strip()},
+ex AS (SELECT item_id, doc_id, question, {sq.sentences('article')} AS sents FROM pairs),
+a AS (SELECT item_id, doc_id, question, unnest(range(1, len(sents) + 1)) AS pos, unnest(sents) AS s FROM ex),
+t AS (SELECT *, {sq.rouge_tokens('s')} AS st, {sq.rouge_tokens('question')} AS qt FROM a),
+p AS (SELECT *, CASE WHEN len(st) > 0 THEN CAST(len(list_filter(st, lambda x: list_contains(qt, x))) AS DOUBLE) / len(st)
+                     ELSE 0.0 END AS prob FROM t WHERE pos <= 200),
+rk AS (SELECT *, row_number() OVER (PARTITION BY item_id, doc_id ORDER BY prob DESC, pos) AS r FROM p)
+SELECT item_id, doc_id, string_agg(CAST(pos - 1 AS VARCHAR), ',' ORDER BY r) AS picked,
+       md5(string_agg(s, ' ' ORDER BY r)) AS gen_md5
+FROM rk WHERE r <= 3 GROUP BY item_id, doc_id
+""")
+def q_model_topk(spark, sf_dir):
+    """M1 pluggable scorer in Arrow batches + T4 top-3 by probability -> summary."""
+    from qsumm.operators import scoring as sc
+    from qsumm.operators.select import top_k_positions
+    ex = exs.passage_examples(spark, sf_dir).select("item_id", "doc_id", "question", "sents")
+    scored = sc.score_sentences(ex, "question", "sents", sc.overlap_scorer, "probs")
+    picked = scored.withColumn("picked", top_k_positions("probs", F.size("sents"), 3, 200))
+    gen = F.array_join(F.transform("picked", lambda i: F.element_at("sents", i + 1)), " ")
+    return picked.select("item_id", "doc_id", F.array_join(F.transform("picked", lambda i: i.cast("string")), ",").alias("picked"),
+                         F.md5(gen).alias("gen_md5"))
+
+
+@query("generated_summaries", f"""
+WITH {PAIRS_SQL.strip()}
+SELECT item_id, doc_id, md5(array_to_string(({sq.sentences('article')})[1:3], ' ')) AS gen_md5 FROM pairs
+""")
+def q_generated_summaries(spark, sf_dir):
+    """M3 + T10: batched generation with a pluggable generator (default lead-3),
+    every input row answered (alignment check inside the batch loop)."""
+    from qsumm.operators import scoring as sc
+    ex = exs.passage_examples(spark, sf_dir).select("item_id", "doc_id", "article", "question")
+    gen = sc.generate(ex, "article", "question", sc.lead_generator)
+    return gen.select("item_id", "doc_id", F.md5("gen").alias("gen_md5"))
+
+
+@query("relevance_model")
+def q_relevance_model(spark, sf_dir):
+    """M2: relevance model trained on the A17 labels (80/20 split by U4), AUC on
+    the validation part."""
+    from qsumm.operators import scoring as sc
+    lab = labelled(spark, sf_dir)
+    split = co.split_by_rank(lab.select("ex_key"), "ex_key", 13, 0.8)
+    rows = sc.sentence_rows(lab, "ex_key", "question", "sents", "labels").join(split, "ex_key")
+    feats = sc.relevance_features(rows)
+    train = feats.where(F.col("split") == "train")
+    valid = feats.where(F.col("split") == "validation")
+    model = sc.train_relevance(train, num_features=1 << 16, max_iter=20)
+    auc = sc.evaluate_relevance(model, valid)
+    pred = model.transform(valid).withColumn("p", sc.class1_probability())
+    return pred.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("mean_p"),
+                                     F.lit(round(auc, 6)).alias("auc"))
