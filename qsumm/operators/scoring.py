@@ -70,9 +70,9 @@ def score_sentences(df: DataFrame, question: str, sents: str, factory: Callable
 
 def lead_generator():
     """Default generator for M3: the first three sentences."""
-    from qsumm.functions.text import WS_CLASS  # noqa: F401  (same splitting rule as the JVM side)
     import re
 
+    # same rule as the JVM splitter (qsumm.functions.text.sentences)
     boundary = re.compile(r"([.!?])[ \t\n\r\f\x0b]+|[\n\r]+")
 
     def gen(articles: pd.Series) -> pd.Series:

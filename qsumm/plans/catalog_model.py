@@ -167,3 +167,29 @@ def q_relevance_model(spark, sf_dir):
     pred = model.transform(valid).withColumn("p", sc.class1_probability())
     return pred.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("mean_p"),
                                      F.lit(round(auc, 6)).alias("auc"))
+
+
+@query("stream_metric_smoothing")
+def q_stream_metric_smoothing(spark, sf_dir):
+    """The metric-log fold as a stateful stream over the events files
+    (batch twin: ``metric_smoothing``)."""
+    from qsumm.streaming.metric_stream import run_events_stream
+    out = run_events_stream(spark, sf_dir, "events")
+    return out.select(F.col("series").alias("event_type"), F.col("ts").cast("timestamp_ntz").alias("ts"),
+                      F.col("tie").alias("event_id"), F.round("smoothed", 6).alias("smoothed"), "is_best", "runs",
+                      "stop")
+
+
+@query("stream_rouge")
+def q_stream_rouge(spark, sf_dir):
+    """Baseline predictions written as files, then scored as a stream with a
+    running per-system aggregate (batch twin: ``system_rouge`` for 1/2/L)."""
+    import uuid
+
+    from qsumm.plans.catalog import baseline_predictions
+    from qsumm.session import ensure_checkpoint_dir
+    from qsumm.streaming.scoring_stream import run_prediction_stream
+    src = f"{ensure_checkpoint_dir(spark).rstrip('/')}/predictions-{uuid.uuid4().hex}"
+    baseline_predictions(spark, sf_dir).select("item_id", "doc_id", "system", "gen", "summary") \
+        .repartition(3, "system").write.parquet(src)
+    return run_prediction_stream(spark, src, "rouge")
