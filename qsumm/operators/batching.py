@@ -48,3 +48,31 @@ def batch_maxima(batches: DataFrame) -> DataFrame:
     """Per batch, longest encoder sequence and most article OOVs."""
     return batches.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"), F.max("enc_len").alias("max_enc_len"),
                                            F.max(F.size("article_oovs")).alias("max_art_oovs"))
+
+
+def _fit(arr, n: int, pad, truncate: str):
+    """Cut or pad an array column to exactly ``n`` items."""
+    c = F.col(arr) if isinstance(arr, str) else arr
+    cut = F.slice(c, 1, n) if truncate == "tail" else F.when(F.size(c) > n, F.slice(c, -n, n)).otherwise(c)
+    return F.concat(cut, F.array_repeat(pad, F.greatest(F.lit(0), F.lit(n) - F.size(cut)).cast("int")))
+
+
+def pad_classifier_inputs(df: DataFrame, q_ids: str, sent_ids: str, labels: str | None = None,
+                          max_tok_q: int = 50, max_sentences: int = 200, max_tok_sent: int = 50,
+                          truncate: str = "tail") -> DataFrame:
+    """Question ids to ``max_tok_q``; article ``max_sentences`` x ``max_tok_sent``
+    (missing sentences are all-zero rows); labels to ``max_sentences``; pad 0.
+
+    ``truncate='tail'`` keeps the first items everywhere (labels stay aligned
+    with sentences); ``'head'`` keeps the last items of token lists and labels
+    as a sequence padder that truncates in front would."""
+    zero = F.lit(0)
+    sents = F.col(sent_ids)
+    docs = F.slice(sents, 1, max_sentences)
+    docs = F.concat(docs, F.array_repeat(F.array().cast("array<int>"),
+                                         F.greatest(F.lit(0), F.lit(max_sentences) - F.size(docs)).cast("int")))
+    out = (df.withColumn("q_padded", _fit(q_ids, max_tok_q, zero, truncate))
+             .withColumn("article_padded", F.transform(docs, lambda s: _fit(s, max_tok_sent, zero, truncate))))
+    if labels:
+        out = out.withColumn("labels_padded", _fit(labels, max_sentences, zero, truncate))
+    return out
