@@ -159,3 +159,9 @@ def q_rouge_bootstrap(spark, sf_dir):
     p = baseline_predictions(spark, sf_dir)
     s = rg.with_rouge(p, "gen", "summary", max_n=2, alpha=1.0)
     return st.bootstrap_ci(s, "system", "ex_key", ["rouge_1_r", "rouge_2_r", "rouge_l_r"], b=200)
+
+
+@query("wilcoxon_p")
+def q_wilcoxon_p(spark, sf_dir):
+    """A15 p-value: two-sided normal p on the one-row statistic (the one-row UDF)."""
+    return st.with_p_value(q_wilcoxon_rouge2(spark, sf_dir))

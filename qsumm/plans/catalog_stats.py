@@ -213,8 +213,7 @@ def q_validation_examples(spark, sf_dir):
                     F.length("article").cast("long").alias("article_len"))
 
 
-@query("page_answers", f"""
-WITH {QA_SHEET_SQL.strip()},
+PAGE_ANSWERS_SQL = f"""
 urls AS (SELECT DISTINCT url FROM sheet WHERE url IS NOT NULL),
 sel AS (SELECT p.* FROM pages p WHERE p.url IN (SELECT url FROM urls)),
 pg AS (
@@ -237,7 +236,12 @@ m AS (
 ),
 pick AS (
   SELECT *, CASE WHEN len(exact) > 0 THEN exact[1] ELSE loose[1] END AS hit FROM m
-)
+)"""
+
+
+@query("page_answers", f"""
+WITH {QA_SHEET_SQL.strip()},
+{PAGE_ANSWERS_SQL}
 SELECT CAST(a_pos AS BIGINT) AS a_pos, CAST(page_id AS BIGINT) AS page_id,
        CASE WHEN len(exact) > 0 THEN 'exact' WHEN len(loose) > 0 THEN 'contains' ELSE 'none' END AS match_kind,
        CAST(length(hit.raw) AS BIGINT) AS section_raw_len,
@@ -247,15 +251,68 @@ FROM pick
 def q_page_answers(spark, sf_dir):
     """J3 semi join of pages on answer urls, J2 answers x pages on url, J4/P29/P30
     section pick (exact title, else case-insensitive containment), F2 length rule."""
+    m = page_answer_matches(spark, sf_dir)
+    return m.select(F.col("a_pos").cast("long").alias("a_pos"), F.col("page_id").cast("long").alias("page_id"),
+                    "match_kind", F.length("hit.raw").cast("long").alias("section_raw_len"),
+                    (F.col("hit.raw").isNotNull() & (F.length("hit.raw") >= F.length("answer"))).alias("section_long_enough"))
+
+
+def page_answer_matches(spark, sf_dir):
     from qsumm.operators import sections as secs
     sheet = qa_sheet(spark, sf_dir)
     pages = co.pages_for_urls(table(spark, sf_dir, "pages"), sheet.select("url").distinct())
-    pages = pages.select("url", "page_id", hf.html_sections_raw("html").alias("s"))
+    pages = pages.select("url", "page_id", hf.html_sections_raw("html").alias("s"), hf.html_text("html").alias("page_text"))
     j = co.answers_with_pages(sheet, pages)
-    m = secs.pick_section(j, "s", "question")
-    return m.select(F.col("a_pos").cast("long").alias("a_pos"), F.col("page_id").cast("long").alias("page_id"),
-                    "match_kind", F.length("hit.raw").cast("long").alias("section_raw_len"),
-                    (F.col("hit.raw").isNotNull() & (F.length("hit.raw") >= F.length("answer"))).alias("section_long_enough"))
+    return secs.pick_section(j, "s", "question")
+
+
+@query("section_match_stats", f"""
+WITH {QA_SHEET_SQL.strip()},
+{PAGE_ANSWERS_SQL},
+pt AS (SELECT page_id, {_markup_to_text_sql("regexp_replace(html, '(?is)<script\\b.*?</script>|<style\\b.*?</style>|<!--.*?-->', ' ', 'g')")} AS page_text FROM pages),
+k AS (
+  SELECT p.*, pt.page_text,
+         CASE WHEN hit.raw IS NOT NULL AND length(hit.raw) >= length(answer) THEN {_markup_to_text_sql('hit.raw')} END AS section_text
+  FROM pick p LEFT JOIN pt USING (page_id)
+)
+SELECT CAST(count(*) AS BIGINT) AS n_answers,
+       CAST(count(page_id) AS BIGINT) AS n_page_matches,
+       CAST(count(section_text) AS BIGINT) AS n_section_matches,
+       round(avg(CASE WHEN page_id IS NOT NULL THEN len({sq.sentences('page_text')}) END), 6) AS page_sents_mean,
+       round(avg(CASE WHEN page_id IS NOT NULL THEN len({sq.word_punct_tokens('page_text')}) END), 6) AS page_tokens_mean,
+       round(avg(CASE WHEN section_text IS NOT NULL THEN len({sq.sentences('section_text')}) END), 6) AS section_sents_mean,
+       round(avg(CASE WHEN section_text IS NOT NULL THEN len({sq.word_punct_tokens('section_text')}) END), 6) AS section_tokens_mean,
+       CAST(sum(CASE WHEN section_text IS NOT NULL AND NOT (length(page_text) > length(answer)
+                AND length(page_text) > length(section_text)) THEN 1 ELSE 0 END) AS BIGINT) AS sanity_violations
+FROM k
+""")
+def q_section_match_stats(spark, sf_dir):
+    """A5 page/section match counts and means, F2 length rule, F7 sanity violations."""
+    m = page_answer_matches(spark, sf_dir)
+    sec = F.when(F.col("hit.raw").isNotNull() & (F.length("hit.raw") >= F.length("answer")), hf.markup_to_text("hit.raw"))
+    k = m.withColumn("section_text", sec)
+    has_page = F.col("page_id").isNotNull()
+    has_sec = F.col("section_text").isNotNull()
+    bad = has_sec & ~((F.length("page_text") > F.length("answer")) & (F.length("page_text") > F.length("section_text")))
+    return k.agg(
+        F.count(F.lit(1)).alias("n_answers"), F.count("page_id").alias("n_page_matches"),
+        F.count("section_text").alias("n_section_matches"),
+        F.round(F.avg(F.when(has_page, F.size(tx.sentences("page_text")))), 6).alias("page_sents_mean"),
+        F.round(F.avg(F.when(has_page, F.size(tx.word_punct_tokens("page_text")))), 6).alias("page_tokens_mean"),
+        F.round(F.avg(F.when(has_sec, F.size(tx.sentences("section_text")))), 6).alias("section_sents_mean"),
+        F.round(F.avg(F.when(has_sec, F.size(tx.word_punct_tokens("section_text")))), 6).alias("section_tokens_mean"),
+        F.sum(F.when(bad, 1).otherwise(0)).cast("long").alias("sanity_violations"))
+
+
+@query("sentence_units", f"""
+WITH s AS (SELECT unnest({sq.sentences('text')}) AS sent FROM documents)
+SELECT CAST(count(*) AS BIGINT) AS n_sentences, round(avg(len({sq.ws_tokens('sent')})), 6) AS units_per_sentence FROM s
+""")
+def q_sentence_units(spark, sf_dir):
+    """Average whitespace units per sentence over every document sentence."""
+    d = table(spark, sf_dir, "documents").select(F.explode(tx.sentences("text")).alias("sent"))
+    return d.agg(F.count(F.lit(1)).alias("n_sentences"),
+                 F.round(F.avg(F.size(tx.ws_tokens("sent"))), 6).alias("units_per_sentence"))
 
 
 @query("embedding_profile", """
