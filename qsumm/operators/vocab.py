@@ -82,12 +82,15 @@ def parse_vocab_lines(lines: DataFrame, max_size: int = 50_000, col: str = "valu
 
 
 def encode_examples(ex: DataFrame, key: str, article_words: str, abstract_words: str, vocab: DataFrame,
-                    max_enc_steps: int = 400, max_dec_steps: int = 100) -> DataFrame:
-    """E1-E3 + J7/J8 + W6 + T8 for every example.
+                    max_enc_steps: int = 400, max_dec_steps: int = 100, skip_empty: bool = True) -> DataFrame:
+    """E1-E3 + J7/J8 + W6 + T8 for every example (F8: examples with an empty
+    article are skipped when ``skip_empty``).
 
     Output adds ``enc_len, enc_input, enc_input_extend_vocab, article_oovs,
     dec_input, target, dec_len``; ``vocab_size`` = rows of ``vocab``.
     """
+    if skip_empty:
+        ex = ex.where(F.size(F.col(article_words)) > 0)
     vsize = vocab.count()
     v = sized_broadcast(vocab.select("word", "word_id"))
     art = F.slice(F.col(article_words), 1, max_enc_steps)
