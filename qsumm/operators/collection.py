@@ -121,3 +121,14 @@ def union_tagged(frames: dict, tag: str = "system") -> DataFrame:
 def keep_if(cond: Column, df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows passing ``cond`` and the rejected rows (side table)."""
     return df.where(cond), df.where(~cond | cond.isNull())
+
+
+def rank_within(df: DataFrame, key: str, pos: str, name: str = "rank") -> DataFrame:
+    """0-based rank of every row inside its key by ``pos`` (unique per key), plus
+    ``n_answers`` (rows of the key).  Range partitioning on ``(key, pos)`` splits a
+    hot key across tasks; per-key starts come from a small aggregate."""
+    from qsumm.operators.stats import running_offsets
+    ranked = running_offsets(df, [key, pos], None, "__before")
+    starts = ranked.groupBy(key).agg(F.min("__before").alias("__start"), F.count(F.lit(1)).alias("n_answers"))
+    out = ranked.join(starts, key)
+    return out.withColumn(name, (F.col("__before") - F.col("__start")).cast("long")).drop("__before", "__start")

@@ -62,15 +62,21 @@ def average_ranks(values: DataFrame, value: str) -> DataFrame:
     return before.withColumn("avg_rank", F.col("__before") + (F.col("cnt") + 1) / 2.0).drop("__before")
 
 
-def wilcoxon(pairs: DataFrame, x: str = "x", y: str = "y", digits: int = 6) -> DataFrame:
+def wilcoxon(pairs: DataFrame, x: str = "x", y: str = "y", group: str | None = None, digits: int = 6) -> DataFrame:
     """Signed-rank statistic between paired samples (zero differences dropped,
-    mean ranks for ties, ``T = min(W+, W-)``, normal z with tie correction).
-    One row: ``n, w_plus, w_minus, t_stat, z``; ``with_p_value`` adds p."""
-    d = pairs.select((F.col(x) - F.col(y)).alias("d")).where(F.col("d") != 0)
+    mean ranks for ties, ``T = min(W+, W-)``, normal z with tie correction), one
+    row per ``group`` (all groups ranked in one pass).  Columns ``n, w_plus,
+    w_minus, t_stat, z``; ``with_p_value`` adds p."""
+    g = [group] if group else []
+    d = pairs.select(*g, (F.col(x) - F.col(y)).alias("d")).where(F.col("d") != 0)
     d = d.withColumn("ad", F.abs("d")).withColumn("pos", (F.col("d") > 0).cast("int"))
-    by_abs = d.groupBy("ad").agg(F.count(F.lit(1)).alias("c"), F.sum("pos").alias("c_pos"))
-    ranked = running_offsets(by_abs, ["ad"], "c").withColumn("avg_rank", F.col("__before") + (F.col("c") + 1) / 2.0)
-    agg = ranked.agg(
+    by_abs = d.groupBy(*g, "ad").agg(F.count(F.lit(1)).alias("c"), F.sum("pos").alias("c_pos"))
+    ranked = running_offsets(by_abs, [*g, "ad"], "c")
+    if g:
+        starts = ranked.groupBy(*g).agg(F.min("__before").alias("__start"))
+        ranked = ranked.join(F.broadcast(starts), g).withColumn("__before", F.col("__before") - F.col("__start"))
+    ranked = ranked.withColumn("avg_rank", F.col("__before") + (F.col("c") + 1) / 2.0)
+    agg = ranked.groupBy(*g).agg(
         F.sum("c").alias("n"),
         F.sum(F.col("avg_rank") * F.col("c_pos")).alias("w_plus"),
         F.sum(F.col("avg_rank") * (F.col("c") - F.col("c_pos"))).alias("w_minus"),
@@ -81,6 +87,7 @@ def wilcoxon(pairs: DataFrame, x: str = "x", y: str = "y", digits: int = 6) -> D
     var = n * (n + 1) * (2 * n + 1) / 24.0 - F.col("ties") / 48.0
     t = F.least("w_plus", "w_minus")
     return agg.select(
+        *g,
         F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n"),
         F.round(F.coalesce("w_plus", F.lit(0.0)), digits).alias("w_plus"),
         F.round(F.coalesce("w_minus", F.lit(0.0)), digits).alias("w_minus"),

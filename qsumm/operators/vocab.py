@@ -70,12 +70,11 @@ def parse_vocab_lines(lines: DataFrame, max_size: int = 50_000, col: str = "valu
         "word", F.when(F.col("word").isin(*reserved), F.raise_error(F.concat(F.lit("reserved word in vocabulary: "), "word")))
         .when(F.col("__dups") > 1, F.raise_error(F.concat(F.lit("duplicated word in vocabulary: "), "word")))
         .otherwise(F.col("word")))
-    limit = None if max_size == 0 else max_size - len(RESERVED)
-    ordered = checked.orderBy(order)
-    if limit is not None:
-        ordered = ordered.limit(limit)
-    w = Window.orderBy(order)
-    words = ordered.select("word", (F.row_number().over(w) + len(RESERVED) - 1).cast("int").alias("word_id"))
+    from qsumm.operators.collection import dense_ids
+    ranked = dense_ids(checked.select(order, "word"), [order], "__rank")
+    if max_size != 0:
+        ranked = ranked.where(F.col("__rank") < max_size - len(RESERVED))
+    words = ranked.select("word", (F.col("__rank") + len(RESERVED)).cast("int").alias("word_id"))
     spark = lines.sparkSession
     res = spark.createDataFrame([(w_, i) for i, w_ in enumerate(RESERVED)], "word string, word_id int")
     return res.unionByName(words), bad

@@ -124,14 +124,17 @@ WITH {_baselines_sql()},
 """)
 def q_wilcoxon_rouge2(spark, sf_dir):
     """A15 + J12 + W7: signed-rank statistic of per-example ROUGE-2 recall between systems."""
+    from qsumm.session import cut_lineage
     p = baseline_predictions(spark, sf_dir)
-    s = rg.with_rouge(p, "gen", "summary", max_n=3, alpha=1.0, lcs=False)
-    out = None
+    s = cut_lineage(rg.with_rouge(p, "gen", "summary", max_n=2, alpha=1.0, lcs=False)
+                    .select("item_id", "doc_id", "system", "rouge_2_r"))
+    pairs = None
     for a, b in PAIRS:
-        pairs = co.pair_systems(s, a, b, ["item_id", "doc_id"], "rouge_2_r")
-        w = st.wilcoxon(pairs).select(F.lit(a).alias("system_a"), F.lit(b).alias("system_b"), "*")
-        out = w if out is None else out.unionByName(w)
-    return out
+        one = co.pair_systems(s, a, b, ["item_id", "doc_id"], "rouge_2_r").withColumn("pair", F.lit(f"{a}|{b}"))
+        pairs = one if pairs is None else pairs.unionByName(one)
+    w = st.wilcoxon(pairs, group="pair")
+    return w.select(F.split_part("pair", F.lit("|"), F.lit(1)).alias("system_a"),
+                    F.split_part("pair", F.lit("|"), F.lit(2)).alias("system_b"), "n", "w_plus", "w_minus", "t_stat", "z")
 
 
 @query("prediction_alignment", f"""

@@ -80,17 +80,16 @@ def q_qa_sheet_stats(spark, sf_dir):
 
 @query("qa_grouped", f"""
 WITH {QA_SHEET_SQL.strip()}
-SELECT question, CAST(count(*) AS BIGINT) AS n_answers, CAST(min(a_pos) AS BIGINT) AS first_pos,
-       string_agg(CAST(a_pos AS VARCHAR), ',' ORDER BY a_pos) AS answer_positions
-FROM sheet GROUP BY question
+SELECT question, a_pos, CAST(row_number() OVER (PARTITION BY question ORDER BY a_pos) - 1 AS BIGINT) AS answer_rank,
+       CAST(count(*) OVER (PARTITION BY question) AS BIGINT) AS n_answers
+FROM sheet
 """)
 def q_qa_grouped(spark, sf_dir):
-    """A1: answers grouped per question in sheet order."""
-    s = qa_sheet(spark, sf_dir)
-    g = s.groupBy("question").agg(F.count(F.lit(1)).alias("n_answers"), F.min("a_pos").alias("first_pos"),
-                                  F.sort_array(F.collect_list("a_pos")).alias("pos"))
-    return g.select("question", "n_answers", F.col("first_pos").cast("long").alias("first_pos"),
-                    F.array_join(F.transform("pos", lambda p: p.cast("string")), ",").alias("answer_positions"))
+    """A1: answers grouped per question in sheet order, as a long table (rank of each
+    answer inside its question); no question's answers are gathered in one row."""
+    s = qa_sheet(spark, sf_dir).select("question", "a_pos")
+    return co.rank_within(s, "question", "a_pos", "answer_rank").select(
+        "question", F.col("a_pos").cast("long").alias("a_pos"), "answer_rank", "n_answers")
 
 
 @query("site_histogram", f"""

@@ -16,6 +16,7 @@ from qsumm.operators import vocab as vb
 from qsumm.plans import examples as exs
 from qsumm.plans import sqltext as sq
 from qsumm.plans.catalog import PAIRS_SQL, query
+from qsumm.session import cut_lineage
 from qsumm.sources.tables import table
 
 MAX_SIZE = 50_000
@@ -48,8 +49,9 @@ def vocabulary(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("text")
     bench = table(spark, sf_dir, "benchmark").select("text")
     counts = vb.vocab_counts(docs.unionByName(bench), ["text"])
-    top = vb.top_words(counts, vb.COUNT_CAP)
-    return top, vb.vocab_table(top, MAX_SIZE)
+    # both are bounded by their caps; cut once so size checks and lookups reuse them
+    top = cut_lineage(vb.top_words(counts, vb.COUNT_CAP))
+    return top, cut_lineage(vb.vocab_table(top, MAX_SIZE))
 
 
 @query("vocab_top", f"""
