@@ -216,3 +216,75 @@ def sentence_best_scores(df: DataFrame, sents: str, ref_sents: str, out: str = "
                                         lambda z: F.when(F.size(z["t"]) > 0, z["b"] / F.size(z["t"]))
                                         .otherwise(F.lit(0.0))))
     return ex.drop("__st", "__rt", "__best")
+
+
+# ----------------------------------------------------------------------------
+# Summary-level ROUGE-L (union LCS over sentences), per-row helper
+
+
+def _lcs_hits(ref, hyp, mask):
+    """Mark in ``mask`` the positions of ``ref`` on one LCS with ``hyp`` (ties
+    move up in ``ref`` first when backtracking)."""
+    m, n = len(ref), len(hyp)
+    if m == 0 or n == 0:
+        return
+    vals = [[0] * (n + 1) for _ in range(m + 1)]
+    for i in range(1, m + 1):
+        ri, row, prev = ref[i - 1], vals[i], vals[i - 1]
+        for j in range(1, n + 1):
+            if ri == hyp[j - 1]:
+                row[j] = prev[j - 1] + 1
+            else:
+                row[j] = prev[j] if prev[j] >= row[j - 1] else row[j - 1]
+    i, j = m, n
+    while i and j:
+        if ref[i - 1] == hyp[j - 1]:
+            i, j = i - 1, j - 1
+            mask[i] = 1
+        elif vals[i - 1][j] >= vals[i][j - 1]:
+            i -= 1
+        else:
+            j -= 1
+
+
+def union_lcs_counts(hyp_sents, ref_sents):
+    """(hypothesis tokens, reference tokens, clipped union-LCS hits) for
+    sentence-split token lists."""
+    from collections import Counter
+    hyp_left = Counter(t for s in hyp_sents for t in s)
+    ref_left = Counter(t for s in ref_sents for t in s)
+    n_h, n_r = sum(hyp_left.values()), sum(ref_left.values())
+    hits = 0
+    for ref in ref_sents:
+        mask = [0] * len(ref)
+        for hyp in hyp_sents:
+            _lcs_hits(ref, hyp, mask)
+        for pos, v in enumerate(mask):
+            if v:
+                tok = ref[pos]
+                if hyp_left[tok] > 0 and ref_left[tok] > 0:
+                    hyp_left[tok] -= 1
+                    ref_left[tok] -= 1
+                    hits += 1
+    return n_h, n_r, hits
+
+
+_ULCS = T.StructType([T.StructField("hyp", T.LongType()), T.StructField("ref", T.LongType()),
+                      T.StructField("overlap", T.LongType())])
+
+
+@F.pandas_udf(_ULCS)
+def union_lcs_udf(hyp: pd.Series, ref: pd.Series) -> pd.DataFrame:
+    rows = [union_lcs_counts([list(s) for s in h] if h is not None else [],
+                             [list(s) for s in r] if r is not None else []) for h, r in zip(hyp, ref)]
+    return pd.DataFrame(rows, columns=["hyp", "ref", "overlap"])
+
+
+def with_rouge_lsum(df: DataFrame, hyp: str, ref: str, alpha: float = 1.0, prefix: str = "rouge_lsum") -> DataFrame:
+    """Summary-level ROUGE-L: texts split into sentences at line breaks, union LCS
+    of every reference sentence against all hypothesis sentences, hits clipped
+    by unigram counts."""
+    split = lambda c: F.transform(F.split(F.col(c), "\n", -1), rouge_tokens)
+    out = df.withColumn("__u", union_lcs_udf(split(hyp), split(ref)))
+    p, r, f = prf(F.col("__u.overlap"), F.col("__u.hyp"), F.col("__u.ref"), alpha)
+    return out.withColumn(f"{prefix}_p", p).withColumn(f"{prefix}_r", r).withColumn(f"{prefix}_f", f).drop("__u")

@@ -168,3 +168,12 @@ def q_rouge_bootstrap(spark, sf_dir):
 def q_wilcoxon_p(spark, sf_dir):
     """A15 p-value: two-sided normal p on the one-row statistic (the one-row UDF)."""
     return st.with_p_value(q_wilcoxon_rouge2(spark, sf_dir))
+
+
+@query("system_rouge_lsum")
+def q_system_rouge_lsum(spark, sf_dir):
+    """A10/A11 summary level: union-LCS ROUGE-L recall per system (reference lines
+    as sentences)."""
+    p = baseline_predictions(spark, sf_dir)
+    s = rg.with_rouge_lsum(p, "gen", "summary")
+    return s.groupBy("system").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("rouge_lsum_r"), 6).alias("rouge_lsum"))

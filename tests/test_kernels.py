@@ -44,3 +44,20 @@ def test_chunk_composition_matches_sequential(first, second):
 def test_running_mean_reseed_and_clip():
     assert running_mean_seq([0.0, 5.0]) == [0.0, 5.0]
     assert running_mean_seq([20.0])[0] == 12.0
+
+
+def test_union_lcs_single_sentence_equals_lcs():
+    from qsumm.operators.rouge import union_lcs_counts
+    h = [["the", "cat", "sat", "on", "the", "mat"]]
+    r = [["the", "cat", "is", "on", "the", "mat"]]
+    assert union_lcs_counts(h, r) == (6, 6, lcs_length(h[0], r[0]))
+
+
+def test_union_lcs_two_reference_lines():
+    from qsumm.operators.rouge import union_lcs_counts
+    # classic example: r1 = w1 w2 w3 w4 w5, hyp c1 = w1 w2 w6 w7 w8, c2 = w1 w3 w8 w9 w5
+    r = [["w1", "w2", "w3", "w4", "w5"]]
+    h = [["w1", "w2", "w6", "w7", "w8"], ["w1", "w3", "w8", "w9", "w5"]]
+    n_h, n_r, hits = union_lcs_counts(h, r)
+    assert (n_h, n_r) == (10, 5)
+    assert hits == 4  # union of {w1 w2} and {w1 w3 w5}
