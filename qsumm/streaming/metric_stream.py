@@ -37,7 +37,10 @@ def smooth_stream(stream: DataFrame, series: str, ts: str, tie: str, value: str,
             m, best, runs, last_ts, last_id, late, seen = state.get
         else:
             m, best, runs, last_ts, last_id, late, seen = 0.0, None, 0, None, None, 0, 0
-        pdf = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "tie"])
+        frames = [b for b in batches if len(b)]
+        if not frames:
+            return
+        pdf = pd.concat(frames, ignore_index=True).sort_values(["ts", "tie"])
         rows = []
         for t, i, x in zip(pdf["ts"], pdf["tie"], pdf["value"]):
             if last_ts is not None and (t, i) <= (last_ts, last_id):

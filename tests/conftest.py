@@ -15,7 +15,7 @@ SF_ORACLE = "/root/testdata/sf0.01"
 def spark():
     from pyspark.sql import SparkSession
 
-    from qsumm.session import ensure_checkpoint_dir
+    from qsumm.session import ensure_checkpoint_dir, ship_package
     spark = (SparkSession.builder.master("local[*]").appName("qsumm-tests")
              .config("spark.sql.shuffle.partitions", "8")
              .config("spark.sql.session.timeZone", "UTC")
@@ -26,6 +26,7 @@ def spark():
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     yield spark
     spark.stop()
 
