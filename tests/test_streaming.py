@@ -23,7 +23,9 @@ def test_stream_smoothing_equals_batch(spark, scratch):
     flat = os.path.join(scratch, "flat")
     os.makedirs(flat)
     for i, f in enumerate(sorted(glob.glob(os.path.join(src, "p*", "*.parquet")))):
-        shutil.copy(f, os.path.join(flat, f"events-{i:03d}.parquet"))
+        dst = os.path.join(flat, f"events-{i:03d}.parquet")
+        shutil.copy(f, dst)
+        os.utime(dst, (1_700_000_000 + 10 * i, 1_700_000_000 + 10 * i))  # arrival order = time order
     streamed = run_events_stream(spark, flat, "test").select(
         F.col("series").alias("event_type"), F.col("tie").alias("event_id"),
         F.round("smoothed", 9).alias("s"), "is_best", "runs", "late_dropped")
