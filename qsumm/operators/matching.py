@@ -1,16 +1,23 @@
 """Passage-in-document containment without a cross join.
 
-Candidate generation is an equi-join on one *anchor* token of each passage:
-a whitespace token strictly inside the passage is a whole token of every
-document that contains the passage, so joining the documents' distinct tokens
-with the anchors finds every true pair.  The anchor is the passage's longest
-inner token (rarest in practice, so few candidates).  Candidates are then
-verified with an exact substring test.
+Candidate generation is an equi-join on one *anchor* of each passage, chosen so
+that every document containing the passage is guaranteed to produce it:
+
+- passages of three or more whitespace tokens: a token strictly inside the
+  passage is a whole token of every containing document; the anchor is the
+  longest inner token (rare in practice, so few candidates);
+- shorter passages: each of their tokens lies inside one whitespace token of
+  a containing document, so the first (up to) three characters of the
+  passage's longest token are a character gram of some document token.  This
+  branch explodes character grams of the documents' distinct tokens and only
+  runs when such passages exist.
+
+Candidates are then verified with an exact substring test.
 
 Scale notes
-- the anchor table has one row per passage and is broadcast only after its
-  size is checked; otherwise the token join shuffles on the token and AQE
-  splits hot tokens (skew join);
+- the passage table is size-checked once; anchors and passage texts are
+  broadcast only when it is within bounds, otherwise the token join shuffles
+  on the token and AQE splits hot tokens (skew join);
 - the documents' token explode carries only ``doc_id`` (never the text), so
   the candidate pass is a narrow map-side stage;
 - the candidate pairs are written to the checkpoint folder and broadcast for
@@ -24,19 +31,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from qsumm.functions.text import ws_tokens
-from qsumm.plans.joins import sized_broadcast
+from qsumm.plans.joins import bounded, sized_broadcast
 from qsumm.session import cut_lineage
 
+GRAM = 3
+
+
+def _longest(tokens) -> F.Column:
+    return F.element_at(F.array_sort(F.transform(tokens, lambda t: F.struct(
+        (-F.length(t)).alias("nl"), t.alias("t")))), 1)["t"]
+
 
 def passage_anchor(text) -> F.Column:
-    """Longest inner whitespace token (ties: smallest); the first token when the
-    passage has fewer than three tokens (then only whole-token occurrences of
-    that token are candidates)."""
+    """Longest inner whitespace token (ties: smallest) of a passage with at least
+    three tokens; NULL otherwise."""
     toks = ws_tokens(text)
     inner = F.slice(toks, 2, F.greatest(F.size(toks) - 2, F.lit(0)))
-    best = F.element_at(F.array_sort(F.transform(inner, lambda t: F.struct(
-        (-F.length(t)).alias("nl"), t.alias("t")))), 1)["t"]
-    return F.when(F.size(toks) >= 3, best).otherwise(F.element_at(toks, 1))
+    return F.when(F.size(toks) >= 3, _longest(inner))
+
+
+def short_anchor(text) -> F.Column:
+    """For passages of one or two tokens: the first ``GRAM`` characters of the
+    longest token."""
+    toks = ws_tokens(text)
+    return F.when((F.size(toks) >= 1) & (F.size(toks) < 3), F.substring(_longest(toks), 1, GRAM))
+
+
+def _token_grams(tok: F.Column) -> F.Column:
+    """Character grams of length 1..GRAM of a token."""
+    n = F.length(tok)
+    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.least(F.lit(GRAM), n)), lambda k: F.transform(
+        F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(tok, i, k))))
+    return F.when(n > 0, grams).otherwise(F.array().cast("array<string>"))
 
 
 def passage_matches(docs: DataFrame, passages: DataFrame, doc_key: str = "doc_id",
@@ -44,18 +70,22 @@ def passage_matches(docs: DataFrame, passages: DataFrame, doc_key: str = "doc_id
                     checkpoint: bool = True, keep_text: bool = False) -> DataFrame:
     """All ``(pas_key, doc_key)`` pairs where the passage text occurs in the document
     (with ``keep_text``: also ``doc_text`` as ``article`` and ``pas_text`` as ``summary``)."""
-    anchors = passages.select(F.col(pas_key).alias("__pk"), passage_anchor(F.col(pas_text)).alias("__tok")) \
-                      .where(F.col("__tok").isNotNull())
+    pas = passages.select(F.col(pas_key).alias("__pk"), F.col(pas_text).alias("__pt"))
+    bc = F.broadcast if bounded(pas) else (lambda d: d)
+    anchors = pas.select("__pk", passage_anchor(F.col("__pt")).alias("__tok")).where(F.col("__tok").isNotNull())
     doc_toks = docs.select(F.col(doc_key).alias("__dk"),
                            F.explode(F.array_distinct(ws_tokens(F.col(doc_text)))).alias("__tok"))
     # documents' tokens are distinct and every passage has one anchor: pairs are unique
-    cand = doc_toks.join(sized_broadcast(anchors), "__tok").select("__dk", "__pk")
+    cand = doc_toks.join(bc(anchors), "__tok").select("__dk", "__pk")
+    shorts = pas.select("__pk", short_anchor(F.col("__pt")).alias("__g")).where(F.col("__g").isNotNull())
+    if shorts.limit(1).count() > 0:
+        grams = doc_toks.select("__dk", F.explode(F.array_distinct(_token_grams(F.col("__tok")))).alias("__g"))
+        cand = cand.unionByName(grams.join(bc(shorts), "__g").select("__dk", "__pk")).distinct()
     if checkpoint:
         cand = cut_lineage(cand)
     cand = sized_broadcast(cand)
-    pas = sized_broadcast(passages.select(F.col(pas_key).alias("__pk"), F.col(pas_text).alias("__pt")))
     hits = (docs.select(F.col(doc_key).alias("__dk"), F.col(doc_text).alias("__dt"))
-            .join(cand, "__dk").join(pas, "__pk")
+            .join(cand, "__dk").join(bc(pas), "__pk")
             .where(F.instr(F.col("__dt"), F.col("__pt")) > 0))
     cols = [F.col("__pk").alias(pas_key), F.col("__dk").alias(doc_key)]
     if keep_text:
