@@ -85,13 +85,17 @@ def shuffle_key(key, seed: int = SEED, epoch: int | None = None) -> Column:
 
 
 def baselines(examples: DataFrame, key: str, sents: str, question: str, k: int = 3,
-              seed: int = SEED) -> DataFrame:
-    """Long table ``(key..., system, gen)`` for lead, random and best_rouge."""
+              seed: int = SEED, keep=None) -> DataFrame:
+    """Long table ``(keep..., system, gen)`` for lead, random and best_rouge.
+
+    Only ``keep`` columns (default: all but the article text and its sentence
+    array) are carried through the three-way explode."""
+    keep = [c for c in (keep or examples.columns) if keep or c not in ("article", sents)]
     gen = best_rouge_k(examples, sents, question, k, out="__best")
     wide = gen.withColumn("__lead", lead_k(sents, k)).withColumn("__rand", random_k(sents, key, k, seed))
     stacked = F.array(
         F.struct(F.lit("lead").alias("system"), F.col("__lead").alias("gen")),
         F.struct(F.lit("random").alias("system"), F.col("__rand").alias("gen")),
         F.struct(F.lit("best_rouge").alias("system"), F.col("__best").alias("gen")))
-    return wide.withColumn("__sys", F.explode(stacked)).select(
-        *[c for c in examples.columns], F.col("__sys.system").alias("system"), F.col("__sys.gen").alias("gen"))
+    return wide.select(*keep, F.explode(stacked).alias("__sys")).select(
+        *keep, F.col("__sys.system").alias("system"), F.col("__sys.gen").alias("gen"))

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from qsumm.plans.joins import sized_broadcast
 from qsumm.session import cut_lineage
 
 
@@ -74,7 +75,7 @@ def wilcoxon(pairs: DataFrame, x: str = "x", y: str = "y", group: str | None = N
     ranked = running_offsets(by_abs, [*g, "ad"], "c")
     if g:
         starts = ranked.groupBy(*g).agg(F.min("__before").alias("__start"))
-        ranked = ranked.join(F.broadcast(starts), g).withColumn("__before", F.col("__before") - F.col("__start"))
+        ranked = ranked.join(sized_broadcast(starts), g).withColumn("__before", F.col("__before") - F.col("__start"))
     ranked = ranked.withColumn("avg_rank", F.col("__before") + (F.col("c") + 1) / 2.0)
     agg = ranked.groupBy(*g).agg(
         F.sum("c").alias("n"),

@@ -32,8 +32,12 @@ def vocab_counts(texts: DataFrame, cols) -> DataFrame:
 
 
 def top_words(counts: DataFrame, n: int = COUNT_CAP) -> DataFrame:
-    """The ``n`` most frequent words (ties by word)."""
-    return counts.orderBy(F.desc("count"), F.asc("word")).limit(n)
+    """The ``n`` most frequent words (ties by word) with their frequency rank
+    (0-based).  Ranked by a range-partitioned sort with per-partition offsets, so
+    no single task ever merges partitions times ``n`` rows."""
+    from qsumm.operators.collection import dense_ids
+    ranked = dense_ids(counts.withColumn("__neg", -F.col("count")), ["__neg", "word"], "rank")
+    return ranked.where(F.col("rank") < n).drop("__neg")
 
 
 def vocab_lines(counts: DataFrame) -> DataFrame:
@@ -43,14 +47,13 @@ def vocab_lines(counts: DataFrame) -> DataFrame:
 
 def vocab_table(top: DataFrame, max_size: int = 50_000) -> DataFrame:
     """``(word, word_id)``: the reserved words take 0..3, then words by
-    frequency rank until ``max_size`` ids (reserved included) are used."""
-    keep = top if max_size == 0 else top.orderBy(F.desc("count"), F.asc("word")).limit(max_size - len(RESERVED))
-    # bounded by max_size: a single ordered window over it is cheap
-    w = Window.orderBy(F.desc("count"), F.asc("word"))
-    words = keep.select("word", (F.row_number().over(w) + len(RESERVED) - 1).alias("word_id"))
+    frequency rank until ``max_size`` ids (reserved included) are used.
+    ``top`` carries the frequency ``rank`` from ``top_words``."""
+    words = top if max_size == 0 else top.where(F.col("rank") < max_size - len(RESERVED))
+    words = words.select("word", (F.col("rank") + len(RESERVED)).cast("int").alias("word_id"))
     spark = top.sparkSession
     reserved = spark.createDataFrame([(w_, i) for i, w_ in enumerate(RESERVED)], "word string, word_id int")
-    return reserved.unionByName(words.select("word", F.col("word_id").cast("int")))
+    return reserved.unionByName(words)
 
 
 def parse_vocab_lines(lines: DataFrame, max_size: int = 50_000, col: str = "value",

@@ -142,12 +142,12 @@ def q_collection_stats(spark, sf_dir):
     (dataset, doc_type) (U2 union of the example sets)."""
     conv = exs.conversation_examples(spark, sf_dir)
     pas = exs.passage_examples(spark, sf_dir)
-    docs = co.union_tagged({
-        "conversation": conv.select(F.lit("question").alias("doc_type"), F.col("question").alias("txt"))
-        .unionByName(conv.select(F.lit("article").alias("doc_type"), F.col("article").alias("txt"))),
-        "passage": pas.select(F.lit("summary").alias("doc_type"), F.col("summary").alias("txt"))
-        .unionByName(pas.select(F.lit("article").alias("doc_type"), F.col("article").alias("txt"))),
-    }, tag="dataset")
+    # one pass per example set: both texts of a row leave through one explode
+    two = lambda df, a, b: df.select(F.explode(F.array(
+        F.struct(F.lit(a).alias("doc_type"), F.col(a).alias("txt")),
+        F.struct(F.lit(b).alias("doc_type"), F.col(b).alias("txt")))).alias("__d")).select("__d.*")
+    docs = co.union_tagged({"conversation": two(conv, "question", "article"),
+                            "passage": two(pas, "summary", "article")}, tag="dataset")
     c = docs.select("dataset", "doc_type", F.size(tx.word_punct_tokens("txt")).cast("double").alias("tok"),
                     F.size(tx.sentences("txt")).cast("double").alias("sen"))
     agg = []

@@ -49,8 +49,9 @@ def vocabulary(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("text")
     bench = table(spark, sf_dir, "benchmark").select("text")
     counts = vb.vocab_counts(docs.unionByName(bench), ["text"])
-    # both are bounded by their caps; cut once so size checks and lookups reuse them
-    top = cut_lineage(vb.top_words(counts, vb.COUNT_CAP))
+    # ranks come from a checkpointed range sort; the id table (bounded by
+    # MAX_SIZE) is cut once so size checks and lookups reuse it
+    top = vb.top_words(counts, vb.COUNT_CAP)
     return top, cut_lineage(vb.vocab_table(top, MAX_SIZE))
 
 

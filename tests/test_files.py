@@ -136,7 +136,7 @@ def test_sinks_roundtrip(spark, fix, scratch):
     counts = spark.createDataFrame([("b", 3), ("a", 3), ("c", 5)], "word string, count long")
     sk.write_vocab(counts, os.path.join(scratch, "vocab"))
     assert [r.value for r in spark.read.text(os.path.join(scratch, "vocab")).collect()] == ["c 5", "a 3", "b 3"]
-    v = vb.vocab_table(counts, 50)
+    v = vb.vocab_table(vb.top_words(counts, 100), 50)
     sk.write_vocab_metadata(v, os.path.join(scratch, "meta"))
     words = [r.word for r in spark.read.option("header", True).option("sep", "\t").csv(os.path.join(scratch, "meta")).collect()]
     assert words[:4] == ["[UNK]", "[PAD]", "[START]", "[STOP]"] and words[4:] == ["c", "a", "b"]
