@@ -288,3 +288,22 @@ def with_rouge_lsum(df: DataFrame, hyp: str, ref: str, alpha: float = 1.0, prefi
     out = df.withColumn("__u", union_lcs_udf(split(hyp), split(ref)))
     p, r, f = prf(F.col("__u.overlap"), F.col("__u.hyp"), F.col("__u.ref"), alpha)
     return out.withColumn(f"{prefix}_p", p).withColumn(f"{prefix}_r", r).withColumn(f"{prefix}_f", f).drop("__u")
+
+
+def lcs_jvm(a, b) -> Column:
+    """LCS length with built-in higher-order functions only (row-by-row dynamic
+    program folded with ``aggregate``).  Interpreted and quadratic in copies:
+    kept as the cross-check of the Arrow kernel, not for the hot path."""
+    a, b = _c(a), _c(b)
+    m = F.size(b)
+    zeros = F.array_repeat(F.lit(0), m + 1)
+
+    def step(row, x):
+        return F.aggregate(
+            F.sequence(F.lit(1), F.greatest(m, F.lit(1))), F.array(F.lit(0)),
+            lambda acc, j: F.when(j > m, acc).otherwise(F.concat(acc, F.array(
+                F.when(F.element_at(b, j) == x, F.element_at(row, j) + 1)
+                .otherwise(F.greatest(F.element_at(row, j + 1), F.element_at(acc, j)))))))
+
+    return F.when((F.size(a) == 0) | (m == 0), F.lit(0)).otherwise(
+        F.element_at(F.aggregate(a, zeros, step), m + 1))
