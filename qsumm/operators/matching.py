@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from qsumm.functions.text import ws_tokens
-from qsumm.plans.joins import bounded, sized_broadcast
+from qsumm.plans.joins import DEFAULT_BROADCAST_BYTES, DEFAULT_BROADCAST_ROWS, sized_broadcast
 from qsumm.session import cut_lineage
 
 GRAM = 3
@@ -71,14 +71,19 @@ def passage_matches(docs: DataFrame, passages: DataFrame, doc_key: str = "doc_id
     """All ``(pas_key, doc_key)`` pairs where the passage text occurs in the document
     (with ``keep_text``: also ``doc_text`` as ``article`` and ``pas_text`` as ``summary``)."""
     pas = passages.select(F.col(pas_key).alias("__pk"), F.col(pas_text).alias("__pt"))
-    bc = F.broadcast if bounded(pas) else (lambda d: d)
+    # one small job over the passages: size bound for broadcasting + short-passage presence
+    probe = pas.limit(DEFAULT_BROADCAST_ROWS + 1).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("__pt") + 16).alias("b"),
+        F.count(short_anchor(F.col("__pt"))).alias("short")).first()
+    small = probe["n"] <= DEFAULT_BROADCAST_ROWS and (probe["b"] or 0) <= DEFAULT_BROADCAST_BYTES
+    bc = F.broadcast if small else (lambda d: d)
     anchors = pas.select("__pk", passage_anchor(F.col("__pt")).alias("__tok")).where(F.col("__tok").isNotNull())
     doc_toks = docs.select(F.col(doc_key).alias("__dk"),
                            F.explode(F.array_distinct(ws_tokens(F.col(doc_text)))).alias("__tok"))
     # documents' tokens are distinct and every passage has one anchor: pairs are unique
     cand = doc_toks.join(bc(anchors), "__tok").select("__dk", "__pk")
     shorts = pas.select("__pk", short_anchor(F.col("__pt")).alias("__g")).where(F.col("__g").isNotNull())
-    if shorts.limit(1).count() > 0:
+    if probe["short"] > 0:
         grams = doc_toks.select("__dk", F.explode(F.array_distinct(_token_grams(F.col("__tok")))).alias("__g"))
         cand = cand.unionByName(grams.join(bc(shorts), "__g").select("__dk", "__pk")).distinct()
     if checkpoint:
