@@ -155,3 +155,22 @@ def test_classifier_padding(spark):
     assert out.labels_padded == [1, 0, 0]
     head = bt.pad_classifier_inputs(df, "q", "s", "l", 2, 3, 3, truncate="head").first()
     assert head.q_padded == [2, 3]
+
+
+def test_more_sinks_and_repeat(spark, scratch):
+    df = spark.createDataFrame([(1, "lead", "t", "s", "ref a", "gen a", 0.5, None),
+                                (2, "random", "t", "s", "ref b", "gen b", 0.25, "x")],
+                               "ex_id long, system string, task string, summ_type string, ref string, gen string, "
+                               "score double, section string")
+    sk.write_json_lines(df, os.path.join(scratch, "k1"), na_cols=["section"])
+    rows = [json.loads(l) for f in os.listdir(os.path.join(scratch, "k1")) if f.endswith(".json")
+            for l in open(os.path.join(scratch, "k1", f))]
+    assert sorted(r["section"] for r in rows) == ["N/A", "x"]
+    sk.write_predictions(df, os.path.join(scratch, "k4"))
+    assert os.path.isdir(os.path.join(scratch, "k4", "system=lead", "task=t", "summ_type=s"))
+    sk.write_sheet(df, os.path.join(scratch, "k5"))
+    assert spark.read.option("header", True).csv(os.path.join(scratch, "k5")).count() == 2
+    sk.write_results(df.groupBy("system").agg(F.avg("score").alias("score")), os.path.join(scratch, "k6"))
+    assert spark.read.option("header", True).csv(os.path.join(scratch, "k6")).count() == 2
+    rep = bt.repeat_example(df.limit(1), 16)
+    assert rep.count() == 16
