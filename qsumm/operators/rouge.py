@@ -100,6 +100,14 @@ def _occurrence_tagged(arr: Column) -> Column:
         x, F.lit("\u0001"), (i - F.array_position(s, x) + 1).cast("string")))), 1)
 
 
+def keep_shared(a, b) -> Column:
+    """Tokens of ``a`` that occur in ``b``, in order.  LCS(a, b) equals
+    LCS(keep_shared(a, b), b): a token absent from ``b`` is in no common
+    subsequence, so the LCS kernel can be fed the shorter arrays."""
+    bb = _c(b)
+    return F.filter(_c(a), lambda t: F.array_contains(bb, t))
+
+
 def clipped_overlap(h, r) -> Column:
     """sum over distinct items g of min(count_h(g), count_r(g))."""
     return F.size(F.array_intersect(_occurrence_tagged(_c(h)), _occurrence_tagged(_c(r)))).cast("long")
@@ -133,7 +141,8 @@ def with_rouge(df: DataFrame, hyp: str, ref: str, max_n: int = 3, alpha: float =
                .withColumn(f"{prefix}_{n}_hyp", ngram_count(ht, n))
                .withColumn(f"{prefix}_{n}_ref", ngram_count(rt, n)))
     if lcs:
-        out = (out.withColumn(f"{prefix}_l_overlap", lcs_udf(F.col(ht), F.col(rt)).cast("long"))
+        out = (out.withColumn(f"{prefix}_l_overlap", lcs_udf(keep_shared(F.col(ht), F.col(rt)),
+                                                             keep_shared(F.col(rt), F.col(ht))).cast("long"))
                .withColumn(f"{prefix}_l_hyp", F.size(ht).cast("long"))
                .withColumn(f"{prefix}_l_ref", F.size(rt).cast("long")))
     names = [str(n) for n in range(1, max_n + 1)] + (["l"] if lcs else [])
@@ -179,7 +188,7 @@ def sentence_labels(df: DataFrame, sents: str, ref_sents: str, threshold: float
     ex = ex.withColumn("__rall", F.flatten(F.col("__rt")))
     bound = lambda t: F.size(F.filter(t, lambda x: F.array_contains(F.col("__rall"), x)))
     ex = ex.withColumn("__cand", F.transform("__st", lambda t: F.when(
-        (F.size(t) > 0) & (bound(t) / F.size(t) > F.lit(threshold)), t)))
+        (F.size(t) > 0) & (bound(t) / F.size(t) > F.lit(threshold)), keep_shared(t, F.col("__rall")))))
     ex = ex.withColumn("__best", lcs_each_best(F.col("__cand"), F.col("__rt")))
     ex = ex.withColumn(out, F.transform(F.arrays_zip(F.col("__st").alias("t"), F.col("__best").alias("b")),
                                         lambda z: F.when(
@@ -211,11 +220,13 @@ def sentence_best_scores(df: DataFrame, sents: str, ref_sents: str, out: str = "
     sentence, as a double array parallel to ``sents`` (0 for empty sentences)."""
     ex = df.withColumn("__st", F.transform(sents, rouge_tokens)) \
            .withColumn("__rt", F.transform(ref_sents, rouge_tokens))
-    ex = ex.withColumn("__best", lcs_each_best(F.col("__st"), F.col("__rt")))
+    ex = ex.withColumn("__rall", F.flatten(F.col("__rt")))
+    ex = ex.withColumn("__best", lcs_each_best(F.transform("__st", lambda t: keep_shared(t, F.col("__rall"))),
+                                               F.col("__rt")))
     ex = ex.withColumn(out, F.transform(F.arrays_zip(F.col("__st").alias("t"), F.col("__best").alias("b")),
                                         lambda z: F.when(F.size(z["t"]) > 0, z["b"] / F.size(z["t"]))
                                         .otherwise(F.lit(0.0))))
-    return ex.drop("__st", "__rt", "__best")
+    return ex.drop("__st", "__rt", "__rall", "__best")
 
 
 # ----------------------------------------------------------------------------

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from qsumm.functions.text import rouge_tokens
-from qsumm.operators.rouge import lcs_each_udf
+from qsumm.operators.rouge import keep_shared, lcs_each_udf
 
 # Fixed value: the seed used for sampling and both shuffles.
 SEED = 13
@@ -46,7 +46,9 @@ def sentence_scores(sents, question) -> Column:
     """ROUGE-L f with alpha 1 of every sentence against the question: LCS over the
     sentence's token count (0 for a sentence without tokens)."""
     st = F.transform(_c(sents), rouge_tokens)
-    lcs = lcs_each_udf(st, rouge_tokens(_c(question)))
+    qt = rouge_tokens(_c(question))
+    # only tokens shared with the question can be in the LCS: ship those to the kernel
+    lcs = lcs_each_udf(F.transform(st, lambda t: keep_shared(t, qt)), qt)
     return F.transform(F.arrays_zip(st.alias("t"), lcs.alias("l")), lambda z: F.when(
         F.size(z["t"]) > 0, z["l"] / F.size(z["t"])).otherwise(F.lit(0.0)))
 

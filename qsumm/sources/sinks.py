@@ -21,19 +21,19 @@ def write_json_lines(df: DataFrame, path: str, na_cols=()) -> None:
 def write_parallel_lines(df: DataFrame, path: str, source: str = "source", target: str = "target",
                          order=("shuffle_key", "id")) -> None:
     """K2 + F12: ``.source``/``.target`` line files in the same order.  One table
-    holding both columns is range-partitioned by the order key and written once
-    per side from the same persisted frame, so line ``i`` of every part file of
-    the source side matches line ``i`` of the same part of the target side."""
+    holding both columns is range-partitioned by the order key, checkpointed,
+    and written once per side from that checkpoint, so line ``i`` of every part
+    file of the source side matches line ``i`` of the same part of the target side."""
     from qsumm.operators.stories import line_safe
     bad = line_safe(df, [source, target]).limit(1).count()
     if bad:
         raise ValueError("a source or target text holds a newline; it would break line alignment")
-    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order).persist()
-    try:
-        ordered.select(F.col(source).alias("value")).write.mode("overwrite").text(f"{path}.source")
-        ordered.select(F.col(target).alias("value")).write.mode("overwrite").text(f"{path}.target")
-    finally:
-        ordered.unpersist()
+    from qsumm.session import cut_lineage
+    # a reliable checkpoint, not a cache: a recomputed range sort after a lost
+    # executor could place rows differently and misalign the two files
+    ordered = cut_lineage(df.repartitionByRange(*order).sortWithinPartitions(*order))
+    ordered.select(F.col(source).alias("value")).write.mode("overwrite").text(f"{path}.source")
+    ordered.select(F.col(target).alias("value")).write.mode("overwrite").text(f"{path}.target")
 
 
 def write_vocab(vocab_counts: DataFrame, path: str) -> None:
