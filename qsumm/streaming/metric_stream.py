@@ -4,8 +4,9 @@ State per series is three numbers plus the last step seen (``applyInPandas
 WithState``), so a hot series costs one small state row.  Rows are folded in
 step order inside each micro-batch; a row whose step is not after the last
 folded step of its series is late: it is dropped and counted
-(``late_dropped``).  Event time is cast to ``TIMESTAMP`` before the watermark
-(``TIMESTAMP_NTZ`` cannot carry one).
+(``late_dropped``).  Rows wait in state until the watermark passes them.
+Event time is cast to ``TIMESTAMP`` before the watermark (``TIMESTAMP_NTZ``
+cannot carry one).
 """
 
 from __future__ import annotations
@@ -21,28 +22,42 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from qsumm.operators.metric_log import CLIP, DECAY
 from qsumm.session import ensure_checkpoint_dir
 
-STATE_SCHEMA = "m double, best double, runs long, last_ts timestamp, last_id long, late long, seen long"
+STATE_SCHEMA = ("m double, best double, runs long, last_ts timestamp, last_id long, late long, seen long, "
+                "buf_ts array<timestamp>, buf_id array<long>, buf_v array<double>")
 
 
 def smooth_stream(stream: DataFrame, series: str, ts: str, tie: str, value: str, decay: float = DECAY,
-                  clip: float = CLIP, patience: int = 5, watermark: str = "1 hour") -> DataFrame:
+                  clip: float = CLIP, patience: int = 5, watermark: str = "0 seconds") -> DataFrame:
+    """Rows are buffered in the series' state until the watermark passes them,
+    then folded in ``(ts, tie)`` order; a row at or before the last folded
+    step is late (dropped, counted).  The buffer holds at most the rows of one
+    watermark delay, so state stays bounded by the delay, not by the series."""
     src = (stream.select(F.col(series).alias("series"), F.col(ts).cast("timestamp").alias("ts"),
                          F.col(tie).alias("tie"), F.col(value).cast("double").alias("value"))
            .withWatermark("ts", watermark))
     out_schema = ("series string, ts timestamp, tie long, value double, smoothed double, is_best boolean, "
                   "runs long, stop boolean, late_dropped long")
+    cols = ["series", "ts", "tie", "value", "smoothed", "is_best", "runs", "stop", "late_dropped"]
 
     def fold(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.exists:
-            m, best, runs, last_ts, last_id, late, seen = state.get
+            m, best, runs, last_ts, last_id, late, seen, b_ts, b_id, b_v = state.get
         else:
-            m, best, runs, last_ts, last_id, late, seen = 0.0, None, 0, None, None, 0, 0
+            m, best, runs, last_ts, last_id, late, seen, b_ts, b_id, b_v = 0.0, None, 0, None, None, 0, 0, [], [], []
         frames = [b for b in batches if len(b)]
+        if b_ts:
+            frames.append(pd.DataFrame({"ts": pd.to_datetime(list(b_ts)), "tie": list(b_id), "value": list(b_v)}))
         if not frames:
             return
         pdf = pd.concat(frames, ignore_index=True).sort_values(["ts", "tie"])
+        wm = state.getCurrentWatermarkMs()
+        # the watermark has millisecond precision: a row is complete when its
+        # millisecond is at or before it
+        ms = pdf["ts"].astype("int64") // 1_000_000
+        ready = pdf if not wm or wm <= 0 else pdf[ms <= wm]
+        wait = pdf.iloc[0:0] if not wm or wm <= 0 else pdf[ms > wm]
         rows = []
-        for t, i, x in zip(pdf["ts"], pdf["tie"], pdf["value"]):
+        for t, i, x in zip(ready["ts"], ready["tie"], ready["value"]):
             if last_ts is not None and (t, i) <= (last_ts, last_id):
                 late += 1
                 continue
@@ -55,12 +70,17 @@ def smooth_stream(stream: DataFrame, series: str, ts: str, tie: str, value: str,
             seen += 1
             last_ts, last_id = t, i
             rows.append((key[0], t, i, x, m, flag, runs, patience > 0 and runs > patience, late))
-        state.update((m, best, runs, last_ts, last_id, late, seen))
-        yield pd.DataFrame(rows, columns=["series", "ts", "tie", "value", "smoothed", "is_best", "runs", "stop",
-                                          "late_dropped"])
+        state.update((m, best, runs, last_ts, last_id, late, seen,
+                      [t.to_pydatetime() for t in wait["ts"]], [int(v) for v in wait["tie"]],
+                      [float(v) for v in wait["value"]]))
+        if len(wait):
+            # fires once the watermark reaches the oldest waiting row's millisecond
+            state.setTimeoutTimestamp(int(wait["ts"].min().value // 1_000_000) - 1)
+        if rows:
+            yield pd.DataFrame(rows, columns=cols)
 
     return src.groupBy("series").applyInPandasWithState(
-        fold, out_schema, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+        fold, out_schema, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_events_stream(spark: SparkSession, src_dir: str, name: str, files_per_trigger: int = 1,
