@@ -169,7 +169,12 @@ def q_relevance_model(spark, sf_dir):
                                      F.lit(round(auc, 6)).alias("auc"))
 
 
-@query("stream_metric_smoothing")
+def _metric_sql():
+    from qsumm.plans.catalog import ORACLE
+    return ORACLE["metric_smoothing"]
+
+
+@query("stream_metric_smoothing", _metric_sql())
 def q_stream_metric_smoothing(spark, sf_dir):
     """The metric-log fold as a stateful stream over the events files
     (batch twin: ``metric_smoothing``)."""
@@ -180,7 +185,18 @@ def q_stream_metric_smoothing(spark, sf_dir):
                       "stop")
 
 
-@query("stream_rouge")
+def _stream_rouge_sql():
+    from qsumm.plans.catalog import _baselines_sql, _rouge_eval_sql
+    return f"""
+WITH {_baselines_sql()},
+{_rouge_eval_sql('gens')}
+SELECT system, count(*) AS n, round(sum(r1) / count(*), 6) AS rouge_1, round(sum(r2r) / count(*), 6) AS rouge_2,
+       round(sum(rl) / count(*), 6) AS rouge_l
+FROM per_ex GROUP BY system
+"""
+
+
+@query("stream_rouge", _stream_rouge_sql())
 def q_stream_rouge(spark, sf_dir):
     """Baseline predictions written as files, then scored as a stream with a
     running per-system aggregate (batch twin: ``system_rouge`` for 1/2/L)."""
