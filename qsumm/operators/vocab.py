@@ -8,7 +8,7 @@ encoded with one ``posexplode`` + broadcast join + one regroup by example key.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from qsumm.functions.text import SENT_END, SENT_START, ws_tokens
@@ -69,7 +69,10 @@ def parse_vocab_lines(lines: DataFrame, max_size: int = 50_000, col: str = "valu
     bad = parsed.where(F.size("__p") != 2).drop("__p")
     good = parsed.where(F.size("__p") == 2).select(order, F.col("__p")[0].alias("word"))
     reserved = RESERVED + [SENT_START, SENT_END]
-    checked = good.withColumn("__dups", F.count(F.lit(1)).over(Window.partitionBy("word"))).withColumn(
+    # duplicate check as an aggregate (map-side partial counts), not a window:
+    # a word repeated on many lines never gathers its lines in one task
+    dups = good.groupBy("word").agg(F.count(F.lit(1)).alias("__dups"))
+    checked = good.join(dups, "word").withColumn(
         "word", F.when(F.col("word").isin(*reserved), F.raise_error(F.concat(F.lit("reserved word in vocabulary: "), "word")))
         .when(F.col("__dups") > 1, F.raise_error(F.concat(F.lit("duplicated word in vocabulary: "), "word")))
         .otherwise(F.col("word")))
