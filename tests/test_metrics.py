@@ -32,3 +32,15 @@ def test_label_count_equals_sentence_count(spark):
     from qsumm.plans.catalog_model import labelled
     lab = labelled(spark, SF)
     assert lab.where(F.size("labels") != F.size("sents")).count() == 0
+
+
+def test_exploded_overlap_equals_in_row(spark):
+    from qsumm.operators.bleu import characters
+    b = spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text")
+    d = spark.read.parquet(f"{SF}/documents.parquet").select(F.col("doc_id").alias("item_id"),
+                                                             F.substring("text", 1, 600).alias("other"))
+    j = b.join(d, "item_id").select("item_id", characters("text").alias("h"), characters("other").alias("r"))
+    a = j.withColumn("in_row", rg.clipped_overlap("h", "r"))
+    e = rg.clipped_overlap_exploded(a, "item_id", "h", "r", "exploded")
+    assert e.where("in_row != exploded").count() == 0
+    assert e.where("in_row > 0").count() > 0
