@@ -46,13 +46,16 @@ vocab AS (
 
 
 def vocabulary(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("text")
-    bench = table(spark, sf_dir, "benchmark").select("text")
-    counts = vb.vocab_counts(docs.unionByName(bench), ["text"])
-    # ranks come from a checkpointed range sort; the id table (bounded by
-    # MAX_SIZE) is cut once so size checks and lookups reuse it
-    top = vb.top_words(counts, vb.COUNT_CAP)
-    return top, cut_lineage(vb.vocab_table(top, MAX_SIZE))
+    """(top words with counts and ranks, id table); materialized once per
+    application and input folder, like the vocabulary file of the original."""
+    def build_top():
+        docs = table(spark, sf_dir, "documents").select("text")
+        bench = table(spark, sf_dir, "benchmark").select("text")
+        counts = vb.vocab_counts(docs.unionByName(bench), ["text"])
+        return vb.top_words(counts, vb.COUNT_CAP)
+    top = exs._memo(spark, "vocab_top", sf_dir, build_top)
+    vocab = exs._memo(spark, "vocab_ids", sf_dir, lambda: vb.vocab_table(top, MAX_SIZE))
+    return top, vocab
 
 
 @query("vocab_top", f"""
