@@ -111,6 +111,12 @@ def with_p_value(w: DataFrame) -> DataFrame:
 _POISSON1_CDF = [math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1)) for k in range(10)]
 
 
+def uniform_from_md5(*parts) -> Column:
+    """A uniform number in [0, 1) from the first 32 bits of ``md5(parts joined by |)``."""
+    h = F.md5(F.concat_ws("|", *[p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts]))
+    return F.conv(F.substring(h, 1, 8), 16, 10).cast("long") / float(1 << 32)
+
+
 def poisson_weight(u: Column) -> Column:
     expr = F.lit(10)
     for k in reversed(range(10)):
@@ -121,11 +127,10 @@ def poisson_weight(u: Column) -> Column:
 def bootstrap_ci(scores: DataFrame, keys, ex_key: str, metrics, b: int = 1000, seed: int = 13,
                  lo: float = 0.025, hi: float = 0.975) -> DataFrame:
     """Poisson bootstrap confidence interval of the mean of each metric per
-    group.  Weights come from a hash of ``(seed, example, replicate)``, so the
-    result does not depend on partitioning."""
+    group.  Weights come from an md5 of ``(seed, example, replicate)``, so the
+    result does not depend on partitioning and can be reproduced in SQL."""
     keys = [keys] if isinstance(keys, str) else list(keys)
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.col(ex_key).cast("string"), F.col("__b")), F.lit(1 << 30))
-         / float(1 << 30))
+    u = uniform_from_md5(seed, F.col(ex_key), F.col("__b"))
     rep = scores.select(*keys, ex_key, *metrics).withColumn("__b", F.explode(F.sequence(F.lit(1), F.lit(b))))
     rep = rep.withColumn("__w", poisson_weight(u))
     means = rep.groupBy(*keys, "__b").agg(

@@ -156,12 +156,47 @@ def q_prediction_alignment(spark, sf_dir):
             .join(um.agg(F.count(F.lit(1)).alias("n_unmatched")), how="inner"))
 
 
-@query("rouge_bootstrap")
+B = 200
+
+
+def _bootstrap_sql():
+    from qsumm.operators.stats import _POISSON1_CDF
+    cases = " ".join(f"WHEN u < {c!r} THEN {k}" for k, c in enumerate(_POISSON1_CDF))
+    metrics = [("r1", "rouge_1_r"), ("r2r", "rouge_2_r"), ("rl", "rouge_l_r")]
+    wmeans = ", ".join(f"sum({a} * w) / sum(w) AS {n}" for a, n in metrics)
+    qs = ", ".join(f"quantile_cont({n}, 0.025) AS {n}_lo, quantile_cont({n}, 0.975) AS {n}_hi" for _, n in metrics)
+    point = ", ".join(f"avg({a}) AS {n}" for a, n in metrics)
+    outs = ", ".join(f"round(p.{n}, 6) AS {n}, round(q.{n}_lo, 6) AS {n}_cb, round(q.{n}_hi, 6) AS {n}_ce"
+                     for _, n in metrics)
+    return f"""
+WITH {_baselines_sql()},
+{_rouge_eval_sql('gens')},
+rep AS (
+  SELECT e.system, e.r1, e.r2r, e.rl, b.b AS b,
+         CAST(('0x' || substr(md5(concat_ws('|', '13', concat_ws(':', e.item_id, e.doc_id), CAST(b.b AS VARCHAR))), 1, 8))::BIGINT AS DOUBLE)
+           / 4294967296.0 AS u
+  FROM per_ex e, (SELECT unnest(range(1, {B + 1})) AS b) b
+),
+wts AS (SELECT *, CASE {cases} ELSE 10 END AS w FROM rep),
+means AS (SELECT system, b, {wmeans} FROM wts GROUP BY system, b),
+q AS (SELECT system, {qs} FROM means GROUP BY system),
+p AS (SELECT system, {point} FROM per_ex GROUP BY system)
+SELECT p.system, {outs} FROM p JOIN q USING (system)
+"""
+
+
+@query("rouge_bootstrap", _bootstrap_sql())
 def q_rouge_bootstrap(spark, sf_dir):
-    """Poisson-bootstrap 95% interval of mean ROUGE-1/2/L recall per system."""
+    """Poisson-bootstrap 95% interval of mean ROUGE-1/2/L recall per system
+    (md5-seeded weights, reproducible in SQL)."""
     p = baseline_predictions(spark, sf_dir)
     s = rg.with_rouge(p, "gen", "summary", max_n=2, alpha=1.0)
-    return st.bootstrap_ci(s, "system", "ex_key", ["rouge_1_r", "rouge_2_r", "rouge_l_r"], b=200)
+    ms = ["rouge_1_r", "rouge_2_r", "rouge_l_r"]
+    ci = st.bootstrap_ci(s, "system", "ex_key", ms, b=B)
+    cols = ["system"]
+    for m in ms:
+        cols += [F.round(m, 6).alias(m), F.round(f"{m}_cb", 6).alias(f"{m}_cb"), F.round(f"{m}_ce", 6).alias(f"{m}_ce")]
+    return ci.select(*cols)
 
 
 @query("wilcoxon_p")
