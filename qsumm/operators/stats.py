@@ -134,7 +134,7 @@ def bootstrap_ci(scores: DataFrame, keys, ex_key: str, metrics, b: int = 1000, s
     rep = scores.select(*keys, ex_key, *metrics).withColumn("__b", F.explode(F.sequence(F.lit(1), F.lit(b))))
     rep = rep.withColumn("__w", poisson_weight(u))
     means = rep.groupBy(*keys, "__b").agg(
-        *[(F.sum(F.col(m) * F.col("__w")) / F.sum("__w")).alias(m) for m in metrics])
+        *[F.try_divide(F.sum(F.col(m) * F.col("__w")), F.sum("__w")).alias(m) for m in metrics])
     out = means.groupBy(*keys).agg(
         *[F.percentile(F.col(m), F.array(F.lit(lo), F.lit(hi))).alias(f"__{m}") for m in metrics])
     point = scores.groupBy(*keys).agg(*[F.avg(m).alias(m) for m in metrics])
