@@ -163,7 +163,7 @@ def _bootstrap_sql():
     from qsumm.operators.stats import _POISSON1_CDF
     cases = " ".join(f"WHEN u < {c!r} THEN {k}" for k, c in enumerate(_POISSON1_CDF))
     metrics = [("r1", "rouge_1_r"), ("r2r", "rouge_2_r"), ("rl", "rouge_l_r")]
-    wmeans = ", ".join(f"sum({a} * w) / sum(w) AS {n}" for a, n in metrics)
+    wmeans = ", ".join(f"CASE WHEN sum(w) > 0 THEN sum({a} * w) / sum(w) END AS {n}" for a, n in metrics)
     qs = ", ".join(f"quantile_cont({n}, 0.025) AS {n}_lo, quantile_cont({n}, 0.975) AS {n}_hi" for _, n in metrics)
     point = ", ".join(f"avg({a}) AS {n}" for a, n in metrics)
     outs = ", ".join(f"round(p.{n}, 6) AS {n}, round(q.{n}_lo, 6) AS {n}_cb, round(q.{n}_hi, 6) AS {n}_ce"
