@@ -44,7 +44,7 @@ def test_qa_sheet_na_handling(spark, fix):
                    uf.short_site("URL").alias("site")).collect()
     assert [r.u for r in out][2:4] == [None, None]
     assert [r.sec for r in out][2:] == [None, None, None, None]
-    assert out[0].site == "drugs" and out[1].site == "medlineplus"
+    assert out[0].site == "meds" and out[1].site == "health"
     g = s.groupBy("Question").agg(F.count(F.lit(1)).alias("n"))
     assert g.where("n = 2").count() == 1
 
@@ -54,21 +54,21 @@ def test_xml_sections(spark, fix):
     assert pages.count() == 4
     assert pages.where("malformed").count() == 1
     ans = spark.createDataFrame([
-        ("http://dailymed.nlm.nih.gov/x", "Dosage", "Take one."),                  # 3 children in DailyMed: exempt
-        ("https://medlineplus.gov/druginfo/a.html", "Dosage", "x"),                # duplicated title: rejected
-        ("https://medlineplus.gov/druginfo/a.html", "before TAKING", "Tell"),      # containment, other case
-        ("https://www.drugs.com/aspirin.html", "Dosage", "A much longer answer"),   # section shorter than answer
-        ("https://www.drugs.com/aspirin.html", 'Doctor\'s "notes"', "Quoted"),     # quote in the title
+        ("http://labels.example.org/x", "Dosage", "Take one."),                  # 3 children in DailyMed: exempt
+        ("https://health.example.org/druginfo/a.html", "Dosage", "x"),                # duplicated title: rejected
+        ("https://health.example.org/druginfo/a.html", "before TAKING", "Tell"),      # containment, other case
+        ("https://www.meds.example.com/aspirin.html", "Dosage", "A much longer answer"),   # section shorter than answer
+        ("https://www.meds.example.com/aspirin.html", 'Doctor\'s "notes"', "Quoted"),     # quote in the title
     ], "url string, section string, answer string")
     j = ans.join(pages.where("NOT malformed"), "url", "left")
     out = secs.xml_section_text(j, "sections", "section", "corpus", "answer").collect()
     kinds = [r.section_kind for r in out]
     texts = {(r.url, r.section): r.section_text for r in out}
     assert sorted(kinds) == sorted(["exact", "rejected", "contains", "exact", "exact"])
-    assert texts[("http://dailymed.nlm.nih.gov/x", "Dosage")] == "Take one tablet daily with water."
-    assert texts[("https://medlineplus.gov/druginfo/a.html", "before TAKING")].startswith("Tell your doctor")
-    assert texts[("https://www.drugs.com/aspirin.html", "Dosage")] is None
-    assert texts[("https://www.drugs.com/aspirin.html", 'Doctor\'s "notes"')].startswith("Quoted title")
+    assert texts[("http://labels.example.org/x", "Dosage")] == "Take one tablet daily with water."
+    assert texts[("https://health.example.org/druginfo/a.html", "before TAKING")].startswith("Tell your doctor")
+    assert texts[("https://www.meds.example.com/aspirin.html", "Dosage")] is None
+    assert texts[("https://www.meds.example.com/aspirin.html", 'Doctor\'s "notes"')].startswith("Quoted title")
 
 
 def test_examples_readers(spark, fix):
@@ -81,7 +81,7 @@ def test_examples_readers(spark, fix):
     firsts = first_by(p, "url", "q_pos", ["q_pos", "a_pos", "article"])
     firsts = first_by(p.withColumn("pos", F.struct("q_pos", "a_pos")), "url", "pos", ["article"])
     got = {r.url: r.article for r in firsts.collect()}
-    assert got["https://www.drugs.com/aspirin.html"] == "First article for drugs."
+    assert got["https://www.meds.example.com/aspirin.html"] == "First article for drugs."
 
 
 def test_predictions_reader(spark, fix):
