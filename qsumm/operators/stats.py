@@ -94,17 +94,43 @@ def wilcoxon(pairs: DataFrame, x: str = "x", y: str = "y", group: str | None = N
         F.round(F.coalesce("w_minus", F.lit(0.0)), digits).alias("w_minus"),
         F.round(F.coalesce(t, F.lit(0.0)), digits).alias("t_stat"),
         F.round(F.when(var > 0, (t - mean) / F.sqrt(var)), digits).alias("z"),
+        F.coalesce(F.col("ties"), F.lit(0)).cast("long").alias("tie_term"),
     )
 
 
+EXACT_MAX_N = 50
+
+
+def _exact_two_sided(n: int, t: float) -> float:
+    """P(W <= t) doubled (capped at 1) under the null distribution of the
+    signed-rank sum: subset-sum counts of 1..n over 2^n."""
+    top = n * (n + 1) // 2
+    counts = [1] + [0] * top
+    for k in range(1, n + 1):
+        for s in range(top, k - 1, -1):
+            counts[s] += counts[s - k]
+    below = sum(counts[: int(math.floor(t)) + 1])
+    return min(1.0, 2.0 * below / 2.0 ** n)
+
+
 @F.pandas_udf(T.DoubleType())
-def _two_sided_p(z: pd.Series) -> pd.Series:
-    return z.map(lambda v: None if v is None or pd.isna(v) else math.erfc(abs(v) / math.sqrt(2.0)))
+def _two_sided_p(n: pd.Series, t: pd.Series, z: pd.Series, ties: pd.Series) -> pd.Series:
+    out = []
+    for nn, tt, zz, tie in zip(n, t, z, ties):
+        if nn is None or pd.isna(nn) or nn == 0:
+            out.append(None)
+        elif nn <= EXACT_MAX_N and tie == 0:
+            out.append(_exact_two_sided(int(nn), float(tt)))
+        else:
+            out.append(None if pd.isna(zz) else math.erfc(abs(zz) / math.sqrt(2.0)))
+    return pd.Series(out, dtype="float64")
 
 
 def with_p_value(w: DataFrame) -> DataFrame:
-    """Two-sided normal p-value on the one-row result (neither engine has erf)."""
-    return w.withColumn("p_value", _two_sided_p(F.col("z")))
+    """Two-sided p on the one-row result: exact null distribution for at most
+    50 non-zero pairs without ties, else the normal approximation (neither
+    engine has erf, so this is a one-row helper)."""
+    return w.withColumn("p_value", _two_sided_p(F.col("n"), F.col("t_stat"), F.col("z"), F.col("tie_term")))
 
 
 # Poisson(1) cumulative probabilities k = 0..9 (fixed values of the distribution).

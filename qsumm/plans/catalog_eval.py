@@ -99,7 +99,8 @@ SELECT '{a}' AS system_a, '{b}' AS system_b, CAST(count(*) AS BIGINT) AS n,
              THEN (least(sum(CASE WHEN d > 0 THEN avg_rank ELSE 0 END), sum(CASE WHEN d < 0 THEN avg_rank ELSE 0 END))
                    - count(*) * (count(*) + 1) / 4.0)
                   / sqrt(count(*) * (count(*) + 1) * (2 * count(*) + 1) / 24.0 - (SELECT coalesce(sum(c3), 0) FROM ties_{a}_{b}) / 48.0)
-             END, 6) AS z
+             END, 6) AS z,
+       CAST((SELECT coalesce(sum(c3), 0) FROM ties_{a}_{b}) AS BIGINT) AS tie_term
 FROM ranked_{a}_{b}"""
 
 
@@ -134,7 +135,8 @@ def q_wilcoxon_rouge2(spark, sf_dir):
         pairs = one if pairs is None else pairs.unionByName(one)
     w = st.wilcoxon(pairs, group="pair")
     return w.select(F.split_part("pair", F.lit("|"), F.lit(1)).alias("system_a"),
-                    F.split_part("pair", F.lit("|"), F.lit(2)).alias("system_b"), "n", "w_plus", "w_minus", "t_stat", "z")
+                    F.split_part("pair", F.lit("|"), F.lit(2)).alias("system_b"), "n", "w_plus", "w_minus", "t_stat", "z",
+                    "tie_term")
 
 
 @query("prediction_alignment", f"""

@@ -61,3 +61,12 @@ def test_union_lcs_two_reference_lines():
     n_h, n_r, hits = union_lcs_counts(h, r)
     assert (n_h, n_r) == (10, 5)
     assert hits == 4  # union of {w1 w2} and {w1 w3 w5}
+
+
+def test_exact_signed_rank_p():
+    from qsumm.operators.stats import _exact_two_sided
+    # n = 5, all differences positive: T = 0, p = 2 / 32
+    assert abs(_exact_two_sided(5, 0) - 0.0625) < 1e-12
+    # n = 10, T = 8: P(W <= 8) = 25/1024, two-sided 50/1024
+    assert abs(_exact_two_sided(10, 8) - 50 / 1024) < 1e-12
+    assert _exact_two_sided(4, 10) == 1.0
