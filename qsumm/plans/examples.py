@@ -26,7 +26,9 @@ _MEMO: dict = {}
 
 
 def _memo(spark: SparkSession, name: str, sf_dir: str, build):
-    key = (spark.sparkContext.applicationId, name, sf_dir.rstrip("/"))
+    from qsumm.session import _context
+    sc = _context(spark)
+    key = (sc.applicationId if sc is not None else id(spark), name, sf_dir.rstrip("/"))
     if key not in _MEMO:
         _MEMO[key] = cut_lineage(build())
     return _MEMO[key]

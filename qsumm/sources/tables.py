@@ -25,9 +25,11 @@ def spread_if_narrow(df: DataFrame, key: str, max_bytes: int = SPREAD_MAX_BYTES)
     """Hash-spread a small input over all cores when its files give fewer splits
     than cores (one row group per file cannot be split).  A no-op for large
     inputs, so it never adds a shuffle of big data."""
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores or estimated_bytes(df) > max_bytes:
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() >= cores or estimated_bytes(df) > max_bytes:
+            return df
+    except Exception:  # noqa: BLE001 - no plan access (e.g. a Connect session): leave the scan as is
         return df
     return df.repartition(cores, key)
 
