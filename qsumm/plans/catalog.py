@@ -44,10 +44,20 @@ pairs AS (
 K = 3
 
 
-def _baselines_sql() -> str:
+CONV_PAIRS_SQL = """
+pairs AS (
+  SELECT q.conv_id AS item_id, q.turn AS doc_id, '' AS summary, q.text AS question, a.text AS article,
+         concat_ws(':', q.conv_id, q.turn) AS ex_key
+  FROM conversations q JOIN conversations a
+    ON a.conv_id = q.conv_id AND a.turn = q.turn + 1 AND a.role = 'assistant'
+  WHERE q.role = 'user'
+)"""
+
+
+def _baselines_sql(pairs_sql: str = PAIRS_SQL) -> str:
     """CTEs ending in ``gens(item_id, doc_id, summary, system, gen)``."""
     return f"""
-{PAIRS_SQL},
+{pairs_sql},
 ex AS (SELECT *, {sq.sentences('article')} AS sents FROM pairs),
 sent AS (
   SELECT ex.item_id, ex.doc_id, ex.ex_key, ex.question, p.pos, ex.sents[p.pos] AS s
@@ -133,6 +143,22 @@ def q_baseline_summaries(spark, sf_dir):
                         F.length("gen").cast("long").alias("gen_len"))
 
 
+@query("conversation_baselines", f"""
+WITH {_baselines_sql(CONV_PAIRS_SQL)}
+SELECT item_id AS conv_id, doc_id AS turn, system, md5(gen) AS gen_md5, CAST(length(gen) AS BIGINT) AS gen_len FROM gens
+""")
+def q_conversation_baselines(spark, sf_dir):
+    """T1-T3 with J6 in its question-driven form: a user turn is the question,
+    the following assistant turn the article; best-overlap sentences are the
+    ones closest to the question."""
+    ex = exs.conversation_examples(spark, sf_dir)
+    ex = (ex.withColumn("ex_key", F.concat_ws(":", "conv_id", "turn"))
+            .withColumn("sents", tx.sentences("article")))
+    preds = sel.baselines(ex, "ex_key", "sents", "question", k=K, keep=["conv_id", "turn"])
+    return preds.select("conv_id", "turn", "system", F.md5("gen").alias("gen_md5"),
+                        F.length("gen").cast("long").alias("gen_len"))
+
+
 @query("passage_match", """
 SELECT b.item_id, d.doc_id FROM documents d JOIN benchmark b ON instr(d.text, b.text) > 0
 """)
