@@ -207,7 +207,65 @@ def q_wilcoxon_p(spark, sf_dir):
     return st.with_p_value(q_wilcoxon_rouge2(spark, sf_dir))
 
 
-@query("system_rouge_lsum")
+def _lsum_sql():
+    from qsumm.plans.catalog import _baselines_sql
+    newrow = ("list_reduce(range(1, len(h) + 1), lambda row, j: list_append(row, CASE WHEN h[j] = x "
+              "THEN acc[len(acc)][j] + 1 ELSE greatest(acc[len(acc)][j + 1], row[j]) END), [0::BIGINT])")
+    return f"""
+WITH RECURSIVE {_baselines_sql()},
+hl AS (SELECT item_id, doc_id, system, unnest(range(1, len(string_split(gen, chr(10))) + 1)) AS hi,
+              unnest(string_split(gen, chr(10))) AS line FROM gens),
+rl AS (SELECT item_id, doc_id, system, unnest(range(1, len(string_split(summary, chr(10))) + 1)) AS ri,
+              unnest(string_split(summary, chr(10))) AS line FROM gens),
+ht AS (SELECT item_id, doc_id, system, hi, {sq.rouge_tokens('line')} AS h FROM hl),
+rt AS (SELECT item_id, doc_id, system, ri, {sq.rouge_tokens('line')} AS r FROM rl),
+prs AS (
+  SELECT row_number() OVER () AS pid, r.item_id, r.doc_id, r.system, r.ri, r.r, h.h
+  FROM rt r JOIN ht h USING (item_id, doc_id, system) WHERE len(r.r) > 0 AND len(h.h) > 0
+),
+tab AS (
+  SELECT pid, r, h,
+         list_reduce(r, lambda acc, x: list_append(acc, {newrow}),
+                     [list_transform(range(0, len(h) + 1), lambda k: 0::BIGINT)]) AS t
+  FROM prs
+),
+bt AS (
+  SELECT pid, len(r) AS i, len(h) AS j, []::BIGINT[] AS marks FROM tab
+  UNION ALL
+  SELECT b.pid,
+         CASE WHEN t.r[b.i] = t.h[b.j] THEN b.i - 1 WHEN t.t[b.i][b.j + 1] >= t.t[b.i + 1][b.j] THEN b.i - 1 ELSE b.i END,
+         CASE WHEN t.r[b.i] = t.h[b.j] THEN b.j - 1 WHEN t.t[b.i][b.j + 1] >= t.t[b.i + 1][b.j] THEN b.j ELSE b.j - 1 END,
+         CASE WHEN t.r[b.i] = t.h[b.j] THEN list_append(b.marks, b.i) ELSE b.marks END
+  FROM bt b JOIN tab t USING (pid) WHERE b.i > 0 AND b.j > 0
+),
+ends AS (SELECT pid, marks FROM bt WHERE i = 0 OR j = 0),
+umask AS (
+  SELECT p.item_id, p.doc_id, p.system, p.ri, list_distinct(flatten(list(e.marks))) AS pos
+  FROM ends e JOIN prs p USING (pid) GROUP BY p.item_id, p.doc_id, p.system, p.ri
+),
+marked AS (
+  SELECT u.item_id, u.doc_id, u.system, r.r[x.p] AS tok, count(*) AS mc
+  FROM umask u JOIN rt r USING (item_id, doc_id, system, ri), (SELECT unnest(u.pos) AS p) x
+  GROUP BY u.item_id, u.doc_id, u.system, r.r[x.p]
+),
+hc AS (
+  SELECT item_id, doc_id, system, tok, count(*) AS hcnt
+  FROM (SELECT item_id, doc_id, system, unnest(h) AS tok FROM ht) GROUP BY item_id, doc_id, system, tok
+),
+hits AS (
+  SELECT m.item_id, m.doc_id, m.system, sum(least(m.mc, coalesce(h.hcnt, 0))) AS hits
+  FROM marked m LEFT JOIN hc h USING (item_id, doc_id, system, tok) GROUP BY m.item_id, m.doc_id, m.system
+),
+nr AS (SELECT item_id, doc_id, system, sum(len(r)) AS n_r FROM rt GROUP BY item_id, doc_id, system),
+per AS (
+  SELECT n.system, CASE WHEN n.n_r > 0 THEN CAST(coalesce(h.hits, 0) AS DOUBLE) / n.n_r ELSE 0.0 END AS rec
+  FROM nr n LEFT JOIN hits h USING (item_id, doc_id, system)
+)
+SELECT system, count(*) AS n, round(avg(rec), 6) AS rouge_lsum FROM per GROUP BY system
+"""
+
+
+@query("system_rouge_lsum", _lsum_sql())
 def q_system_rouge_lsum(spark, sf_dir):
     """A10/A11 summary level: union-LCS ROUGE-L recall per system (reference lines
     as sentences)."""
