@@ -26,7 +26,7 @@ def after_scheme(url) -> Column:
 def short_site(url) -> Column:
     """First dot-part of the part after ``//``; the second when the first is ``www``."""
     parts = F.split(after_scheme(url), r"\.", -1)
-    return F.when(F.element_at(parts, 1) == "www", F.element_at(parts, 2)).otherwise(F.element_at(parts, 1))
+    return F.when(F.element_at(parts, 1) == "www", F.try_element_at(parts, F.lit(2))).otherwise(F.element_at(parts, 1))
 
 
 def host(url) -> Column:

@@ -35,7 +35,7 @@ def build_collection(questions: DataFrame, articles: DataFrame) -> tuple[DataFra
     q = questions.select("q_pos", "body", "type", "ideal_answer", "exact_answer", "snippets")
     q = last_definition(q, "body", "q_pos")
     q = q.select("q_pos", F.col("body").alias("question"), F.col("type").alias("q_type"),
-                 F.element_at("ideal_answer", 1).alias("ideal_answer"),
+                 F.try_element_at("ideal_answer", F.lit(1)).alias("ideal_answer"),
                  exact_answer("type", "exact_answer").alias("exact_answer"),
                  F.posexplode(F.coalesce("snippets", F.array())).alias("snip_pos", "s"))
     snips = q.select("q_pos", "question", "q_type", "ideal_answer", "exact_answer", "snip_pos",

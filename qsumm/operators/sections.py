@@ -45,9 +45,9 @@ def xml_section_text(df: DataFrame, sections: str, wanted: str, corpus: str, ans
     exact = F.filter(s, lambda z: z["title"] == w)
     n_children = F.aggregate(exact, F.lit(0), lambda acc, z: acc + F.size(z["children"]))
     exact_ok = (F.size(exact) > 0) & ((n_children == 2) | (_c(corpus) == exempt_corpus))
-    exact_text = F.element_at(F.element_at(exact, 1)["children"], 2)
+    exact_text = F.try_element_at(F.try_element_at(exact, F.lit(1))["children"], F.lit(2))
     loose = F.filter(s, lambda z: F.contains(F.lower(z["title"]), F.lower(w)))
-    loose_text = F.element_at(loose, 1)["text"]
+    loose_text = F.try_element_at(loose, F.lit(1))["text"]
     raw = F.when(F.size(exact) > 0, F.when(exact_ok, exact_text)).otherwise(loose_text)
     return (df.withColumn("section_raw", raw)
               .withColumn("section_kind", F.when(F.size(exact) > 0, F.when(exact_ok, "exact").otherwise("rejected"))

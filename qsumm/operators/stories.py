@@ -40,7 +40,7 @@ def locate_stories(urls: DataFrame, stories: DataFrame, url: str = "url", priori
     priority = priority or {"cnn": 0, "dailymail": 1}
     prio = F.create_map(*[x for k, v in priority.items() for x in (F.lit(k), F.lit(v))])
     keyed = urls.withColumn("file_name", F.concat(F.sha1(F.col(url)), F.lit(".story")))
-    cand = stories.withColumn("__prio", F.element_at(prio, F.col("source")))
+    cand = stories.withColumn("__prio", F.try_element_at(prio, F.col("source")))
     best = cand.groupBy("file_name").agg(F.min_by(F.struct(*[c for c in stories.columns if c != "file_name"]),
                                                   F.col("__prio")).alias("__s"))
     best = best.select("file_name", "__s.*")

@@ -72,7 +72,7 @@ def read_xml_pages(spark: SparkSession, path: str, row_tag: str = "document") ->
     sections = F.transform(F.coalesce("section", F.array()), lambda s: F.struct(
         s["title"].alias("title"),
         F.concat(F.array(s["title"]), F.coalesce(s["text"], F.array().cast("array<string>"))).alias("children"),
-        F.element_at(s["text"], 1).alias("text")))
+        F.try_element_at(s["text"], F.lit(1)).alias("text")))
     return df.select(F.col("_url").alias("url"), F.col("_corpus").alias("corpus"), F.col("_id").alias("id"),
                      sections.alias("sections"),
                      (F.col("_corrupt_record").isNotNull() | F.col("_url").isNull()).alias("malformed"), "path")
@@ -95,7 +95,7 @@ def read_multi_examples(spark: SparkSession, path: str) -> DataFrame:
     whole = spark.read.text(path, wholetext=True)
     e = whole.select(F.explode(F.from_json("value", MULTI_SCHEMA)).alias("q_id", "e"))
     return e.select("q_id", "e.question", "e.summary", F.explode("e.articles").alias("answer_id", "texts")).select(
-        "q_id", "question", "summary", "answer_id", F.element_at("texts", 1).alias("article"))
+        "q_id", "question", "summary", "answer_id", F.try_element_at("texts", F.lit(1)).alias("article"))
 
 
 def read_primary(spark: SparkSession, path: str) -> DataFrame:

@@ -174,3 +174,16 @@ def test_more_sinks_and_repeat(spark, scratch):
     assert spark.read.option("header", True).csv(os.path.join(scratch, "k6")).count() == 2
     rep = bt.repeat_example(df.limit(1), 16)
     assert rep.count() == 16
+
+
+def test_short_arrays_do_not_raise_under_ansi(spark):
+    from qsumm.functions.urls import short_site
+    assert spark.conf.get("spark.sql.ansi.enabled") in ("true", "True")
+    r = spark.createDataFrame([("http://www",), ("https://www.x.org/a",)], "u string").select(short_site("u").alias("s")).collect()
+    assert [x.s for x in r] == [None, "x"]
+    ans = spark.createDataFrame([("u", "Nothing like it", "c", "a")], "url string, section string, corpus string, answer string")
+    secs_df = ans.withColumn("sections", F.array(F.struct(F.lit("Title").alias("title"),
+                                                          F.array(F.lit("Title")).alias("children"),
+                                                          F.lit(None).cast("string").alias("text"))))
+    out = secs.xml_section_text(secs_df, "sections", "section", "corpus", "answer").first()
+    assert out.section_kind == "none" and out.section_text is None
