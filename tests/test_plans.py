@@ -38,3 +38,27 @@ def test_library_never_collects():
                     if pat in src:
                         bad.append((f, pat))
     assert not bad, bad
+
+
+def test_single_partition_exchanges_only_feed_small_results(spark):
+    """SURVEY section 5: no single-partition step over data.  A
+    ``SinglePartition`` exchange may only feed a global aggregate (partial
+    results, one row out) or the offsets window over one row per partition."""
+    skip = {"relevance_model", "stream_metric_smoothing", "stream_rouge"}
+    bad = []
+    for name, fn in entry.queries().items():
+        if name in skip:
+            continue
+        lines = _plan(fn(spark, SF)).splitlines()
+        for k, line in enumerate(lines):
+            if "Exchange SinglePartition" not in line:
+                continue
+            j = k - 1
+            while j > 0 and "Sort [__pid" in lines[j]:  # the offsets window sorts its one row per partition
+                j -= 1
+            parent = lines[j] if j >= 0 else ""
+            ok = ("keys=[]" in parent and "Aggregate" in parent) or \
+                 ("Window [" in parent and "windowspecdefinition(__pid" in parent)
+            if not ok:
+                bad.append((name, parent.strip()[:120]))
+    assert not bad, bad
