@@ -95,7 +95,7 @@ SELECT '{a}' AS system_a, '{b}' AS system_b, CAST(count(*) AS BIGINT) AS n,
        round(coalesce(sum(CASE WHEN d > 0 THEN avg_rank ELSE 0 END), 0), 6) AS w_plus,
        round(coalesce(sum(CASE WHEN d < 0 THEN avg_rank ELSE 0 END), 0), 6) AS w_minus,
        round(coalesce(least(sum(CASE WHEN d > 0 THEN avg_rank ELSE 0 END), sum(CASE WHEN d < 0 THEN avg_rank ELSE 0 END)), 0), 6) AS t_stat,
-       round(CASE WHEN count(*) * (count(*) + 1) * (2 * count(*) + 1) / 24.0 - sum(c * c * c - c) / 48.0 / avg(c) * 0 - (SELECT coalesce(sum(c3), 0) FROM ties_{a}_{b}) / 48.0 > 0
+       round(CASE WHEN count(*) * (count(*) + 1) * (2 * count(*) + 1) / 24.0 - (SELECT coalesce(sum(c3), 0) FROM ties_{a}_{b}) / 48.0 > 0
              THEN (least(sum(CASE WHEN d > 0 THEN avg_rank ELSE 0 END), sum(CASE WHEN d < 0 THEN avg_rank ELSE 0 END))
                    - count(*) * (count(*) + 1) / 4.0)
                   / sqrt(count(*) * (count(*) + 1) * (2 * count(*) + 1) / 24.0 - (SELECT coalesce(sum(c3), 0) FROM ties_{a}_{b}) / 48.0)
@@ -201,10 +201,37 @@ def q_rouge_bootstrap(spark, sf_dir):
     return ci.select(*cols)
 
 
-@query("wilcoxon_p")
+def _wilcoxon_p_sql():
+    """p from the one-row statistic: the null distribution of the signed-rank sum
+    by subset-sum counts (n <= 50, no ties), else erfc(|z|/sqrt 2) by its Taylor
+    series (below 6-digit rounding error where the rounded p is not 0)."""
+    counts = ("list_reduce(range(1, n + 1), lambda acc, k: list_transform(range(0, len(acc) + k), "
+              "lambda s: coalesce(acc[s + 1], 0) + CASE WHEN s >= k THEN acc[s - k + 1] ELSE 0 END), [1::BIGINT])")
+    x = "(abs(z) / sqrt(2.0))"
+    series = (f"list_sum(list_transform(range(0, 80), lambda k: pow(-1.0, k) * pow({x}, 2 * k + 1) "
+              f"/ (exp(lgamma(k + 1)) * (2 * k + 1))))")
+    return f"""
+WITH {_baselines_sql()},
+{_rouge_eval_sql('gens')},
+{','.join(_wilcoxon_ctes(a, b) for a, b in PAIRS)},
+w AS ({' UNION ALL '.join(_wilcoxon_sql(a, b) for a, b in PAIRS)})
+SELECT *, round(CASE
+    WHEN n = 0 THEN NULL
+    WHEN n <= 50 AND tie_term = 0
+      THEN least(1.0, 2.0 * list_sum(({counts})[1:CAST(floor(t_stat) AS BIGINT) + 1]) / pow(2.0, n))
+    WHEN z IS NULL THEN NULL
+    WHEN {x} > 4 THEN 0.0
+    ELSE 1.0 - 2.0 / sqrt(pi()) * {series}
+  END, 6) AS p_value
+FROM w
+"""
+
+
+@query("wilcoxon_p", _wilcoxon_p_sql())
 def q_wilcoxon_p(spark, sf_dir):
-    """A15 p-value: two-sided normal p on the one-row statistic (the one-row UDF)."""
-    return st.with_p_value(q_wilcoxon_rouge2(spark, sf_dir))
+    """A15 p-value: exact for at most 50 pairs without ties, else normal (one-row helper)."""
+    w = st.with_p_value(q_wilcoxon_rouge2(spark, sf_dir))
+    return w.withColumn("p_value", F.round("p_value", 6))
 
 
 def _lsum_sql():
