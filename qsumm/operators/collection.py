@@ -8,6 +8,7 @@ combine map-side and a hot key never gathers its rows in one task.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,10 +63,14 @@ def dense_ids(df: DataFrame, order_cols, name: str = "ex_id") -> DataFrame:
     order_cols = [order_cols] if isinstance(order_cols, str) else list(order_cols)
     spark = df.sparkSession
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (df.repartitionByRange(n_parts, *order_cols).sortWithinPartitions(*order_cols)
+    # the range partitioner samples its input in a job of its own: keep the input
+    # (spillable) between that pass and the checkpoint pass instead of computing it twice
+    src = df.persist(StorageLevel.MEMORY_AND_DISK)
+    ranged = (src.repartitionByRange(n_parts, *order_cols).sortWithinPartitions(*order_cols)
               .withColumn("__pid", F.spark_partition_id())
               .withColumn("__mid", F.monotonically_increasing_id()))
     ranged = cut_lineage(ranged)
+    src.unpersist()
     counts = ranged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"), F.min("__mid").alias("__m0"))
     w = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("__off", F.coalesce(F.sum("__n").over(w), F.lit(0)))

@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,9 +45,11 @@ def running_offsets(df: DataFrame, order_cols, weight: str | None = None, name:
     order_cols = [order_cols] if isinstance(order_cols, str) else list(order_cols)
     n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     wcol = F.col(weight) if weight else F.lit(1)
-    ranged = (df.repartitionByRange(n_parts, *order_cols)
+    src = df.persist(StorageLevel.MEMORY_AND_DISK)  # sampled once by the range partitioner, then shuffled
+    ranged = (src.repartitionByRange(n_parts, *order_cols)
               .withColumn("__pid", F.spark_partition_id()).withColumn("__w", wcol.cast("double")))
     ranged = cut_lineage(ranged)
+    src.unpersist()
     inpart = Window.partitionBy("__pid").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
     local = ranged.withColumn("__loc", F.coalesce(F.sum("__w").over(inpart), F.lit(0.0)))
     totals = ranged.groupBy("__pid").agg(F.sum("__w").alias("__tot"))
