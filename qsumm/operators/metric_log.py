@@ -10,8 +10,11 @@ series in one task.  Two-level scan:
    running mean step ``m -> min(d*m + (1-d)*x, clip)`` composes to
    ``m -> min(A*m + B, C)``; the image of an entering 0 (re-seed) is kept
    apart as ``Z``;
-3. per series the chunk summaries (``chunk`` times fewer rows than the data)
-   are folded in chunk order to get every chunk's entering value;
+3. the summaries compose associatively, so the entering value of every chunk
+   comes from a two-level fold: summaries are composed per block of ``block``
+   chunks, block summaries are folded per series (``chunk * block`` times
+   fewer rows than the data), and each block is replayed from its entering
+   value -- no group holds more than ``max(chunk, block)`` rows;
 4. each chunk replays its rows from its entering value.
 The same pattern then gives best-so-far flags and patience counters.
 
@@ -58,8 +61,58 @@ def _summary(values, decay, clip):
     return a, b, c, z
 
 
+def _two_level_starts(sums: DataFrame, series: str, key_type: str, cols, col_types, compose, step, init,
+                      out_cols, out_types, block: int) -> DataFrame:
+    """State entering every chunk from per-chunk summaries, in two levels so no
+    group is larger than ``block`` rows: (1) compose the summaries of each block
+    of chunks, (2) fold the block summaries per series (``block`` times fewer
+    rows than chunks), (3) replay each block from its entering state.
+
+    ``compose(rows)`` -> summary of a run of summaries; ``step(state, summary)``
+    -> state after it; ``init`` enters the first chunk of a series."""
+    b = sums.withColumn("__blk", F.floor(F.col("__chunk") / block).cast("long"))
+
+    def typed(frame: pd.DataFrame, names, types) -> pd.DataFrame:
+        for c, t in zip(names, types):
+            if t == "long":
+                frame[c] = frame[c].astype("Int64")
+        return frame
+    sum_schema = f"{series} {key_type}, __blk long, " + ", ".join(f"{c} {t}" for c, t in zip(cols, col_types))
+    out_schema = ", ".join(f"{c} {t}" for c, t in zip(out_cols, out_types))
+
+    def comp(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("__chunk")
+        summary = compose(list(zip(*[pdf[c] for c in cols])))
+        return typed(pd.DataFrame([[pdf[series].iloc[0], pdf["__blk"].iloc[0], *summary]],
+                                  columns=[series, "__blk", *cols]), cols, col_types)
+
+    blocks = b.groupBy(series, "__blk").applyInPandas(comp, sum_schema)
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("__blk")
+        state, rows = init, []
+        for row in zip(pdf["__blk"], *[pdf[c] for c in cols]):
+            rows.append([pdf[series].iloc[0], row[0], *state])
+            state = step(state, row[1:])
+        return typed(pd.DataFrame(rows, columns=[series, "__blk", *out_cols]), out_cols, out_types)
+
+    entering = blocks.groupBy(series).applyInPandas(fold, f"{series} {key_type}, __blk long, {out_schema}")
+
+    def within(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("__chunk")
+        state = tuple(pdf[c].iloc[0] for c in out_cols)
+        rows = []
+        for row in zip(pdf["__chunk"], *[pdf[c] for c in cols]):
+            rows.append([pdf[series].iloc[0], row[0], *state])
+            state = step(state, row[1:])
+        return typed(pd.DataFrame(rows, columns=[series, "__chunk", *out_cols]), out_cols, out_types)
+
+    joined = b.join(sized_broadcast(entering), [series, "__blk"])
+    return joined.groupBy(series, "__blk").applyInPandas(within, f"{series} {key_type}, __chunk long, {out_schema}")
+
+
 def metric_scan(df: DataFrame, series: str, order, value: str, decay: float = DECAY, clip: float = CLIP,
-                patience: int = 5, maximize: bool = False, chunk: int = 4096) -> DataFrame:
+                patience: int = 5, maximize: bool = False, chunk: int = 4096, block: int = 4096) -> DataFrame:
     """Adds ``smoothed`` (W8), ``is_best`` (W9: strictly better than every earlier
     smoothed value of the series), ``runs`` (non-improvements since the last
     best) and ``stop`` (W10: ``runs > patience``; never when ``patience <= 0``)."""
@@ -82,15 +135,20 @@ def metric_scan(df: DataFrame, series: str, order, value: str, decay: float = DE
     sums = chunks.select(series, "__chunk", summarize("__vals").alias("s")).select(series, "__chunk", "s.*")
     key_type = df.schema[series].dataType.simpleString()
 
-    def fold_mean(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__chunk")
-        m, starts = 0.0, []
-        for a, b, c, z in zip(pdf["A"], pdf["B"], pdf["C"], pdf["Z"]):
-            starts.append(m)
-            m = z if m == 0 else min(a * m + b, c)
-        return pd.DataFrame({series: pdf[series].values, "__chunk": pdf["__chunk"].values, "__m_in": starts})
+    def mean_step(state, sm):
+        m = state[0]
+        a, b_, c, z = sm
+        return (z if m == 0 else min(a * m + b_, c),)
+
+    def mean_compose(rows):
+        a, b_, c, z = 1.0, 0.0, math.inf, 0.0
+        for a2, b2, c2, z2 in rows:
+            a, b_, c = a2 * a, a2 * b_ + b2, min(a2 * c + b2, c2)
+            z = z2 if z == 0 else min(a2 * z + b2, c2)
+        return a, b_, c, z
 
-    starts = sums.groupBy(series).applyInPandas(fold_mean, f"{series} {key_type}, __chunk long, __m_in double")
+    starts = _two_level_starts(sums, series, key_type, ["A", "B", "C", "Z"], ["double"] * 4, mean_compose,
+                               mean_step, (0.0,), ["__m_in"], ["double"], block)
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def replay_mean(vals: pd.Series, m_in: pd.Series) -> pd.Series:
@@ -118,19 +176,23 @@ def metric_scan(df: DataFrame, series: str, order, value: str, decay: float = DE
     cb = ch.select(series, "__chunk", chunk_best("__sm", F.transform("__rows", lambda z: z["__gid"])).alias("b"))
     cb = cb.select(series, "__chunk", "b.best", "b.pos")
 
-    def fold_best(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__chunk")
-        best, last, b_in, l_in = None, None, [], []
-        for b, p in zip(pdf["best"], pdf["pos"]):
-            b_in.append(best)
-            l_in.append(last)
-            if best is None or better(b, best):
-                best, last = b, p
-        return pd.DataFrame({series: pdf[series].values, "__chunk": pdf["__chunk"].values,
-                             "__best_in": pd.Series(b_in, dtype="float64"), "__last_in": pd.Series(l_in, dtype="Int64")})
-
-    bstarts = cb.groupBy(series).applyInPandas(
-        fold_best, f"{series} {key_type}, __chunk long, __best_in double, __last_in long")
+    def best_step(state, sm):
+        best, last = state
+        b_, p_ = sm
+        if b_ is None or pd.isna(b_):
+            return state
+        if best is None or pd.isna(best) or better(b_, best):
+            return (b_, p_)
+        return state
+
+    def best_compose(rows):
+        state = (None, None)
+        for r in rows:
+            state = best_step(state, r)
+        return state
+
+    bstarts = _two_level_starts(cb, series, key_type, ["best", "pos"], ["double", "long"], best_compose,
+                                best_step, (None, None), ["__best_in", "__last_in"], ["double", "long"], block)
     out_schema = T.StructType([T.StructField("is_best", T.ArrayType(T.BooleanType())),
                                T.StructField("runs", T.ArrayType(T.LongType()))])
 

@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 def test_metric_scan_hot_series(spark):
     ev = spark.read.parquet(f"{SF}/events.parquet")
     hot = ev.withColumn("event_type", F.when(F.col("event_id") % 10 != 0, F.lit("hot")).otherwise(F.col("event_type")))
-    out = metric_scan(hot, "event_type", ["ts", "event_id"], "value", chunk=32).collect()
+    out = metric_scan(hot, "event_type", ["ts", "event_id"], "value", chunk=32, block=4).collect()
     rows = sorted(hot.select("event_type", "ts", "event_id", "value").collect(),
                   key=lambda r: (r.event_type, r.ts, r.event_id))
     want = {}
@@ -24,6 +24,19 @@ def test_metric_scan_hot_series(spark):
     got = {r.event_id: r.smoothed for r in out}
     assert len(got) == len(want)
     assert max(abs(got[k] - want[k]) for k in want) < 1e-9
+    # best-so-far and runs against a sequential pass
+    flags = {}
+    for series in {r.event_type for r in rows}:
+        best, runs = None, 0
+        for r in [x for x in rows if x.event_type == series]:
+            m = want[r.event_id]
+            if best is None or m < best:
+                best, runs = m, 0
+                flags[r.event_id] = (True, 0)
+            else:
+                runs += 1
+                flags[r.event_id] = (False, runs)
+    assert {r.event_id: (r.is_best, r.runs) for r in out} == flags
 
 
 def test_rank_within_hot_key(spark):
