@@ -214,7 +214,8 @@ def q_validation_examples(spark, sf_dir):
 
 PAGE_ANSWERS_SQL = f"""
 urls AS (SELECT DISTINCT url FROM sheet WHERE url IS NOT NULL),
-sel AS (SELECT p.* FROM pages p WHERE p.url IN (SELECT url FROM urls)),
+sel0 AS (SELECT p.* FROM pages p WHERE p.url IN (SELECT url FROM urls)),
+sel AS (SELECT url, max(page_id) AS page_id, arg_max(html, page_id) AS html FROM sel0 GROUP BY url),
 pg AS (
   SELECT url, page_id,
          string_split(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script>|<style\\b.*?</style>|<!--.*?-->', ' ', 'g'),
@@ -260,6 +261,8 @@ def page_answer_matches(spark, sf_dir):
     from qsumm.operators import sections as secs
     sheet = qa_sheet(spark, sf_dir)
     pages = co.pages_for_urls(table(spark, sf_dir, "pages"), sheet.select("url").distinct())
+    # several pages with one url: the last one read (largest page id) wins
+    pages = co.dedup_pages(pages.select("url", "page_id", "html"), "url", "page_id")
     pages = pages.select("url", "page_id", hf.html_sections_raw("html").alias("s"), hf.html_text("html").alias("page_text"))
     j = co.answers_with_pages(sheet, pages)
     return secs.pick_section(j, "s", "question")
