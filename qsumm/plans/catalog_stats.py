@@ -268,6 +268,45 @@ def page_answer_matches(spark, sf_dir):
     return secs.pick_section(j, "s", "question")
 
 
+@query("section_validation", f"""
+WITH {QA_SHEET_SQL.strip()},
+{PAGE_ANSWERS_SQL},
+firsts AS (SELECT question, min(a_pos) AS a_pos FROM sheet GROUP BY question),
+f AS (SELECT p.* FROM pick p JOIN firsts USING (question, a_pos)),
+k AS (
+  SELECT *, CASE WHEN hit.raw IS NOT NULL AND length(hit.raw) >= length(answer)
+                 THEN {_markup_to_text_sql('hit.raw')} END AS section_text
+  FROM f
+),
+v AS (
+  SELECT a_pos, question,
+         replace(question, chr(10), ' ') || ' [QUESTION?] ' || {sq.collapse_ws('section_text')} AS article,
+         {sq.collapse_ws('answer')} AS summary
+  FROM k WHERE section_text IS NOT NULL
+)
+SELECT CAST(a_pos AS BIGINT) AS a_pos, question,
+       length(summary) <= length(article) + 10 AS kept,
+       md5({sq.tag_sentences(sq.sentences('summary'))}) AS tagged_summary_md5,
+       CAST(length(article) AS BIGINT) AS article_len
+FROM v
+""")
+def q_section_validation(spark, sf_dir):
+    """Section-to-answer validation set: W1 first answer per question, F5 kept only
+    when that answer has a matched section passing F2, P5 whitespace, P7/P10
+    question-driven article, F6 length rule (flag), P9 tagged summary."""
+    m = page_answer_matches(spark, sf_dir)
+    firsts = co.first_by(qa_sheet(spark, sf_dir).select("question", "a_pos"), "question", "a_pos", ["a_pos"])
+    f = m.join(firsts, ["question", "a_pos"])
+    sec = F.when(F.col("hit.raw").isNotNull() & (F.length("hit.raw") >= F.length("answer")), hf.markup_to_text("hit.raw"))
+    k = f.withColumn("section_text", sec).where(F.col("section_text").isNotNull())
+    k = k.withColumn("article", tx.with_question(tx.newline_to_space("question"), tx.collapse_ws("section_text"))) \
+         .withColumn("summary", tx.collapse_ws("answer"))
+    return k.select(F.col("a_pos").cast("long").alias("a_pos"), "question",
+                    (F.length("summary") <= F.length("article") + 10).alias("kept"),
+                    F.md5(tx.tag_sentences(tx.sentences("summary"))).alias("tagged_summary_md5"),
+                    F.length("article").cast("long").alias("article_len"))
+
+
 @query("section_match_stats", f"""
 WITH {QA_SHEET_SQL.strip()},
 {PAGE_ANSWERS_SQL},
