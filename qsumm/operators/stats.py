@@ -181,3 +181,11 @@ def finite_profile(df: DataFrame, vec: str) -> Column:
     return (F.when(F.forall(v, lambda x: ~bad(x)), F.lit("all_finite"))
             .when(F.forall(v, bad), F.lit("all_nonfinite"))
             .otherwise(F.lit("some_nonfinite")))
+
+
+def distinct_count(col, approx: bool = False, rsd: float = 0.01) -> Column:
+    """Number of distinct values; ``approx`` switches to HyperLogLog++
+    (``approx_count_distinct``, relative error ``rsd``) for very large sets,
+    where the exact count shuffles every distinct value."""
+    c = F.col(col) if isinstance(col, str) else col
+    return F.approx_count_distinct(c, rsd) if approx else F.countDistinct(c)

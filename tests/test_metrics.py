@@ -44,3 +44,13 @@ def test_exploded_overlap_equals_in_row(spark):
     e = rg.clipped_overlap_exploded(a, "item_id", "h", "r", "exploded")
     assert e.where("in_row != exploded").count() == 0
     assert e.where("in_row > 0").count() > 0
+
+
+def test_distinct_count_exact_and_approx(spark):
+    from qsumm.operators.stats import distinct_count
+    from qsumm.functions.urls import host
+    p = spark.read.parquet(f"{SF}/pages.parquet").select(host("url").alias("h"))
+    exact = p.agg(distinct_count("h").alias("n")).first().n
+    approx = p.agg(distinct_count("h", approx=True).alias("n")).first().n
+    assert exact == p.select("h").distinct().where("h IS NOT NULL").count()
+    assert abs(approx - exact) <= max(1, 0.05 * exact)
