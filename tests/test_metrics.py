@@ -54,3 +54,12 @@ def test_distinct_count_exact_and_approx(spark):
     approx = p.agg(distinct_count("h", approx=True).alias("n")).first().n
     assert exact == p.select("h").distinct().where("h IS NOT NULL").count()
     assert abs(approx - exact) <= max(1, 0.05 * exact)
+
+
+def test_epoch_shuffle_is_reproducible_and_changes_per_epoch(spark):
+    from qsumm.operators.select import shuffle_key
+    df = spark.range(200).select(F.col("id").cast("string").alias("k"))
+    order = lambda epoch: [r.k for r in df.orderBy(shuffle_key(F.col("k"), 13, epoch), "k").collect()]
+    assert order(1) == order(1)
+    assert order(1) != order(2)
+    assert sorted(order(1)) == sorted(order(2))
