@@ -5,13 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality
+from . import mixing, packing, quality, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op3_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as segmented WARC archives and read back."""
+    path = warc.write_archives(_read(spark, sf_dir, "pages"))
+    return warc.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest",
+                                                  "record_type", "refers_to")
+
+
+OP3_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+s AS (SELECT page_id, strlen(h) AS n, sha1(h) AS x, max(page_id) OVER (PARTITION BY h) AS keeper FROM p),
+b AS (SELECT *, list_aggregate(list_transform(string_split(x, ''), lambda c:
+        lpad(bin(strpos('0123456789abcdef', c) - 1), 4, '0')), 'string_agg', '') AS bits FROM s)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+       list_aggregate(list_transform(range(32), lambda i:
+         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                1 + list_sum(list_transform(range(5), lambda j:
+                  CAST(substr(bits, CAST(i * 5 + j + 1 AS BIGINT), 1) AS BIGINT) * CAST(pow(2, 4 - j) AS BIGINT)))::BIGINT,
+                1)), 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> keeper THEN keeper END AS refers_to
+FROM b
+"""
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base metrics and the divergence verdict of every document."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
@@ -19,6 +43,13 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("doc_id", *quality.METRICS, "base_failed", "kept")
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents cut into token pieces and packed into sequences of 4096."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack_documents(docs).select("doc_id", "piece", "start", "length", "ids_crc32",
+                                               "sequence_id", "offset")
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words taken of every document under the default source weights."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "source", "text")
@@ -27,7 +58,11 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_warc_segments": op3_warc_segments,
     "op6_quality_rules": op6_quality_rules,
+    "op7_best_fit_packing": op7_best_fit_packing,
     "op8_source_mixing": op8_source_mixing,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op3_warc_segments": OP3_SQL,
+}
