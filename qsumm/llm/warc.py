@@ -3,10 +3,10 @@
 Writing.  A page's HTTP response (chunked transfer framing) is one WARC record,
 cut into segments when its block is longer than ``SEGMENT_BYTES``: the first is
 the ``response``, the others are ``continuation`` records that name it as their
-origin, and the last states the total length.  Segments are dealt to archives
-independently, so a record's parts usually lie in different files.  Archives
-are written by Spark's own text writer (one row per record, the record
-separator as line separator, gzip) to the shared folder.
+origin, and the last states the total length.  Archives are written by Spark's
+own text writer (one row per record, the record separator as line separator,
+gzip) to the shared folder; a file closes after a fixed number of records, so
+a record's segments may lie in different files.
 
 Reading.  Archives are read as binary files, parsed record by record, and only
 the parts of segmented records are shuffled: grouped by origin identifier,
@@ -30,14 +30,13 @@ import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from qsumm.session import ensure_checkpoint_dir
 
 SEGMENT_BYTES = 8 << 10
 CHUNK_BYTES = 4 << 10  # size of a transfer chunk
-ARCHIVE_BYTES = 32 << 20  # payload bytes per archive, about; bounds a reading task
+ARCHIVE_BYTES = 32 << 20  # most bytes of records in an archive, about; bounds a reading task
 END = b"\r\n\r\n"
 HEAD = (b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
         b"Transfer-Encoding: chunked\r\n\r\n")
@@ -99,10 +98,10 @@ def with_roles(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
 
 def records(pages: DataFrame, segment: int = SEGMENT_BYTES, **cols) -> DataFrame:
-    """WARC records (``lot``: dealing key, ``record``: bytes without the end mark)."""
+    """WARC records (``record``: bytes without the end mark)."""
     def build(batches):
         for batch in batches:
-            lots, out = [], []
+            out = []
             for page, url, payload, shared, keeper in zip(*(c.to_pylist() for c in batch.columns)):
                 payload = payload or b""
                 digest = digest32(payload)
@@ -118,13 +117,11 @@ def records(pages: DataFrame, segment: int = SEGMENT_BYTES, **cols) -> DataFrame
                                        ("WARC-Refers-To-Page", str(keeper)), http,
                                        ("X-Payload-Length", str(len(payload))),
                                        ("Content-Length", str(len(HEAD)))]) + HEAD)
-                    lots.append(rid)
                     continue
                 block = HEAD + chunked(payload)
                 if len(block) <= segment:
                     out.append(header([("WARC-Type", "response"), *common, http,
                                        ("Content-Length", str(len(block)))]) + block)
-                    lots.append(rid)
                     continue
                 cuts = range(0, len(block), segment)
                 for n, at in enumerate(cuts, 1):
@@ -141,11 +138,9 @@ def records(pages: DataFrame, segment: int = SEGMENT_BYTES, **cols) -> DataFrame
                     if n == len(cuts):
                         fields.append(("WARC-Segment-Total-Length", str(len(block))))
                     out.append(header([*fields, ("Content-Length", str(len(part)))]) + part)
-                    lots.append(f"{rid}|{n}")
-            yield pa.RecordBatch.from_arrays([pa.array(lots, pa.string()), pa.array(out, pa.binary())],
-                                             ["lot", "record"])
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
-    return with_roles(pages, **cols).mapInArrow(build, "lot string, record binary")
+    return with_roles(pages, **cols).mapInArrow(build, "record binary")
 
 
 def write_archives(pages: DataFrame, path: str | None = None, segment: int = SEGMENT_BYTES,
@@ -154,13 +149,10 @@ def write_archives(pages: DataFrame, path: str | None = None, segment: int = SEG
     spark = pages.sparkSession
     if path is None:
         path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
-    html = F.col(cols.get("html_col", "html"))
-    total = pages.agg(F.sum(F.octet_length(html))).first()[0] or 0
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    archives = max(least, -(-int(total) // archive_bytes))
-    (records(pages, segment, **cols).repartition(archives, "lot")
-     .select(F.col("record").cast("string").alias("value"))
-     .write.option("lineSep", END.decode()).option("compression", "gzip").text(path))
+    # A record is at most one segment long, so a file of so many records is bounded.
+    (records(pages, segment, **cols).select(F.col("record").cast("string").alias("value"))
+     .write.option("lineSep", END.decode()).option("compression", "gzip")
+     .option("maxRecordsPerFile", max(1, archive_bytes // segment)).text(path))
     return path
 
 
