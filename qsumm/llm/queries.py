@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, packing, quality, toxicity, warc
+from . import cover, language, mixing, packing, quality, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +77,27 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                                    (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op10_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that are left without repeated 35-word windows."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return cover.dedup(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+OP10_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS k
+        FROM d, unnest(range(1, len(w) - 33)) AS t(i) WHERE len(w) >= 35),
+rep AS (SELECT k FROM win GROUP BY k HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, i + j AS p FROM win SEMI JOIN rep USING (k), unnest(range(35)) AS u(j)),
+wd AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+kept AS (SELECT wd.doc_id, count(gone.p) AS n_removed,
+                string_agg(word, ' ' ORDER BY wd.p) FILTER (WHERE gone.p IS NULL) AS k
+         FROM wd LEFT JOIN gone ON wd.doc_id = gone.doc_id AND wd.p = gone.p GROUP BY wd.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(k, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
 QUERIES = {
     "op3_warc_segments": op3_warc_segments,
     "op4_language_id": op4_language_id,
@@ -84,7 +105,9 @@ QUERIES = {
     "op6_quality_rules": op6_quality_rules,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_source_mixing": op8_source_mixing,
+    "op10_cover_dedup": op10_cover_dedup,
 }
 ORACLE: dict[str, str] = {
     "op3_warc_segments": OP3_SQL,
+    "op10_cover_dedup": OP10_SQL,
 }
