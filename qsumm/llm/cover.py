@@ -156,8 +156,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_
             blank = [pa.nulls(rest.num_rows, t) for t in (pa.int64(), pa.int64(), pa.string(), pa.string())]
             for part, cols, open_ in ((keys[0], _finished(keys[0], with_text), False), (rest, blank, True)):
                 n = part.num_rows
-                text = part.column("text") if open_ else pa.nulls(n, pa.string())
-                places = part.column("places") if open_ else pa.nulls(n, pa.list_(pa.int64()))
+                text = part.column("text") if open_ else pa.nulls(n, batch.column("text").type)
+                places = part.column("places") if open_ else pa.nulls(n, batch.column("places").type)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("ka"), part.column("kb"), part.column(id_col), text, places, *cols],
                     ["ka", "kb", id_col, "text", "places", *RESULT, "kept"])
