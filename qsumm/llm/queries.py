@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cover, language, mixing, packing, quality, toxicity, warc
+from . import cover, language, mixing, packing, quality, run_index, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op2_run_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that are left without repeated 400-byte strings."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return run_index.dedup(docs)
+
+
 def op3_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written as segmented WARC archives and read back."""
     path = warc.write_archives(_read(spark, sf_dir, "pages"))
@@ -99,6 +105,7 @@ FROM d LEFT JOIN kept USING (doc_id)
 """
 
 QUERIES = {
+    "op2_run_index_dedup": op2_run_index_dedup,
     "op3_warc_segments": op3_warc_segments,
     "op4_language_id": op4_language_id,
     "op5_toxicity": op5_toxicity,
