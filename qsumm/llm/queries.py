@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cover, language, mixing, packing, quality, run_index, toxicity, warc
+from . import cover, jaccard, language, mixing, packing, quality, run_index, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,6 +83,29 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                                    (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op9_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document under 75 percent shingle similarity."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard.cluster(docs).select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
+OP9_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g
+      FROM d, unnest(range(1, greatest(len(w) - 3, 2))) AS t(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id
+      GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, min(r.b) AS component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN r ON r.a = d.doc_id GROUP BY d.doc_id, n.n
+"""
+
+
 def op10_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that are left without repeated 35-word windows."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -112,9 +135,11 @@ QUERIES = {
     "op6_quality_rules": op6_quality_rules,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_source_mixing": op8_source_mixing,
+    "op9_shingle_join": op9_shingle_join,
     "op10_cover_dedup": op10_cover_dedup,
 }
 ORACLE: dict[str, str] = {
     "op3_warc_segments": OP3_SQL,
+    "op9_shingle_join": OP9_SQL,
     "op10_cover_dedup": OP10_SQL,
 }
