@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cover, jaccard, language, mixing, packing, quality, run_index, toxicity, warc
+from . import cover, graph_ann, jaccard, language, mixing, packing, quality, run_index, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """20 nearest vectors by inner product of every vector whose id is divisible by 20."""
+    vectors = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    found = graph_ann.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op2_run_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every document that are left without repeated 400-byte strings."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -128,6 +135,7 @@ FROM d LEFT JOIN kept USING (doc_id)
 """
 
 QUERIES = {
+    "op1_graph_ann": op1_graph_ann,
     "op2_run_index_dedup": op2_run_index_dedup,
     "op3_warc_segments": op3_warc_segments,
     "op4_language_id": op4_language_id,
