@@ -37,12 +37,12 @@ from . import fingerprints, rows, scan
 
 SHINGLE = 5
 PERCENT = 75
-SKETCH_CELLS = 1 << 20  # counters of the frequency sketch; bounds its broadcast
+SKETCH_CELLS = 1 << 22  # counters of the frequency sketch; bounds its broadcast
 SLICE = 1 << 14
 GROUPS = 128
 FANOUT = 16
 BLOCK_BYTES = 24 << 20  # text bytes of a block that one task takes whole
-TILE_BYTES = 8 << 20
+TILE_BYTES = 16 << 20
 
 
 def shingle_sets(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,7 +101,9 @@ def classes(base: DataFrame) -> DataFrame:
 def sketch(texts: DataFrame) -> np.ndarray:
     """How often shingles of every cell occur, over all documents (log scale).
 
-    Every task counts into ``SKETCH_CELLS`` cells and Spark adds the slices."""
+    Every task counts into ``SKETCH_CELLS`` cells (one byte each, as a task needs
+    no more to tell frequent from rare) and Spark adds the slices.  Any order of
+    the shingles is right; this one only keeps frequent ones out of the prefixes."""
     def count(batches):
         total = np.zeros(SKETCH_CELLS, np.int64)
         for batch in batches:
@@ -109,13 +111,13 @@ def sketch(texts: DataFrame) -> np.ndarray:
             for lo, hi in scan.chunks(off):
                 h, _ = shingle_sets(buf[off[lo]:off[hi]], off[lo:hi + 1] - off[lo])
                 total += np.bincount((h & np.uint64(SKETCH_CELLS - 1)).astype(np.int64), minlength=SKETCH_CELLS)
-        parts = [(s // SLICE, total[s:s + SLICE].astype("<i4").tobytes()) for s in range(0, SKETCH_CELLS, SLICE)
+        parts = [(s // SLICE, np.minimum(total[s:s + SLICE], 255).astype(np.uint8).tobytes()) for s in range(0, SKETCH_CELLS, SLICE)
                  if total[s:s + SLICE].any()]
         for s, b in parts:
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([b], pa.binary())], ["slice", "counts"])
 
     def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(b, "<i4").astype(np.int64) for b in table.column("counts").to_pylist())
+        total = sum(np.frombuffer(b, np.uint8).astype(np.int64) for b in table.column("counts").to_pylist())
         level = np.minimum(np.log2(total + 1) * 8, 255).astype(np.uint8)  # eighths of a doubling
         return pa.table({"slice": table.column("slice")[:1], "counts": pa.array([level.tobytes()], pa.binary())})
 
@@ -140,13 +142,14 @@ def prefixes(level: np.ndarray):
     return run
 
 
-def components(edges: DataFrame, limit: int = 40) -> DataFrame:
-    """(node, root): smallest node reachable, by hooking and pointer jumping."""
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root): smallest node reachable, by hooking and pointer
+    jumping until no label changes (rounds grow with the logarithm of the longest chain)."""
     both = rows.stage(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
                       .distinct(), "edges")
     label = rows.stage(both.groupBy("a").agg(F.min("b").alias("m")).select(
         F.col("a").alias("node"), F.least("a", "m").alias("root")), "labels")
-    for _ in range(limit):
+    while True:
         near = (both.join(label.select(F.col("node").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("r1")))
         new = (label.join(near, label["node"] == near["a"])
                .select("node", F.col("root").alias("old"), F.least("root", "r1").alias("root")))
@@ -298,8 +301,8 @@ def block_links(members: DataFrame, block_bytes: int = BLOCK_BYTES, tile_bytes:
     links = small.groupBy("block").applyInArrow(whole, "a long, b long")
     if not big.take(1):
         return links
-    # Tiles of a big block: runs of set sizes (levels of a fiftieth), each cut by hash into bounded parts.
-    m = members.join(big, "block").withColumn("level", F.floor(F.log(F.col("n").cast("double")) * 50))
+    # Tiles of a big block: runs of set sizes (levels of a seventh), each cut by hash into bounded parts.
+    m = members.join(big, "block").withColumn("level", F.floor(F.log(F.col("n").cast("double")) * 7))
     per = m.groupBy("block", "level").agg(F.ceil(F.sum(F.octet_length("text") + 64) / tile_bytes).alias("cuts"),
                                           F.min("n").alias("small"), F.max("n").alias("large"))
     per = rows.stage(per, "jaccard-tiles")
@@ -345,11 +348,19 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     parts = fingerprints.parts_for(docs)
     hits = fingerprints.repeated(fingerprints.packed(base.select(*rows.KEY, "text"), find, parts))
-    number = every.select(*rows.KEY, "c").distinct()
-    shared = hits.select(*rows.KEY, "fp").join(number, list(rows.KEY)).select("fp", "c").distinct()
+    number = every.select(*rows.KEY, "c", "n").distinct()
+    # Sizes of linked sets differ by a third at most, so do those of neighbours in between: classes
+    # that share a shingle are chained inside a size level and to the next one, if it is near enough.
+    shared = (hits.select(*rows.KEY, "fp").join(number, list(rows.KEY))
+              .withColumn("level", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / PERCENT))))
+              .select("fp", "level", "c", "n").distinct())
     shared = rows.stage(shared, "jaccard-shared")
-    star = shared.groupBy("fp").agg(F.min("c").alias("a"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
-    edges = shared.join(star, "fp").where("a <> c").select("a", F.col("c").alias("b")).distinct()
+    star = shared.groupBy("fp", "level").agg(F.min("c").alias("a"), F.min("n").alias("small"), F.max("n").alias("large"))
+    inside = shared.join(star, ["fp", "level"]).where("a <> c").select("a", F.col("c").alias("b"))
+    above = star.select("fp", (F.col("level") - 1).alias("level"), F.col("a").alias("b"), F.col("small").alias("next"))
+    between = (star.join(above, ["fp", "level"])
+               .where((F.col("next") * PERCENT <= F.col("large") * 100) & (F.col("a") != F.col("b"))).select("a", "b"))
+    edges = inside.unionByName(between).distinct()
     blocks = components(edges)
     members = (blocks.join(reps, blocks["node"] == reps["c"])
                .select(F.col("root").alias("block"), "c", "n", F.col("k.ka").alias("ka"), F.col("k.kb").alias("kb")))

@@ -6,8 +6,9 @@ else.  The strings of a corpus are split so that equal strings meet:
 1. Every window of ``WINDOW`` bytes is owned by its minimizer (the smallest
    ``GRAM``-byte hash in it).  Consecutive windows of one owner form a segment;
    equal windows have equal owners, so they lie in segments of one owner.
-   Segments are narrow rows (owner hash, text hash, document, place, windows);
-   owners that occur once are dropped at once.
+   Owner hashes meet in a packed exchange; documents without a repeated owner
+   are finished, the others keep the segments of repeated owners as narrow rows
+   (owner hash, text hash, document, place, windows).
 2. Equal segments are folded: their windows occur in each of them.  Owners
    with several different segment texts need an index; one text of each is
    fetched and shipped to the owner's index group.
@@ -34,10 +35,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import rows, scan
+from . import fingerprints, rows, scan
 
 WINDOW = 400
-GRAM = 48
+GRAM = 160
 PLACE_BITS = 24  # a flat chunk is shorter than 2**24 bytes (see _texts)
 GROUP_TEXTS = 4_000  # different segment texts of one owner that one index takes
 GROUP_BYTES = 1 << 20  # text bytes per index group, about
@@ -109,18 +110,39 @@ SEGMENT = "ka long, kb long, place int, windows int, own long, text long"
 SEGMENT_NAMES = [f.split(" ")[0] for f in SEGMENT.split(", ")]
 
 
-def segment_rows(base: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """Segments of all texts; ``base``: ka, kb, text."""
+def owner_finder(window: int = WINDOW, gram: int = GRAM):
+    """Owner hashes of all segments, for the packed exchange."""
+    def find(batch: pa.RecordBatch):
+        held, size = [], 0
+        for buf, off, row, shift in _texts(batch, 2, window=window):
+            doc, place, _, own, _ = segments(buf, off, window, gram)
+            held.append((own.view(np.uint64), doc + row, place + shift))
+            size += len(buf)
+            if size >= fingerprints.PACK_BYTES:
+                yield tuple(np.concatenate(x) for x in zip(*held))
+                held, size = [], 0
+        if held:
+            yield tuple(np.concatenate(x) for x in zip(*held))
+    return find
+
+
+def segment_rows(todo: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """Segments whose owner is repeated; ``todo``: ka, kb, text, places."""
     def cut(batches):
         for batch in batches:
             ka, kb = (np.asarray(batch.column(i)) for i in (0, 1))
+            held = batch.column(3).to_pylist()
             for buf, off, row, shift in _texts(batch, 2, window=window):
                 doc, place, count, own, text = segments(buf, off, window, gram)
+                place = place + shift
+                wanted = np.concatenate([np.asarray(held[row + d], np.int64) | (d << 40) for d in range(len(off) - 1)])
+                live = np.isin(place | (doc << 40), wanted)
+                doc = doc[live] + row
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ka[row + doc]), pa.array(kb[row + doc]), pa.array(place + shift, pa.int32()),
-                     pa.array(count, pa.int32()), pa.array(own), pa.array(text)], SEGMENT_NAMES)
+                    [pa.array(ka[doc]), pa.array(kb[doc]), pa.array(place[live], pa.int32()),
+                     pa.array(count[live], pa.int32()), pa.array(own[live]), pa.array(text[live])], SEGMENT_NAMES)
 
-    return base.mapInArrow(cut, SEGMENT)
+    return todo.mapInArrow(cut, SEGMENT)
 
 
 def suffix_array(x: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -280,25 +302,24 @@ def _single_windows(base: DataFrame, hot: DataFrame, window: int) -> DataFrame:
             .mapInArrow(cut, "ka long, kb long, place int, text long"))
 
 
-def repeated_ranges(base: DataFrame, window: int = WINDOW, gram: int = GRAM,
+def repeated_ranges(todo: DataFrame, window: int = WINDOW, gram: int = GRAM,
                     group_texts: int = GROUP_TEXTS) -> DataFrame:
     """Repeated window starts as ranges per document: ka, kb, ``spans`` (array
-    of first and last start).  ``base``: ka, kb, text."""
-    segs = rows.stage(segment_rows(base, window, gram), "segments")
+    of first and last start).  ``todo``: ka, kb, text and the ``places`` of
+    segments whose owner occurs more than once."""
+    live = rows.stage(segment_rows(todo, window, gram), "segments")
     # Repeated rows share their key: each of them is an occurrence.
-    owners = (segs.groupBy("own").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("own"))
-    live = rows.stage(segs.join(owners, "own", "left_semi"), "segments-live")
     folded = live.groupBy("own", "text").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("ka", "kb", "place", "windows")).alias("one"))
     folded = rows.stage(folded, "segments-folded")
     many = folded.groupBy("own").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
     many = rows.stage(many, "segments-owners")
     totals = many.agg(F.sum("texts").alias("s"), F.max("texts").alias("m")).first()
-    least = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    least = int(todo.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     groups = max(least, -(-int(totals["s"] or 0) * (window + window // 2) // GROUP_BYTES))
     wanted = (folded.join(many.where(F.col("texts") <= group_texts), "own")
               .select("own", "text", "one.*"))
-    marks = index_marks(base, wanted, window, groups)
+    marks = index_marks(todo, wanted, window, groups)
     whole = folded.where("n > 1").select("own", "text")
     spans = live.join(whole, ["own", "text"], "left_semi").select(
         *rows.KEY, F.col("place").alias("a"), (F.col("place") + F.col("windows") - 1).alias("b"))
@@ -307,51 +328,76 @@ def repeated_ranges(base: DataFrame, window: int = WINDOW, gram: int = GRAM,
     spans = spans.unionByName(marked)
     if (totals["m"] or 0) > group_texts:
         hot = live.join(many.where(F.col("texts") > group_texts), "own", "left_semi")
-        single = rows.stage(_single_windows(base, hot, window), "segments-single")
+        single = rows.stage(_single_windows(todo, hot, window), "segments-single")
         again = single.groupBy("text").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         spans = spans.unionByName(single.join(again, "text", "left_semi")
                                   .select(*rows.KEY, F.col("place").alias("a"), F.col("place").alias("b")))
     return spans.groupBy(*rows.KEY).agg(F.collect_set(F.struct("a", "b")).alias("spans"))
 
 
+RESULT = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
+_KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+
+
+def _cut_text(raw: bytes, held: list | None, window: int, with_text: bool) -> tuple:
+    if not held:
+        return len(raw), 0, 0, hashlib.sha256(raw).hexdigest(), raw.decode() if with_text else None
+    first = np.array([s["a"] for s in held])
+    gone = scan.covered(len(raw), first, np.array([s["b"] for s in held]) + window)
+    kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
+    runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
+    return (len(raw), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest(),
+            kept.decode("utf-8", "ignore") if with_text else None)
+
+
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False,
           window: int = WINDOW, gram: int = GRAM, group_texts: int = GROUP_TEXTS) -> DataFrame:
     """One row per document: all columns but the text, ``n_bytes``, ``n_removed``,
     ``n_spans``, ``kept_sha256`` and, if asked for, the kept text in the text
     column (bytes of characters that were cut in two are left out there)."""
     others = [c for c in docs.columns if c != text_col]
-    base = rows.keyed(docs, id_col, text_col).withColumn(
-        "_body", F.coalesce(F.col(text_col), F.lit(""))).select(
-        F.col("ka"), F.col("kb"), F.col("_body").alias("text"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(others)])
-    found = rows.stage(repeated_ranges(base.select(*rows.KEY, "text"), window, gram, group_texts), "segments-spans")
-    types = dict(docs.dtypes)
     names = [f"_o{i}" for i in range(len(others))]
-    schema = ", ".join([f"{n} {types[c]}" for n, c in zip(names, others)]
-                       + ["n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"])
+    types = dict(docs.dtypes)
+    base = rows.keyed(docs, id_col, text_col).select(
+        *rows.KEY, F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+        *[F.col(c).alias(n) for c, n in zip(others, names)])
+    owners = fingerprints.packed(base.select(*rows.KEY, "text"), owner_finder(window, gram), fingerprints.parts_for(docs))
+    places = fingerprints.repeated(owners).groupBy(*rows.KEY).agg(F.collect_set("place").alias("places"))
+    result = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
+    carried = ", ".join(f"{n} {types[c]}" for n, c in zip(names, others))
+    carried = carried + ", " if carried else ""
+
+    # Documents without a repeated owner are finished at once, the others keep their text.
+    def settle(batches):
+        for batch in batches:
+            open_ = np.asarray(batch.column("places").is_valid())
+            for pick in (True, False):
+                part = batch.filter(pa.array(open_ == pick))
+                n = part.num_rows
+                if pick:
+                    text, held, cols = part.column("text"), part.column("places"), [pa.nulls(n, t) for t in _KINDS]
+                else:
+                    out = [_cut_text(v.as_py().encode(), None, window, with_text) for v in part.column("text")]
+                    text, held = pa.nulls(n, batch.column("text").type), pa.nulls(n, batch.column("places").type)
+                    cols = [pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 5, _KINDS)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("ka"), part.column("kb"), text, held, *[part.column(c) for c in names], *cols],
+                    ["ka", "kb", "text", "places", *names, *RESULT])
+
+    split = rows.stage(base.join(places, list(rows.KEY), "left").mapInArrow(
+        settle, f"ka long, kb long, text string, places array<long>, {carried}{result}"), "segments-docs")
+    todo = split.where("places is not null")
+    found = repeated_ranges(todo.select(*rows.KEY, "text", "places"), window, gram, group_texts)
 
     def remove(batches):
         for batch in batches:
-            out = []
-            bodies, spans = batch.column("text"), batch.column("spans")
-            for i in range(batch.num_rows):
-                raw = (bodies[i].as_py() or "").encode()
-                held = spans[i].as_py()
-                if not held:
-                    out.append((len(raw), 0, 0, hashlib.sha256(raw).hexdigest(), raw.decode() if with_text else None))
-                    continue
-                a = np.array([s["a"] for s in held])
-                gone = scan.covered(len(raw), a, np.array([s["b"] for s in held]) + window)
-                kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-                runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-                out.append((len(raw), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest(),
-                            kept.decode("utf-8", "ignore") if with_text else None))
-            cols = list(zip(*out)) or [()] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names],
-                                              *[pa.array(c, t) for c, t in zip(cols, kinds)]],
-                                             [*names, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-    done = base.join(found, list(rows.KEY), "left").drop(*rows.KEY).mapInArrow(remove, schema)
+            out = [_cut_text(t.as_py().encode(), s.as_py(), window, with_text)
+                   for t, s in zip(batch.column("text"), batch.column("spans"))]
+            cols = [pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 5, _KINDS)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], *cols], [*names, *RESULT])
+
+    last = (todo.select(*rows.KEY, "text", *names).join(found, list(rows.KEY), "left")
+            .mapInArrow(remove, f"{carried}{result}"))
+    done = split.where("places is null").select(*names, *RESULT).unionByName(last)
     back = [F.col(n).alias(c) for n, c in zip(names, others)]
-    return done.select(*back, "n_bytes", "n_removed", "n_spans", "kept_sha256",
-                       *([F.col("kept").alias(text_col)] if with_text else []))
+    return done.select(*back, *RESULT[:4], *([F.col("kept").alias(text_col)] if with_text else []))
