@@ -385,5 +385,7 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     repeated rows one): all columns of ``docs``."""
     kept = cluster(docs, id_col, text_col).where(
         F.col("id").isNull() | (F.col("id") == F.col("component_id"))).select(*rows.KEY).distinct()
-    keyed = rows.keyed(docs, id_col, text_col)
-    return keyed.join(kept, list(rows.KEY), "left_semi").dropDuplicates(list(rows.KEY)).select(*docs.columns)
+    plain, names = rows.hidden(docs)
+    keyed = rows.keyed(plain, names[id_col], names[text_col])
+    one = keyed.join(kept, list(rows.KEY), "left_semi").dropDuplicates(list(rows.KEY))
+    return rows.shown(one, names)

@@ -162,7 +162,8 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Copies are joined back on the row key.  Rows that repeat one another share
     a key and are interchangeable: each gives the whole part of their mean
     copies, and one of them gives the remainder."""
-    keyed = rows.keyed(docs, id_col, text_col, source_col)
+    plain, names = rows.hidden(docs)
+    keyed = rows.keyed(plain, names[id_col], names[text_col], names[source_col])
     taken = (mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
              .groupBy(*rows.KEY).agg(F.sum("copies").alias("_all"), F.count(F.lit(1)).alias("_same"))
              .where("_all > 0"))
@@ -172,6 +173,6 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
              .withColumn("_i", F.explode(F.array_repeat(F.lit(1), F.col("_each")))))
     rest = taken.where("_same > 1").withColumn("_rest", (F.col("_all") % F.col("_same")).cast("int")).where("_rest > 0")
     extra = (keyed.join(rest, list(rows.KEY)).groupBy(*rows.KEY)
-             .agg(F.first("_rest").alias("_rest"), *[F.first(c).alias(c) for c in docs.columns])
+             .agg(F.first("_rest").alias("_rest"), *[F.first(c).alias(c) for c in plain.columns])
              .withColumn("_i", F.explode(F.array_repeat(F.lit(1), F.col("_rest")))))
-    return whole.select(*docs.columns).unionByName(extra.select(*docs.columns))
+    return rows.shown(whole.select(*plain.columns).unionByName(extra.select(*plain.columns)), names)

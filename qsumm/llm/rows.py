@@ -50,6 +50,13 @@ def dense_rank_of(df: DataFrame, keys: list[str], order: list[Column], name: str
             .drop("_b", "_kb", "_r", "_at", *[f"_k{i}" for i in range(len(keys))]))
 
 
-def clash_free(df: DataFrame, *needed: str) -> DataFrame:
-    """Only the needed columns: extra ones cannot clash with working names."""
-    return df.select(*needed)
+def hidden(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with neutral column names, and the name each column got: extra
+    columns cannot clash with working names."""
+    names = {c: f"_o{i}" for i, c in enumerate(df.columns)}
+    return df.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), names
+
+
+def shown(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """The columns of ``hidden`` under their own names."""
+    return df.select(*[F.col(n).alias(c) for c, n in names.items()])

@@ -358,9 +358,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_
     others = [c for c in docs.columns if c != text_col]
     names = [f"_o{i}" for i in range(len(others))]
     types = dict(docs.dtypes)
-    base = rows.keyed(docs, id_col, text_col).select(
-        *rows.KEY, F.coalesce(F.col(text_col), F.lit("")).alias("text"),
-        *[F.col(c).alias(n) for c, n in zip(others, names)])
+    plain = docs.select(F.col(text_col).alias("_t"), F.col(id_col).alias("_id"),
+                        *[F.col(c).alias(n) for c, n in zip(others, names)])
+    base = rows.keyed(plain, "_id", "_t").select(*rows.KEY, F.coalesce("_t", F.lit("")).alias("text"), *names)
     owners = fingerprints.packed(base.select(*rows.KEY, "text"), owner_finder(window, gram), fingerprints.parts_for(docs))
     places = fingerprints.repeated(owners).groupBy(*rows.KEY).agg(F.collect_set("place").alias("places"))
     result = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
