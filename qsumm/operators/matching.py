@@ -71,8 +71,8 @@ def passage_matches(docs: DataFrame, passages: DataFrame, doc_key: str = "doc_id
     """All ``(pas_key, doc_key)`` pairs where the passage text occurs in the document
     (with ``keep_text``: also ``doc_text`` as ``article`` and ``pas_text`` as ``summary``)."""
     pas = passages.select(F.col(pas_key).alias("__pk"), F.col(pas_text).alias("__pt"))
-    # one small job over the passages: size bound for broadcasting + short-passage presence
-    probe = pas.limit(DEFAULT_BROADCAST_ROWS + 1).agg(
+    # one aggregate over all passages: size for broadcasting, presence of short passages
+    probe = pas.agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("__pt") + 16).alias("b"),
         F.count(short_anchor(F.col("__pt"))).alias("short")).first()
     small = probe["n"] <= DEFAULT_BROADCAST_ROWS and (probe["b"] or 0) <= DEFAULT_BROADCAST_BYTES

@@ -15,10 +15,10 @@ DEFAULT_BROADCAST_BYTES = 256 * 1024 * 1024
 def bounded(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
             max_bytes: int = DEFAULT_BROADCAST_BYTES) -> bool:
     """True when ``df`` has at most ``max_rows`` rows and its string payload is
-    at most ``max_bytes``.  Reads at most ``max_rows + 1`` rows."""
+    at most ``max_bytes``; one aggregate over the whole frame."""
     strings = [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)]
     payload = sum((F.coalesce(F.octet_length(F.col(c)), F.lit(0)) for c in strings), F.lit(0))
-    row = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"),
+    row = df.agg(F.count(F.lit(1)).alias("n"),
                                      F.sum(payload + F.lit(16)).alias("b")).first()
     return row["n"] <= max_rows and (row["b"] or 0) <= max_bytes
 

@@ -26,3 +26,12 @@ def test_containment_matches_brute_force(spark):
     got = {(r.item_id, r.doc_id) for r in passage_matches(d, p).collect()}
     want = {(i, j) for i, pt in passages for j, dt in docs if pt in dt}
     assert got == want
+
+
+def test_short_passage_after_many_long_ones_is_found(spark):
+    from qsumm.operators.matching import passage_matches
+
+    docs = spark.createDataFrame([(1, "alpha beta gamma delta epsilon")], "doc_id long, text string")
+    pas = spark.range(5000).selectExpr("id AS item_id", "concat('no such passage here ', id) AS text").unionAll(
+        spark.createDataFrame([(9999, "beta"), (10000, "gamma delta epsilon")], "item_id long, text string"))
+    assert {r["item_id"] for r in passage_matches(docs, pas).collect()} == {9999, 10000}
