@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
@@ -101,56 +102,64 @@ def wilcoxon(pairs: DataFrame, x: str = "x", y: str = "y", group: str | None = N
     )
 
 
-EXACT_MAX_N = 50
-
-
 def _exact_two_sided(n: int, t: float) -> float:
-    """P(W <= t) doubled (capped at 1) under the null distribution of the
-    signed-rank sum: subset-sum counts of 1..n over 2^n."""
-    top = n * (n + 1) // 2
-    counts = [1] + [0] * top
+    """P(W <= t) doubled (at most 1) under the null distribution of the
+    signed-rank sum, rank by rank; ``n`` steps over an array of n(n+1)/2 cells."""
+    chance = np.zeros(n * (n + 1) // 2 + 1)
+    chance[0] = 1.0
     for k in range(1, n + 1):
-        for s in range(top, k - 1, -1):
-            counts[s] += counts[s - k]
-    below = sum(counts[: int(math.floor(t)) + 1])
-    return min(1.0, 2.0 * below / 2.0 ** n)
+        moved = np.zeros_like(chance)
+        moved[k:] = chance[:-k]
+        chance = (chance + moved) / 2.0
+    return min(1.0, 2.0 * float(chance[: int(math.floor(t)) + 1].sum()))
 
 
 @F.pandas_udf(T.DoubleType())
-def _two_sided_p(n: pd.Series, t: pd.Series, z: pd.Series, ties: pd.Series) -> pd.Series:
-    out = []
-    for nn, tt, zz, tie in zip(n, t, z, ties):
-        if nn is None or pd.isna(nn) or nn == 0:
-            out.append(None)
-        elif nn <= EXACT_MAX_N and tie == 0:
-            out.append(_exact_two_sided(int(nn), float(tt)))
-        else:
-            out.append(None if pd.isna(zz) else math.erfc(abs(zz) / math.sqrt(2.0)))
-    return pd.Series(out, dtype="float64")
+def _exact_p(n: pd.Series, t: pd.Series, ties: pd.Series) -> pd.Series:
+    return pd.Series([None if pd.isna(nn) or nn == 0 or tie else _exact_two_sided(int(nn), float(tt))
+                      for nn, tt, tie in zip(n, t, ties)], dtype="float64")
+
+
+@F.pandas_udf(T.DoubleType())
+def _normal_p(z: pd.Series) -> pd.Series:
+    return pd.Series([None if pd.isna(zz) else math.erfc(abs(zz) / math.sqrt(2.0)) for zz in z], dtype="float64")
+
+
+def with_p_value(w: DataFrame, method: str = "normal") -> DataFrame:
+    """Two-sided p of the result rows (neither engine has erf, so this is a
+    helper on one row per group).  ``normal``: normal approximation with tie
+    correction, at every n.  ``exact``: null distribution of the rank sum, at
+    every n (cubic in n); NULL where differences tie, as ranks are not 1..n then."""
+    if method == "normal":
+        return w.withColumn("p_value", _normal_p(F.col("z")))
+    if method == "exact":
+        return w.withColumn("p_value", _exact_p(F.col("n"), F.col("t_stat"), F.col("tie_term")))
+    raise ValueError(f"unknown method {method!r}")
 
 
-def with_p_value(w: DataFrame) -> DataFrame:
-    """Two-sided p on the one-row result: exact null distribution for at most
-    50 non-zero pairs without ties, else the normal approximation (neither
-    engine has erf, so this is a one-row helper)."""
-    return w.withColumn("p_value", _two_sided_p(F.col("n"), F.col("t_stat"), F.col("z"), F.col("tie_term")))
+UNIFORM_BITS = 32  # precision of ``uniform_from_md5``
 
 
-# Poisson(1) cumulative probabilities k = 0..9 (fixed values of the distribution).
-_POISSON1_CDF = [math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1)) for k in range(10)]
+def poisson1_cdf(bits: int = UNIFORM_BITS) -> list[float]:
+    """Poisson(1) cumulative probabilities from 0 up, as far as a uniform number
+    of ``bits`` bits can reach, so no draw is cut off."""
+    out, term, total = [], math.exp(-1), 0.0
+    while not out or total <= 1.0 - 2.0 ** -bits:
+        total += term
+        out.append(total)
+        term /= len(out)
+    return out
 
 
 def uniform_from_md5(*parts) -> Column:
     """A uniform number in [0, 1) from the first 32 bits of ``md5(parts joined by |)``."""
     h = F.md5(F.concat_ws("|", *[p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts]))
-    return F.conv(F.substring(h, 1, 8), 16, 10).cast("long") / float(1 << 32)
+    return F.conv(F.substring(h, 1, 8), 16, 10).cast("long") / float(1 << UNIFORM_BITS)
 
 
 def poisson_weight(u: Column) -> Column:
-    expr = F.lit(10)
-    for k in reversed(range(10)):
-        expr = F.when(u < F.lit(_POISSON1_CDF[k]), F.lit(k)).otherwise(expr)
-    return expr
+    """Inverse cumulative draw: how many of the probabilities ``u`` has passed."""
+    return sum(((u >= F.lit(c)).cast("int") for c in poisson1_cdf()), F.lit(0))
 
 
 def bootstrap_ci(scores: DataFrame, keys, ex_key: str, metrics, b: int = 1000, seed: int = 13,

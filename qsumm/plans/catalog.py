@@ -61,7 +61,7 @@ def _baselines_sql(pairs_sql: str = PAIRS_SQL) -> str:
 ex AS (SELECT *, {sq.sentences('article')} AS sents FROM pairs),
 sent AS (
   SELECT ex.item_id, ex.doc_id, ex.ex_key, ex.question, p.pos, ex.sents[p.pos] AS s
-  FROM ex, (SELECT unnest(range(1, 100000)) AS pos) p WHERE p.pos <= len(ex.sents)
+  FROM ex, unnest(range(1, len(ex.sents) + 1)) AS p(pos)
 ),
 tok AS (SELECT *, {sq.rouge_tokens('s')} AS st, {sq.rouge_tokens('question')} AS qt FROM sent),
 scored AS (SELECT *, {sq.ratio(sq.lcs('st', 'qt'), 'len(st)')} AS score FROM tok),

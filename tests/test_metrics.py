@@ -63,3 +63,28 @@ def test_epoch_shuffle_is_reproducible_and_changes_per_epoch(spark):
     assert order(1) == order(1)
     assert order(1) != order(2)
     assert sorted(order(1)) == sorted(order(2))
+
+
+def test_exact_p_value_equals_enumeration(spark):
+    from itertools import product
+
+    from qsumm.operators.stats import with_p_value
+    rows = [(n, float(t), -1.0, tie) for n in (1, 3, 7) for t in (0, 2, n) for tie in (0, 6)]
+    df = spark.createDataFrame(rows, "n long, t_stat double, z double, tie_term long")
+    for r in with_p_value(df, "exact").collect():
+        if r.tie_term:
+            assert r.p_value is None
+            continue
+        sums = [sum(k + 1 for k, s in enumerate(signs) if s) for signs in product((0, 1), repeat=r.n)]
+        assert abs(r.p_value - min(1.0, 2.0 * sum(s <= r.t_stat for s in sums) / len(sums))) < 1e-12
+    assert all(abs(r.p_value - 0.3173105) < 1e-6 for r in with_p_value(df, "normal").collect())
+
+
+def test_poisson_weights_have_no_cap():
+    import math
+
+    from qsumm.operators.stats import UNIFORM_BITS, poisson1_cdf
+    cdf = poisson1_cdf()
+    assert cdf[-1] > 1.0 - 2.0 ** -UNIFORM_BITS
+    assert all(abs(c - math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1))) < 1e-12
+               for k, c in enumerate(cdf))
