@@ -9,6 +9,7 @@ setting is absent (local tests).
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,6 +55,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        master = spark.conf.get("spark.master", "local") if sc is None else sc.master
+        if not re.match(r"local(\[|$)", master):
+            raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
         conf = tempfile.mkdtemp(prefix="qsumm-ckpt-")
         if sc is None:
             spark.conf.set("spark.checkpoint.dir", conf)

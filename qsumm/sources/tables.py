@@ -9,40 +9,17 @@ TABLES = (
     "embeddings pages benchmark labels conversations"
 ).split()
 
-# Text-heavy tables and a key to hash-spread them on when the scan is narrow.
+# Text-heavy tables and a key to hash-spread them on.
 SPREAD_KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
-# Only inputs below this estimated size are ever spread: large inputs already
-# come in many splits, and shuffling them just to spread would cost a full pass.
-SPREAD_MAX_BYTES = 1 << 30
+# Session setting (off by default): hash-spread text scans over the cores, for
+# files that hold one row group and so give one split.  It holds at every size.
+SPREAD_CONF = "spark.qsumm.spreadScans"
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan (file sizes for a scan); no job runs."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def spread_if_narrow(df: DataFrame, key: str, max_bytes: int = SPREAD_MAX_BYTES) -> DataFrame:
-    """Hash-spread a small input over all cores when its files give fewer splits
-    than cores (one row group per file cannot be split).  A no-op for large
-    inputs, so it never adds a shuffle of big data."""
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() >= cores or estimated_bytes(df) > max_bytes:
-            return df
-    except Exception:  # noqa: BLE001 - no plan access (e.g. a Connect session): leave the scan as is
-        return df
-    return df.repartition(cores, key)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    if spread and name in SPREAD_KEYS:
-        df = spread_if_narrow(df, SPREAD_KEYS[name])
+    if name in SPREAD_KEYS and spark.conf.get(SPREAD_CONF, "false") == "true":
+        df = df.repartition(SPREAD_KEYS[name])
     return df
-
-
-def register_views(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
-    for name in names:
-        table(spark, sf_dir, name).createOrReplaceTempView(name)
