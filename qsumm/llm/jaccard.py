@@ -31,6 +31,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import fingerprints, rows, scan
@@ -77,25 +78,27 @@ def prefix_length(n):
     return n - -(-n * PERCENT // 100) + 1
 
 
+def class_numbers(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A 64-bit number per set: a hash of its size and of two order-free sums over its members."""
+    sums = [np.concatenate([[np.uint64(0)], np.cumsum(scan.mix(h + np.uint64(c)), dtype=np.uint64)])
+            for c in (0x51ED27, 0x2545F491)]
+    fa, fb = (s[at[1:]] - s[at[:-1]] for s in sums)
+    return scan.mix(fa ^ scan.mix(fb + np.diff(at).astype(np.uint64))).view(np.int64)
+
+
 def classes(base: DataFrame) -> DataFrame:
-    """ka, kb, id, n and a 128-bit set fingerprint (fa, fb) of every document."""
+    """ka, kb, id, n (set size) and c (class of equal sets) of every document."""
     def run(batches):
         for batch in batches:
             buf, off = scan.texts_of(batch.column(2))
             for lo, hi in scan.chunks(off):
                 h, at = shingle_sets(buf[off[lo]:off[hi]], off[lo:hi + 1] - off[lo])
-                # Order-free sums of two mixes of the members.
-                sums = [np.concatenate([[np.uint64(0)], np.cumsum(scan.mix(h + np.uint64(c)), dtype=np.uint64)])
-                        for c in (0x51ED27, 0x2545F491)]
-                fa, fb = (s[at[1:]] - s[at[:-1]] for s in sums)
                 yield pa.RecordBatch.from_arrays(
                     [*[c.slice(lo, hi - lo) for c in (batch.column(0), batch.column(1), batch.column(3))],
-                     pa.array(np.diff(at)), pa.array(fa.view(np.int64)), pa.array(fb.view(np.int64))],
-                    ["ka", "kb", "id", "n", "fa", "fb"])
+                     pa.array(np.diff(at)), pa.array(class_numbers(h, at))], ["ka", "kb", "id", "n", "c"])
 
     id_type = dict(base.dtypes)["id"]
-    return base.select(*rows.KEY, "text", "id").mapInArrow(
-        run, f"ka long, kb long, id {id_type}, n long, fa long, fb long")
+    return base.select(*rows.KEY, "text", "id").mapInArrow(run, f"ka long, kb long, id {id_type}, n long, c long")
 
 
 def sketch(texts: DataFrame) -> np.ndarray:
@@ -129,17 +132,97 @@ def sketch(texts: DataFrame) -> np.ndarray:
     return out
 
 
-def prefixes(level: np.ndarray):
-    """Fingerprinter of prefix shingles: the rarest by (level, hash)."""
-    def run(buf, offsets):
-        h, at = shingle_sets(buf, offsets)
-        doc = scan.owner(at)
-        n = np.diff(at)
-        order = np.lexsort((h, level[(h & np.uint64(SKETCH_CELLS - 1)).astype(np.int64)], doc))
-        place = np.arange(len(h)) - at[doc]
-        pick = place < prefix_length(n)[doc]
-        return h[order][pick], doc[pick], place[pick]
-    return run
+def prefix_entries(buf: np.ndarray, offsets: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(shingle, class, set size) of all prefix shingles: the rarest by (level, hash)."""
+    h, at = shingle_sets(buf, offsets)
+    doc, n = scan.owner(at), np.diff(at)
+    order = np.lexsort((h, level[(h & np.uint64(SKETCH_CELLS - 1)).astype(np.int64)], doc))
+    pick = np.arange(len(h)) - at[doc] < prefix_length(n)[doc]
+    d = doc[pick]
+    return h[order][pick], class_numbers(h, at)[d], n[d]
+
+
+def size_level(n: np.ndarray) -> np.ndarray:
+    """Sizes of linked sets are in one level or in neighbouring ones."""
+    return np.floor(np.log(np.maximum(n, 1)) / np.log(100.0 / PERCENT)).astype(np.int64)
+
+
+def chained(fp: np.ndarray, c: np.ndarray, n: np.ndarray):
+    """Entries as groups of one shingle and size level, sorted by size inside:
+    (order, first of each group, last of each group, star edges a, b)."""
+    level = size_level(n)
+    order = np.lexsort((c, n, level, fp))
+    f, l_, k = fp[order], level[order], c[order]
+    new = np.ones(len(f), bool)
+    new[1:] = (f[1:] != f[:-1]) | (l_[1:] != l_[:-1])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(f)) - 1
+    a = k[np.repeat(first, last - first + 1)]
+    other = a != k
+    return order, first, last, *_distinct(a[other], k[other])
+
+
+def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Undirected pairs, each once."""
+    a, b = np.minimum(a, b), np.maximum(a, b)
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    keep = np.ones(len(a), bool)
+    keep[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[keep], b[keep]
+
+
+PREFIXES = "part int, fps binary, classes binary, sizes binary, own boolean"
+
+
+def chains(texts: DataFrame, level, parts: int) -> DataFrame:
+    """Edges (a, b) between classes that share a prefix shingle: inside a size
+    level all to the smallest, and between neighbouring levels that are near enough.
+
+    A task folds its chunk first: of the entries of one shingle and level only
+    the smallest and the largest set travel, so a shingle that a third of all
+    documents share costs two entries per chunk and level."""
+    def pack(batches):
+        for batch in batches:
+            buf, off = scan.texts_of(batch.column(0))
+            for lo, hi in scan.chunks(off, fingerprints.PACK_BYTES):
+                sub = off[lo:hi + 1]
+                held = [prefix_entries(buf[sub[a]:sub[b]], sub[a:b + 1] - sub[a], level.value)
+                        for a, b in scan.chunks(sub - sub[0])]
+                fp, c, n = (np.concatenate(x) for x in zip(*held)) if held else (np.zeros(0),) * 3
+                if not len(fp):
+                    continue
+                order, first, last, ea, eb = chained(fp, c, n)
+                ends = c[order[first]] != c[order[last]]
+                go = order[np.concatenate([first, last[ends]])]
+                part = ((fp[go] >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
+                by = np.lexsort((c[go], n[go], part))
+                go, cut = go[by], np.searchsorted(part[by], np.arange(parts + 1))
+                out = [(int(i), fp[x].astype("<u8").tobytes(), c[x].astype("<i8").tobytes(), n[x].astype("<i4").tobytes(), False)
+                       for i in np.flatnonzero(np.diff(cut)) for x in (go[cut[i]:cut[i + 1]],)]
+                if len(ea):  # edges ride along to any part
+                    out.append((out[0][0], ea.astype("<i8").tobytes(), eb.astype("<i8").tobytes(), b"", True))
+                types = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.bool_()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)],
+                                                 ["part", "fps", "classes", "sizes", "own"])
+
+    def meet(table: pa.Table) -> pa.Table:
+        held = table.select(["fps", "classes", "sizes", "own"]).to_pylist()
+        edges = [(np.frombuffer(r["fps"], "<i8"), np.frombuffer(r["classes"], "<i8")) for r in held if r["own"]]
+        fp, c, n = (np.concatenate([np.frombuffer(r[x], t) for r in held if not r["own"]] + [np.zeros(0, t)])
+                    for x, t in (("fps", "<u8"), ("classes", "<i8"), ("sizes", "<i4")))
+        if len(fp):
+            order, first, last, ea, eb = chained(fp, c, n)
+            edges.append((ea, eb))
+            f, small, large, k = fp[order[first]], n[order[first]], n[order[last]], c[order[first]]
+            step = size_level(small)
+            near = ((f[1:] == f[:-1]) & (step[1:] == step[:-1] + 1) & (k[1:] != k[:-1])
+                    & (small[1:].astype(np.int64) * PERCENT <= large[:-1].astype(np.int64) * 100))
+            edges.append((k[:-1][near], k[1:][near]))
+        a, b = _distinct(*(np.concatenate(x) for x in zip(*edges)))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return texts.select("text").mapInArrow(pack, PREFIXES).groupBy("part").applyInArrow(meet, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -301,8 +384,8 @@ def block_links(members: DataFrame, block_bytes: int = BLOCK_BYTES, tile_bytes:
     links = small.groupBy("block").applyInArrow(whole, "a long, b long")
     if not big.take(1):
         return links
-    # Tiles of a big block: runs of set sizes (levels of a seventh), each cut by hash into bounded parts.
-    m = members.join(big, "block").withColumn("level", F.floor(F.log(F.col("n").cast("double")) * 7))
+    # Tiles of a big block: size levels (linked sets are at most one apart), each cut by hash into bounded parts.
+    m = members.join(big, "block").withColumn("level", F.floor(F.log(F.col("n").cast("double")) / np.log(100.0 / PERCENT)))
     per = m.groupBy("block", "level").agg(F.ceil(F.sum(F.octet_length("text") + 64) / tile_bytes).alias("cuts"),
                                           F.min("n").alias("small"), F.max("n").alias("large"))
     per = rows.stage(per, "jaccard-tiles")
@@ -311,20 +394,33 @@ def block_links(members: DataFrame, block_bytes: int = BLOCK_BYTES, tile_bytes:
     x, y = tiles.alias("x"), tiles.alias("y")
     # Pairs of tiles (not of documents) that sizes allow; the tile list is as short as bytes / tile_bytes.
     pairs = (x.join(y, F.col("x.block") == F.col("y.block"))
-             .where((F.col("x.level") < F.col("y.level"))
+             .where((F.col("x.level") + 1 == F.col("y.level"))
                     | ((F.col("x.level") == F.col("y.level")) & (F.col("x.cut") <= F.col("y.cut"))))
              .where(F.col("y.small") * PERCENT <= F.col("x.large") * 100)
              .select("x.block", F.col("x.level").alias("l0"), F.col("x.cut").alias("c0"),
                      F.col("y.level").alias("l1"), F.col("y.cut").alias("c1")))
-    pairs = rows.stage(pairs.withColumn("pair", F.xxhash64("block", "l0", "c0", "l1", "c1")), "jaccard-pairs")
-    ends = (pairs.select("pair", "block", F.col("l0").alias("level"), F.col("c0").alias("cut"), F.lit(0).alias("side"))
-            .unionByName(pairs.where("l0 <> l1 or c0 <> c1").select(
-                "pair", "block", F.col("l1").alias("level"), F.col("c1").alias("cut"), F.lit(1).alias("side"))))
-    dealt = m.join(ends, ["block", "level", "cut"]).select("pair", "side", "c", "text")
+    pairs = pairs.withColumn("pair", F.xxhash64("block", "l0", "c0", "l1", "c1")).withColumn("alone", F.expr("l0 = l1 and c0 = c1"))
+    ends = (pairs.select("pair", "block", F.col("l0").alias("level"), F.col("c0").alias("cut"), F.lit(0).alias("side"), "alone")
+            .unionByName(pairs.where("not alone").select(
+                "pair", "block", F.col("l1").alias("level"), F.col("c1").alias("cut"), F.lit(1).alias("side"), "alone")))
+    # A tile is searched in itself by the first of its pairs; a task of its own has only a tile without a partner.
+    tile = W.partitionBy("block", "level", "cut")
+    host = F.min(F.when(~F.col("alone"), F.col("pair"))).over(tile)
+    ends = (ends.withColumn("host", host).where(~F.col("alone") | F.col("host").isNull())
+            .withColumn("inner", F.col("alone") | (F.col("pair") == F.col("host"))))
+    ends = rows.stage(ends.select("pair", "block", "level", "cut", "side", "inner"), "jaccard-pairs")
+    dealt = m.join(ends, ["block", "level", "cut"]).select("pair", "side", "inner", "c", "text")
 
     def across(table: pa.Table) -> pa.Table:
-        side = np.asarray(table.column("side"))
-        return _links(table, search(_sets(table), side if side.any() else None))
+        side, inner = np.asarray(table.column("side")), np.asarray(table.column("inner"))
+        sets, pairs = _sets(table), []
+        for s in (0, 1):
+            own = np.flatnonzero((side == s) & inner)
+            if len(own):
+                pairs += [(int(own[i]), int(own[j])) for i, j in search([sets[k] for k in own])]
+        if side.any() and not side.all():
+            pairs += search(sets, side)
+        return _links(table, pairs)
 
     return links.unionByName(dealt.groupBy("pair").applyInArrow(across, "a long, b long"))
 
@@ -336,37 +432,17 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     base = rows.keyed(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text")
     base = base.select(*rows.KEY, "text", "id")
     # 1. classes of equal sets; a class is numbered by a hash of its fingerprint
-    every = rows.stage(classes(base), "jaccard-docs").withColumn("c", F.xxhash64("fa", "fb", "n"))
+    every = rows.stage(classes(base), "jaccard-docs")
     reps = rows.stage(every.where("n > 0").groupBy("c").agg(
-        F.min(F.struct("ka", "kb")).alias("k"), F.max("n").alias("n"), F.min("id").alias("least"),
-        F.count(F.lit(1)).alias("docs")), "jaccard-classes")
+        F.min(F.struct("ka", "kb")).alias("k"), F.max("n").alias("n"), F.min("id").alias("least")), "jaccard-classes")
     # 2. blocks of classes that share a prefix shingle
     level = docs.sparkSession.sparkContext.broadcast(sketch(base))
-
-    def find(batch: pa.RecordBatch):
-        yield from fingerprints.chunked_find(prefixes(level.value))(batch)
-
-    parts = fingerprints.parts_for(docs)
-    hits = fingerprints.repeated(fingerprints.packed(base.select(*rows.KEY, "text"), find, parts))
-    number = every.select(*rows.KEY, "c", "n").distinct()
-    # Sizes of linked sets differ by a third at most, so do those of neighbours in between: classes
-    # that share a shingle are chained inside a size level and to the next one, if it is near enough.
-    shared = (hits.select(*rows.KEY, "fp").join(number, list(rows.KEY))
-              .withColumn("level", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / PERCENT))))
-              .select("fp", "level", "c", "n").distinct())
-    shared = rows.stage(shared, "jaccard-shared")
-    star = shared.groupBy("fp", "level").agg(F.min("c").alias("a"), F.min("n").alias("small"), F.max("n").alias("large"))
-    inside = shared.join(star, ["fp", "level"]).where("a <> c").select("a", F.col("c").alias("b"))
-    above = star.select("fp", (F.col("level") - 1).alias("level"), F.col("a").alias("b"), F.col("small").alias("next"))
-    between = (star.join(above, ["fp", "level"])
-               .where((F.col("next") * PERCENT <= F.col("large") * 100) & (F.col("a") != F.col("b"))).select("a", "b"))
-    edges = inside.unionByName(between).distinct()
-    blocks = components(edges)
+    blocks = components(chains(base, level, fingerprints.parts_for(docs)))
     members = (blocks.join(reps, blocks["node"] == reps["c"])
                .select(F.col("root").alias("block"), "c", "n", F.col("k.ka").alias("ka"), F.col("k.kb").alias("kb")))
-    text = base.select(*rows.KEY, "text").join(members, list(rows.KEY)).select("block", "c", "n", "text")
-    # Repeated rows share the key of a class: one text of each is enough.
-    text = rows.stage(text.groupBy("block", "c").agg(F.max("n").alias("n"), F.first("text").alias("text")), "jaccard-texts")
+    # Repeated rows share a key and are folded before the exchange: one text of each is enough.
+    one = base.groupBy(*rows.KEY).agg(F.first("text").alias("text"))
+    text = rows.stage(one.join(members, list(rows.KEY)).select("block", "c", "n", "text"), "jaccard-texts")
     # 3. links, 4. components
     links = rows.stage(block_links(text, block_bytes, tile_bytes), "jaccard-links")
     roots = components(links)
