@@ -226,25 +226,30 @@ def chains(texts: DataFrame, level, parts: int) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): smallest node reachable, by hooking and pointer
-    jumping until no label changes (rounds grow with the logarithm of the longest chain)."""
-    both = rows.stage(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-                      .distinct(), "edges")
-    label = rows.stage(both.groupBy("a").agg(F.min("b").alias("m")).select(
-        F.col("a").alias("node"), F.least("a", "m").alias("root")), "labels")
-    while True:
-        near = (both.join(label.select(F.col("node").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("r1")))
-        new = (label.join(near, label["node"] == near["a"])
-               .select("node", F.col("root").alias("old"), F.least("root", "r1").alias("root")))
-        # A label is a node: follow its own label once more.
-        jump = new.select(F.col("node").alias("j"), F.col("root").alias("jr"))
-        new = (new.join(jump, new["root"] == jump["j"], "left")
-               .select("node", "old", F.coalesce(F.least("root", "jr"), "root").alias("root")))
-        label = rows.stage(new, "labels")
-        if not label.where("old <> root").take(1):
-            break
-        label = label.drop("old")
-    return label.select("node", "root")
+    """(node, root): smallest node reachable.  Every round points each node at
+    its smallest neighbour, jumps along the pointers, and contracts the graph to
+    the nodes pointed at: rounds shrink, so all of them together cost about two.
+    The maps of the rounds are composed from the last (smallest) one back."""
+    edges = rows.stage(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(),
+                       "edges")
+    maps = []
+    while not maps or edges.take(1):
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        up = rows.stage(both.groupBy("a").agg(F.min("b").alias("b")).select(
+            F.col("a").alias("node"), F.least("a", "b").alias("root")), "pointers")
+        for _ in range(2):  # pointers only fall, so a jump never meets a circle
+            up = rows.stage(up.join(up.select(F.col("node").alias("root"), F.col("root").alias("next")), "root")
+                            .select("node", F.col("next").alias("root")), "pointers")
+        maps.append(up)
+        ends = [up.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in ("a", "b")]
+        edges = edges.join(ends[0], "a").join(ends[1], "b").where("ra <> rb")
+        edges = rows.stage(edges.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
+    label = maps.pop()
+    while maps:
+        later = label.select(F.col("node").alias("root"), F.col("root").alias("last"))
+        label = rows.stage(maps.pop().join(later, "root", "left")
+                           .select("node", F.coalesce("last", "root").alias("root")), "labels")
+    return label
 
 
 class Forest:
