@@ -15,10 +15,13 @@ KEY = ("ka", "kb")
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared checkpoint folder and read it back:
-    cuts the lineage, survives lost executors, keeps column pruning."""
+    cuts the lineage, survives lost executors, keeps column pruning.  Shuffle files
+    go when the driver collects their handles: as the table replaces them, that is
+    asked for at once instead of waiting for a full heap."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
