@@ -381,3 +381,25 @@ def test_words_of_a_flat_chunk():
     got = [bytes(buf[a:b]).decode() for a, b in zip(s, e)]
     assert got == [w for t in texts for w in WORD.findall(t)]
     assert np.diff(first).tolist() == [len(WORD.findall(t)) for t in texts]
+
+
+def test_components_reach_the_smallest_node_of_long_chains(spark):
+    rng = np.random.default_rng(5)
+    names = rng.choice(10**12, 400, replace=False) - 5 * 10**11
+    pairs = [(int(a), int(b)) for a, b in zip(names[:199], names[1:200])]  # one shuffled chain
+    ordered = np.sort(names[200:300])
+    pairs += [(int(b), int(a)) for a, b in zip(ordered[:-1], ordered[1:])]  # a sorted one, reversed edges
+    pairs += [(int(names[300]), int(x)) for x in names[301:390]] * 2 + [(int(names[395]), int(names[395]))]
+    got = {r["node"]: r["root"] for r in jaccard.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    want = {int(x): int(g.min()) for g in (names[:200], names[200:300], names[300:390]) for x in g}
+    assert got == want
+    none = spark.createDataFrame([], "a long, b long")
+    assert jaccard.components(none).count() == 0
+
+
+def test_chains_join_what_shares_a_shingle_at_near_sizes():
+    fp = np.array([1, 1, 1, 1, 2, 3, 3], np.uint64)
+    c = np.array([10, 11, 12, 11, 13, 14, 15], np.int64)
+    n = np.array([20, 21, 400, 21, 20, 30, 30], np.int64)
+    *_, a, b = jaccard.chained(fp, c, n)
+    assert list(zip(a.tolist(), b.tolist())) == [(10, 11), (14, 15)]
