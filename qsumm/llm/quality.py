@@ -9,8 +9,13 @@ minority of junk does not move) and the distribution over its ``COMMON`` most
 frequent cells (the rest is one bin).
 The second pass compares every document with every reference by the
 Jensen-Shannon distance (square root of the divergence, base 2) and rejects it
-when even the nearest reference is too far.  The tag of the document itself is
-not used in the verdict.
+when even the nearest reference is too far.  Both limits shrink with the length
+of the document to a base, as the sampling noise of its shares does.  A
+reference whose common cells hold so few letter runs that even a text of
+``JUDGED_RUNS`` runs without any of them is within the limit (a script without
+blanks, say) judges no words: documents nearest to it by classes are not tested
+on words, the others are tested on the other references.  The tag of the
+document itself is not used in the verdict.
 
 Base rules: fewer than ``MIN_WORDS`` words, or more than ``REPEAT_PERCENT``
 percent of words inside repeated 8-word windows.
@@ -43,7 +48,9 @@ MIN_CHARS = 200
 MIN_TOKENS = 50
 MAX_CLASS_DISTANCE = 0.16
 CLASS_NOISE = 1.0  # sampling noise of a class histogram: added as CLASS_NOISE / sqrt(characters)
-MAX_WORD_DISTANCE = 0.55
+MAX_WORD_DISTANCE = 0.15
+WORD_NOISE = 3.2  # sampling noise of a word histogram: added as WORD_NOISE / sqrt(letter runs)
+JUDGED_RUNS = 1000  # a reference must tell a text of so many letter runs without common words
 
 # Character classes by byte (fixed values): a multi-byte character counts once, by its lead byte.
 CLASSES = ("lower", "upper", "digit", "space", "newline", "stop", "mark", "symbol", "other", "wide", "tail")
@@ -208,20 +215,40 @@ def js_distance(counts: np.ndarray, ref: np.ndarray) -> np.ndarray:
     return np.where(total[:, 0] > 0, np.sqrt(np.clip((a + b) / 2, 0, 1)), 0.0)
 
 
-def distances(buf: np.ndarray, offsets: np.ndarray, refs: list[dict]):
-    """(class distance, word distance, letter runs, characters) to the nearest reference."""
+def word_limit(runs: np.ndarray, max_word: float = MAX_WORD_DISTANCE) -> np.ndarray:
+    """Largest word distance of a kept document of so many letter runs."""
+    return max_word + WORD_NOISE / np.sqrt(np.maximum(runs, 1))
+
+
+def judges_words(ref: dict, max_word: float = MAX_WORD_DISTANCE) -> bool:
+    """Whether a text of ``JUDGED_RUNS`` letter runs without common cells is too far from ``ref``."""
+    none = np.zeros((1, len(ref["shares"])))
+    none[0, -1] = 1
+    return bool(js_distance(none, ref["shares"])[0] > word_limit(JUDGED_RUNS, max_word))
+
+
+def distances(buf: np.ndarray, offsets: np.ndarray, refs: list[dict], max_word: float = MAX_WORD_DISTANCE):
+    """(class distance, word distance, letter runs, characters) to the nearest
+    reference; the word distance is infinite where no reference judges words."""
     docs = len(offsets) - 1
     classes = class_counts(buf, offsets)
     cell, doc = cells_of(buf, offsets)
     n = np.bincount(doc, minlength=docs)
     by_class, by_word = np.full(docs, np.inf), np.full(docs, np.inf)
+    wordless = np.zeros(docs, bool)  # nearest by classes to a reference that judges no words
     for ref in refs:
-        by_class = np.minimum(by_class, js_distance(classes, ref["classes"]))
+        near = js_distance(classes, ref["classes"])
+        judging = judges_words(ref, max_word)
+        wordless = np.where(near < by_class, not judging, wordless)
+        by_class = np.minimum(by_class, near)
+        if not judging:
+            continue
         at = np.searchsorted(ref["cells"], cell)
         at = np.where(ref["cells"][np.minimum(at, len(ref["cells"]) - 1)] == cell, at, len(ref["cells"]))
         width = len(ref["shares"])
         counts = np.bincount(doc * width + at, minlength=docs * width).reshape(docs, width)
         by_word = np.minimum(by_word, js_distance(counts, ref["shares"]))
+    by_word[wordless] = np.inf
     return by_class, by_word, n, classes.sum(1)
 
 
@@ -248,13 +275,14 @@ def judge(docs: DataFrame, refs: list[dict] | None = None, text_col: str = "text
                 m = base_metrics(b, o)
                 failed = base_failed(m)
                 if refs:
-                    dc, dw, tokens, chars = distances(b, o, refs)
-                    has_c, has_w = chars >= MIN_CHARS, tokens >= MIN_TOKENS
+                    dc, dw, tokens, chars = distances(b, o, refs, max_word)
+                    has_c, has_w = chars >= MIN_CHARS, (tokens >= MIN_TOKENS) & np.isfinite(dw)
                 else:
                     dc = dw = np.zeros(hi - lo)
                     has_c = has_w = np.zeros(hi - lo, bool)
-                    chars = np.ones(hi - lo)
-                kept = ~failed & ~(has_c & (dc > max_class + CLASS_NOISE / np.sqrt(np.maximum(chars, 1)))) & ~(has_w & (dw > max_word))
+                    chars = tokens = np.ones(hi - lo)
+                kept = ~failed & ~(has_c & (dc > max_class + CLASS_NOISE / np.sqrt(np.maximum(chars, 1))))
+                kept &= ~(has_w & (dw > word_limit(tokens, max_word)))
                 cols = [pa.array(m[k], pa.int64()) for k in METRICS]
                 cols += [pa.array(failed), pa.array(dc, pa.float64(), mask=~has_c),
                          pa.array(dw, pa.float64(), mask=~has_w), pa.array(kept)]

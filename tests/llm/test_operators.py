@@ -297,6 +297,43 @@ def test_quality_rejects_symbol_junk(spark):
     assert kept == set(range(60))
 
 
+def prose(rng, vocab, n):
+    """``n`` words, every third a frequent one, with stops."""
+    return " ".join(rng.choice(vocab[:40] if rng.random() < 0.37 else vocab[40:])
+                    + ("." if i % 12 == 11 else "") for i in range(n))
+
+
+def made_words(rng, n):
+    return ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9))) for _ in range(n)]
+
+
+def test_quality_rejects_gibberish_of_ordinary_letters(spark):
+    rng = random.Random(4)
+    vocab, other = made_words(rng, 3000), made_words(rng, 30_000)
+    clean = [prose(rng, vocab, n) for n in [150] * 60 + [60] * 20 + [400] * 20 + [2000] * 5 + [15]]
+    junk = [" ".join(w + ("." if i % 12 == 11 else "") for i, w in enumerate(rng.choices(other, k=n)))
+            for n in (200, 300, 600, 3000)]
+    d = spark.createDataFrame([(i, t, "en") for i, t in enumerate(clean + junk)], "doc_id long, text string, lang string")
+    kept = {r["doc_id"] for r in quality.judge(d).where("quality.kept").collect()}
+    assert kept == set(range(105))  # the clean text of 15 words fails the base rules
+
+
+def test_quality_words_are_not_judged_without_common_words(spark):
+    rng = random.Random(6)
+    vocab = made_words(rng, 3000)
+    clean = [prose(rng, vocab, 300) for _ in range(60)]
+    # Runs of letters that hardly ever repeat, as in a script without blanks.
+    wide = [" ".join("".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(rng.randint(4, 12))) for _ in range(300))
+            for _ in range(40)]
+    junk = [" ".join(w + ("." if i % 12 == 11 else "") for i, w in enumerate(made_words(rng, 300))) for _ in range(3)]
+    d = spark.createDataFrame([(i, t, "en" if i < 60 else "zh" if i < 100 else "en")
+                               for i, t in enumerate(clean + wide + junk)], "doc_id long, text string, lang string")
+    refs = quality.references(d)
+    assert [(r["lang"], quality.judges_words(r)) for r in refs] == [("en", True), ("zh", False)]
+    kept = {r["doc_id"] for r in quality.judge(d, refs).where("quality.kept").collect()}
+    assert kept == set(range(100))
+
+
 def test_warc_round_trip(spark):
     rows = [(1, "http://a/ b\n", "x" * 50_000, "p"), (2, None, "x" * 50_000, "p"), (3, "u", "", "p"), (4, "u", None, "p"),
             (5, "u", "WARC/1.1\r\n\r\n\r\nWARC/1.0 é", "p"), (None, "n", "only", "p"), (9, "u", "z" * 30_000, "p"),
