@@ -6,7 +6,11 @@ shares of the character classes (as histograms of ``BINS`` bins) and the words
 counts are pre-aggregated per task and summed in slices.  A language reference
 is its character-class distribution (the normalised median shares, which a
 minority of junk does not move) and the distribution over its ``COMMON`` most
-frequent cells (the rest is one bin).
+frequent cells (the rest is one bin).  A tag gives a reference only from
+``MIN_REF_DOCS`` documents (in corpora of fewer than ``MIN_REF_DOCS`` times
+``REF_PART`` documents one in ``REF_PART``, at least ``LEAST_REF_DOCS``) and
+``MIN_REF_RUNS`` letter runs on; the documents of other tags are judged by the
+references there are.
 The second pass compares every document with every reference by the
 Jensen-Shannon distance (square root of the divergence, base 2) and rejects it
 when even the nearest reference is too far.  Both limits shrink with the length
@@ -51,6 +55,10 @@ CLASS_NOISE = 1.0  # sampling noise of a class histogram: added as CLASS_NOISE /
 MAX_WORD_DISTANCE = 0.15
 WORD_NOISE = 3.2  # sampling noise of a word histogram: added as WORD_NOISE / sqrt(letter runs)
 JUDGED_RUNS = 1000  # a reference must tell a text of so many letter runs without common words
+MIN_REF_DOCS = 100  # documents of MIN_CHARS that pass the base rules, per reference
+LEAST_REF_DOCS = 10
+REF_PART = 20
+MIN_REF_RUNS = 2000
 
 # Character classes by byte (fixed values): a multi-byte character counts once, by its lead byte.
 CLASSES = ("lower", "upper", "digit", "space", "newline", "stop", "mark", "symbol", "other", "wide", "tail")
@@ -145,8 +153,13 @@ def cells_of(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return (h & np.uint64(CELLS - 1)).astype(np.int64), scan.owner(first)
 
 
+def least_documents(total: float) -> float:
+    """Documents that a tag needs for a reference, of ``total`` in all tags."""
+    return min(MIN_REF_DOCS, max(LEAST_REF_DOCS, total / REF_PART))
+
+
 def references(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> list[dict]:
-    """One reference per language tag (a bounded vocabulary): ``lang``,
+    """One reference per language tag with enough documents: ``lang``,
     ``classes`` (distribution), ``cells`` and ``shares`` (common cells, rest last)."""
     def count(batches):
         total: dict[str, list[np.ndarray]] = {}
@@ -186,14 +199,17 @@ def references(docs: DataFrame, lang_col: str = "lang", text_col: str = "text")
                                         F.slice(F.sort_array(F.collect_list(F.struct("c", "cell")), False),
                                                 1, COMMON).alias("top"))
     classes = one.where("part < 0").groupBy("lang").agg(F.collect_list(F.struct("i", "c")).alias("classes"))
-    refs = []
+    refs, found = [], []
     for r in classes.join(by_lang, "lang").orderBy("lang").collect():
         hist = np.zeros(KINDS * BINS)
         for i, c in r["classes"]:
             hist[i] = c
-        run = hist.reshape(KINDS, BINS).cumsum(1)
-        if not run[:, -1].all():
-            continue  # no document of the tag is long enough for a reference
+        found.append((r, hist.reshape(KINDS, BINS).cumsum(1)))
+    # Every document of a tag counts once in each class: a row's last sum is their number.
+    least = least_documents(sum(run[0, -1] for _, run in found))
+    for r, run in found:
+        if run[0, -1] < least or r["total"] < MIN_REF_RUNS:
+            continue  # too little text under the tag for a reference
         dist = ((run * 2 < run[:, -1:]).sum(1) / (BINS - 1)) ** 2
         top = sorted((x["cell"], x["c"]) for x in r["top"])
         share = np.array([c for _, c in top], dtype=float)

@@ -334,6 +334,20 @@ def test_quality_words_are_not_judged_without_common_words(spark):
     assert kept == set(range(100))
 
 
+def test_quality_junk_under_a_rare_tag_gives_no_reference(spark):
+    rng = random.Random(7)
+    vocab = made_words(rng, 3000)
+    clean = [prose(rng, vocab, 300) for _ in range(240)]
+    junk = [" ".join(w + "###" for w in made_words(rng, 150)) for _ in range(14)]
+    tags = ["en"] * 240 + ["xx"] + ["yy"] * 11 + [None, "en"]  # 11 of 254 are too few
+    d = spark.createDataFrame([(i, t, tags[i]) for i, t in enumerate(clean + junk)], "doc_id long, text string, lang string")
+    assert [r["lang"] for r in quality.references(d)] == ["en"]
+    kept = {r["doc_id"] for r in quality.judge(d).where("quality.kept").collect()}
+    assert kept == set(range(240))
+    assert quality.references(d.where("lang = 'xx'")) == []
+    assert quality.least_documents(100) == 10 and quality.least_documents(10**9) == 100
+
+
 def test_warc_round_trip(spark):
     rows = [(1, "http://a/ b\n", "x" * 50_000, "p"), (2, None, "x" * 50_000, "p"), (3, "u", "", "p"), (4, "u", None, "p"),
             (5, "u", "WARC/1.1\r\n\r\n\r\nWARC/1.0 é", "p"), (None, "n", "only", "p"), (9, "u", "z" * 30_000, "p"),
