@@ -7,8 +7,10 @@ languages votes.  Families come from ``FAMILIES`` and a tag outside the table
 is a family of its own.
 
 Fitting uses at most ``PER_LANGUAGE`` labelled documents of each language and
-``SAMPLE_ROWS`` in all (the ones with the smallest hash of id and text; these
-bounds are the only sampling here);
+``SAMPLE_ROWS`` in all, or one per language if there are more languages (the
+ones with the smallest hash of id and text in their language, and as many of
+each language as it has or as the bound leaves; these bounds are the only
+sampling here);
 their whole texts are turned into features inside the tasks and only the
 feature vectors reach the driver.  Every document is scored.
 
@@ -190,8 +192,10 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
     pool = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"),
                            F.xxhash64(id_col, text_col).alias("h")).where("lang is not null and text is not null")
     picked = (pool.select("lang", "h").withColumn("r", F.row_number().over(order))
-              .where(F.col("r") <= per_language).select("lang", "h"))
-    picked = picked.orderBy("h").limit(SAMPLE_ROWS).distinct()
+              .where(F.col("r") <= per_language))
+    # By rank first: the bound takes from the languages with the most documents, never all of one.
+    at_most = max(SAMPLE_ROWS, labelled.select(lang_col).distinct().count())
+    picked = picked.orderBy("r", "h", "lang").limit(at_most).select("lang", "h").distinct()
     sample = pool.join(F.broadcast(picked), ["lang", "h"])
 
     def vectors(batches):

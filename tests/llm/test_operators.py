@@ -399,6 +399,23 @@ def test_language_on_held_out_rows(spark, empty):
     assert language.fit(empty) is None and language.identify(d, None).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_sample_keeps_rare_languages(spark, monkeypatch):
+    monkeypatch.setattr(language, "SAMPLE_ROWS", 100)
+    rng = random.Random(9)
+    stems = {f"x{i}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=3)) for _ in range(4)] for i in range(20)}
+    rows = []
+    for i, (lang, own) in enumerate(stems.items()):
+        for _ in range(4 if i == 0 else 20 + 15 * i):
+            rows.append((len(rows), " ".join("".join(rng.choices(own, k=2)) for _ in range(20)), lang))
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(d)
+    assert model.languages == sorted(stems)
+    out = language.identify(d, model).where("lang = 'x0'").collect()
+    assert [r["lang_pred"] for r in out] == ["x0"] * 4
+    monkeypatch.setattr(language, "SAMPLE_ROWS", 5)  # fewer than the languages
+    assert language.fit(d).languages == sorted(stems)
+
+
 def test_toxicity_finds_documents_and_sentences(spark, empty):
     rng = random.Random(8)
     vocab = [f"{a}{b}" for a in "bcdfgh" for b in ("ana", "ole", "iru", "ept", "ume")]
