@@ -1,9 +1,12 @@
 """Approximate nearest neighbours on robust-pruned directed graphs.
 
 Largest inner product becomes smallest distance by one more coordinate: with M
-the largest norm, x is indexed as (x, sqrt(M^2 - |x|^2)).  Equal vectors are
-one node (copies beyond the first add no edge); rows are dealt to shards of at
-most about ``SHARD_ROWS`` nodes by a hash.
+the largest norm of a shard, x is indexed as (x, sqrt(M^2 - |x|^2)).  Equal
+vectors are one node (copies beyond the first add no edge); nodes are dealt by
+norm to bands (a factor of 2^``BAND_BITS`` wide, 270 at most) and inside a band
+by a hash to shards of at most about ``SHARD_ROWS`` nodes, so very long or short
+rows never share a shard with the others.  Vectors of a shard are scaled by a
+power of two; the search ranks by the inner product itself.
 
 Building.  Nodes are inserted in rounds that double in size.  A greedy beam
 search over the graph so far proposes neighbours for all nodes of a round at
@@ -41,6 +44,7 @@ BEAM = 128
 ALPHA = 1.2
 BLOCK = 1024  # queries of a search task
 SALT = 8
+BAND_BITS = 8
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -72,15 +76,16 @@ def _near(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(norm[b] + norm[a][:, None] - 2 * dot, 0)
 
 
-def beam_search(x: np.ndarray, graph: np.ndarray, entry: int, q: np.ndarray, beam: int):
+def beam_search(x: np.ndarray, graph: np.ndarray, entry: int, q: np.ndarray, beam: int, inner: bool = False):
     """Beam search of all queries in step: (nodes, squared distances) of the
-    ``beam`` nearest found, nearest first; -1 pads.  ``graph``: node -> neighbours (-1: none)."""
+    ``beam`` nearest found, nearest first; -1 pads.  ``graph``: node -> neighbours (-1: none).
+    With ``inner`` the distance is the negative inner product."""
     n = len(q)
     rows_ = np.arange(n)
     ids = np.full((n, beam), -1, np.int64)
     dist = np.full((n, beam), np.inf, np.float32)
     ids[:, 0] = entry
-    dist[:, 0] = ((x[entry] - q) ** 2).sum(1)
+    dist[:, 0] = -(q @ x[entry]) if inner else ((x[entry] - q) ** 2).sum(1)
     done = np.zeros((n, beam), bool)
     seen = np.zeros((n, len(x)), bool)
     seen[:, entry] = True
@@ -101,7 +106,8 @@ def beam_search(x: np.ndarray, graph: np.ndarray, entry: int, q: np.ndarray, bea
         seen[live[r], new[r, c]] = True
         d = np.full(new.shape, np.inf, np.float32)
         hit = new[r, c]
-        d[r, c] = norm[hit] - 2 * np.einsum("ij,ij->i", x[hit], q[live[r]]) + (q[live[r]] ** 2).sum(1)
+        dot = np.einsum("ij,ij->i", x[hit], q[live[r]])
+        d[r, c] = -dot if inner else norm[hit] - 2 * dot + (q[live[r]] ** 2).sum(1)
         all_d = np.concatenate([dist[live], d], 1)
         all_i = np.concatenate([ids[live], np.where(fresh, new, -1)], 1)
         all_f = np.concatenate([done[live], np.zeros(new.shape, bool)], 1)
@@ -183,32 +189,52 @@ def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alp
     return graph, entry
 
 
-INDEX = "shard int, node long, v array<double>, neighbours array<int>, pos int, entry int, top double"
+INDEX = "shard int, node long, v array<double>, neighbours array<int>, pos int, entry int"
+
+
+def band_of(vec: str):
+    """Norm band of a vector (binary logarithm, no overflow of squares); norms from 1/16 to 16 share one."""
+    most = F.array_max(F.transform(vec, F.abs))
+    squares = F.aggregate(vec, F.lit(0.0), lambda s, e: s + (e / most) * (e / most))
+    return F.floor((F.log2(most) + F.log2(squares) / 2 + BAND_BITS / 2) / BAND_BITS).cast("int")
 
 
 def build_index(nodes: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """One row per node: shard, position, vector, neighbour positions, the
-    shard's entry position and the largest norm ``top`` of all nodes."""
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, e: s + e * e))
-    stats = nodes.agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("top")).first()
-    shards = max(1, -(-int(stats["n"]) // shard_rows))
-    top = float(stats["top"] or 0.0)
+    """One row per node: shard, position, vector, neighbour positions and the
+    shard's entry position."""
+    nodes = nodes.withColumn("band", band_of("v"))
+    bands = nodes.groupBy("band").agg(F.count(F.lit(1)).alias("n"))
+    sizes = bands.agg(F.sort_array(F.collect_list(F.struct("band", "n")))).first()[0]
+    first, shards, total = [F.lit(-1), F.lit(0)], [F.lit(-1), F.lit(1)], 0
+    if sizes:
+        first, shards = [], []
+        for band, n in sizes:
+            own = -(-int(n) // shard_rows)
+            first += [F.lit(band), F.lit(total)]
+            shards += [F.lit(band), F.lit(own)]
+            total += own
 
     def build(table: pa.Table) -> pa.Table:
         table = table.sort_by("node")
         v = table.column("v").combine_chunks()
-        flat = np.asarray(v.flatten(), np.float64).reshape(len(table), -1)
-        graph, entry = build_graph(lifted(flat, top))
+        flat = scaled(np.asarray(v.flatten(), np.float64).reshape(len(table), -1))
+        graph, entry = build_graph(lifted(flat, float(np.sqrt((flat * flat).sum(1).max()))))
         n = len(table)
         near = pa.array([g[g >= 0].astype(np.int32) for g in graph], pa.list_(pa.int32()))
         return pa.table({"shard": table.column("shard"), "node": table.column("node"), "v": table.column("v"),
                          "neighbours": near, "pos": pa.array(np.arange(n), pa.int32()),
-                         "entry": pa.array(np.full(n, entry), pa.int32()), "top": pa.array(np.full(n, top))})
+                         "entry": pa.array(np.full(n, entry), pa.int32())})
 
-    dealt = nodes.withColumn("shard", F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int")).select("shard", "node", "v")
+    shard = F.create_map(*first)[F.col("band")] + F.pmod(F.xxhash64("node"), F.create_map(*shards)[F.col("band")])
+    dealt = nodes.withColumn("shard", shard.cast("int")).select("shard", "node", "v")
     return rows.stage(dealt.groupBy("shard").applyInArrow(build, INDEX), "ann-index")
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Vectors over the power of two of their largest component."""
+    return np.ldexp(x, 1 - int(np.frexp(np.abs(x).max())[1]))
+
+
 def lifted(x: np.ndarray, top: float) -> np.ndarray:
     """Vectors with the coordinate that makes all norms ``top``."""
     more = np.sqrt(np.maximum(top * top - (x * x).sum(1), 0.0))
@@ -237,13 +263,13 @@ def search(index: DataFrame, queries: DataFrame, k: int, beam: int = BEAM) -> Da
         size = np.asarray(near.value_lengths())
         graph[np.repeat(np.arange(len(size)), size), np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)] = \
             np.asarray(near.flatten())
-        x = lifted(flat, nodes.column("top")[0].as_py())
+        x = scaled(flat).astype(np.float32)
         q = np.asarray(asked.column("qv").combine_chunks().flatten(), np.float64).reshape(len(asked), -1)
-        ask = np.concatenate([q, np.zeros((len(q), 1))], 1).astype(np.float32)
+        ask = (q / np.abs(q).max(1, keepdims=True)).astype(np.float32)
         ids, out_q, out_n, out_s = np.asarray(nodes.column("node")), [], [], []
         query = np.asarray(asked.column("query"))
         for lo in range(0, len(ask), 256):
-            found, _ = beam_search(x, graph, nodes.column("entry")[0].as_py(), ask[lo:lo + 256], beam)
+            found, _ = beam_search(x, graph, nodes.column("entry")[0].as_py(), ask[lo:lo + 256], beam, True)
             for i, row in enumerate(found):
                 row = row[row >= 0]
                 s = (flat[row] * q[lo + i]).sum(1)

@@ -188,6 +188,24 @@ def test_graph_neighbours_against_brute_force(spark):
     assert len(few) == 2
 
 
+def test_graph_neighbours_beside_very_long_and_short_rows(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1500, 32))
+    x[5] *= 1e6
+    x[6] *= 1e25
+    x[7] *= 1e-6
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    by = {}
+    for r in graph_ann.nearest(v, v.where("vec_id % 20 = 5"), k=20).collect():
+        by.setdefault(r["query_id"], set()).add(r["id"])
+    assert set(by) == set(range(5, 1500, 20))
+    hits = 0
+    for q, got in by.items():
+        want = [i for i in np.lexsort((np.arange(1500), -(x @ x[q]))) if i != q][:20]
+        hits += len(set(want) & got)
+    assert hits / (20 * len(by)) >= 0.9
+
+
 def test_packing_round_trip(docs, empty, spark):
     from tokenizers import Tokenizer
 
