@@ -4,7 +4,8 @@ State per series is three numbers plus the last step seen (``applyInPandas
 WithState``), so a hot series costs one small state row.  Rows are folded in
 step order inside each micro-batch; a row whose step is not after the last
 folded step of its series is late: it is dropped and counted
-(``late_dropped``).  Rows wait in state until the watermark passes them.
+(``late_dropped``).  Rows wait in state until the watermark passes them, also
+while there is no watermark yet (first micro-batch).
 Event time is cast to ``TIMESTAMP`` before the watermark (``TIMESTAMP_NTZ``
 cannot carry one).
 """
@@ -16,7 +17,9 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from qsumm.operators.metric_log import CLIP, DECAY
@@ -27,13 +30,15 @@ STATE_SCHEMA = ("m double, best double, runs long, last_ts timestamp, last_id lo
 
 
 def smooth_stream(stream: DataFrame, series: str, ts: str, tie: str, value: str, decay: float = DECAY,
-                  clip: float = CLIP, patience: int = 5, watermark: str = "0 seconds") -> DataFrame:
+                  clip: float = CLIP, patience: int = 5, watermark: str = "0 seconds", mark: str | None = None) -> DataFrame:
     """Rows are buffered in the series' state until the watermark passes them,
     then folded in ``(ts, tie)`` order; a row at or before the last folded
     step is late (dropped, counted).  The buffer holds at most the rows of one
-    watermark delay, so state stays bounded by the delay, not by the series."""
+    watermark delay and of the first micro-batch.  Rows with a true ``mark``
+    move the watermark only."""
     src = (stream.select(F.col(series).alias("series"), F.col(ts).cast("timestamp").alias("ts"),
-                         F.col(tie).alias("tie"), F.col(value).cast("double").alias("value"))
+                         F.col(tie).alias("tie"), F.col(value).cast("double").alias("value"),
+                         (F.col(mark) if mark else F.lit(False)).alias("mark"))
            .withWatermark("ts", watermark))
     out_schema = ("series string, ts timestamp, tie long, value double, smoothed double, is_best boolean, "
                   "runs long, stop boolean, late_dropped long")
@@ -44,7 +49,8 @@ def smooth_stream(stream: DataFrame, series: str, ts: str, tie: str, value: str,
             m, best, runs, last_ts, last_id, late, seen, b_ts, b_id, b_v = state.get
         else:
             m, best, runs, last_ts, last_id, late, seen, b_ts, b_id, b_v = 0.0, None, 0, None, None, 0, 0, [], [], []
-        frames = [b for b in batches if len(b)]
+        frames = [b[~b["mark"].astype(bool)] for b in batches]
+        frames = [b for b in frames if len(b)]
         if b_ts:
             frames.append(pd.DataFrame({"ts": pd.to_datetime(list(b_ts)), "tie": list(b_id), "value": list(b_v)}))
         if not frames:
@@ -54,8 +60,8 @@ def smooth_stream(stream: DataFrame, series: str, ts: str, tie: str, value: str,
         # the watermark has millisecond precision: a row is complete when its
         # millisecond is at or before it
         ms = pdf["ts"].astype("int64") // 1_000_000
-        ready = pdf if not wm or wm <= 0 else pdf[ms <= wm]
-        wait = pdf.iloc[0:0] if not wm or wm <= 0 else pdf[ms > wm]
+        ready = pdf.iloc[0:0] if not wm or wm <= 0 else pdf[ms <= wm]
+        wait = pdf if not wm or wm <= 0 else pdf[ms > wm]
         rows = []
         for t, i, x in zip(ready["ts"], ready["tie"], ready["value"]):
             if last_ts is not None and (t, i) <= (last_ts, last_id):
@@ -83,17 +89,51 @@ def smooth_stream(stream: DataFrame, series: str, ts: str, tie: str, value: str,
         fold, out_schema, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def disorder(files: DataFrame, ts: str) -> tuple[int, int]:
+    """(delay, last): milliseconds by which a file's first row can lie behind the
+    last row of files that arrive before it (0: files are in time order), and the
+    largest time in milliseconds.  Files of equal modification time come in any order."""
+    t = F.unix_micros(F.col(ts).cast("timestamp"))
+    each = (files.select(t.alias("t"), F.col("_metadata.file_path").alias("f"),
+                         F.unix_millis("_metadata.file_modification_time").alias("at"))
+            .groupBy("f", "at").agg(F.min("t").alias("lo"), F.max("t").alias("hi")))
+    times = each.groupBy("at").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count(F.lit(1)).alias("n"))
+    before = F.max("hi").over(W.orderBy("at").rowsBetween(W.unboundedPreceding, -1))
+    prior = F.greatest(before, F.when(F.col("n") > 1, F.col("hi")))
+    got = times.select((prior - F.col("lo")).alias("d"), "hi").agg(F.max("d").alias("d"), F.max("hi").alias("hi")).first()
+    late = got["d"]
+    return (0 if late is None or late < 0 else late // 1000 + 2), (got["hi"] or 0) // 1000
+
+
 def run_events_stream(spark: SparkSession, src_dir: str, name: str, files_per_trigger: int = 1,
                       glob: str = "events*.parquet") -> DataFrame:
     """Drive the events stream from parquet files in ``src_dir`` to completion
     (``availableNow``) into a parquet table under the shared checkpoint folder;
-    return that table."""
-    schema = spark.read.option("pathGlobFilter", glob).parquet(src_dir).schema
-    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
-              .option("pathGlobFilter", glob).parquet(src_dir))
-    out = smooth_stream(stream, "event_type", "ts", "event_id", "value")
+    return that table.  The watermark delay is the disorder of the files; a
+    closing mark behind the last row then releases the rows that still wait."""
+    files = spark.read.option("pathGlobFilter", glob).parquet(src_dir)
+    schema = files.schema
+    delay, last = disorder(files, "ts")
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{name}-{uuid.uuid4().hex}"
-    q = (out.writeStream.format("parquet").option("path", f"{base}/out").outputMode("append")
-         .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start())
-    q.awaitTermination()
+    closing = (spark.range(1).select(F.timestamp_millis(F.lit(last + delay + 1000)).alias("at")))
+    closed = T.StructType([*schema.fields, T.StructField("__mark", T.BooleanType())])
+    marks = closing.select(*[(F.col("at") if f.name == "ts" else F.lit(None)).cast(f.dataType).alias(f.name)
+                             for f in schema.fields], F.lit(True).alias("__mark"))
+    marks.limit(0).write.parquet(f"{base}/marks")
+
+    def drain() -> DataFrame:
+        stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+                  .option("pathGlobFilter", glob).parquet(src_dir).withColumn("__mark", F.lit(False)))
+        end = spark.readStream.schema(closed).parquet(f"{base}/marks")
+        out = smooth_stream(stream.unionByName(end), "event_type", "ts", "event_id", "value",
+                            watermark=f"{delay} milliseconds", mark="__mark")
+        q = (out.writeStream.format("parquet").option("path", f"{base}/out").outputMode("append")
+             .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start())
+        q.awaitTermination()
+        return out
+
+    out = drain()
+    if delay:
+        marks.write.mode("append").parquet(f"{base}/marks")
+        drain()
     return spark.read.schema(out.schema).parquet(f"{base}/out")
