@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cover, graph_ann, jaccard, language, mixing, packing, quality, run_index, toxicity, warc
+from . import (collocations, contamination, cover, graph_ann, jaccard, language, mixing, packing, quality, run_index,
+               toxicity, warc, whitening)
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -134,6 +135,65 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0)
 FROM d LEFT JOIN kept USING (doc_id)
 """
 
+def op11_jacobi_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened values of all vectors on the eight leading components."""
+    return whitening.whiten(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op12_prefix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside a 10-word window of a benchmark item."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return contamination.decontaminate(docs, _read(spark, sf_dir, "benchmark")).select(
+        "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''),
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+q AS (SELECT DISTINCT item, CAST(least(len(w), 10) AS BIGINT) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS k
+      FROM b, unnest(range(1, greatest(len(w) - 8, 2))) AS t(i) WHERE len(w) > 0),
+l AS (SELECT DISTINCT n FROM q),
+v AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS k
+      FROM d, l, unnest(range(1, len(w) - n + 2)) AS t(i) WHERE len(w) >= n),
+h AS (SELECT DISTINCT v.doc_id, v.i, v.n, q.item FROM v JOIN q ON q.k = v.k AND q.n = v.n),
+c AS (SELECT doc_id, count(DISTINCT i + j) AS n_hit FROM h, unnest(range(n)) AS t(j) GROUP BY doc_id),
+m AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS s FROM h GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(s, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN m USING (doc_id)
+"""
+
+
+def op13_tiled_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 strongest phrases of two to four words of every language."""
+    return collocations.top_phrases(_read(spark, sf_dir, "documents").select("lang", "text"))
+
+
+OP13_SQL = r"""
+WITH s AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM s),
+g AS (SELECT lang, k, w[i:i + k - 1] AS words FROM p, unnest([1, 2, 3, 4]) AS u(k), unnest(range(1, len(w) - k + 2)) AS t(i)),
+f AS (SELECT lang, k, words, count(*) AS f FROM g GROUP BY lang, k, words),
+t AS (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE k > 1 AND f >= 30),
+x AS (SELECT c.lang, c.words, c.f AS a, j, u.f AS l, v.f AS r,
+             CAST(2000000::HUGEINT * c.f // (u.f + v.f) AS BIGINT) AS score
+      FROM c, unnest(range(1, c.k)) AS q(j)
+      JOIN f u ON u.lang = c.lang AND u.words = c.words[:j] JOIN f v ON v.lang = c.lang AND v.words = c.words[j + 1:]),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, words ORDER BY score, j) AS o FROM x),
+m AS (SELECT lang, words[i:i + k2 - 1] AS words, max(f) AS longest
+      FROM c, unnest([2, 3]) AS u(k2), unnest(range(1, k - k2 + 2)) AS q(i) WHERE k2 < k GROUP BY 1, 2),
+z AS (SELECT b.lang, array_to_string(b.words, ' ') AS phrase, a, l, r, score FROM b LEFT JOIN m USING (lang, words)
+      WHERE o = 1 AND (longest IS NULL OR 100::HUGEINT * longest < 80::HUGEINT * a)),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM z)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r,
+       CAST(n AS BIGINT) AS n, score FROM o JOIN t USING (lang) WHERE rank <= 2000
+"""
+
 QUERIES = {
     "op1_graph_ann": op1_graph_ann,
     "op2_run_index_dedup": op2_run_index_dedup,
@@ -145,9 +205,14 @@ QUERIES = {
     "op8_source_mixing": op8_source_mixing,
     "op9_shingle_join": op9_shingle_join,
     "op10_cover_dedup": op10_cover_dedup,
+    "op11_jacobi_whitening": op11_jacobi_whitening,
+    "op12_prefix_decontamination": op12_prefix_decontamination,
+    "op13_tiled_collocations": op13_tiled_collocations,
 }
 ORACLE: dict[str, str] = {
     "op3_warc_segments": OP3_SQL,
     "op9_shingle_join": OP9_SQL,
     "op10_cover_dedup": OP10_SQL,
+    "op12_prefix_decontamination": OP12_SQL,
+    "op13_tiled_collocations": OP13_SQL,
 }
