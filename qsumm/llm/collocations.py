@@ -14,7 +14,8 @@ sequence of ids per chunk, -1 where nothing frequent starts:
    one tile whatever the number of tasks.
 2. Pairs with the least count are ranked by frequency: the ids of the next level.
 3. Chunks get their next sequence: each sends its distinct pairs, thinned by a
-   bit table of fixed size, to a join with the ranked pairs.
+   bit table of fixed size, to the hash part that holds their ids; what a part
+   finds comes back as packed rows, one per chunk and part.
 
 A phrase of k + 1 words is the pair of its two overlapping phrases of k words;
 both must be frequent, so nothing is lost.  Scores and the containment rule are
@@ -74,16 +75,22 @@ def _sequence(buf: np.ndarray, offsets: np.ndarray):
     return starts, ends, out
 
 
-def _pack(ids: np.ndarray) -> bytes:
-    return ids.astype("<i4" if ids.max(initial=0) < 1 << 31 else "<i8").tobytes()
+def squeeze(ints: np.ndarray) -> bytes:
+    """Integers as compressed byte planes of the smallest width that holds them."""
+    lo, hi = int(ints.min(initial=0)), int(ints.max(initial=0))
+    width = next(w for w in (1, 2, 4, 8) if -(1 << 8 * w - 1) <= lo and hi < 1 << 8 * w - 1)
+    planes = ints.astype(f"<i{width}").view(np.uint8).reshape(-1, width).T.tobytes()
+    return width.to_bytes(1, "little") + len(planes).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
 
 
-def _unpack(data: pa.Scalar, n: int) -> np.ndarray:
-    buf = data.as_buffer()
-    return np.frombuffer(buf, "<i4" if buf.size == 4 * n else "<i8").astype(np.int64)
+def expand(data: bytes | pa.Buffer) -> np.ndarray:
+    data = memoryview(data)
+    width, size = data[0], int.from_bytes(data[1:9], "little")
+    planes = np.frombuffer(pa.decompress(data[9:], size, "zstd"), np.uint8).reshape(width, -1)
+    return np.ascontiguousarray(planes.T).view(f"<i{width}").ravel().astype(np.int64)
 
 
-CHUNKS = "chunk long, lang string, own int, m int, ids binary"
+CHUNKS = "chunk long, lang string, own int, ids binary"
 
 
 def chunks_of(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
@@ -109,8 +116,8 @@ def chunks_of(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
                         if at.size:
                             yield pa.RecordBatch.from_arrays(
                                 [pa.array([k]), pa.array([lang.as_py()]), pa.array([own], pa.int32()),
-                                 pa.array([len(ids)], pa.int32()), pa.array([_pack(ids)]), pa.array([names]),
-                                 pa.array([counts])], ["chunk", "lang", "own", "m", "ids", "words", "counts"])
+                                 pa.array([squeeze(ids)]), pa.array([names]), pa.array([counts])],
+                                ["chunk", "lang", "own", "ids", "words", "counts"])
                             k += 1
 
     flat = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"),
@@ -133,23 +140,35 @@ def ranked(counted: DataFrame, keys: list[str]) -> DataFrame:
 
 # ---------------------------------------------------------------- pair counts
 
-def _tile_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+LOW = np.uint64(TILE - 1)
+_T, _T2, _T3 = np.uint64(TILE_BITS), np.uint64(2 * TILE_BITS), np.uint64(32 + TILE_BITS)
+
+
+def _codes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Pairs of 32-bit ids as numbers in tile order: tile row, tile column, address inside the tile."""
+    a, b = (x.astype(np.uint64) & np.uint64(0xFFFFFFFF) for x in (a, b))
+    return (a >> _T) << _T3 | (b >> _T) << _T2 | (a & LOW) << _T | (b & LOW)
+
+
+def _quadrants(a: np.ndarray, b: np.ndarray):
+    """(a >> 32, b >> 32, places): ids beyond 32 bits fall into quadrants of their own."""
     if not len(a) or max(a.max(), b.max()) < 1 << 32:
-        t = np.uint64(TILE_BITS)
-        a, b = a.astype(np.uint64), b.astype(np.uint64)
-        low = np.uint64(TILE - 1)
-        return np.argsort((a >> t) << np.uint64(43) | (b >> t) << np.uint64(22) | (a & low) << t | (b & low))
-    return np.lexsort((b, a, b >> TILE_BITS, a >> TILE_BITS))
-
-
-def _summed(a: np.ndarray, b: np.ndarray, n: np.ndarray):
-    """Distinct pairs in tile order with their counts added."""
-    order = _tile_order(a, b)
-    a, b, n = a[order], b[order], n[order]
-    new = np.ones(len(a), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        yield 0, 0, slice(None)
+        return
+    high = np.stack([a >> 32, b >> 32], axis=1)
+    for qa, qb in np.unique(high, axis=0).tolist():
+        yield qa, qb, np.flatnonzero((high[:, 0] == qa) & (high[:, 1] == qb))
+
+
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes of several lists, ascending, with their counts added."""
+    code, n = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(code)
+    code, n = code[order], n[order]
+    new = np.ones(len(code), bool)
+    new[1:] = code[1:] != code[:-1]
     at = np.flatnonzero(new)
-    return a[at], b[at], np.add.reduceat(n, at) if len(at) else n
+    return code[at], np.add.reduceat(n, at, dtype=np.int64) if len(at) else n.astype(np.int64)
 
 
 def _pairs(ids: np.ndarray, own: int) -> np.ndarray:
@@ -165,13 +184,12 @@ def _binary(values: np.ndarray, cut: np.ndarray) -> pa.Array:
 
 
 def _small(n: np.ndarray) -> np.ndarray:
-    return n.astype("<i4" if n.max(initial=0) < 1 << 31 else "<i8")
+    return n.astype(next(f"<u{w}" for w in (1, 2, 4, 8) if n.max(initial=0) < 1 << 8 * w))
 
 
 def _entries(row_inner, row_n):
-    inner = np.frombuffer(row_inner.as_buffer(), "<i4")
-    buf = row_n.as_buffer()
-    return inner, np.frombuffer(buf, "<i4" if buf.size == 4 * len(inner) else "<i8").astype(np.int64)
+    inner, buf = np.frombuffer(row_inner.as_buffer(), "<i4"), row_n.as_buffer()
+    return inner, np.frombuffer(buf, f"<u{buf.size // len(inner)}").astype(np.int64)
 
 
 class Tile:
@@ -231,37 +249,40 @@ def pair_counts(chunks: DataFrame, least: int) -> DataFrame:
     tasks = chunks.select(F.spark_partition_id().alias("p")).agg(F.max("p")).first()[0] or 0
     salts = math.isqrt(tasks + 1)
 
-    def emit(lang, a, b, n, salt):
-        if not len(a):
-            return
-        ta, tb = a >> TILE_BITS, b >> TILE_BITS
-        at = np.flatnonzero((np.diff(ta, prepend=-1) != 0) | (np.diff(tb, prepend=-1) != 0))
-        cut = np.append(at, len(a))
-        inner = ((a & (TILE - 1)) << TILE_BITS | (b & (TILE - 1))).astype("<i4")
+    def emit(key, code, n, salt):
+        lang, qa, qb = key
+        tile = code >> _T2
+        at = np.flatnonzero(np.append(True, tile[1:] != tile[:-1]))
+        ta, tb = (tile[at] >> np.uint64(21)).astype(np.int64), (tile[at] & np.uint64((1 << 21) - 1)).astype(np.int64)
+        cut = np.append(at, len(code))
         yield pa.RecordBatch.from_arrays(
-            [pa.array([lang] * len(at)), pa.array(ta[at]), pa.array(tb[at]), pa.array(np.full(len(at), salt, np.int32)),
-             _binary(inner, cut), _binary(_small(n), cut)], ["lang", "ta", "tb", "salt", "inner", "n"])
+            [pa.array([lang] * len(at)), pa.array(ta + (qa << 21)), pa.array(tb + (qb << 21)),
+             pa.array(np.full(len(at), salt, np.int32)), _binary((code & np.uint64(CELLS - 1)).astype("<i4"), cut),
+             _binary(_small(n), cut)], ["lang", "ta", "tb", "salt", "inner", "n"])
 
     def partial(batches):
         salt = TaskContext.get().partitionId() % salts
-        held: dict[str, list] = {}
-        fresh: dict[str, int] = {}
+        held: dict[tuple, list] = {}
+        fresh = 0
         for batch in batches:
             for i in range(batch.num_rows):
-                lang, own, m = (batch.column(c)[i].as_py() for c in ("lang", "own", "m"))
-                ids = _unpack(batch.column("ids")[i], m)
+                lang, own = batch.column("lang")[i].as_py(), batch.column("own")[i].as_py()
+                ids = expand(batch.column("ids")[i].as_buffer())
                 at = _pairs(ids, own)
-                held.setdefault(lang, []).append(_summed(ids[at], ids[at + 1], np.ones(len(at), np.int64)))
-                fresh[lang] = fresh.get(lang, 0) + len(held[lang][-1][0])
-                if fresh[lang] > HELD:
-                    held[lang] = [_summed(*(np.concatenate(x) for x in zip(*held[lang])))]
-                    fresh[lang] = 0
-                    if sum(len(h[0]) for parts in held.values() for h in parts) > HELD:
-                        for other in list(held):
-                            yield from emit(other, *_summed(*(np.concatenate(x) for x in zip(*held.pop(other)))), salt)
-                        fresh.clear()
-        for lang, parts in held.items():
-            yield from emit(lang, *_summed(*(np.concatenate(x) for x in zip(*parts))), salt)
+                a, b = ids[at], ids[at + 1]
+                for qa, qb, some in _quadrants(a, b):
+                    code, n = np.unique(_codes(a[some], b[some]), return_counts=True)
+                    if len(code):
+                        held.setdefault((lang, qa, qb), []).append((code, n.astype(np.uint32)))
+                        fresh += len(code)
+                if fresh > HELD:
+                    held = {key: [_summed(parts)] for key, parts in held.items()}
+                    fresh = 0
+                    if sum(len(parts[0][0]) for parts in held.values()) > HELD // 2:
+                        for key in list(held):
+                            yield from emit(key, *held.pop(key)[0], salt)
+        for key in list(held):
+            yield from emit(key, *_summed(held.pop(key)), salt)
 
     def add(batches):
         for (lang, ta, tb, _), tile in _tiles(batches, 4):
@@ -280,7 +301,7 @@ def pair_counts(chunks: DataFrame, least: int) -> DataFrame:
                      pa.array((tb << TILE_BITS) + (inner & (TILE - 1))), pa.array(n)], ["lang", "a", "b", "f"])
 
     key = ["lang", "ta", "tb"]
-    part = chunks.select("lang", "own", "m", "ids").mapInArrow(
+    part = chunks.select("lang", "own", "ids").mapInArrow(
         partial, "lang string, ta long, tb long, salt int, inner binary, n binary")
     some = part.repartition(*key, "salt").sortWithinPartitions(*key, "salt").mapInArrow(
         add, "lang string, ta long, tb long, inner binary, n binary")
@@ -322,72 +343,202 @@ def bit_table(pairs: DataFrame) -> np.ndarray:
 
 
 def _distinct_pairs(ids: np.ndarray):
-    """Places of pairs (all of the chunk), and the distinct pairs with each place's number."""
+    """Places of pairs (all of the chunk), the distinct pairs, and each place's number among them."""
     at = _pairs(ids, len(ids))
     a, b = ids[at], ids[at + 1]
-    order = _tile_order(a, b)
-    new = np.ones(len(at), bool)
-    new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
-    number = np.empty(len(at), np.int64)
-    number[order] = np.cumsum(new) - 1
-    return at, a[order][new], b[order][new], number
+    names_a, x = np.unique(a, return_inverse=True)
+    names_b, y = np.unique(b, return_inverse=True)
+    codes, number = np.unique(x.astype(np.int64) << 32 | y, return_inverse=True)
+    return at, names_a[codes >> 32], names_b[codes & 0xFFFFFFFF], number
+
+
+class PairNames:
+    """Ids of the pairs of one part; any 64-bit ids."""
+
+    def __init__(self, found: list[tuple[bytes, np.ndarray]]):
+        a, b = (np.concatenate(x) for x in zip(*(self._open(keys) for keys, _ in found)))
+        ids = np.concatenate([i for _, i in found])
+        self.a, x = np.unique(a, return_inverse=True)
+        self.b, y = np.unique(b, return_inverse=True)
+        code = x.astype(np.int64) << 32 | y
+        order = np.argsort(code)
+        self.code, self.ids = code[order], ids[order]
+
+    @staticmethod
+    def _open(keys):
+        return np.split(expand(keys), 2)
+
+    @staticmethod
+    def _at(names: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(names, values), len(names) - 1)
+        return at, names[at] == values
+
+    def find(self, keys: bytes) -> np.ndarray:
+        """Id of every key, -1 where it has none."""
+        a, b = self._open(keys)
+        (x, fine), (y, too) = self._at(self.a, a), self._at(self.b, b)
+        at, same = self._at(self.code, x << 32 | y)
+        return np.where(fine & too & same, self.ids[at], -1)
+
+
+class WordNames:
+    """Ids of the words of one part; words never hold a line break."""
+
+    def __init__(self, found: list[tuple[bytes, np.ndarray]]):
+        self.ids = {w: i for keys, ids in found for w, i in zip(self._open(keys), ids.tolist())}
+
+    @staticmethod
+    def pack(words: list[bytes]) -> bytes:
+        raw = b"\n".join(words)
+        return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+    @staticmethod
+    def _open(keys):
+        keys = memoryview(keys)
+        return pa.decompress(keys[8:], int.from_bytes(keys[:8], "little"), "zstd", asbytes=True).split(b"\n")
+
+    def find(self, keys: bytes) -> np.ndarray:
+        return np.array([self.ids.get(w, -1) for w in self._open(keys)], np.int64)
+
+
+PACKED = "part int, named int, lang string, chunk long, at binary, keys binary"
+
+
+def _by_part(parts_of: np.ndarray):
+    """(part, places of its entries)."""
+    order = np.argsort(parts_of, kind="stable")
+    cut = np.flatnonzero(np.diff(parts_of[order], prepend=-1))
+    for lo, hi in zip(cut, [*cut[1:], len(order)]):
+        yield int(parts_of[order[lo]]), order[lo:hi]
+
+
+def _row(part: int, named: int, lang: str, chunk: int, at: np.ndarray, keys: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([part], pa.int32()), pa.array([named], pa.int32()), pa.array([lang]), pa.array([chunk]),
+         pa.array([squeeze(at)]), pa.array([keys])], ["part", "named", "lang", "chunk", "at", "keys"])
+
+
+def _met(names: DataFrame, sent: DataFrame, kind) -> DataFrame:
+    """(chunk, at, id) packed: what ``sent`` (PACKED, named = 1, ``at`` the entries'
+    numbers) finds among ``names`` (PACKED, named = 0, ``at`` their ids).  A part's
+    names come first and are held; chunks stream past them."""
+    def meet(batches):
+        now, held, known = None, [], None
+        for batch in batches:
+            cols = [batch.column(c).to_pylist() for c in ("part", "named", "lang", "chunk", "at", "keys")]
+            for part, named, lang, chunk, at, keys in zip(*cols):
+                if (part, lang) != now:
+                    now, held, known = (part, lang), [], None
+                if not named:
+                    held.append((keys, expand(at)))
+                    continue
+                if held:
+                    known, held = kind(held), []
+                if known is None:
+                    continue
+                ids = known.find(keys)
+                hit = ids >= 0
+                if hit.any():
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([chunk]), pa.array([squeeze(expand(at)[hit])]), pa.array([squeeze(ids[hit])])],
+                        ["chunk", "at", "id"])
+
+    order = ("part", "lang", "named")
+    return names.unionByName(sent).repartition("part").sortWithinPartitions(*order).mapInArrow(
+        meet, "chunk long, at binary, id binary")
+
+
+def _parts(names: DataFrame) -> int:
+    """Parts of a lookup: a few per shuffle partition, and no more than about 2**18 names in one."""
+    n = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(2 * n, names.count() >> 18)
 
 
 def _renamed(chunks: DataFrame, names: DataFrame, number) -> DataFrame:
-    """Chunks whose ids are replaced: ``names`` has (chunk, at, id), ``number(ids)``
-    gives the places and their ``at``; places without a name become -1."""
+    """Chunks whose ids are replaced: ``names`` has packed (chunk, at, id), ``number(ids)``
+    gives the places, their ``at`` and the number of different ones; places without a name become -1."""
     by_chunk = names.groupBy("chunk").agg(F.collect_list(F.struct("at", "id")).alias("names"))
 
     def rename(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                m = batch.column("m")[i].as_py()
-                named = batch.column("names")[i].values
-                place, at, size = number(_unpack(batch.column("ids")[i], m))
+                ids = expand(batch.column("ids")[i].as_buffer())
+                place, at, size = number(ids)
                 to = np.full(size, -1, np.int64)
-                to[np.asarray(named.field("at"))] = np.asarray(named.field("id"))
-                out = np.full(m, -1, np.int64)
+                for named in batch.column("names")[i].as_py():
+                    to[expand(named["at"])] = expand(named["id"])
+                out = np.full(len(ids), -1, np.int64)
                 out[place] = to[at]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, 1) for c in ("chunk", "lang", "own", "m")),
-                                                  pa.array([_pack(out)])], ["chunk", "lang", "own", "m", "ids"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, 1) for c in ("chunk", "lang", "own")),
+                                                  pa.array([squeeze(out)])], ["chunk", "lang", "own", "ids"])
 
-    return chunks.select("chunk", "lang", "own", "m", "ids").join(by_chunk, "chunk").mapInArrow(rename, CHUNKS)
+    return chunks.select("chunk", "lang", "own", "ids").join(by_chunk, "chunk").mapInArrow(rename, CHUNKS)
 
 
 def with_word_ids(chunks: DataFrame, words: DataFrame) -> DataFrame:
-    entries = chunks.select("chunk", "lang", F.posexplode("words").alias("at", "word"))
-    names = entries.join(words.select("lang", "word", "id"), ["lang", "word"]).select("chunk", "at", "id")
+    parts = _parts(words)
+
+    def parts_of(column):
+        buf, off = scan.texts_of(column)
+        return (scan.word_hashes(buf, off[:-1], off[1:]) % np.uint64(parts)).astype(np.int64)
+
+    def send(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                column = batch.column("words")[i].values
+                text = column.cast(pa.binary()).to_pylist()
+                for part, at in _by_part(parts_of(column)):
+                    yield _row(part, 1, batch.column("lang")[i].as_py(), batch.column("chunk")[i].as_py(), at,
+                               WordNames.pack([text[k] for k in at]))
+
+    def name(batches):
+        for batch in batches:
+            for lang in pc.unique(batch.column("lang")):
+                mine = batch.filter(pc.equal(batch.column("lang"), lang))
+                text, ids = mine.column("word").cast(pa.binary()).to_pylist(), np.asarray(mine.column("id"))
+                for part, at in _by_part(parts_of(mine.column("word"))):
+                    yield _row(part, 0, lang.as_py(), 0, ids[at], WordNames.pack([text[k] for k in at]))
 
     def number(ids):
         place = np.flatnonzero(ids >= 0)
         return place, ids[place], int(ids.max(initial=-1)) + 1
 
-    return _renamed(chunks, names, number)
+    names = words.select("lang", "word", "id").mapInArrow(name, PACKED)
+    sent = chunks.select("chunk", "lang", "words").mapInArrow(send, PACKED)
+    return _renamed(chunks, _met(names, sent, WordNames), number)
 
 
 def with_pair_ids(chunks: DataFrame, pairs: DataFrame) -> DataFrame:
     bits = chunks.sparkSession.sparkContext.broadcast(bit_table(pairs.select("lang", "a", "b")))
+    parts = _parts(pairs)
 
     def send(batches):
         table = bits.value
         for batch in batches:
             for i in range(batch.num_rows):
-                lang, m, k = (batch.column(c)[i].as_py() for c in ("lang", "m", "chunk"))
-                _, a, b, _ = _distinct_pairs(_unpack(batch.column("ids")[i], m))
+                lang, chunk = batch.column("lang")[i].as_py(), batch.column("chunk")[i].as_py()
+                _, a, b, _ = _distinct_pairs(expand(batch.column("ids")[i].as_buffer()))
                 p = _bits(lang, a, b)
                 go = np.flatnonzero(table[p >> 3] >> (7 - (p & 7)) & 1)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(go), k)), pa.array([lang] * len(go), pa.string()), pa.array(go.astype(np.int32)),
-                     pa.array(a[go]), pa.array(b[go])], ["chunk", "lang", "at", "a", "b"])
+                for part, some in _by_part(p[go] % parts):
+                    at = go[some]
+                    yield _row(part, 1, lang, chunk, at, squeeze(np.concatenate([a[at], b[at]])))
 
-    sent = chunks.select("chunk", "lang", "m", "ids").mapInArrow(send, "chunk long, lang string, at int, a long, b long")
-    names = sent.join(pairs.select("lang", "a", "b", "id"), ["lang", "a", "b"]).select("chunk", "at", "id")
+    def name(batches):
+        for batch in batches:
+            for lang in pc.unique(batch.column("lang")):
+                mine = batch.filter(pc.equal(batch.column("lang"), lang))
+                a, b, ids = (np.asarray(mine.column(c)) for c in ("a", "b", "id"))
+                for part, at in _by_part(_bits(lang.as_py(), a, b) % parts):
+                    yield _row(part, 0, lang.as_py(), 0, ids[at], squeeze(np.concatenate([a[at], b[at]])))
 
     def number(ids):
         place, a, _, at = _distinct_pairs(ids)
         return place, at, len(a)
 
-    return _renamed(chunks, names, number)
+    names = pairs.select("lang", "a", "b", "id").mapInArrow(name, PACKED)
+    sent = chunks.select("chunk", "lang", "ids").mapInArrow(send, PACKED)
+    return _renamed(chunks, _met(names, sent, PairNames), number)
 
 
 # ---------------------------------------------------------------- scores
@@ -431,16 +582,20 @@ def phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", lea
     counted = chunks.select("lang", pair).groupBy("lang", F.col("p.words").alias("word")).agg(F.sum("p.counts").alias("f"))
     total = chunks.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x).alias("c")).groupBy(
         "lang").agg(F.sum("c").alias("n"))
+    total = rows.stage(total, "phrase-totals")
     words = rows.stage(ranked(rows.stage(counted.where(F.col("f") >= least), "phrase-words"), ["word"]), "phrase-word-ids")
 
     level = rows.stage(with_word_ids(chunks, words), "phrase-level-1")
+    rows.discard(chunks)
     known = []
     for size in range(2, LONGEST + 1):
         found = rows.stage(pair_counts(level, least), f"phrase-pairs-{size}")
         if size < LONGEST:
             found = rows.stage(ranked(found, ["a", "b"]), f"phrase-ids-{size}")
-            level = rows.stage(with_pair_ids(level, found), f"phrase-level-{size}")
+            last, level = level, rows.stage(with_pair_ids(level, found), f"phrase-level-{size}")
+            rows.discard(last)
         known.append(found)
+    rows.discard(level)
 
     def both(pairs: DataFrame, names: DataFrame, columns: list[str]) -> DataFrame:
         side = [names.select("lang", F.col("id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in columns]) for s in "ab"]

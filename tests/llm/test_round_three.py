@@ -144,14 +144,30 @@ def test_tile_sums_dense_and_sparse_alike():
         assert (np.diff(inner) > 0).all()
 
 
-def test_pairs_of_large_ids_keep_their_tile_order():
+def test_codes_follow_the_tiles_in_every_quadrant():
     a = np.array([5, 1 << 33, 5, 3000, 1 << 33, 0])
     b = np.array([7, 9, 7, 1, 9, 1 << 35])
-    for shift in (0, 34):
-        x, y, n = collocations._summed(a % (1 << (32 if not shift else 62)), b % (1 << (32 if not shift else 62)), np.ones(6, np.int64))
-        assert n.sum() == 6 and sorted(n.tolist())[-1] >= 2
-        key = list(zip((x >> 11).tolist(), (y >> 11).tolist()))
-        assert key == sorted(key)
+    seen = 0
+    for qa, qb, at in collocations._quadrants(a, b):
+        code, n = collocations._summed([(collocations._codes(a[at], b[at]), np.ones(len(a[at]), np.int64))])
+        seen += n.sum()
+        ta, tb, inner = code >> np.uint64(43), code >> np.uint64(22) & np.uint64((1 << 21) - 1), code & np.uint64((1 << 22) - 1)
+        x = (qa << 32) + (ta.astype(np.int64) << 11) + (inner.astype(np.int64) >> 11)
+        y = (qb << 32) + (tb.astype(np.int64) << 11) + (inner.astype(np.int64) & 2047)
+        assert Counter(dict(zip(zip(x.tolist(), y.tolist()), n.tolist()))) == Counter(zip(a[at].tolist(), b[at].tolist()))
+    assert seen == 6
+
+
+def test_packed_integers_and_lookups():
+    for v in ([], [0], [-1, 5, 127], [-1, 70_000], [1 << 40, -3]):
+        assert collocations.expand(collocations.squeeze(np.array(v, np.int64))).tolist() == v
+    big = 1 << 40
+    keys = [collocations.squeeze(np.array(x)) for x in ([1, big, 2, 3], [7, 9])]
+    names = collocations.PairNames([(keys[0], np.array([10, 11])), (keys[1], np.array([12]))])
+    asked = collocations.squeeze(np.array([1, big, 7, 1, 2, 3, 9, 3]))
+    assert names.find(asked).tolist() == [10, 11, 12, -1]
+    words = collocations.WordNames([(collocations.WordNames.pack([b"a", "\u00e9".encode()]), np.array([3, 4]))])
+    assert words.find(collocations.WordNames.pack(["\u00e9".encode(), b"b", b"a"])).tolist() == [4, -1, 3]
 
 
 def phrase_counts(docs):
