@@ -13,6 +13,9 @@ windows share an aligned anchor as long as ``ANCHOR + PERIOD - 1 <= WINDOW``.
    second exchange, and windows that occur twice are repeated.
 3. Words covered by repeated windows are removed.
 
+The places of either exchange are written before the texts move, so that one
+exchange's files are gone before the next one's come.
+
 Window fingerprints use two independent polynomial hashes folded into 64 bits;
 a pair of different windows is taken for equal with probability 2**-64.
 
@@ -144,7 +147,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_
 
     # 1. repeated anchors
     first = fingerprints.packed(base.select(*rows.KEY, "text"), fingerprints.chunked_find(anchors), parts)
-    anchored = _places(fingerprints.repeated(first))
+    anchored = rows.stage(_places(fingerprints.repeated(first)), "cover-anchors")
 
     # Documents without repeated anchors are finished at once, the others keep their text for the next step.
     def settle(batches):
@@ -175,7 +178,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_
             yield fp, doc + lo, place
 
     second = fingerprints.packed(todo.select(*rows.KEY, "text", "places"), extend, parts)
-    found = _places(fingerprints.repeated(second))
+    found = rows.stage(_places(fingerprints.repeated(second)), "cover-windows")
 
     # 3. removal
     def remove(batches):
