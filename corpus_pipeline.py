@@ -17,6 +17,10 @@ from qsumm.session import ensure_checkpoint_dir, ship_package
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
+# A passage of more than 50 words has 51 letters and 50 blanks at the least and
+# about 300 bytes as a rule; a string of 200 bytes lies inside nearly all of them.
+REPEAT_BYTES, REPEAT_GRAM = 200, 80
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go."""
@@ -29,9 +33,9 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def repeated_text_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes under repeated 400-byte strings go from the texts (what is left of
-    a character that was cut in two goes too); ``n_chars`` follows the text."""
-    cut = run_index.dedup(docs.select(*COLUMNS), with_text=True)
+    """Bytes under repeated strings of ``REPEAT_BYTES`` go from the texts (what is left
+    of a character that was cut in two goes too); ``n_chars`` follows the text."""
+    cut = run_index.dedup(docs.select(*COLUMNS), with_text=True, window=REPEAT_BYTES, gram=REPEAT_GRAM)
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
