@@ -34,6 +34,11 @@ def markup_to_text(col) -> Column:
     return strip_ws(collapse_ws(decode_entities(no_tags)))
 
 
+def raw_text(col) -> Column:
+    """Extracted text of markup before white space is collapsed: tags vanish, entities are decoded."""
+    return decode_entities(F.regexp_replace(_c(col), TAG, ""))
+
+
 def html_text(col) -> Column:
     """Flatten a page to text (scripts, styles and comments dropped)."""
     return markup_to_text(F.regexp_replace(_c(col), DROP_BLOCKS, " "))

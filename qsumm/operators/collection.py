@@ -137,3 +137,8 @@ def rank_within(df: DataFrame, key: str, pos: str, name: str = "rank") -> DataFr
     starts = ranked.groupBy(key).agg(F.min("__before").alias("__start"), F.count(F.lit(1)).alias("n_answers"))
     out = ranked.join(starts, key)
     return out.withColumn(name, (F.col("__before") - F.col("__start")).cast("long")).drop("__before", "__start")
+
+
+def summary_fits(summary: str, article: str, slack: int = 10):
+    """the summary is at most ``slack`` characters longer than its article."""
+    return F.length(summary) <= F.length(article) + slack

@@ -18,8 +18,9 @@ def _c(col) -> Column:
 def pick_section(df: DataFrame, sections: str, wanted: str, title: str = "title") -> DataFrame:
     """Adds ``exact`` (sections whose title equals ``wanted``), ``loose`` (title
     contains it, case-insensitive), ``hit`` (first exact, else first loose) and
-    ``match_kind`` in {exact, contains, none}."""
-    s, w = _c(sections), _c(wanted)
+    ``match_kind`` in {exact, contains, none, missing}; a null or empty wanted
+    title is missing and matches nothing."""
+    s, w = _c(sections), F.nullif(_c(wanted), F.lit(""))
     exact = F.filter(s, lambda z: z[title] == w)
     loose = F.filter(s, lambda z: F.contains(F.lower(z[title]), F.lower(w)))
     out = df.withColumn("exact", exact).withColumn("loose", loose)
@@ -27,7 +28,8 @@ def pick_section(df: DataFrame, sections: str, wanted: str, title: str = "title"
     has_loose = F.coalesce(F.size("loose"), F.lit(-1)) > 0
     return (out.withColumn("hit", F.when(has_exact, F.element_at("exact", 1))
                            .when(has_loose, F.element_at("loose", 1)))
-               .withColumn("match_kind", F.when(has_exact, "exact").when(has_loose, "contains").otherwise("none")))
+               .withColumn("match_kind", F.when(w.isNull(), "missing").when(has_exact, "exact")
+                           .when(has_loose, "contains").otherwise("none")))
 
 
 def xml_section_text(df: DataFrame, sections: str, wanted: str, corpus: str, answer: str,
@@ -41,7 +43,7 @@ def xml_section_text(df: DataFrame, sections: str, wanted: str, corpus: str, ans
     title contains the wanted string (case-insensitive) gives its first text.
     The section is kept only when its raw length is at least the answer's.
     """
-    s, w = _c(sections), _c(wanted)
+    s, w = _c(sections), F.nullif(_c(wanted), F.lit(""))
     exact = F.filter(s, lambda z: z["title"] == w)
     n_children = F.aggregate(exact, F.lit(0), lambda acc, z: acc + F.size(z["children"]))
     exact_ok = (F.size(exact) > 0) & ((n_children == 2) | (_c(corpus) == exempt_corpus))

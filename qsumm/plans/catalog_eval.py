@@ -107,8 +107,8 @@ FROM ranked_{a}_{b}"""
 def _wilcoxon_ctes(a, b):
     return f"""
 d_{a}_{b} AS (
-  SELECT x.r2r - y.r2r AS d FROM per_ex x JOIN per_ex y USING (item_id, doc_id)
-  WHERE x.system = '{a}' AND y.system = '{b}' AND x.r2r - y.r2r <> 0
+  SELECT x.fr - y.fr AS d FROM fast x JOIN fast y USING (item_id, doc_id)
+  WHERE x.system = '{a}' AND y.system = '{b}' AND x.fr - y.fr <> 0
 ),
 ranked_{a}_{b} AS (
   SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0 AS avg_rank,
@@ -117,21 +117,30 @@ ranked_{a}_{b} AS (
 ties_{a}_{b} AS (SELECT abs(d) AS ad, count(*) * count(*) * count(*) - count(*) AS c3 FROM d_{a}_{b} GROUP BY abs(d))"""
 
 
+FAST_SQL = f"""
+fast_tokens AS (SELECT *, {sq.word_punct_tokens('gen')} AS ht, {sq.word_punct_tokens('summary')} AS rt FROM gens),
+fast_grams AS (SELECT *, {sq.ngrams('ht', 2)} AS h2, {sq.ngrams('rt', 2)} AS r2 FROM fast_tokens),
+fast AS (SELECT item_id, doc_id, system,
+                CASE WHEN len(r2) > 0 THEN CAST({sq.clipped_overlap('h2', 'r2')} AS DOUBLE) / len(r2) END AS fr
+         FROM fast_grams)"""
+
+
 @query("wilcoxon_rouge2", f"""
 WITH {_baselines_sql()},
-{_rouge_eval_sql('gens')},
+{FAST_SQL},
 {','.join(_wilcoxon_ctes(a, b) for a, b in PAIRS)}
 {' UNION ALL '.join(_wilcoxon_sql(a, b) for a, b in PAIRS)}
 """)
 def q_wilcoxon_rouge2(spark, sf_dir):
-    """A15 + J12 + W7: signed-rank statistic of per-example ROUGE-2 recall between systems."""
+    """A15 + J12 + W7: signed-rank statistic of per-example fast ROUGE-2 (A12: word
+    and punctuation bigrams) between systems."""
     from qsumm.session import cut_lineage
     p = baseline_predictions(spark, sf_dir)
-    s = cut_lineage(rg.with_rouge(p, "gen", "summary", max_n=2, alpha=1.0, lcs=False)
-                    .select("item_id", "doc_id", "system", "rouge_2_r"))
+    p = p.withColumn("ht", tx.word_punct_tokens("gen")).withColumn("rt", tx.word_punct_tokens("summary"))
+    s = cut_lineage(rg.fast_rouge(p, "ht", "rt", 2).select("item_id", "doc_id", "system", "fast_rouge"))
     pairs = None
     for a, b in PAIRS:
-        one = co.pair_systems(s, a, b, ["item_id", "doc_id"], "rouge_2_r").withColumn("pair", F.lit(f"{a}|{b}"))
+        one = co.pair_systems(s, a, b, ["item_id", "doc_id"], "fast_rouge").withColumn("pair", F.lit(f"{a}|{b}"))
         pairs = one if pairs is None else pairs.unionByName(one)
     w = st.wilcoxon(pairs, group="pair")
     return w.select(F.split_part("pair", F.lit("|"), F.lit(1)).alias("system_a"),
@@ -208,7 +217,7 @@ def _wilcoxon_p_sql():
               f"/ (exp(lgamma(k + 1)) * (2 * k + 1))))")
     return f"""
 WITH {_baselines_sql()},
-{_rouge_eval_sql('gens')},
+{FAST_SQL},
 {','.join(_wilcoxon_ctes(a, b) for a, b in PAIRS)},
 w AS ({' UNION ALL '.join(_wilcoxon_sql(a, b) for a, b in PAIRS)})
 SELECT *, round(CASE

@@ -3,7 +3,9 @@ W1-W4, F4-F7, U1-U4) over whole driver tables.
 
 Question-answer sheet fixture: one row per page; the question is the page
 title (titles repeat), the url is the page url, the answer is the document
-with ``doc_id = page_id``, the requested section is the page title.
+with ``doc_id = page_id``.  The requested section is written the way people
+write them down, by the length of the title: the title itself, its first half in
+capitals (found by containment only), a title no page has, or a missing marker.
 """
 
 from __future__ import annotations
@@ -27,21 +29,45 @@ def qa_sheet(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), F.col("text").alias("answer"))
     sheet = pages.join(docs, "page_id", "left").select(
-        F.col("page_id").alias("a_pos"), hf.page_title("html").alias("question"), uf.na_url("url").alias("url"),
-        "answer", uf.na_section(hf.page_title("html")).alias("section"))
-    return sheet
+        F.col("page_id").alias("a_pos"), hf.page_title("html").alias("question"), uf.na_url("url").alias("url"), "answer")
+    title, kind = F.col("question"), F.length("question") % 5
+    written = (F.when(kind == 1, F.upper(F.substring(title, F.lit(1), F.ceil(F.length(title) / 2).cast("int"))))
+               .when(kind == 2, F.concat(F.lit("About: "), title))
+               .when(kind == 3, F.when(F.length(title) % 2 == 0, F.lit("none")).otherwise(F.lit("")))
+               .otherwise(title))
+    return sheet.withColumn("section", uf.na_section(written))
 
 
 QA_SHEET_SQL = f"""
-sheet AS (
+sheet0 AS (
   SELECT p.page_id AS a_pos,
          {_markup_to_text_sql("regexp_extract(p.html, '(?is)<title[^>]*>(.*?)</title>', 1)")} AS question,
          CASE WHEN p.url IN ('n/a', 'NA') THEN NULL ELSE p.url END AS url,
          d.text AS answer
   FROM pages p LEFT JOIN documents d ON d.doc_id = p.page_id
+),
+sheet1 AS (
+  SELECT *, CASE length(question) % 5
+              WHEN 1 THEN upper(substr(question, 1, CAST(ceil(length(question) / 2.0) AS INTEGER)))
+              WHEN 2 THEN 'About: ' || question
+              WHEN 3 THEN CASE WHEN length(question) % 2 = 0 THEN 'none' ELSE '' END
+              ELSE question END AS written
+  FROM sheet0
+),
+sheet AS (
+  SELECT * EXCLUDE (written), CASE WHEN written NOT IN ('n/a', 'NA', 'none', '') THEN written END AS section FROM sheet1
 )"""
 
 
+def _raw_text_sql(x: str) -> str:
+    """Extracted text of markup before white space is collapsed."""
+    out = f"regexp_replace({x}, '<[^>]*>', '', 'g')"
+    for k, v in hf.ENTITIES:
+        v_sql = v.replace("'", "''")
+        out = f"replace({out}, '{k}', '{v_sql}')"
+    return out
+
+
 def _site_sql(u):
     return (f"CASE WHEN string_split(split_part({u}, '//', 2), '.')[1] = 'www' "
             f"THEN string_split(split_part({u}, '//', 2), '.')[2] ELSE string_split(split_part({u}, '//', 2), '.')[1] END")
@@ -179,37 +205,59 @@ def q_unique_articles(spark, sf_dir):
                          F.size(tx.sentences("article")).cast("long").alias("n_sents"))
 
 
-@query("validation_examples", f"""
+VALIDATION_SQL = f"""
 WITH {QA_SHEET_SQL.strip()},
 firsts AS (SELECT question, min(a_pos) AS a_pos FROM sheet GROUP BY question),
 f AS (SELECT s.* FROM sheet s JOIN firsts USING (question, a_pos)),
 pg AS (SELECT page_id AS a_pos, {_markup_to_text_sql(f"regexp_replace(html, '(?is)<script\\b.*?</script>|<style\\b.*?</style>|<!--.*?-->', ' ', 'g')")} AS page_text FROM pages),
 j AS (
   SELECT f.*, pg.page_text,
-         replace(question, chr(10), ' ') || ' [QUESTION?] ' || {sq.collapse_ws('pg.page_text')} AS article,
+         {sq.collapse_ws('question')} || ' [QUESTION?] ' || {sq.collapse_ws('pg.page_text')} AS article,
          {sq.collapse_ws('answer')} AS summary
   FROM f JOIN pg USING (a_pos)
   WHERE pg.page_text IS NOT NULL AND length(pg.page_text) > 0
-)
+)"""
+
+
+@query("validation_examples", f"""
+{VALIDATION_SQL}
 SELECT CAST(a_pos AS BIGINT) AS a_pos, question,
-       length(summary) <= length(article) + 10 AS kept,
        md5({sq.tag_sentences(sq.sentences('summary'))}) AS tagged_summary_md5,
        CAST(length(article) AS BIGINT) AS article_len
-FROM j
+FROM j WHERE length(summary) <= length(article) + 10
 """)
 def q_validation_examples(spark, sf_dir):
-    """W1 first answer per question, F5 keep when a page text exists, P5, P7, P10,
-    F6 length rule (flag), P9 tagged summary."""
+    """W1 first answer per question, F5 keep when a page text exists, P5, P10,
+    F6 length rule (longer summaries go), P9 tagged summary."""
+    kept = validation_candidates(spark, sf_dir).where(co.summary_fits("summary", "article"))
+    return kept.select(F.col("a_pos").cast("long").alias("a_pos"), "question",
+                       F.md5(tx.tag_sentences(tx.sentences("summary"))).alias("tagged_summary_md5"),
+                       F.length("article").cast("long").alias("article_len"))
+
+
+@query("validation_rejects", f"""
+{VALIDATION_SQL}
+SELECT CAST(a_pos AS BIGINT) AS a_pos, question, CAST(length(summary) AS BIGINT) AS summary_len,
+       CAST(length(article) AS BIGINT) AS article_len
+FROM j WHERE length(summary) > length(article) + 10
+""")
+def q_validation_rejects(spark, sf_dir):
+    """F6 side table: first answers that are longer than their question-driven page."""
+    out = validation_candidates(spark, sf_dir).where(~co.summary_fits("summary", "article"))
+    return out.select(F.col("a_pos").cast("long").alias("a_pos"), "question",
+                      F.length("summary").cast("long").alias("summary_len"),
+                      F.length("article").cast("long").alias("article_len"))
+
+
+def validation_candidates(spark, sf_dir):
+    """``(a_pos, question, article, summary)`` before the length rule."""
     sheet = qa_sheet(spark, sf_dir)
     firsts = co.first_by(sheet, "question", "a_pos", ["a_pos", "answer"])
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("a_pos"), hf.html_text("html").alias("page_text"))
     j = firsts.join(pages, "a_pos").where(F.col("page_text").isNotNull() & (F.length("page_text") > 0))
-    j = j.withColumn("article", tx.with_question(tx.newline_to_space("question"), tx.collapse_ws("page_text"))) \
-         .withColumn("summary", tx.collapse_ws("answer"))
-    return j.select(F.col("a_pos").cast("long").alias("a_pos"), "question",
-                    (F.length("summary") <= F.length("article") + 10).alias("kept"),
-                    F.md5(tx.tag_sentences(tx.sentences("summary"))).alias("tagged_summary_md5"),
-                    F.length("article").cast("long").alias("article_len"))
+    return j.select("a_pos", "question",
+                    tx.with_question(tx.collapse_ws("question"), tx.collapse_ws("page_text")).alias("article"),
+                    tx.collapse_ws("answer").alias("summary"))
 
 
 PAGE_ANSWERS_SQL = f"""
@@ -228,33 +276,45 @@ secs AS (
                                          'raw': regexp_replace(p, '(?is)^.*?</h[1-6]\\s*>', '')}}) AS s
   FROM pg
 ),
-j AS (SELECT a.a_pos, a.question, a.answer, x.page_id, x.s FROM sheet a LEFT JOIN secs x USING (url)),
+j AS (SELECT a.a_pos, a.question, a.answer, a.section, x.page_id, x.s FROM sheet a LEFT JOIN secs x USING (url)),
 m AS (
-  SELECT *, list_filter(s, lambda z: z.title = question) AS exact,
-         list_filter(s, lambda z: contains(lower(z.title), lower(question))) AS loose
+  SELECT *, list_filter(s, lambda z: z.title = section) AS exact,
+         list_filter(s, lambda z: contains(lower(z.title), lower(section))) AS loose
   FROM j
 ),
-pick AS (
-  SELECT *, CASE WHEN len(exact) > 0 THEN exact[1] ELSE loose[1] END AS hit FROM m
-)"""
+pick0 AS (
+  SELECT *, CASE WHEN section IS NULL THEN NULL WHEN len(exact) > 0 THEN exact[1] ELSE loose[1] END AS hit FROM m
+),
+pick AS (SELECT *, length(SECTION_LENGTH) AS section_len FROM pick0)""".replace("SECTION_LENGTH", _raw_text_sql("hit.raw"))
 
 
 @query("page_answers", f"""
 WITH {QA_SHEET_SQL.strip()},
 {PAGE_ANSWERS_SQL}
 SELECT CAST(a_pos AS BIGINT) AS a_pos, CAST(page_id AS BIGINT) AS page_id,
-       CASE WHEN len(exact) > 0 THEN 'exact' WHEN len(loose) > 0 THEN 'contains' ELSE 'none' END AS match_kind,
-       CAST(length(hit.raw) AS BIGINT) AS section_raw_len,
-       hit.raw IS NOT NULL AND length(hit.raw) >= length(answer) AS section_long_enough
+       CASE WHEN section IS NULL THEN 'missing' WHEN len(exact) > 0 THEN 'exact' WHEN len(loose) > 0 THEN 'contains'
+            ELSE 'none' END AS match_kind,
+       CAST(section_len AS BIGINT) AS section_len,
+       hit.raw IS NOT NULL AND section_len >= length(answer) AS section_long_enough
 FROM pick
 """)
 def q_page_answers(spark, sf_dir):
     """J3 semi join of pages on answer urls, J2 answers x pages on url, J4/P29/P30
-    section pick (exact title, else case-insensitive containment), F2 length rule."""
+    section pick (exact title, else case-insensitive containment), P4/F4 missing
+    sections, F2 length rule on the section's extracted text."""
     m = page_answer_matches(spark, sf_dir)
     return m.select(F.col("a_pos").cast("long").alias("a_pos"), F.col("page_id").cast("long").alias("page_id"),
-                    "match_kind", F.length("hit.raw").cast("long").alias("section_raw_len"),
-                    (F.col("hit.raw").isNotNull() & (F.length("hit.raw") >= F.length("answer"))).alias("section_long_enough"))
+                    "match_kind", F.col("section_len").cast("long").alias("section_len"),
+                    (F.col("hit.raw").isNotNull() & long_enough()).alias("section_long_enough"))
+
+
+def long_enough():
+    """the section's extracted text, white space not yet collapsed, is no shorter than the answer."""
+    return F.col("section_len") >= F.length("answer")
+
+
+def section_text():
+    return F.when(F.col("hit.raw").isNotNull() & long_enough(), hf.markup_to_text("hit.raw"))
 
 
 def page_answer_matches(spark, sf_dir):
@@ -265,46 +325,53 @@ def page_answer_matches(spark, sf_dir):
     pages = co.dedup_pages(pages.select("url", "page_id", "html"), "url", "page_id")
     pages = pages.select("url", "page_id", hf.html_sections_raw("html").alias("s"), hf.html_text("html").alias("page_text"))
     j = co.answers_with_pages(sheet, pages)
-    return secs.pick_section(j, "s", "question")
+    return secs.pick_section(j, "s", "section").withColumn("section_len", F.length(hf.raw_text("hit.raw")))
 
 
-@query("section_validation", f"""
+SECTION_VALIDATION_SQL = f"""
 WITH {QA_SHEET_SQL.strip()},
 {PAGE_ANSWERS_SQL},
 firsts AS (SELECT question, min(a_pos) AS a_pos FROM sheet GROUP BY question),
 f AS (SELECT p.* FROM pick p JOIN firsts USING (question, a_pos)),
 k AS (
-  SELECT *, CASE WHEN hit.raw IS NOT NULL AND length(hit.raw) >= length(answer)
+  SELECT *, CASE WHEN hit.raw IS NOT NULL AND section_len >= length(answer)
                  THEN {_markup_to_text_sql('hit.raw')} END AS section_text
   FROM f
 ),
 v AS (
   SELECT a_pos, question,
-         replace(question, chr(10), ' ') || ' [QUESTION?] ' || {sq.collapse_ws('section_text')} AS article,
+         {sq.collapse_ws('question')} || ' [QUESTION?] ' || {sq.collapse_ws('section_text')} AS article,
          {sq.collapse_ws('answer')} AS summary
   FROM k WHERE section_text IS NOT NULL
-)
+)"""
+
+
+@query("section_validation", f"""
+{SECTION_VALIDATION_SQL}
 SELECT CAST(a_pos AS BIGINT) AS a_pos, question,
-       length(summary) <= length(article) + 10 AS kept,
        md5({sq.tag_sentences(sq.sentences('summary'))}) AS tagged_summary_md5,
        CAST(length(article) AS BIGINT) AS article_len
-FROM v
+FROM v WHERE length(summary) <= length(article) + 10
 """)
 def q_section_validation(spark, sf_dir):
     """Section-to-answer validation set: W1 first answer per question, F5 kept only
-    when that answer has a matched section passing F2, P5 whitespace, P7/P10
-    question-driven article, F6 length rule (flag), P9 tagged summary."""
+    when that answer has a matched section passing F2, P5 whitespace, P10
+    question-driven article, F6 length rule (longer summaries go), P9 tagged summary."""
+    kept = section_candidates(spark, sf_dir).where(co.summary_fits("summary", "article"))
+    return kept.select(F.col("a_pos").cast("long").alias("a_pos"), "question",
+                       F.md5(tx.tag_sentences(tx.sentences("summary"))).alias("tagged_summary_md5"),
+                       F.length("article").cast("long").alias("article_len"))
+
+
+def section_candidates(spark, sf_dir):
+    """``(a_pos, question, article, summary)`` before the length rule."""
     m = page_answer_matches(spark, sf_dir)
     firsts = co.first_by(qa_sheet(spark, sf_dir).select("question", "a_pos"), "question", "a_pos", ["a_pos"])
-    f = m.join(firsts, ["question", "a_pos"])
-    sec = F.when(F.col("hit.raw").isNotNull() & (F.length("hit.raw") >= F.length("answer")), hf.markup_to_text("hit.raw"))
-    k = f.withColumn("section_text", sec).where(F.col("section_text").isNotNull())
-    k = k.withColumn("article", tx.with_question(tx.newline_to_space("question"), tx.collapse_ws("section_text"))) \
-         .withColumn("summary", tx.collapse_ws("answer"))
-    return k.select(F.col("a_pos").cast("long").alias("a_pos"), "question",
-                    (F.length("summary") <= F.length("article") + 10).alias("kept"),
-                    F.md5(tx.tag_sentences(tx.sentences("summary"))).alias("tagged_summary_md5"),
-                    F.length("article").cast("long").alias("article_len"))
+    k = m.join(firsts, ["question", "a_pos"]).withColumn("section_text", section_text()).where(
+        F.col("section_text").isNotNull())
+    return k.select("a_pos", "question",
+                    tx.with_question(tx.collapse_ws("question"), tx.collapse_ws("section_text")).alias("article"),
+                    tx.collapse_ws("answer").alias("summary"))
 
 
 @query("section_match_stats", f"""
@@ -313,7 +380,7 @@ WITH {QA_SHEET_SQL.strip()},
 pt AS (SELECT page_id, {_markup_to_text_sql("regexp_replace(html, '(?is)<script\\b.*?</script>|<style\\b.*?</style>|<!--.*?-->', ' ', 'g')")} AS page_text FROM pages),
 k AS (
   SELECT p.*, pt.page_text,
-         CASE WHEN hit.raw IS NOT NULL AND length(hit.raw) >= length(answer) THEN {_markup_to_text_sql('hit.raw')} END AS section_text
+         CASE WHEN hit.raw IS NOT NULL AND section_len >= length(answer) THEN {_markup_to_text_sql('hit.raw')} END AS section_text
   FROM pick p LEFT JOIN pt USING (page_id)
 )
 SELECT CAST(count(*) AS BIGINT) AS n_answers,
@@ -330,8 +397,7 @@ FROM k
 def q_section_match_stats(spark, sf_dir):
     """A5 page/section match counts and means, F2 length rule, F7 sanity violations."""
     m = page_answer_matches(spark, sf_dir)
-    sec = F.when(F.col("hit.raw").isNotNull() & (F.length("hit.raw") >= F.length("answer")), hf.markup_to_text("hit.raw"))
-    k = m.withColumn("section_text", sec)
+    k = m.withColumn("section_text", section_text())
     has_page = F.col("page_id").isNotNull()
     has_sec = F.col("section_text").isNotNull()
     bad = has_sec & ~((F.length("page_text") > F.length("answer")) & (F.length("page_text") > F.length("section_text")))
