@@ -18,11 +18,20 @@ series in one task.  Two-level scan:
 4. each chunk replays its rows from its entering value.
 The same pattern then gives best-so-far flags and patience counters.
 
+The composed form rounds differently from a row-by-row fold and does not see a
+re-seed caused by a mean that becomes exactly 0 inside a chunk.  Its values are
+therefore only first guesses: after the replay, every chunk whose entering value
+differs in any bit from the value its predecessor ended with is replayed from
+that value, until none differs (``settled_means``).  Entering values and ends
+then agree along every series, so the result is the row-by-row fold itself.  The
+step shrinks differences, so a round or two suffice; a series needs as many rounds
+as it has chunks at the most.
+
+A null or NaN value is no step: it keeps the running mean and counts as a
+non-improvement; before the first value there is no mean (null).
+
 Per-row work inside a chunk is a short Python loop over an Arrow batch
 (pandas UDF); everything else is joins and grouping.
-Deviation: for a non-zero entering value the composed form ignores a
-re-seed caused by an intermediate mean of exactly 0 (needs exact float
-cancellation); entering 0 is handled exactly.
 """
 
 from __future__ import annotations
@@ -42,25 +51,61 @@ DECAY = 0.99
 CLIP = 12.0
 
 
-def running_mean_seq(values, decay: float = DECAY, clip: float = CLIP, start: float = 0.0):
-    """Reference fold (also used inside chunks): re-seed when the mean is exactly 0."""
-    m = start
+def _missing(x) -> bool:
+    return x is None or x != x
+
+
+def running_mean_seq(values, decay: float = DECAY, clip: float = CLIP, start: float | None = None):
+    """Reference fold (also used inside chunks): re-seed when the mean is exactly 0.
+    A missing value is no step; the mean before any step is None."""
+    m = None if _missing(start) else start
     out = []
     for x in values:
-        m = x if m == 0 else m * decay + (1 - decay) * x
-        m = min(m, clip)
+        if not _missing(x):
+            m = min(x if m is None or m == 0 else m * decay + (1 - decay) * x, clip)
         out.append(m)
     return out
 
 
 def _summary(values, decay, clip):
-    a, b, c = 1.0, 0.0, math.inf
+    a, b, c, z = 1.0, 0.0, math.inf, 0.0
     for x in values:
+        if _missing(x):
+            continue
         a, b, c = decay * a, decay * b + (1 - decay) * x, min(decay * c + (1 - decay) * x, clip)
-    z = running_mean_seq(values, decay, clip)[-1] if len(values) else 0.0
+        z = min(x if z == 0 else z * decay + (1 - decay) * x, clip)
     return a, b, c, z
 
 
+def settled_means(chunks: DataFrame, series: str, decay: float, clip: float) -> DataFrame:
+    """``chunks`` (series, __chunk, __vals, __m_in: guessed entering value, null for none) with
+    ``__sm``, the exact running means: replays chunks until every entering value
+    is, to the bit, the value the chunk before ended with."""
+    kind = T.StructType([T.StructField("sm", T.ArrayType(T.DoubleType())), T.StructField("end", T.DoubleType())])
+
+    @F.pandas_udf(kind)
+    def replay(vals: pd.Series, m_in: pd.Series) -> pd.DataFrame:
+        rows = []
+        for v, start in zip(vals, m_in):
+            out = running_mean_seq(list(v), decay, clip, start)
+            rows.append((out, out[-1]))
+        return pd.DataFrame(rows, columns=["sm", "end"])
+
+    done = cut_lineage(chunks.withColumn("__r", replay("__vals", "__m_in")))
+    while True:
+        ends = done.select(series, (F.col("__chunk") + 1).alias("__chunk"), F.col("__r.end").alias("__true"))
+        # The first chunk of a series has no predecessor and no entering value.
+        open_ = (done.select(series, "__chunk", "__vals", "__m_in").join(ends, [series, "__chunk"], "left")
+                 .where(~F.col("__m_in").eqNullSafe(F.col("__true"))))
+        redo = cut_lineage(open_.select(series, "__chunk", F.struct(
+            F.col("__true").alias("m_in"), replay("__vals", "__true").alias("r")).alias("__new")))
+        if redo.isEmpty():
+            return done.withColumn("__sm", F.col("__r.sm")).drop("__r")
+        done = cut_lineage(done.join(redo, [series, "__chunk"], "left")
+                           .withColumn("__m_in", F.when(F.col("__new").isNull(), F.col("__m_in")).otherwise(F.col("__new.m_in")))
+                           .withColumn("__r", F.coalesce("__new.r", "__r")).drop("__new"))
+
+
 def _two_level_starts(sums: DataFrame, series: str, key_type: str, cols, col_types, compose, step, init,
                       out_cols, out_types, block: int) -> DataFrame:
     """State entering every chunk from per-chunk summaries, in two levels so no
@@ -132,7 +177,7 @@ def metric_scan(df: DataFrame, series: str, order, value: str, decay: float = DE
         rows = [_summary(list(v), decay, clip) for v in vals]
         return pd.DataFrame(rows, columns=["A", "B", "C", "Z"])
 
-    sums = chunks.select(series, "__chunk", summarize("__vals").alias("s")).select(series, "__chunk", "s.*")
+    sums = chunks.select(series, "__chunk", summarize("__vals").alias("__s")).select(series, "__chunk", "__s.*")
     key_type = df.schema[series].dataType.simpleString()
 
     def mean_step(state, sm):
@@ -150,12 +195,8 @@ def metric_scan(df: DataFrame, series: str, order, value: str, decay: float = DE
     starts = _two_level_starts(sums, series, key_type, ["A", "B", "C", "Z"], ["double"] * 4, mean_compose,
                                mean_step, (0.0,), ["__m_in"], ["double"], block)
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def replay_mean(vals: pd.Series, m_in: pd.Series) -> pd.Series:
-        return pd.Series([running_mean_seq(list(v), decay, clip, s) for v, s in zip(vals, m_in)])
-
-    ch = chunks.join(sized_broadcast(starts), [series, "__chunk"])
-    ch = cut_lineage(ch.withColumn("__sm", replay_mean("__vals", "__m_in")))
+    guessed = starts.withColumn("__m_in", F.nullif("__m_in", F.lit(0.0)))
+    ch = settled_means(chunks.join(sized_broadcast(guessed), [series, "__chunk"]), series, decay, clip)
 
     # -- W9/W10: chunk best and position of its last improvement, series fold, replay
     better = (lambda x, y: x > y) if maximize else (lambda x, y: x < y)
@@ -167,14 +208,14 @@ def metric_scan(df: DataFrame, series: str, order, value: str, decay: float = DE
         for s, g in zip(sm, gids):
             b, p = None, None
             for v, gid in zip(s, g):
-                if b is None or better(v, b):
+                if not _missing(v) and (b is None or better(v, b)):
                     b, p = v, gid
             bests.append(b)
             poss.append(p)
         return pd.DataFrame({"best": bests, "pos": poss})
 
-    cb = ch.select(series, "__chunk", chunk_best("__sm", F.transform("__rows", lambda z: z["__gid"])).alias("b"))
-    cb = cb.select(series, "__chunk", "b.best", "b.pos")
+    cb = ch.select(series, "__chunk", chunk_best("__sm", F.transform("__rows", lambda z: z["__gid"])).alias("__b"))
+    cb = cb.select(series, "__chunk", "__b.best", "__b.pos")
 
     def best_step(state, sm):
         best, last = state
@@ -204,12 +245,11 @@ def metric_scan(df: DataFrame, series: str, order, value: str, decay: float = DE
             last = None if pd.isna(last) else int(last)
             f_row, r_row = [], []
             for v, gid in zip(s, g):
-                if b is None or better(v, b):
+                best = not _missing(v) and (b is None or better(v, b))
+                if best:
                     b, last = v, int(gid)
-                    f_row.append(True)
-                else:
-                    f_row.append(False)
-                r_row.append(int(gid) - last)
+                f_row.append(best)
+                r_row.append(None if last is None else int(gid) - last)
             flags.append(f_row)
             runs.append(r_row)
         return pd.DataFrame({"is_best": flags, "runs": runs})
