@@ -169,6 +169,118 @@ def q_relevance_model(spark, sf_dir):
                                      F.lit(round(auc, 6)).alias("auc"))
 
 
+RELEVANCE_FEATURES = ("overlap", "earliness", "log_length")
+
+
+def relevance_rows(spark, sf_dir):
+    """Labelled sentences with the fixed features of the checkable learner."""
+    from qsumm.operators import scoring as sc
+    lab = labelled(spark, sf_dir)
+    split = co.split_by_rank(lab.select("ex_key"), "ex_key", 13, 0.8)
+    rows = sc.sentence_rows(lab.select("item_id", "doc_id", "ex_key", "question", "sents", "labels"), "ex_key", "question",
+                            "sents", "labels").join(split, "ex_key")
+    st, qt = tx.rouge_tokens("sentence"), tx.rouge_tokens("question")
+    n = F.size(st)
+    return rows.select(
+        "ex_key", "pos", "split", "label",
+        F.when(n > 0, F.size(F.filter(st, lambda t: F.array_contains(qt, t))) / n).otherwise(F.lit(0.0)).alias("overlap"),
+        (1.0 / (F.col("pos") + 1)).alias("earliness"), F.log(1.0 + n).alias("log_length"))
+
+
+def _newton_sql(k: int) -> str:
+    """The Newton steps as common table expressions: sums, Gauss-Jordan, next coefficients."""
+    from qsumm.operators.newton import RIDGE, STEPS
+    idx = range(k)
+    out = ["b_0 AS (SELECT " + ", ".join(f"CAST(0 AS DOUBLE) AS b{i}" for i in idx) + ")"]
+    for t in range(STEPS):
+        z = " + ".join(f"b{i} * x{i}" for i in idx)
+        out.append(f"p_{t} AS (SELECT f.*, b.*, 1 / (1 + exp(-({z}))) AS p FROM feat f, b_{t} b WHERE split = 'train')")
+        sums = [f"sum(p * (1 - p) * x{i} * x{j})" + (f" + {RIDGE}" if i == j else "") + f" AS m{i}{j}" for i in idx for j in idx]
+        sums += [f"sum((y - p) * x{i}) - {RIDGE} * max(b{i}) AS m{i}{k}" for i in idx]
+        sums += [f"max(b{i}) AS b{i}" for i in idx]
+        out.append(f"g_{t}_0 AS (SELECT {', '.join(sums)} FROM p_{t})")
+        for c in idx:
+            cols = [f"m{i}{j}" if i == c else f"m{i}{j} - m{i}{c} * m{c}{j} / m{c}{c} AS m{i}{j}"
+                    for i in idx for j in range(k + 1)]
+            out.append(f"g_{t}_{c + 1} AS (SELECT {', '.join(cols + [f'b{i}' for i in idx])} FROM g_{t}_{c})")
+        out.append(f"b_{t + 1} AS MATERIALIZED (SELECT " + ", ".join(f"b{i} + m{i}{k} / m{i}{i} AS b{i}" for i in idx)
+                   + f" FROM g_{t}_{k})")
+    return ",\n".join(out) + f",\nbeta AS (SELECT * FROM b_{STEPS})"
+
+
+RELEVANCE_SQL = f"""
+WITH {LABELS_SQL.strip()},
+qx AS (SELECT ex_key, {sq.rouge_tokens('question')} AS qt FROM pairs),
+sp AS (SELECT ex_key, row_number() OVER (ORDER BY md5(concat_ws('|', '13', ex_key)), ex_key) - 1 AS rnk,
+              count(*) OVER () AS n FROM pairs),
+feat AS MATERIALIZED (
+  SELECT sa.item_id, sa.doc_id, sa.ex_key, sa.pos, sa.s, lab.label AS y,
+         CASE WHEN rnk < CAST(floor(0.8 * n) AS BIGINT) THEN 'train' ELSE 'validation' END AS split, CAST(1 AS DOUBLE) AS x0,
+         CASE WHEN len(st) > 0 THEN CAST(len(list_filter(st, lambda x: list_contains(qt, x))) AS DOUBLE) / len(st) ELSE 0.0 END AS x1,
+         CAST(1 AS DOUBLE) / sa.pos AS x2, ln(CAST(1 AS DOUBLE) + len(st)) AS x3
+  FROM sa JOIN lab ON lab.ex_key = sa.ex_key AND lab.pos = sa.pos JOIN qx ON qx.ex_key = sa.ex_key JOIN sp ON sp.ex_key = sa.ex_key
+),
+{_newton_sql(len(RELEVANCE_FEATURES) + 1)},
+scored AS (SELECT f.*, 1 / (1 + exp(-(b0 * x0 + b1 * x1 + b2 * x2 + b3 * x3))) AS p FROM feat f, beta)"""
+
+
+@query("relevance_newton", f"""
+{RELEVANCE_SQL},
+v AS (SELECT y, round(p, 9) AS s FROM scored WHERE split = 'validation'),
+r AS (SELECT y, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS r FROM v),
+area AS (SELECT count(*) AS n, CAST(sum(y) AS DOUBLE) AS pos, sum(CASE WHEN y = 1 THEN r ELSE 0 END) AS rs FROM r)
+SELECT round(b0, 6) AS intercept, round(b1, 6) AS overlap, round(b2, 6) AS earliness, round(b3, 6) AS log_length,
+       CAST(n AS BIGINT) AS n_validation, CAST(pos AS BIGINT) AS n_positive,
+       round((rs - pos * (pos + 1) / 2) / (pos * (n - pos)), 6) AS auc
+FROM area, beta
+""")
+def q_relevance_newton(spark, sf_dir):
+    """M2, checkable: relevance model on the A17 labels by Newton steps; its
+    coefficients, and the area under the curve of the validation part."""
+    from qsumm.operators import newton as nw
+    rows = relevance_rows(spark, sf_dir)
+    beta = nw.fit_logistic(rows.where(F.col("split") == "train"), "label", RELEVANCE_FEATURES)
+    scored = rows.where(F.col("split") == "validation").select(
+        "label", F.round(nw.probability(beta, RELEVANCE_FEATURES), 9).alias("s"))
+    names = ("intercept", *RELEVANCE_FEATURES)
+    return nw.area_under_curve(scored, "s", "label").select(
+        *[F.round(F.lit(b), 6).alias(n) for b, n in zip(beta, names)], F.col("n").alias("n_validation"), "n_positive",
+        F.round("auc", 6).alias("auc"))
+
+
+@query("relevance_topk", f"""
+{RELEVANCE_SQL},
+rk AS (SELECT *, row_number() OVER (PARTITION BY ex_key ORDER BY round(p, 9) DESC, pos) AS r FROM scored WHERE pos <= 200)
+SELECT item_id, doc_id, string_agg(CAST(pos - 1 AS VARCHAR), ',' ORDER BY r) AS picked, string_agg(CAST(CAST(round(round(p, 9) * 1000000) AS BIGINT) AS VARCHAR), ',' ORDER BY r) AS scores_ppm,
+       md5(string_agg(s, ' ' ORDER BY r)) AS gen_md5
+FROM rk WHERE r <= 3 GROUP BY item_id, doc_id
+""")
+def q_relevance_topk(spark, sf_dir):
+    """M1 with the M2 model: every sentence scored by a column expression inside its
+    row, T4 top-3 among the first 200 with their scores, joined to a summary."""
+    from qsumm.operators import newton as nw
+    from qsumm.operators import select as sel
+    rows = relevance_rows(spark, sf_dir)
+    beta = nw.fit_logistic(rows.where(F.col("split") == "train"), "label", RELEVANCE_FEATURES)
+    ex = exs.passage_examples(spark, sf_dir).select("item_id", "doc_id", "question", "sents")
+    with_q = ex.withColumn("qt", tx.rouge_tokens("question"))
+
+    def prob(sentence, pos):
+        st = tx.rouge_tokens(sentence)
+        n = F.size(st)
+        overlap = F.when(n > 0, F.size(F.filter(st, lambda t: F.array_contains(F.col("qt"), t))) / n).otherwise(F.lit(0.0))
+        z = (F.lit(beta[0]) + F.lit(beta[1]) * overlap + F.lit(beta[2]) * (1.0 / (pos + 1)) + F.lit(beta[3]) * F.log(1.0 + n))
+        return F.round(1.0 / (1.0 + F.exp(-z)), 9)
+
+    scored = with_q.withColumn("probs", F.transform("sents", prob))
+    picked = scored.withColumn("picked", sel.top_k_positions("probs", F.size("sents"), 3, 200))
+    return picked.select(
+        "item_id", "doc_id", F.array_join(F.transform("picked", lambda i: i.cast("string")), ",").alias("picked"),
+        F.array_join(F.transform("picked", lambda i: F.round(F.element_at("probs", i + 1) * 1_000_000).cast("long").cast("string")),
+                     ",").alias("scores_ppm"),
+        F.md5(F.array_join(F.transform("picked", lambda i: F.element_at("sents", i + 1)), " ")).alias("gen_md5"))
+
+
 def _metric_sql():
     from qsumm.plans.catalog import ORACLE
     return ORACLE["metric_smoothing"]
