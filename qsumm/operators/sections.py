@@ -56,3 +56,35 @@ def xml_section_text(df: DataFrame, sections: str, wanted: str, corpus: str, ans
                           .when(F.size(loose) > 0, "contains").otherwise("none"))
               .withColumn("section_text", F.when(F.length("section_raw") >= F.length(_c(answer)),
                                                  F.regexp_replace("section_raw", r"[ \t\n\r\f\x0B]+", " "))))
+
+
+def tree_section(df: DataFrame, wanted: str, answer: str, titles: str = "titles", corpus: str = "corpus",
+                 exempt_corpus: str = "DailyMed") -> DataFrame:
+    """P29/P30/F2/F3/F4 on the titles of ``sources.xml_tree`` (any depth).
+
+    Exact: some text node of a title equals ``wanted``; the child elements of all
+    such titles' parents, in document order and each once, must number exactly
+    two (the exempt corpus may have more), and the second is the section.  Without
+    an exact title the first title whose leading text contains ``wanted``, in any
+    case, gives the first ``text`` descendant of its parent.  Adds ``section_raw``,
+    ``section_kind`` (missing, exact, rejected, contains, short, none) and
+    ``section_text`` (white space collapsed; null unless the raw section is at
+    least as long as the answer)."""
+    t, w = _c(titles), F.nullif(_c(wanted), F.lit(""))
+    exact = F.coalesce(F.filter(t, lambda z: F.exists(z["texts"], lambda x: x == w)), F.array())
+    loose = F.coalesce(F.filter(t, lambda z: F.contains(F.lower(z["title"]), F.lower(w))), F.array())
+    out = (df.withColumn("__w", w).withColumn("__exact", exact)
+           .withColumn("__children", F.array_sort(F.array_distinct(F.flatten(F.transform("__exact", lambda z: z["children"])))))
+           .withColumn("__loose", loose))
+    n = F.size("__children")
+    fits = (n == 2) | ((_c(corpus) == exempt_corpus) & (n >= 2))
+    raw = (F.when(F.size("__exact") > 0, F.when(fits, F.try_element_at("__children", F.lit(2))["text"]))
+           .otherwise(F.try_element_at("__loose", F.lit(1))["first_text"]))
+    kind = (F.when(F.col("__w").isNull(), "missing").when((F.size("__exact") > 0) & ~F.coalesce(fits, F.lit(False)), "rejected")
+            .when(F.col("section_raw").isNull(), "none").when(~F.col("__long"), "short")
+            .when(F.size("__exact") > 0, "exact").otherwise("contains"))
+    return (out.withColumn("section_raw", F.when(F.col("__w").isNotNull(), raw))
+            .withColumn("__long", F.coalesce(F.length("section_raw") >= F.length(_c(answer)), F.lit(False)))
+            .withColumn("section_kind", kind)
+            .withColumn("section_text", F.when(F.col("__long"), F.regexp_replace("section_raw", r"[ \t\n\r\f\x0B]+", " ")))
+            .drop("__w", "__exact", "__children", "__loose", "__long"))
