@@ -433,7 +433,8 @@ def block_links(members: DataFrame, block_bytes: int = BLOCK_BYTES, tile_bytes:
 def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             block_bytes: int = BLOCK_BYTES, tile_bytes: int = TILE_BYTES) -> DataFrame:
     """One row per document: ``id`` (its id), ``n_shingles``, ``component_id``
-    (smallest id of its component) and the row key (ka, kb)."""
+    (smallest id of its component), ``component`` (a number of the component, null
+    without shingles) and the row key (ka, kb)."""
     base = rows.keyed(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text")
     base = base.select(*rows.KEY, "text", "id")
     # 1. classes of equal sets; a class is numbered by a hash of its fingerprint
@@ -454,18 +455,21 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     least = (reps.join(roots, reps["c"] == roots["node"], "left")
              .select("c", F.coalesce("root", "c").alias("root"), "least"))
     named = least.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = least.join(named, "root").select(F.col("c").alias("cc"), "component_id")
+    of = least.join(named, "root").select(F.col("c").alias("cc"), F.col("root").alias("component"), "component_id")
     return (every.join(of, every["c"] == of["cc"], "left")
             .select("id", F.col("n").alias("n_shingles"),
                     F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
-                    *rows.KEY))
+                    F.when(F.col("n") > 0, F.col("component")).alias("component"), *rows.KEY))
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents of which one per component stays (its smallest id; of
-    repeated rows one): all columns of ``docs``."""
-    kept = cluster(docs, id_col, text_col).where(
-        F.col("id").isNull() | (F.col("id") == F.col("component_id"))).select(*rows.KEY).distinct()
+    """The documents that stay, all columns of ``docs``: of every component one row
+    (smallest id, nulls last, then smallest row key), of documents without words
+    every distinct row."""
+    found = rows.stage(cluster(docs, id_col, text_col), "jaccard-clusters")
+    first = F.min(F.struct(F.col("id").isNull().alias("z"), F.col("id"), *rows.KEY)).alias("r")
+    kept = (found.where("component is not null").groupBy("component").agg(first).select("r.ka", "r.kb")
+            .unionByName(found.where("component is null").select(*rows.KEY).distinct()))
     plain, names = rows.hidden(docs)
     keyed = rows.keyed(plain, names[id_col], names[text_col])
     one = keyed.join(kept, list(rows.KEY), "left_semi").dropDuplicates(list(rows.KEY))

@@ -156,6 +156,21 @@ def write_archives(pages: DataFrame, path: str | None = None, segment: int = SEG
     return path
 
 
+def unzipped(data: bytes, step: int = 1 << 16) -> bytes:
+    """All members of a gzip file, one after the other (archives often hold one per
+    record); a file that ends inside a member raises."""
+    out, at, view = [], 0, memoryview(data)
+    while at < len(data):
+        member = zlib.decompressobj(31)
+        while not member.eof:
+            if at >= len(data):
+                raise ValueError("archive ends inside a member")
+            out.append(member.decompress(view[at:at + step]))
+            at += min(step, len(data) - at)
+        at -= len(member.unused_data)
+    return b"".join(out)
+
+
 def parse(data: bytes):
     """(fields, block) of every record of one archive."""
     at = 0
@@ -185,7 +200,7 @@ def read_parts(spark: SparkSession, path: str) -> DataFrame:
     def split(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                data = zlib.decompressobj(31).decompress(batch.column(0)[i].as_buffer().to_pybytes())
+                data = unzipped(batch.column(0)[i].as_buffer().to_pybytes())
                 held, size = [], 0
                 for f, block in parse(data):
                     number = int(f.get("WARC-Segment-Number", 0))

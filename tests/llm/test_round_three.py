@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from qsumm.llm import collocations, contamination, queries, whitening
+from qsumm.llm import collocations, contamination, jaccard, queries, warc, whitening
 from tests.conftest import SF_SMALL
 
 VECTORS = "vec_id long, embedding array<float>, x int, id int, ids int, n int"
@@ -226,3 +226,64 @@ def test_chunk_borders_count_every_phrase_once(spark):
     got = {r["phrase"]: (r["a"], r["l"], r["r"]) for r in collocations.top_phrases(frame).collect()}
     f, _ = phrase_counts(docs)
     assert got and all(a == f["en", tuple(p.split(" "))] for p, (a, _, _) in got.items())
+
+
+def test_one_representative_of_near_copies_with_null_and_equal_ids(spark):
+    rng = np.random.default_rng(5)
+    text = [" ".join(f"w{i}" for i in rng.integers(0, 10_000, 120)) for _ in range(2)]
+    near = [text[0] + f" end{i}" for i in range(5)]
+    docs = spark.createDataFrame(list(zip([None, None, 5, 7, 7], near)) + [(None, text[1]), (None, ""), (3, ""), (3, ""), (None, None)],
+                                 "doc_id long, text string")
+    kept = sorted(((r["doc_id"], r["text"]) for r in jaccard.representatives(docs).collect()), key=repr)
+    assert kept == sorted([(5, near[2]), (None, text[1]), (None, ""), (3, ""), (None, None)], key=repr)
+
+
+def test_archives_with_one_member_per_record():
+    import gzip
+    import zlib
+    parts = [b"one", b"", b"x" * 300_000, b"four"]
+    data = b"".join(gzip.compress(p) for p in parts)
+    assert warc.unzipped(data) == b"".join(parts) and warc.unzipped(data, step=7) == b"".join(parts)
+    for cut in (len(data) - 1, len(gzip.compress(parts[0])) + 5):
+        with pytest.raises((ValueError, zlib.error)):
+            warc.unzipped(data[:cut])
+
+
+# Everything in the package that brings rows to the driver, and what bounds it.
+FETCHES = {
+    "collocations.py": {"collect": ["64 slices of the bit table, 8 MB in all"], "first": ["largest partition number"]},
+    "contamination.py": {"collect": ["shingles of one block of windows, bounded by its bytes", "windows of one block, bounded by its bytes"],
+                         "first": ["bytes of all windows", "number of blocks"]},
+    "graph_ann.py": {"first": ["commonest length", "rows per norm band", "last shard"]},
+    "jaccard.py": {"collect": ["256 slices of the sketch, bounded by SKETCH_CELLS"], "take": ["is a link left", "is a block big"]},
+    "language.py": {"collect": ["fitting sample, bounded by its distinct rows"]},
+    "mixing.py": {"first": ["largest error of a Newton step"]},
+    "packing.py": {"collect": ["length histogram, at most CAPACITY rows"]},
+    "quality.py": {"collect": ["one reference per language"]},
+    "run_index.py": {"first": ["totals of owners with several texts"]},
+    "toxicity.py": {"collect": ["fitting sample, bounded by its distinct rows"]},
+    "whitening.py": {"collect": ["one row per entry of a block of directions", "one row per dimension"], "first": ["commonest length"]},
+}
+
+
+def test_every_fetch_to_the_driver_is_named_with_its_bound():
+    from pathlib import Path
+    found = {}
+    for path in Path(collocations.__file__).parent.glob("*.py"):
+        source = path.read_text()
+        assert not re.search(r"toPandas\(|toLocalIterator\(|localCheckpoint|\.(tail|head)\(\d*\)|\.rdd\b", source), path.name
+        for way in ("collect", "first", "take"):
+            n = len(re.findall(rf"\.{way}\(1?\)", source))
+            if n:
+                found.setdefault(path.name, {})[way] = n
+    assert found == {f: {w: len(b) for w, b in ways.items()} for f, ways in FETCHES.items()}
+
+
+def test_fetched_sums_do_not_grow_with_repeated_rows(spark):
+    """A thousand repeats of one vector bring the same number of rows to the driver."""
+    few = [(i, [float(i % 7), float(i % 5), 1.0]) for i in range(12)]
+    for lists in (few, few + few[:1] * 1000):
+        x, d = whitening.integers(vectors(spark, lists), "vec_id", "embedding")
+        n, total = whitening.sums(x, d)
+        assert n == len(lists) and len(total) == 3
+        assert len(whitening._summed(x, d, 6, lambda m: np.ones(6))) == 6
