@@ -17,7 +17,8 @@ feature vectors reach the driver.  Every document is scored.
 Defined results: null texts and texts without a letter are ``und`` with score
 0; without labelled documents everything is ``und``; with one language all
 others get it with score 1; rows with a null language are not learned from;
-repeated rows get equal results; other columns are never read.
+repeated rows get equal results and are learned from once; other columns are
+returned by ``identify`` and have no part in it.
 """
 
 from __future__ import annotations
@@ -29,14 +30,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from . import scan
+from . import rows, scan
 
 DIMS = 1 << 12
 GRAMS = (1, 2, 3)
 PER_LANGUAGE = 400
 SAMPLE_ROWS = 6400  # bound of the whole fitting sample
 UNKNOWN = "und"
+RESULTS = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
 
 # Language families by tag (fixed values).
 FAMILIES = {
@@ -191,12 +194,15 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
     # The ranked rows carry ids only; Spark limits them before the shuffle.
     pool = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"),
                            F.xxhash64(id_col, text_col).alias("h")).where("lang is not null and text is not null")
-    picked = (pool.select("lang", "h").withColumn("r", F.row_number().over(order))
-              .where(F.col("r") <= per_language))
+    # Repeats of a row share a rank and count once.
+    picked = (pool.select("lang", "h").withColumn("r", F.dense_rank().over(order))
+              .where(F.col("r") <= per_language).distinct())
     # By rank first: the bound takes from the languages with the most documents, never all of one.
     at_most = max(SAMPLE_ROWS, labelled.select(lang_col).distinct().count())
-    picked = picked.orderBy("r", "h", "lang").limit(at_most).select("lang", "h").distinct()
-    sample = pool.join(F.broadcast(picked), ["lang", "h"])
+    picked = picked.orderBy("r", "h", "lang").limit(at_most).select("lang", "h")
+    # Repeats go before the fetch: it holds one row per pick.
+    sample = (pool.join(F.broadcast(picked), ["lang", "h"])
+              .groupBy("lang", "h").agg(F.min("text").alias("text")))
 
     def vectors(batches):
         for batch in batches:
@@ -216,10 +222,9 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
 
 
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """``docs`` (all columns) with ``lang_pred`` and ``lang_score``."""
-    names = docs.columns
-    where = names.index(text_col)
-    schema = ", ".join([f"`{n}` {t}" for n, t in docs.dtypes] + ["lang_pred string", "lang_score double"])
+    """``docs`` (all columns; its own columns of these names are replaced) with
+    ``lang_pred`` and ``lang_score``."""
+    where = rows.place_of(docs, text_col, RESULTS)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(batches):
@@ -235,11 +240,9 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
                     t, s = m.predict(x)
                     tags[known], score[known] = t[known], s[known]
                 part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(tags.tolist(), pa.string()), pa.array(score, pa.float64())],
-                    [*names, "lang_pred", "lang_score"])
+                yield [*part.columns, pa.array(tags.tolist(), pa.string()), pa.array(score, pa.float64())]
 
-    return docs.mapInArrow(predict, schema)
+    return rows.map_with_results(docs, predict, RESULTS)
 
 
 def fold(id_col: Column, folds: int) -> Column:

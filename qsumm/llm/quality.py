@@ -7,10 +7,8 @@ counts are pre-aggregated per task and summed in slices.  A language reference
 is its character-class distribution (the normalised median shares, which a
 minority of junk does not move) and the distribution over its ``COMMON`` most
 frequent cells (the rest is one bin).  A tag gives a reference only from
-``MIN_REF_DOCS`` documents (in corpora of fewer than ``MIN_REF_DOCS`` times
-``REF_PART`` documents one in ``REF_PART``, at least ``LEAST_REF_DOCS``) and
-``MIN_REF_RUNS`` letter runs on; the documents of other tags are judged by the
-references there are.
+``MIN_REF_DOCS`` documents and ``MIN_REF_RUNS`` letter runs on, in corpora of
+every size; the documents of other tags are judged by the references there are.
 The second pass compares every document with every reference by the
 Jensen-Shannon distance (square root of the divergence, base 2) and rejects it
 when even the nearest reference is too far.  Both limits shrink with the length
@@ -39,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import scan
+from . import rows, scan
 
 MIN_WORDS = 20
 REPEAT_PERCENT = 30
@@ -55,9 +53,7 @@ CLASS_NOISE = 1.0  # sampling noise of a class histogram: added as CLASS_NOISE /
 MAX_WORD_DISTANCE = 0.15
 WORD_NOISE = 3.2  # sampling noise of a word histogram: added as WORD_NOISE / sqrt(letter runs)
 JUDGED_RUNS = 1000  # a reference must tell a text of so many letter runs without common words
-MIN_REF_DOCS = 100  # documents of MIN_CHARS that pass the base rules, per reference
-LEAST_REF_DOCS = 10
-REF_PART = 20
+MIN_REF_DOCS = 30  # documents of MIN_CHARS that pass the base rules, per reference
 MIN_REF_RUNS = 2000
 
 # Character classes by byte (fixed values): a multi-byte character counts once, by its lead byte.
@@ -153,11 +149,6 @@ def cells_of(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return (h & np.uint64(CELLS - 1)).astype(np.int64), scan.owner(first)
 
 
-def least_documents(total: float) -> float:
-    """Documents that a tag needs for a reference, of ``total`` in all tags."""
-    return min(MIN_REF_DOCS, max(LEAST_REF_DOCS, total / REF_PART))
-
-
 def references(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> list[dict]:
     """One reference per language tag with enough documents: ``lang``,
     ``classes`` (distribution), ``cells`` and ``shares`` (common cells, rest last)."""
@@ -199,16 +190,14 @@ def references(docs: DataFrame, lang_col: str = "lang", text_col: str = "text")
                                         F.slice(F.sort_array(F.collect_list(F.struct("c", "cell")), False),
                                                 1, COMMON).alias("top"))
     classes = one.where("part < 0").groupBy("lang").agg(F.collect_list(F.struct("i", "c")).alias("classes"))
-    refs, found = [], []
+    refs = []
     for r in classes.join(by_lang, "lang").orderBy("lang").collect():
         hist = np.zeros(KINDS * BINS)
         for i, c in r["classes"]:
             hist[i] = c
-        found.append((r, hist.reshape(KINDS, BINS).cumsum(1)))
-    # Every document of a tag counts once in each class: a row's last sum is their number.
-    least = least_documents(sum(run[0, -1] for _, run in found))
-    for r, run in found:
-        if run[0, -1] < least or r["total"] < MIN_REF_RUNS:
+        # Every document of a tag counts once in each class: a row's last sum is their number.
+        run = hist.reshape(KINDS, BINS).cumsum(1)
+        if run[0, -1] < MIN_REF_DOCS or r["total"] < MIN_REF_RUNS:
             continue  # too little text under the tag for a reference
         dist = ((run * 2 < run[:, -1:]).sum(1) / (BINS - 1)) ** 2
         top = sorted((x["cell"], x["c"]) for x in r["top"])
@@ -270,18 +259,18 @@ def distances(buf: np.ndarray, offsets: np.ndarray, refs: list[dict], max_word:
 
 def judge(docs: DataFrame, refs: list[dict] | None = None, text_col: str = "text",
           max_class: float = MAX_CLASS_DISTANCE, max_word: float = MAX_WORD_DISTANCE) -> DataFrame:
-    """``docs`` (all columns) with the struct column ``quality``: the base
-    metrics, ``base_failed``, the two distances (null where guarded) and ``kept``."""
+    """``docs`` (all columns; its own column of this name is replaced) with the
+    struct column ``quality``: the base metrics, ``base_failed``, the two distances
+    (null where guarded) and ``kept``."""
     if refs is None:
         refs = references(docs, text_col=text_col)
     spec = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
             "base_failed boolean, class_distance double, word_distance double, kept boolean")
     fields = [f.split(" ") for f in spec.split(", ")]
     types = {"long": T.LongType(), "boolean": T.BooleanType(), "double": T.DoubleType()}
-    schema = T.StructType([*docs.schema.fields,
-                           T.StructField("quality", T.StructType([T.StructField(n, types[t]) for n, t in fields]))])
-    names = docs.columns
-    where = names.index(text_col)
+    results = T.StructType([
+        T.StructField("quality", T.StructType([T.StructField(n, types[t]) for n, t in fields]))])
+    where = rows.place_of(docs, text_col, results)
 
     def test(batches):
         for batch in batches:
@@ -303,12 +292,13 @@ def judge(docs: DataFrame, refs: list[dict] | None = None, text_col: str = "text
                 cols += [pa.array(failed), pa.array(dc, pa.float64(), mask=~has_c),
                          pa.array(dw, pa.float64(), mask=~has_w), pa.array(kept)]
                 q = pa.StructArray.from_arrays(cols, [n for n, _ in fields])
-                part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*part.columns, q], [*names, "quality"])
+                yield [*batch.slice(lo, hi - lo).columns, q]
 
-    return docs.mapInArrow(test, schema)
+    return rows.map_with_results(docs, test, results)
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The documents that pass, with their own columns."""
-    return judge(docs).where("quality.kept").drop("quality")
+    """The documents that pass, with their own columns, one named ``quality`` included."""
+    plain, names = rows.hidden(docs)
+    refs = references(plain, names["lang"], names["text"])
+    return rows.shown(judge(plain, refs, names["text"]).where("quality.kept"), names)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from qsumm.session import ensure_checkpoint_dir
 
@@ -66,7 +68,27 @@ def hidden(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """``df`` with neutral column names, and the name each column got: extra
     columns cannot clash with working names."""
     names = {c: f"_o{i}" for i, c in enumerate(df.columns)}
-    return df.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), names
+    return df.toDF(*names.values()), names
+
+
+def map_with_results(df: DataFrame, mapper, results: T.StructType) -> DataFrame:
+    """``df.mapInArrow`` for a ``mapper`` that appends the columns of ``results`` to
+    every batch.  Columns of ``df`` with a name of ``results`` (as the session
+    compares names) are replaced; all others may have any name."""
+    left = df.drop(*results.names)
+    plain = left.toDF(*[f"_o{i}" for i in range(len(left.columns))])
+    schema = T.StructType([*plain.schema.fields, *results.fields])
+
+    def named(batches):
+        for columns in mapper(batches):
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
+
+    return plain.mapInArrow(named, schema).toDF(*left.columns, *results.names)
+
+
+def place_of(df: DataFrame, column: str, results: T.StructType) -> int:
+    """Position of ``column`` in the batches that the mapper of ``map_with_results`` gets."""
+    return df.drop(*results.names).columns.index(column)
 
 
 def shown(df: DataFrame, names: dict[str, str]) -> DataFrame:

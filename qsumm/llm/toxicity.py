@@ -10,13 +10,15 @@ Fitting uses at most ``PER_CLASS`` labelled documents of each class (smallest
 hash of the id; the bound is the only sampling here).  Their whole texts become
 (sentence, word cell) pairs inside the tasks.  Word cells enter the model when
 their document counts differ between the classes by more than ``MIN_Z``
-standard errors.  Every document is scored over its whole text.
+standard errors, at most the ``MAX_FEATURES`` strongest; both are parameters of
+``fit``.  Every document is scored over its whole text.
 
 Defined results: null and empty texts have no sentence and get the score of an
 empty bag, 0; with labels of one class only (or none) the score is that class
 for all (0 without labels); null labels and labels of absent documents are not
 learned from; a document labelled twice counts as toxic if any label says so;
-repeated rows get equal scores; other columns are never read.
+repeated rows get equal scores; of texts with one id the smallest is learned
+from; other columns are returned by ``score`` and have no part in it.
 """
 
 from __future__ import annotations
@@ -25,13 +27,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from . import scan
+from . import rows, scan
 
 CELLS = 1 << 20
 PER_CLASS = 4000
 MIN_Z = 5.0
 MAX_FEATURES = 4096  # strongest cells kept; bounds the model
+RESULTS = T.StructType([T.StructField("toxicity", T.DoubleType())])
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[ord("a"):ord("z") + 1] = True
@@ -79,7 +83,8 @@ class Model:
         return np.clip(-np.expm1(run[first[1:]] - run[first[:-1]]), 0.0, 1.0)
 
 
-def train(bags: list[tuple[int, np.ndarray, np.ndarray, int]], steps: int = 400, l2: float = 2e-3) -> Model:
+def train(bags: list[tuple[int, np.ndarray, np.ndarray, int]], steps: int = 400, l2: float = 2e-3,
+          min_z: float = MIN_Z, max_features: int = MAX_FEATURES) -> Model:
     """``bags``: (label, cell of each word, sentence of each word, sentences)."""
     y = np.array([b[0] for b in bags], dtype=float)
     if len(set(y.tolist())) < 2:
@@ -94,8 +99,8 @@ def train(bags: list[tuple[int, np.ndarray, np.ndarray, int]], steps: int = 400,
     n1, n0 = y.sum(), len(y) - y.sum()
     p = (pos + neg) / (n1 + n0)
     z = (pos / n1 - neg / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
-    strong = np.flatnonzero(np.abs(z) >= MIN_Z)
-    strong = np.sort(strong[np.argsort(-np.abs(z[strong]), kind="stable")[:MAX_FEATURES]])
+    strong = np.flatnonzero(np.abs(z) >= min_z)
+    strong = np.sort(strong[np.argsort(-np.abs(z[strong]), kind="stable")[:max_features]])
     chosen = distinct[strong]
     # Flat training set: one row per (sentence, chosen word).
     sent_doc = np.repeat(np.arange(len(bags)), [b[3] for b in bags])
@@ -131,15 +136,18 @@ def train(bags: list[tuple[int, np.ndarray, np.ndarray, int]], steps: int = 400,
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-        label_col: str = "toxic", per_class: int = PER_CLASS) -> Model:
+        label_col: str = "toxic", per_class: int = PER_CLASS, min_z: float = MIN_Z,
+        max_features: int = MAX_FEATURES) -> Model:
     """Model from at most ``per_class`` labelled documents of each class."""
     one = (labels.select(F.col(id_col).alias("lid"), F.col(label_col).cast("int").alias("y"))
            .where("lid is not null and y is not null").groupBy("lid").agg(F.max("y").alias("y")))
     parts = [one.where(F.col("y") == v).orderBy(F.xxhash64("lid"), "lid").limit(per_class) for v in (0, 1)]
     sample = parts[0].unionByName(parts[1])
     # A bounded side: at most 2 * per_class rows of two numbers.
-    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(
-        F.broadcast(sample), F.col("id") == F.col("lid")).select("id", "text", "y")
+    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(
+        F.broadcast(sample), F.col("id") == F.col("lid"))
+    # One text per id, so that repeats do not reach the driver.
+    chosen = picked.groupBy("id", "y").agg(F.min("text").alias("text")).select("id", "text", "y")
 
     def bags(batches):
         for batch in batches:
@@ -163,24 +171,23 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     id_type = dict(chosen.dtypes)["id"]
     got = chosen.mapInArrow(bags, f"id {id_type}, y int, n int, cells binary, at binary").orderBy("id").collect()
     return train([(r["y"], np.frombuffer(r["cells"], "<i4").astype(np.int64),
-                   np.frombuffer(r["at"], "<i4").astype(np.int64), r["n"]) for r in got])
+                   np.frombuffer(r["at"], "<i4").astype(np.int64), r["n"]) for r in got],
+                 min_z=min_z, max_features=max_features)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` (all columns) with ``toxicity`` in [0, 1]."""
-    names = docs.columns
-    where = names.index(text_col)
-    schema = ", ".join([f"`{n}` {t}" for n, t in docs.dtypes] + ["toxicity double"])
+    """``docs`` (all columns; its own column of this name is replaced) with
+    ``toxicity`` in [0, 1]."""
+    where = rows.place_of(docs, text_col, RESULTS)
 
     def run(batches):
         for batch in batches:
             buf, off = scan.texts_of(batch.column(where))
             for lo, hi in scan.chunks(off):
                 p = model.scores(buf[off[lo]:off[hi]], off[lo:hi + 1] - off[lo])
-                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, pa.array(p, pa.float64())],
-                                                 [*names, "toxicity"])
+                yield [*batch.slice(lo, hi - lo).columns, pa.array(p, pa.float64())]
 
-    return docs.mapInArrow(run, schema)
+    return rows.map_with_results(docs, run, RESULTS)
 
 
 def locate(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text",

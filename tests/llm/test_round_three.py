@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from qsumm.llm import collocations, contamination, jaccard, queries, warc, whitening
+from qsumm.llm import collocations, contamination, jaccard, language, quality, queries, toxicity, warc, whitening
 from tests.conftest import SF_SMALL
 
 VECTORS = "vec_id long, embedding array<float>, x int, id int, ids int, n int"
@@ -287,3 +287,45 @@ def test_fetched_sums_do_not_grow_with_repeated_rows(spark):
         n, total = whitening.sums(x, d)
         assert n == len(lists) and len(total) == 3
         assert len(whitening._summed(x, d, 6, lambda m: np.ones(6))) == 6
+
+
+WORDS = {"en": "the and with that house river", "fr": "les dans une maison que rive"}
+
+
+def tagged(spark, repeats=0, results=()):
+    """Documents of two languages, a third of them toxic; the first one ``repeats`` times more."""
+    rows = [(i, " ".join(WORDS[lang].split()[(i * k) % 6] for k in range(1, 40)) + (". vile scum" if i % 3 == 0 else "."), lang)
+            for i, lang in enumerate(["en", "fr"] * 40)]
+    d = spark.createDataFrame(rows + rows[:1] * repeats, "doc_id long, text string, lang string")
+    for name in results:
+        d = d.withColumn(name, d["doc_id"])
+    return d, spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(80)], "doc_id long, toxic int")
+
+
+def test_results_replace_columns_of_their_names(spark):
+    d, labels = tagged(spark, results=("Lang_Pred", "lang_score", "toxicity", "quality", "a.b c"))
+    got = language.identify(d, language.fit(d))
+    assert got.columns == ["doc_id", "text", "lang", "toxicity", "quality", "a.b c", "lang_pred", "lang_score"]
+    assert got.where("lang = lang_pred and `a.b c` = doc_id and toxicity = doc_id").count() == 80
+    got = toxicity.score(d, toxicity.fit(d, labels))
+    assert got.columns == [*(c for c in d.columns if c != "toxicity"), "toxicity"]
+    assert got.where("(toxicity >= 0.5) = (doc_id % 3 = 0) and quality = doc_id").count() == 80
+    got = quality.judge(d)
+    assert got.columns == [*(c for c in d.columns if c != "quality"), "quality"]
+    assert got.where("quality.n_words >= 39 and toxicity = doc_id").count() == 80
+    kept = quality.kept_documents(d)  # no results here: the own column stays
+    assert kept.columns == d.columns
+    assert kept.where("quality = doc_id").count() == got.where("quality.kept").count()
+
+
+def test_fitting_samples_hold_one_of_equal_rows(spark, monkeypatch):
+    """A thousand repeats of one row bring nothing more to the driver and teach nothing more."""
+    fetched = []
+    train = toxicity.train
+    monkeypatch.setattr(toxicity, "train", lambda bags, **how: fetched.append(len(bags)) or train(bags, **how))
+    models = []
+    for repeats in (0, 1000):
+        d, labels = tagged(spark, repeats)
+        models.append((language.fit(d, per_language=20), toxicity.fit(d, labels, per_class=30)))
+    assert (models[0][0].w == models[1][0].w).all()
+    assert (models[0][1].weights == models[1][1].weights).all() and fetched == [57, 57]
