@@ -57,3 +57,53 @@ def test_stream_of_out_of_order_files_equals_batch(spark, scratch):
         "event_type", "event_id", F.round("smoothed", 9).alias("s"), "is_best", "runs")
     assert streamed.count() == ev.count()
     assert streamed.exceptAll(batch).count() + batch.exceptAll(streamed).count() == 0
+
+
+def as_files(rows, scratch, parts):
+    """``rows`` as one file per value of ``part``, arriving in its order."""
+    import glob
+    import shutil
+    flat = os.path.join(scratch, "flat")
+    os.makedirs(flat)
+    for i in range(parts):
+        part = os.path.join(scratch, f"p{i}")
+        rows.where(F.col("part") == i).drop("part").coalesce(1).write.parquet(part)
+        dst = os.path.join(flat, f"events-{i}.parquet")
+        shutil.copy(glob.glob(os.path.join(part, "*.parquet"))[0], dst)
+        os.utime(dst, (1_700_000_000 + 10 * i, 1_700_000_000 + 10 * i))
+    return flat
+
+
+def test_one_hot_series_with_nulls_and_repeats_equals_batch(spark, scratch, monkeypatch):
+    from qsumm.streaming import metric_stream
+    monkeypatch.setattr(metric_stream, "PART_ROWS", 7)  # every slice has many parts
+    ev = spark.read.parquet(f"{SF}/events.parquet").withColumn("event_type", F.lit("all"))
+    ev = ev.withColumn("value", F.when(F.col("event_id") % 11 > 0, F.col("value")))
+    ev = ev.unionByName(ev.where("event_id % 50 = 3")).where("event_id % 2 = 1 or event_id < 400")
+    flat = as_files(ev.withColumn("part", (F.col("event_id") % 3).cast("int")), scratch, 3)
+    out = metric_stream.run_events_stream(spark, flat, "hot", width_ms=6 * 3_600_000)
+    streamed = out.select(F.col("series").alias("event_type"), F.col("tie").alias("event_id"), "smoothed", "is_best",
+                          "runs", "stop")
+    batch = metric_scan(ev, "event_type", ["ts", "event_id"], "value", chunk=64).select(*streamed.columns)
+    assert streamed.count() == ev.count()
+    assert streamed.exceptAll(batch).count() + batch.exceptAll(streamed).count() == 0  # to the bit
+    assert metric_stream.late_rows(ev, out, "event_type", "ts", "event_id").count() == 0
+
+
+def test_rows_behind_a_given_delay_are_listed(spark, scratch):
+    from qsumm.streaming import metric_stream
+    ev = spark.read.parquet(f"{SF}/events.parquet").limit(300)
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    early, mid = ev.agg(F.percentile(at, F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("m")).first()["m"]
+    late = at < early
+    # The last third of the time comes first.  The engine takes a batch against the
+    # watermark of the batch before it, so the middle third is in time, the first is not.
+    flat = as_files(ev.withColumn("part", F.when(late, 2).when(at < mid, 1).otherwise(0)), scratch, 3)
+    out = metric_stream.run_events_stream(spark, flat, "late", delay=0, width_ms=3_600_000)
+    dropped = metric_stream.late_rows(spark.read.parquet(flat), out, "event_type", "ts", "event_id")
+    assert {r["event_id"] for r in dropped.select("event_id").collect()} == {
+        r["event_id"] for r in ev.where(late).select("event_id").collect()}
+    kept = metric_scan(ev.where(~late), "event_type", ["ts", "event_id"], "value", chunk=64)
+    cols = [F.col("tie").alias("event_id"), "smoothed", "is_best", "runs"]
+    same = kept.select("event_id", "smoothed", "is_best", "runs")
+    assert out.select(*cols).exceptAll(same).count() + same.exceptAll(out.select(*cols)).count() == 0
