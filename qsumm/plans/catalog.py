@@ -174,3 +174,4 @@ from qsumm.plans import catalog_vocab  # noqa: E402,F401
 from qsumm.plans import catalog_eval  # noqa: E402,F401
 from qsumm.plans import catalog_model  # noqa: E402,F401
 from qsumm.plans import catalog_xml  # noqa: E402,F401
+from qsumm.plans import catalog_grid  # noqa: E402,F401
