@@ -3,9 +3,11 @@
 Candidate generation is an equi-join on one *anchor* of each passage, chosen so
 that every document containing the passage is guaranteed to produce it:
 
-- passages of three or more whitespace tokens: a token strictly inside the
-  passage is a whole token of every containing document; the anchor is the
-  longest inner token (rare in practice, so few candidates);
+- passages of three or more whitespace tokens: every run of tokens strictly inside
+  the passage is a run of whole tokens of each containing document.  The passage's
+  inner runs of four tokens (two or one, if it has no more) are counted in all
+  documents and the rarest is the anchor; a passage with a run that no document
+  has is in none.  Common words alone thus make no document a candidate;
 - shorter passages: each of their tokens lies inside one whitespace token of
   a containing document, so the first (up to) three characters of the
   passage's longest token are a character gram of some document token.  This
@@ -15,11 +17,12 @@ that every document containing the passage is guaranteed to produce it:
 Candidates are then verified with an exact substring test.
 
 Scale notes
-- the passage table is size-checked once; anchors and passage texts are
-  broadcast only when it is within bounds, otherwise the token join shuffles
-  on the token and AQE splits hot tokens (skew join);
-- the documents' token explode carries only ``doc_id`` (never the text), so
-  the candidate pass is a narrow map-side stage;
+- the passage table is size-checked once; its runs, anchors and texts are
+  broadcast only when they are within bounds, otherwise the joins shuffle on the
+  run and AQE splits hot ones (skew join); counts are summed before the shuffle;
+- the documents' runs carry only ``doc_id`` and a 64-bit hash (never the text), so
+  both passes over them are narrow map-side stages; equal hashes of different
+  runs only add candidates;
 - the candidate pairs are written to the checkpoint folder and broadcast for
   the verification scan only when their size is proven small; otherwise they
   are joined with a shuffle on ``doc_id``.
@@ -35,6 +38,7 @@ from qsumm.plans.joins import DEFAULT_BROADCAST_BYTES, DEFAULT_BROADCAST_ROWS, s
 from qsumm.session import cut_lineage
 
 GRAM = 3
+RUNS = (4, 2, 1)  # tokens of an anchor, the most that a passage has
 
 
 def _longest(tokens) -> F.Column:
@@ -42,12 +46,42 @@ def _longest(tokens) -> F.Column:
         (-F.length(t)).alias("nl"), t.alias("t")))), 1)["t"]
 
 
-def passage_anchor(text) -> F.Column:
-    """Longest inner whitespace token (ties: smallest) of a passage with at least
-    three tokens; NULL otherwise."""
+def _inner(text) -> F.Column:
+    """The whitespace tokens strictly inside a passage."""
     toks = ws_tokens(text)
-    inner = F.slice(toks, 2, F.greatest(F.size(toks) - 2, F.lit(0)))
-    return F.when(F.size(toks) >= 3, _longest(inner))
+    return F.slice(toks, 2, F.greatest(F.size(toks) - 2, F.lit(0)))
+
+
+def run_length(text) -> F.Column:
+    """Tokens of a passage's anchor; NULL under three tokens."""
+    have = F.size(_inner(text))
+    return F.coalesce(*[F.when(have >= n, F.lit(n)) for n in RUNS])
+
+
+def _runs(tokens: F.Column, n: int) -> F.Column:
+    """Hashes of the distinct runs of ``n`` tokens."""
+    hashed = F.transform(F.sequence(F.lit(1), F.size(tokens) - F.lit(n - 1)),
+                         lambda i: F.xxhash64(F.lit(n), F.slice(tokens, i, n)))
+    return F.when(F.size(tokens) >= n, F.array_distinct(hashed)).otherwise(F.array().cast("array<long>"))
+
+
+def rarest_runs(docs: DataFrame, passages: DataFrame, lengths: list[int], bc=lambda d: d) -> tuple[DataFrame, DataFrame]:
+    """``docs`` (__dk, __dt) as ``(__dk, __run)`` and ``passages`` (__pk, __pt) as
+    ``(__pk, __run)`` with the run that the fewest documents have; passages with a run
+    in no document are left out.  ``lengths``: the run lengths that occur; ``bc``
+    broadcasts what grows with the passages, if that is bounded."""
+    of_docs = F.flatten(F.array(*[_runs(F.col("__tok"), n) for n in lengths]))
+    doc_runs = (docs.select("__dk", ws_tokens(F.col("__dt")).alias("__tok"))
+                .select("__dk", F.explode(of_docs).alias("__run")))
+    need = run_length(F.col("__pt"))
+    of_passage = F.coalesce(*[F.when(need == n, _runs(_inner(F.col("__pt")), n)) for n in lengths])
+    wanted = passages.select("__pk", F.explode(of_passage).alias("__run"))
+    counted = (doc_runs.select("__run").join(bc(wanted.select("__run").distinct()), "__run")
+               .groupBy("__run").agg(F.count(F.lit(1)).alias("__df")))
+    rarest = (wanted.join(counted, "__run", "left").groupBy("__pk")
+              .agg(F.min_by("__run", F.struct("__df", "__run")).alias("__run"),
+                   F.bool_and(F.col("__df").isNotNull()).alias("__all")))
+    return doc_runs, rarest.where("__all").select("__pk", "__run")
 
 
 def short_anchor(text) -> F.Column:
@@ -71,26 +105,28 @@ def passage_matches(docs: DataFrame, passages: DataFrame, doc_key: str = "doc_id
     """All ``(pas_key, doc_key)`` pairs where the passage text occurs in the document
     (with ``keep_text``: also ``doc_text`` as ``article`` and ``pas_text`` as ``summary``)."""
     pas = passages.select(F.col(pas_key).alias("__pk"), F.col(pas_text).alias("__pt"))
-    # one aggregate over all passages: size for broadcasting, presence of short passages
+    # one aggregate over all passages: size for broadcasting, kinds of passages
     probe = pas.agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("__pt") + 16).alias("b"),
-        F.count(short_anchor(F.col("__pt"))).alias("short")).first()
-    small = probe["n"] <= DEFAULT_BROADCAST_ROWS and (probe["b"] or 0) <= DEFAULT_BROADCAST_BYTES
+        F.sum(F.size(ws_tokens(F.col("__pt")))).alias("t"),
+        F.count(short_anchor(F.col("__pt"))).alias("short"),
+        *[F.count_if(run_length(F.col("__pt")) == n).alias(f"r{n}") for n in RUNS]).first()
+    small = max(probe["n"], probe["t"] or 0) <= DEFAULT_BROADCAST_ROWS and (probe["b"] or 0) <= DEFAULT_BROADCAST_BYTES
     bc = F.broadcast if small else (lambda d: d)
-    anchors = pas.select("__pk", passage_anchor(F.col("__pt")).alias("__tok")).where(F.col("__tok").isNotNull())
-    doc_toks = docs.select(F.col(doc_key).alias("__dk"),
-                           F.explode(F.array_distinct(ws_tokens(F.col(doc_text)))).alias("__tok"))
-    # documents' tokens are distinct and every passage has one anchor: pairs are unique
-    cand = doc_toks.join(bc(anchors), "__tok").select("__dk", "__pk")
-    shorts = pas.select("__pk", short_anchor(F.col("__pt")).alias("__g")).where(F.col("__g").isNotNull())
+    texts = docs.select(F.col(doc_key).alias("__dk"), F.col(doc_text).alias("__dt"))
+    lengths = [n for n in RUNS if probe[f"r{n}"] > 0] or [1]
+    # documents' runs are distinct and every passage has one anchor: pairs are unique
+    doc_runs, anchors = rarest_runs(texts, pas, lengths, bc)
+    cand = doc_runs.join(bc(anchors), "__run").select("__dk", "__pk")
     if probe["short"] > 0:
+        shorts = pas.select("__pk", short_anchor(F.col("__pt")).alias("__g")).where(F.col("__g").isNotNull())
+        doc_toks = texts.select("__dk", F.explode(F.array_distinct(ws_tokens(F.col("__dt")))).alias("__tok"))
         grams = doc_toks.select("__dk", F.explode(F.array_distinct(_token_grams(F.col("__tok")))).alias("__g"))
         cand = cand.unionByName(grams.join(bc(shorts), "__g").select("__dk", "__pk")).distinct()
     if checkpoint:
         cand = cut_lineage(cand)
     cand = sized_broadcast(cand)
-    hits = (docs.select(F.col(doc_key).alias("__dk"), F.col(doc_text).alias("__dt"))
-            .join(cand, "__dk").join(bc(pas), "__pk")
+    hits = (texts.join(cand, "__dk").join(bc(pas), "__pk")
             .where(F.instr(F.col("__dt"), F.col("__pt")) > 0))
     cols = [F.col("__pk").alias(pas_key), F.col("__dk").alias(doc_key)]
     if keep_text:

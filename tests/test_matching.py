@@ -35,3 +35,27 @@ def test_short_passage_after_many_long_ones_is_found(spark):
     pas = spark.range(5000).selectExpr("id AS item_id", "concat('no such passage here ', id) AS text").unionAll(
         spark.createDataFrame([(9999, "beta"), (10000, "gamma delta epsilon")], "item_id long, text string"))
     assert {r["item_id"] for r in passage_matches(docs, pas).collect()} == {9999, 10000}
+
+
+def test_passages_of_common_words_have_few_candidates(spark):
+    """Every word is in every document: single words would make all pairs candidates."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from qsumm.operators.matching import rarest_runs
+
+    rng = random.Random(5)
+    vocab = [f"w{i}" for i in range(30)]
+    docs = [(i, " ".join(rng.choices(vocab, k=300))) for i in range(200)] + [(200, None)]
+    passages = [(i, " ".join(docs[i * 5][1].split()[20:20 + n])) for i, n in enumerate([6, 7, 8, 12, 30] * 8)]
+    passages += [(100, " ".join(docs[0][1].split()[50:53])), (101, "w1 w2 w1 never w3 w4")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    p = spark.createDataFrame(passages, "item_id long, text string")
+    got = {(r.item_id, r.doc_id) for r in passage_matches(d, p).collect()}
+    want = {(i, j) for i, pt in passages for j, dt in docs if dt and pt in dt}
+    assert got == want and len(want) >= 41
+    long_ones = p.where("item_id < 100 or item_id = 101").select(F.col("item_id").alias("__pk"), F.col("text").alias("__pt"))
+    runs, anchors = rarest_runs(d.select(F.col("doc_id").alias("__dk"), F.col("text").alias("__dt")), long_ones, [4])
+    assert anchors.where("__pk = 101").count() == 0  # a word that no document has
+    assert runs.join(anchors, "__run").count() <= 10 * sum(i < 100 for i, _ in want)
