@@ -44,6 +44,7 @@ REPEAT_PERCENT = 30
 WINDOW = 8
 CELLS = 1 << 16
 SLICE = 1 << 10
+HELD_TAGS = 64  # tags whose counters a task holds at once (half a MB each)
 COMMON = 64
 BINS = 512
 MIN_CHARS = 200
@@ -152,6 +153,20 @@ def cells_of(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def references(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> list[dict]:
     """One reference per language tag with enough documents: ``lang``,
     ``classes`` (distribution), ``cells`` and ``shares`` (common cells, rest last)."""
+    def rows_of(total):
+        """The non-zero counters of ``total``: tag, slice (-1: classes), places in it, counts."""
+        out = []
+        for tag, (hist, cells) in total.items():
+            for part, c in [(-1, hist), *((s // SLICE, cells[s:s + SLICE]) for s in range(0, CELLS, SLICE))]:
+                at = np.flatnonzero(c)
+                if len(at):
+                    out.append((tag, part, at.tolist(), c[at].tolist()))
+        if out:
+            tag, part, at, counts = zip(*out)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(tag, pa.string()), pa.array(part, pa.int32()), pa.array(at, pa.list_(pa.int32())),
+                 pa.array(counts, pa.list_(pa.int64()))], ["lang", "part", "i", "c"])
+
     def count(batches):
         total: dict[str, list[np.ndarray]] = {}
         for batch in batches:
@@ -166,6 +181,9 @@ def references(docs: DataFrame, lang_col: str = "lang", text_col: str = "text")
                 for tag in {t for t in tags if t is not None}:
                     pick = good & (tags == tag)
                     if tag not in total:
+                        if len(total) >= HELD_TAGS:
+                            yield from rows_of(total)
+                            total.clear()
                         total[tag] = [np.zeros(KINDS * BINS, np.int64), np.zeros(CELLS, np.int64)]
                     full = classes[pick & (classes.sum(1) >= MIN_CHARS)]
                     # Square-root bins: rare classes keep their resolution.
@@ -173,18 +191,12 @@ def references(docs: DataFrame, lang_col: str = "lang", text_col: str = "text")
                     total[tag][0] += np.bincount((at.astype(np.int64) + np.arange(KINDS) * BINS).ravel(),
                                                  minlength=KINDS * BINS)
                     total[tag][1] += np.bincount(cell[pick[doc]], minlength=CELLS)
-        out = [(tag, -1, a.tolist()) for tag, (a, _) in total.items()]
-        out += [(tag, s // SLICE, c[s:s + SLICE].tolist()) for tag, (_, c) in total.items()
-                for s in range(0, CELLS, SLICE) if c[s:s + SLICE].any()]
-        if out:
-            tag, part, counts = zip(*out)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(tag, pa.string()), pa.array(part, pa.int32()), pa.array(counts, pa.list_(pa.int64()))],
-                ["lang", "part", "counts"])
+        yield from rows_of(total)
 
-    parts = docs.select(lang_col, text_col).mapInArrow(count, "lang string, part int, counts array<bigint>")
-    one = (parts.select("lang", "part", F.posexplode("counts").alias("i", "c"))
-           .groupBy("lang", "part", "i").agg(F.sum("c").alias("c")).where("c > 0"))
+    parts = docs.select(lang_col, text_col).mapInArrow(count, "lang string, part int, i array<int>, c array<bigint>")
+    # Written once: both reads below would count the texts again.
+    one = rows.stage(parts.select("lang", "part", F.explode(F.arrays_zip("i", "c")).alias("x"))
+                     .groupBy("lang", "part", F.col("x.i").alias("i")).agg(F.sum("x.c").alias("c")), "quality")
     cells = one.where("part >= 0").select("lang", (F.col("part") * SLICE + F.col("i")).alias("cell"), "c")
     by_lang = cells.groupBy("lang").agg(F.sum("c").alias("total"),
                                         F.slice(F.sort_array(F.collect_list(F.struct("c", "cell")), False),
