@@ -8,6 +8,8 @@ token of the longer side).
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -233,26 +235,46 @@ def sentence_best_scores(df: DataFrame, sents: str, ref_sents: str, out: str = "
 # Summary-level ROUGE-L (union LCS over sentences), per-row helper
 
 
+def _next_row(v, matches, full):
+    """One row of the bit-parallel table: a cleared bit is a column where the value rises."""
+    u = v & matches
+    return ((v + u) | (v - u)) & full
+
+
 def _lcs_hits(ref, hyp, mask):
     """Mark in ``mask`` the positions of ``ref`` on one LCS with ``hyp`` (ties
-    move up in ``ref`` first when backtracking)."""
+    move up in ``ref`` first when backtracking).
+
+    Going forward, every ``sqrt(len(ref))``-th bit row is kept; going back, the rows
+    between two of them are made again.  ``2 sqrt(len(ref))`` rows of ``len(hyp)``
+    bits are held, so lines of 10,000 tokens take a quarter of a megabyte."""
     m, n = len(ref), len(hyp)
     if m == 0 or n == 0:
         return
-    vals = [[0] * (n + 1) for _ in range(m + 1)]
-    for i in range(1, m + 1):
-        ri, row, prev = ref[i - 1], vals[i], vals[i - 1]
-        for j in range(1, n + 1):
-            if ri == hyp[j - 1]:
-                row[j] = prev[j - 1] + 1
-            else:
-                row[j] = prev[j] if prev[j] >= row[j - 1] else row[j - 1]
+    where: dict = {}
+    for j, tok in enumerate(hyp):
+        where[tok] = where.get(tok, 0) | (1 << j)
+    full = (1 << n) - 1
+    step = math.isqrt(m - 1) + 1
+    kept, v = [], full
+    for i, tok in enumerate(ref):
+        if i % step == 0:
+            kept.append(v)
+        v = _next_row(v, where.get(tok, 0), full)
     i, j = m, n
+    low, rows = m, [v]  # rows[k] is row ``low + k`` of the table
     while i and j:
         if ref[i - 1] == hyp[j - 1]:
             i, j = i - 1, j - 1
             mask[i] = 1
-        elif vals[i - 1][j] >= vals[i][j - 1]:
+            continue
+        if i - 1 < low:
+            low = (i - 1) // step * step
+            rows = [kept[low // step]]
+            for tok in ref[low:i]:
+                rows.append(_next_row(rows[-1], where.get(tok, 0), full))
+        left = (1 << j) - 1  # equal rises up to column j: equal values, so moving up keeps the length
+        if (rows[i - 1 - low] & left).bit_count() == (rows[i - low] & left).bit_count():
             i -= 1
         else:
             j -= 1

@@ -9,14 +9,18 @@ never a single-partition window over all rows.
 
 from __future__ import annotations
 
+import hashlib
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from qsumm.plans.joins import sized_broadcast
 from qsumm.session import cut_lineage
@@ -162,25 +166,83 @@ def poisson_weight(u: Column) -> Column:
     return sum(((u >= F.lit(c)).cast("int") for c in poisson1_cdf()), F.lit(0))
 
 
+BOOTSTRAP_CELLS = 1 << 20  # sums a task holds before it hands them on
+
+
+def poisson_weights(seed, example, b: int) -> np.ndarray:
+    """Weights of one example in replicates 1..b: ``poisson_weight(uniform_from_md5(seed,
+    example, replicate))`` in one array (a null example is left out of the text, as there)."""
+    head = hashlib.md5("|".join([str(seed)] + ([] if example is None else [str(example)]) + [""]).encode())
+    heads = bytearray()
+    for k in range(1, b + 1):
+        h = head.copy()
+        h.update(str(k).encode())
+        heads += h.digest()[:4]
+    u = np.frombuffer(bytes(heads), dtype=">u4") / float(1 << UNIFORM_BITS)
+    return np.searchsorted(np.array(poisson1_cdf()), u, side="right")
+
+
+def _bootstrap_sums(seed: int, b: int, keys: int, metrics: int, schema: pa.Schema, cells: int):
+    """Weighted sums per key and replicate of one task's rows (columns: keys, example,
+    metrics).  They are handed on whenever ``cells`` of them are held."""
+    def handed(sums):
+        kept = list(sums)
+        cols = [pa.array([k[i] for k in kept for _ in range(b)], schema.field(i).type) for i in range(keys)]
+        cols.append(pa.array(np.tile(np.arange(1, b + 1, dtype=np.int32), len(kept))))
+        block = np.concatenate([sums[k] for k in kept], axis=1)
+        return pa.RecordBatch.from_arrays(cols + [pa.array(x) for x in block], schema=schema)
+
+    def run(batches):
+        sums: dict = {}
+        for batch in batches:
+            cols = [c.to_pylist() for c in batch.columns]
+            for row in zip(*cols):
+                key, values = row[:keys], row[keys + 1:]
+                w = poisson_weights(seed, row[keys], b)
+                if key not in sums:
+                    if sums and (len(sums) + 1) * b * 2 * metrics > cells:
+                        yield handed(sums)
+                        sums = {}
+                    sums[key] = np.zeros((2 * metrics, b))
+                for i, v in enumerate(values):
+                    if v is not None:
+                        sums[key][2 * i] += w * v
+                        sums[key][2 * i + 1] += w
+        if sums:
+            yield handed(sums)
+
+    return run
+
+
 def bootstrap_ci(scores: DataFrame, keys, ex_key: str, metrics, b: int = 1000, seed: int = 13,
-                 lo: float = 0.025, hi: float = 0.975) -> DataFrame:
+                 lo: float = 0.025, hi: float = 0.975, cells: int = BOOTSTRAP_CELLS) -> DataFrame:
     """Poisson bootstrap confidence interval of the mean of each metric per
     group.  Weights come from an md5 of ``(seed, example, replicate)``, so the
-    result does not depend on partitioning and can be reproduced in SQL."""
+    result does not depend on partitioning and can be reproduced in SQL.
+
+    No row is multiplied: every task adds the weight array of a row to the sums of its
+    group and hands on one row per group and replicate, whatever the number of examples.
+    A null score counts in neither sum; a replicate of weight 0 is left out."""
     keys = [keys] if isinstance(keys, str) else list(keys)
-    u = uniform_from_md5(seed, F.col(ex_key), F.col("__b"))
-    rep = scores.select(*keys, ex_key, *metrics).withColumn("__b", F.explode(F.sequence(F.lit(1), F.lit(b))))
-    rep = rep.withColumn("__w", poisson_weight(u))
-    means = rep.groupBy(*keys, "__b").agg(
-        *[F.try_divide(F.sum(F.col(m) * F.col("__w")), F.sum("__w")).alias(m) for m in metrics])
-    out = means.groupBy(*keys).agg(
-        *[F.percentile(F.col(m), F.array(F.lit(lo), F.lit(hi))).alias(f"__{m}") for m in metrics])
-    point = scores.groupBy(*keys).agg(*[F.avg(m).alias(m) for m in metrics])
-    out = out.join(point, keys)
-    cols = list(keys)
-    for m in metrics:
-        cols += [F.col(m), F.col(f"__{m}")[0].alias(f"{m}_cb"), F.col(f"__{m}")[1].alias(f"{m}_ce")]
-    return out.select(*cols)
+    kinds = T.StructType([T.StructField(f"k{i}", scores.schema[k].dataType) for i, k in enumerate(keys)]
+                         + [T.StructField("b", T.IntegerType())]
+                         + [T.StructField(f"{c}{i}", T.DoubleType()) for i in range(len(metrics)) for c in ("s", "w")])
+    src = scores.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.col(ex_key).cast("string").alias("ex"),
+                        *[F.col(m).cast("double").alias(f"m{i}") for i, m in enumerate(metrics)])
+    fold = _bootstrap_sums(seed, b, len(keys), len(metrics), to_arrow_schema(kinds), cells)
+    part = src.mapInArrow(fold, kinds)
+    ks = [f"k{i}" for i in range(len(keys))]
+    means = part.groupBy(*ks, "b").agg(
+        *[F.try_divide(F.sum(f"s{i}"), F.sum(f"w{i}")).alias(f"m{i}") for i in range(len(metrics))])
+    out = means.groupBy(*ks).agg(
+        *[F.percentile(F.col(f"m{i}"), F.array(F.lit(lo), F.lit(hi))).alias(f"c{i}") for i in range(len(metrics))])
+    point = src.groupBy(*ks).agg(*[F.avg(f"m{i}").alias(f"p{i}") for i in range(len(metrics))])
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in ks]
+    both = out.alias("a").join(point.alias("b"), reduce(lambda x, y: x & y, same))
+    cols = [F.col(f"a.k{i}").alias(k) for i, k in enumerate(keys)]
+    for i, m in enumerate(metrics):
+        cols += [F.col(f"p{i}").alias(m), F.col(f"c{i}")[0].alias(f"{m}_cb"), F.col(f"c{i}")[1].alias(f"{m}_ce")]
+    return both.select(*cols)
 
 
 def finite_profile(df: DataFrame, vec: str) -> Column:

@@ -70,3 +70,49 @@ def test_exact_signed_rank_p():
     # n = 10, T = 8: P(W <= 8) = 25/1024, two-sided 50/1024
     assert abs(_exact_two_sided(10, 8) - 50 / 1024) < 1e-12
     assert _exact_two_sided(4, 10) == 1.0
+
+
+def _hits_by_table(ref, hyp):
+    """Brute force: the whole table, ties move up first."""
+    vals = [[0] * (len(hyp) + 1)]
+    for x in ref:
+        row = [0]
+        for j, y in enumerate(hyp):
+            row.append(vals[-1][j] + 1 if x == y else max(vals[-1][j + 1], row[j]))
+        vals.append(row)
+    mask, i, j = [0] * len(ref), len(ref), len(hyp)
+    while i and j:
+        if ref[i - 1] == hyp[j - 1]:
+            i, j = i - 1, j - 1
+            mask[i] = 1
+        elif vals[i - 1][j] >= vals[i][j - 1]:
+            i -= 1
+        else:
+            j -= 1
+    return mask
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from("abcde"), max_size=40), st.lists(st.sampled_from("abcde"), max_size=40))
+def test_marked_positions_equal_the_table_walk(ref, hyp):
+    from qsumm.operators.rouge import _lcs_hits
+    mask = [0] * len(ref)
+    _lcs_hits(ref, hyp, mask)
+    assert mask == _hits_by_table(ref, hyp)
+
+
+def test_lines_of_ten_thousand_tokens_stay_small():
+    import random
+    import tracemalloc
+
+    from qsumm.operators.rouge import _lcs_hits, lcs_length
+    rng = random.Random(5)
+    ref = [str(rng.randrange(500)) for _ in range(10_000)]
+    hyp = [str(rng.randrange(500)) for _ in range(10_000)]
+    mask = [0] * len(ref)
+    tracemalloc.start()
+    _lcs_hits(ref, hyp, mask)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(mask) == lcs_length(ref, hyp)
+    assert peak < 8 << 20

@@ -88,3 +88,37 @@ def test_poisson_weights_have_no_cap():
     assert cdf[-1] > 1.0 - 2.0 ** -UNIFORM_BITS
     assert all(abs(c - math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1))) < 1e-12
                for k, c in enumerate(cdf))
+
+
+def test_bootstrap_sums_equal_multiplied_rows(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from qsumm.operators import stats as st
+    b = 40
+    rows = [(None if i % 7 == 0 else f"s{i % 3}", None if i == 11 else f"e{i}", None if i % 5 == 0 else i / 9.0, i % 4 / 3.0)
+            for i in range(120)] + [("empty", "x", None, None)]
+    df = spark.createDataFrame(rows, "system string, ex string, x double, b double").repartition(5)
+    got = {r["system"]: r for r in st.bootstrap_ci(df, "system", "ex", ["x", "b"], b=b).collect()}
+    small = {r["system"]: r for r in st.bootstrap_ci(df, "system", "ex", ["x", "b"], b=b, cells=1).collect()}
+    rep = df.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(b)))).withColumn(
+        "w", st.poisson_weight(st.uniform_from_md5(13, F.col("ex"), F.col("r"))))
+    for m in ("x", "b"):
+        want = rep.where(F.col(m).isNotNull()).groupBy("system", "r").agg(
+            F.try_divide(F.sum(F.col(m) * F.col("w")), F.sum("w")).alias("v"))
+        by = {}
+        for r in want.collect():
+            if r["v"] is not None:
+                by.setdefault(r["system"], []).append(r["v"])
+        assert set(got) == set(small) == {None, "s0", "s1", "s2", "empty"}
+        for k, vs in by.items():
+            for res in (got, small):
+                assert np.allclose([res[k][f"{m}_cb"], res[k][f"{m}_ce"]], np.quantile(vs, [0.025, 0.975]))
+        assert got["empty"][m] is None and got["empty"][f"{m}_cb"] is None
+
+
+def test_bootstrap_multiplies_no_rows(spark):
+    from qsumm.operators import stats as st
+    df = spark.createDataFrame([("a", "e1", 0.5)], "system string, ex string, x double")
+    plan = st.bootstrap_ci(df, "system", "ex", ["x"], b=1000)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "MapInArrow" in plan
