@@ -319,5 +319,5 @@ def q_stream_rouge(spark, sf_dir):
     from qsumm.streaming.scoring_stream import run_prediction_stream
     src = f"{ensure_checkpoint_dir(spark).rstrip('/')}/predictions-{uuid.uuid4().hex}"
     baseline_predictions(spark, sf_dir).select("item_id", "doc_id", "system", "gen", "summary") \
-        .repartition(3, "system").write.parquet(src)
-    return run_prediction_stream(spark, src, "rouge")
+        .write.parquet(src)
+    return run_prediction_stream(spark, src, "rouge", files_per_trigger=4)

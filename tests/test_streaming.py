@@ -107,3 +107,41 @@ def test_rows_behind_a_given_delay_are_listed(spark, scratch):
     cols = [F.col("tie").alias("event_id"), "smoothed", "is_best", "runs"]
     same = kept.select("event_id", "smoothed", "is_best", "runs")
     assert out.select(*cols).exceptAll(same).count() + same.exceptAll(out.select(*cols)).count() == 0
+
+
+def _predictions(spark, lo, hi):
+    rows = [(f"s{i % 2}", " ".join(f"w{(i * k) % 7}" for k in range(1, 6)), "w1 w2 w3 w4 w5") for i in range(lo, hi)]
+    rows += [(None, None, "w1 w2"), ("s0", "", "w1")]
+    return spark.createDataFrame(rows, "system string, gen string, summary string")
+
+
+def test_snapshots_survive_replays_lost_commits_and_readers(spark, scratch):
+    from qsumm.streaming.scoring_stream import Snapshots, score_batch
+    a, b = _predictions(spark, 0, 30), _predictions(spark, 30, 70)
+    snaps = Snapshots(spark, f"{scratch}/snaps")
+    assert snaps.current() == -1 and snaps.read().count() == 0
+    snaps.upsert(a, 0)
+    reader = snaps.read()  # opened at version 0
+    first = sorted(map(str, reader.collect()))
+    snaps.upsert(a, 0)  # replayed after its commit
+    assert sorted(map(str, snaps.read().collect())) == first
+    snaps.stage(b.limit(3), 1, 0)  # lost before its commit, half the rows
+    assert snaps.current() == 0 and sorted(map(str, snaps.read().collect())) == first
+    snaps = Snapshots(spark, f"{scratch}/snaps")  # a new driver
+    snaps.upsert(b, 1)
+    want = sorted(map(str, score_batch(a.union(b)).collect()))
+    assert sorted(map(str, snaps.read().collect())) == want
+    assert sorted(map(str, reader.collect())) == first  # the old reader still has its version
+    assert sorted(map(str, snaps.read(0).collect())) == first
+
+
+def test_scoring_stream_goes_on_from_its_folder(spark, scratch):
+    from qsumm.streaming.scoring_stream import Snapshots, run_prediction_stream, score_batch
+    src, base = f"{scratch}/src", f"{scratch}/base"
+    _predictions(spark, 0, 20).repartition(2).write.parquet(src)
+    run_prediction_stream(spark, src, "t", base=base)
+    _predictions(spark, 20, 50).repartition(2).write.mode("append").parquet(src)
+    out = run_prediction_stream(spark, src, "t", base=base)
+    whole = score_batch(spark.read.parquet(src))
+    assert sorted(map(str, Snapshots(spark, base).read().collect())) == sorted(map(str, whole.collect()))
+    assert out.count() == 3
