@@ -64,6 +64,45 @@ def running_offsets(df: DataFrame, order_cols, weight: str | None = None, name:
     return out.withColumn(name, F.col("__off") + F.col("__loc")).drop("__pid", "__w", "__loc", "__off")
 
 
+def rolled_up(counts: DataFrame, keys: list, value: str) -> DataFrame:
+    """Counts ``c`` per ``(keys, value)`` summed at every level of the keys, from all keys
+    down to none: ``level`` is the number of keys kept, dropped keys are null."""
+    sets = [[*keys[:k], value] for k in range(len(keys), -1, -1)]
+    level = sum((1 - F.grouping(k) for k in keys), F.lit(0)).cast("int")
+    return counts.groupingSets(sets, *keys, value).agg(level.alias("level"), F.sum("c").alias("c"))
+
+
+def rollup_describe(df: DataFrame, keys, value: str, prefix: str, digits: int = 6) -> DataFrame:
+    """A6 at every level of ``keys``: ``(level, keys, n)``, mean, exact median and population
+    standard deviation of a whole-number column (null values count nowhere).
+
+    Rows become counts per distinct value before anything else; levels, moments and medians
+    come from those.  The median is the value under the middle ranks, found by running
+    totals over the range-partitioned counts, so no task holds all values of a group."""
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    counts = (df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("long").alias("v"))
+              .groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("c")))
+    cells = rolled_up(counts, keys, "v").withColumn("g", F.to_json(F.struct("level", *keys)))
+    ranked = running_offsets(cells, ["g", "v"], "c")
+    big = lambda c: F.col(c).cast("decimal(38,0)")
+    groups = ranked.groupBy("g").agg(
+        F.first("level").alias("level"), *[F.first(k).alias(k) for k in keys],
+        F.sum("c").alias("n"), F.min("__before").alias("start"),
+        F.sum(big("v") * big("c")).alias("s1"), F.sum(big("v") * big("v") * big("c")).alias("s2"))
+    # ranks from 0; the middle ones are (n - 1) / 2 and n / 2, rounded down
+    at = ranked.select("g", "v", "c", "__before").join(groups.select("g", "n", "start"), "g")
+    at = at.withColumn("lo", F.col("__before") - F.col("start")).withColumn("hi", F.col("lo") + F.col("c"))
+    holds = lambda rank: (F.col("lo") <= rank) & (rank < F.col("hi"))
+    low, high = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
+    median = at.where(holds(low) | holds(high)).groupBy("g").agg(
+        ((F.min("v") + F.max("v")) / 2.0).alias("median"))
+    n, s1, s2 = F.col("n").cast("double"), F.col("s1").cast("double"), F.col("s2").cast("double")
+    spread = F.sqrt(F.greatest(F.lit(0.0), s2 / n - (s1 / n) * (s1 / n)))
+    return groups.join(median, "g").select(
+        "level", *keys, F.col("n").cast("long").alias("n"), F.round(s1 / n, digits).alias(f"{prefix}_mean"),
+        F.round("median", digits).alias(f"{prefix}_median"), F.round(spread, digits).alias(f"{prefix}_std"))
+
+
 def average_ranks(values: DataFrame, value: str) -> DataFrame:
     """``(value, cnt, avg_rank)`` per distinct value: ranks 1..n, ties get the mean."""
     counts = values.groupBy(value).agg(F.count(F.lit(1)).alias("cnt"))

@@ -144,7 +144,7 @@ def _stats_cols_sql(v, p):
             f"round(stddev_pop({v}), 6) AS {p}_std")
 
 
-@query("collection_stats", f"""
+COLLECTION_SQL = f"""
 WITH {PAIRS_SQL.strip()},
 conv AS (
   SELECT q.text AS question, a.text AS article FROM conversations q JOIN conversations a
@@ -159,13 +159,11 @@ docs AS (
 ),
 c AS (SELECT dataset, doc_type, CAST(len({sq.word_punct_tokens('txt')}) AS DOUBLE) AS tok,
              CAST(len({sq.sentences('txt')}) AS DOUBLE) AS sen FROM docs)
-SELECT dataset, doc_type, CAST(count(*) AS BIGINT) AS n, {_stats_cols_sql('tok', 'tokens')},
-       {_stats_cols_sql('sen', 'sents')}
-FROM c GROUP BY dataset, doc_type
-""")
-def q_collection_stats(spark, sf_dir):
-    """Count, mean, exact median, population std of tokens and sentences per
-    (dataset, doc_type) (U2 union of the example sets)."""
+"""
+
+
+def collection_texts(spark, sf_dir):
+    """``(dataset, doc_type, tok, sen)``: token and sentence counts of every text of the example sets."""
     conv = exs.conversation_examples(spark, sf_dir)
     pas = exs.passage_examples(spark, sf_dir)
     # one pass per example set: both texts of a row leave through one explode
@@ -174,8 +172,20 @@ def q_collection_stats(spark, sf_dir):
         F.struct(F.lit(b).alias("doc_type"), F.col(b).alias("txt")))).alias("__d")).select("__d.*")
     docs = co.union_tagged({"conversation": two(conv, "question", "article"),
                             "passage": two(pas, "summary", "article")}, tag="dataset")
-    c = docs.select("dataset", "doc_type", F.size(tx.word_punct_tokens("txt")).cast("double").alias("tok"),
+    return docs.select("dataset", "doc_type", F.size(tx.word_punct_tokens("txt")).cast("double").alias("tok"),
                     F.size(tx.sentences("txt")).cast("double").alias("sen"))
+
+
+@query("collection_stats", f"""
+{COLLECTION_SQL.strip()}
+SELECT dataset, doc_type, CAST(count(*) AS BIGINT) AS n, {_stats_cols_sql('tok', 'tokens')},
+       {_stats_cols_sql('sen', 'sents')}
+FROM c GROUP BY dataset, doc_type
+""")
+def q_collection_stats(spark, sf_dir):
+    """Count, mean, exact median, population std of tokens and sentences per
+    (dataset, doc_type) (U2 union of the example sets)."""
+    c = collection_texts(spark, sf_dir)
     agg = []
     for v, p in (("tok", "tokens"), ("sen", "sents")):
         agg += [F.round(F.avg(v), 6).alias(f"{p}_mean"), F.round(F.percentile(v, 0.5), 6).alias(f"{p}_median"),
@@ -183,6 +193,47 @@ def q_collection_stats(spark, sf_dir):
     return c.groupBy("dataset", "doc_type").agg(F.count(F.lit(1)).alias("n"), *agg)
 
 
+@query("collection_rollup", f"""
+{COLLECTION_SQL.strip()}
+SELECT CAST(2 - grouping(dataset) - grouping(doc_type) AS INTEGER) AS level, dataset, doc_type,
+       CAST(count(*) AS BIGINT) AS n, {_stats_cols_sql('tok', 'tokens')}, {_stats_cols_sql('sen', 'sents')}
+FROM c GROUP BY ROLLUP (dataset, doc_type)
+""")
+def q_collection_rollup(spark, sf_dir):
+    """A6 per (dataset, document type), per dataset and over all texts, from counts per value."""
+    c = collection_texts(spark, sf_dir)
+    keys = ["dataset", "doc_type"]
+    tok, sen = (st.rollup_describe(c, keys, v, p) for v, p in (("tok", "tokens"), ("sen", "sents")))
+    same = [tok.level == sen.level, *[tok[k].eqNullSafe(sen[k]) for k in keys]]
+    return tok.join(sen.withColumnRenamed("n", "__n"), same).select(
+        tok.level, *[tok[k] for k in keys], "n", *[f"{p}_{m}" for p in ("tokens", "sents") for m in ("mean", "median", "std")])
+
+
+@query("unique_article_stats", f"""
+WITH prim AS (SELECT p.url, p.page_id, d.text AS article FROM pages p JOIN documents d ON d.doc_id = p.page_id),
+firsts AS (SELECT url, arg_min(struct_pack(a := article), page_id).a AS article FROM prim GROUP BY url),
+c AS (SELECT CAST(len({sq.word_punct_tokens('article')}) AS DOUBLE) AS tok,
+             CAST(len({sq.sentences('article')}) AS DOUBLE) AS sen FROM firsts),
+t AS (SELECT count(*) AS answers, count(DISTINCT url) AS urls, count(DISTINCT {_host_sql('url')}) AS sites FROM prim)
+SELECT CAST(t.answers AS BIGINT) AS n_answers, CAST(t.urls AS BIGINT) AS unique_urls, CAST(t.sites AS BIGINT) AS unique_sites,
+       CAST(count(tok) AS BIGINT) AS n, {_stats_cols_sql('tok', 'tokens')}, {_stats_cols_sql('sen', 'sents')}
+FROM c, t GROUP BY t.answers, t.urls, t.sites
+""")
+def q_unique_article_stats(spark, sf_dir):
+    """A7 + W2 keyed by url: answers, urls and sites, and the A6 statistics of the first
+    article of every url (answers in the order of page ids)."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    docs = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("page_id"), F.size(tx.word_punct_tokens("text")).cast("long").alias("tok"),
+        F.size(tx.sentences("text")).cast("long").alias("sen"))
+    prim = pages.join(docs, "page_id")
+    firsts = co.first_by(prim, "url", "page_id", ["tok", "sen"])
+    tok, sen = (st.rollup_describe(firsts, [], v, p) for v, p in (("tok", "tokens"), ("sen", "sents")))
+    totals = prim.agg(F.count(F.lit(1)).alias("n_answers"), F.countDistinct("url").alias("unique_urls"),
+                      F.countDistinct(uf.host("url")).alias("unique_sites"), F.lit(0).alias("level"))
+    return totals.join(tok, "level").join(sen.drop("n"), "level").drop("level")
+
+
 @query("unique_articles", f"""
 WITH prim AS (
   SELECT {_host_sql('p.url')} AS host, p.page_id, d.text AS article

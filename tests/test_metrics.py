@@ -122,3 +122,24 @@ def test_bootstrap_multiplies_no_rows(spark):
     df = spark.createDataFrame([("a", "e1", 0.5)], "system string, ex string, x double")
     plan = st.bootstrap_ci(df, "system", "ex", ["x"], b=1000)._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and "MapInArrow" in plan
+
+
+def test_rolled_up_statistics_equal_numpy(spark):
+    import numpy as np
+
+    from qsumm.operators import stats as st
+    rows = [(None if i % 6 == 0 else f"d{i % 2}", None if i % 5 == 0 else f"t{i % 3}", None if i % 8 == 0 else (i * i) % 23)
+            for i in range(101)] + [("d0", "t0", 7)] * 40 + [("one", "t9", 3)]
+    df = spark.createDataFrame(rows, "a string, b string, x long").repartition(4)
+    got = {(r["level"], r["a"], r["b"]): r for r in st.rollup_describe(df, ["a", "b"], "x", "x").collect()}
+    want = {}
+    for a, b, x in rows:
+        if x is not None:
+            for k in ((2, a, b), (1, a, None), (0, None, None)):
+                want.setdefault(k, []).append(x)
+    assert set(got) == set(want)
+    for k, xs in want.items():
+        r = got[k]
+        assert r["n"] == len(xs)
+        assert np.allclose([r["x_mean"], r["x_median"], r["x_std"]], [np.mean(xs), np.median(xs), np.std(xs)], atol=1e-6)
+    assert st.rollup_describe(df.where("a = 'none'"), ["a"], "x", "x").count() == 0
