@@ -9,6 +9,7 @@ model being built once per Python worker.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -27,10 +28,16 @@ _MODELS: dict = {}
 
 
 def _cached(factory: Callable):
-    key = id(factory)
-    if key not in _MODELS:
-        _MODELS[key] = factory()
-    return _MODELS[key]
+    """The worker's model of a factory.  A function that workers import by name is one
+    object for the life of a worker and its model is kept; any other factory (a lambda, a
+    closure, a callable object) arrives anew with every task and its model is built there."""
+    name = getattr(factory, "__qualname__", None)
+    module = sys.modules.get(getattr(factory, "__module__", None) or "")
+    if name is None or getattr(module, name, None) is not factory:
+        return factory()
+    if factory not in _MODELS:
+        _MODELS[factory] = factory()
+    return _MODELS[factory]
 
 
 def overlap_scorer():

@@ -38,6 +38,29 @@ def test_question_collection(spark, fix):
     assert "Multi\nline question?" not in by_q  # no snippets -> no rows
 
 
+def test_duplicate_questions_over_several_files(spark, scratch):
+    import json
+    os.makedirs(os.path.join(scratch, "qs"))
+    for name, answers in (("a.json", ["first", "other"]), ("b.json", ["last"])):
+        sets = [{"body": "Q?" if k == 0 else "R?", "type": "factoid", "ideal_answer": [x], "exact_answer": x,
+                 "snippets": [{"text": x, "document": "http://x/pubmed/1"}]} for k, x in enumerate(answers)]
+        with open(os.path.join(scratch, "qs", name), "w") as f:
+            json.dump({"questions": sets}, f)
+    arts = spark.createDataFrame([("1", "text")], "pmid string, article string")
+    kept, _ = qs.build_collection(fl.read_question_set(spark, os.path.join(scratch, "qs")), arts)
+    rows = {r.question: r for r in kept.collect()}
+    # the file that comes last by path defines the question, the first one places it
+    assert rows["Q?"].snippet == "last" and rows["Q?"].file.endswith("a.json") and rows["Q?"].q_pos == 0
+    assert rows["R?"].q_pos == 1 and rows["R?"].file.endswith("a.json")
+
+
+def test_models_of_nameless_factories_are_not_mixed_up():
+    from qsumm.operators import scoring as sc
+    for k in range(200):  # ids of dead functions come back
+        assert sc._cached(lambda k=k: k) == k
+    assert sc._cached(sc.overlap_scorer) is sc._cached(sc.overlap_scorer)
+
+
 def test_qa_sheet_na_handling(spark, fix):
     s = fl.read_qa_sheet(spark, fix("qa_sheet.csv"))
     out = s.select(uf.na_url("URL").alias("u"), uf.na_section(F.col("Section Title")).alias("sec"),
