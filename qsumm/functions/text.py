@@ -83,7 +83,7 @@ def remove_tags(col) -> Column:
 
 def ws_tokens(col) -> Column:
     """Whitespace tokens (``str.split()``)."""
-    return F.filter(F.split(_c(col), WS_CLASS + "+"), lambda t: t != F.lit(""))
+    return F.array_remove(F.split(_c(col), WS_CLASS + "+"), "")
 
 
 def rouge_tokens(col) -> Column:

@@ -20,9 +20,10 @@ Scale notes
 - the passage table is size-checked once; its runs, anchors and texts are
   broadcast only when they are within bounds, otherwise the joins shuffle on the
   run and AQE splits hot ones (skew join); counts are summed before the shuffle;
-- the documents' runs carry only ``doc_id`` and a 64-bit hash (never the text), so
-  both passes over them are narrow map-side stages; equal hashes of different
-  runs only add candidates;
+- the documents' runs carry only ``doc_id`` and a 64-bit hash (never the text) and are
+  made in one pass; those that some passage has go to the checkpoint folder, each once
+  per document, for the counts and the candidates; equal hashes of different runs only
+  add candidates;
 - the candidate pairs are written to the checkpoint folder and broadcast for
   the verification scan only when their size is proven small; otherwise they
   are joined with a shuffle on ``doc_id``.
@@ -30,6 +31,8 @@ Scale notes
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,26 +61,31 @@ def run_length(text) -> F.Column:
     return F.coalesce(*[F.when(have >= n, F.lit(n)) for n in RUNS])
 
 
-def _runs(tokens: F.Column, n: int) -> F.Column:
-    """Hashes of the distinct runs of ``n`` tokens."""
-    hashed = F.transform(F.sequence(F.lit(1), F.size(tokens) - F.lit(n - 1)),
-                         lambda i: F.xxhash64(F.lit(n), F.slice(tokens, i, n)))
-    return F.when(F.size(tokens) >= n, F.array_distinct(hashed)).otherwise(F.array().cast("array<long>"))
+def _runs(df: DataFrame, tokens: F.Column, lengths: list[int], *keys) -> DataFrame:
+    """``keys`` and ``__run``, the hash of every run of ``lengths`` tokens.  The runs come
+    out of one generator over shifted slices, so hashing them is compiled with the scan."""
+    shifts = [F.slice(F.col("__tok"), i + 1, F.size("__tok")).alias(f"__t{i}") for i in range(max(lengths))]
+    rows = df.select(*keys, tokens.alias("__tok")).select(*keys, F.inline(F.arrays_zip(*shifts)))
+    hashes = [F.when(F.col(f"__t{n - 1}").isNotNull(), F.xxhash64(F.lit(n), *[F.col(f"__t{i}") for i in range(n)]))
+              for n in lengths]
+    run = hashes[0] if len(hashes) == 1 else F.explode(F.array(*hashes))
+    return rows.select(*keys, run.alias("__run")).where("__run is not null")
 
 
 def rarest_runs(docs: DataFrame, passages: DataFrame, lengths: list[int], bc=lambda d: d) -> tuple[DataFrame, DataFrame]:
-    """``docs`` (__dk, __dt) as ``(__dk, __run)`` and ``passages`` (__pk, __pt) as
-    ``(__pk, __run)`` with the run that the fewest documents have; passages with a run
-    in no document are left out.  ``lengths``: the run lengths that occur; ``bc``
-    broadcasts what grows with the passages, if that is bounded."""
-    of_docs = F.flatten(F.array(*[_runs(F.col("__tok"), n) for n in lengths]))
-    doc_runs = (docs.select("__dk", ws_tokens(F.col("__dt")).alias("__tok"))
-                .select("__dk", F.explode(of_docs).alias("__run")))
+    """``docs`` (__dk, __dt) as ``(__dk, __run)``, once per document row, for the runs that
+    some passage has, and ``passages`` (__pk, __pt) as ``(__pk, __run)`` with the run that
+    the fewest documents have; passages with a run in no document are left out.
+    ``lengths``: the run lengths that occur; ``bc`` broadcasts what grows with the
+    passages, if that is bounded.  The documents are read and hashed once: the runs
+    found in them are kept in the checkpoint folder for the count and the pairs."""
     need = run_length(F.col("__pt"))
-    of_passage = F.coalesce(*[F.when(need == n, _runs(_inner(F.col("__pt")), n)) for n in lengths])
-    wanted = passages.select("__pk", F.explode(of_passage).alias("__run"))
-    counted = (doc_runs.select("__run").join(bc(wanted.select("__run").distinct()), "__run")
-               .groupBy("__run").agg(F.count(F.lit(1)).alias("__df")))
+    wanted = reduce(DataFrame.unionByName, [
+        _runs(passages.where(need == n), _inner(F.col("__pt")), [n], "__pk") for n in lengths]).distinct()
+    rows = docs.withColumn("__row", F.monotonically_increasing_id())  # repeated rows count one by one
+    found = _runs(rows, ws_tokens(F.col("__dt")), lengths, "__row", "__dk")
+    doc_runs = cut_lineage(found.join(bc(wanted.select("__run").distinct()), "__run").distinct()).select("__dk", "__run")
+    counted = doc_runs.groupBy("__run").agg(F.count(F.lit(1)).alias("__df"))
     rarest = (wanted.join(counted, "__run", "left").groupBy("__pk")
               .agg(F.min_by("__run", F.struct("__df", "__run")).alias("__run"),
                    F.bool_and(F.col("__df").isNotNull()).alias("__all")))

@@ -59,3 +59,17 @@ def test_passages_of_common_words_have_few_candidates(spark):
     runs, anchors = rarest_runs(d.select(F.col("doc_id").alias("__dk"), F.col("text").alias("__dt")), long_ones, [4])
     assert anchors.where("__pk = 101").count() == 0  # a word that no document has
     assert runs.join(anchors, "__run").count() <= 10 * sum(i < 100 for i, _ in want)
+
+
+def test_documents_are_hashed_once(spark, scratch):
+    """Counting the runs and pairing them read the documents' runs, not the documents again."""
+    from qsumm.operators.matching import rarest_runs
+
+    texts = [(i, f"a{i % 7} b c d e{i % 3} f g h") for i in range(300)] + [(300, None), (301, "  lead b c d e0 ")]
+    passages = [(1, "x1 b c d e2 f x"), (2, "3 b c d e0 f g "), (3, "a b c"), (4, "a b c d")]
+    spark.createDataFrame(texts, "__dk long, __dt string").write.parquet(f"{scratch}/docs")
+    p = spark.createDataFrame(passages, "__pk long, __pt string")
+    runs, anchors = rarest_runs(spark.read.parquet(f"{scratch}/docs"), p, [4, 2, 1])
+    assert not runs.inputFiles() and not anchors.inputFiles()
+    pairs = runs.join(anchors, "__run").groupBy("__pk").count().collect()
+    assert {r["__pk"]: r["count"] for r in pairs} == {1: 100, 2: 100, 3: 301, 4: 301}
