@@ -1,7 +1,8 @@
 """BLEU (A13 corpus level, A14 per example, over words or characters).
 
-Per pair: clipped n-gram matches and the number of candidate n-grams (at
-least 1), n = 1..4, plus both lengths; all integers, computed in-row.  Corpus
+Per pair: clipped n-gram matches (counted in Arrow batches, linear in the
+tokens) and the number of candidate n-grams (at least 1), n = 1..4, plus both
+lengths; all integers, computed in-row.  Corpus
 BLEU sums those counters per group and finishes with one-row arithmetic:
 ``BP * exp(mean(log p_n))``, 0 when any n has no match, ``BP = exp(1 - r/c)``
 when the candidate side is not longer, 0 when it is empty.
@@ -9,10 +10,12 @@ when the candidate side is not longer, 0 when it is empty.
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from qsumm.operators.rouge import clipped_overlap
+from pyspark.sql import types as T
 
 
 def _c(col) -> Column:
@@ -24,12 +27,21 @@ def characters(col) -> Column:
     return F.regexp_extract_all(_c(col), F.lit(r"(?s)."), F.lit(0))
 
 
-def _grams(t: Column, n: int, sep: str) -> Column:
-    if n == 1:
-        return t
-    k = F.size(t) - F.lit(n - 1)
-    return F.when(k <= 0, F.array().cast("array<string>")).otherwise(
-        F.transform(F.sequence(F.lit(1), k), lambda i: F.array_join(F.slice(t, i, F.lit(n)), sep)))
+def clipped_counts(h, r, max_n: int, sep: str) -> list[int]:
+    """Clipped n-gram matches of two token lists for n = 1..max_n, in time linear in the tokens."""
+    out = []
+    for n in range(1, max_n + 1):
+        a, b = (Counter(map(sep.join, zip(*(t[i:] for i in range(n))))) for t in (h, r))
+        out.append((a & b).total())
+    return out
+
+
+def _counts_udf(max_n: int, sep: str):
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def counts(h: pd.Series, r: pd.Series) -> pd.Series:
+        return pd.Series([None if a is None or b is None else clipped_counts(a.tolist(), b.tolist(), max_n, sep)
+                          for a, b in zip(h, r)], dtype=object)
+    return counts
 
 
 def with_bleu_counts(df: DataFrame, hyp_tokens, ref_tokens, max_n: int = 4, unit: str = "word",
@@ -40,11 +52,12 @@ def with_bleu_counts(df: DataFrame, hyp_tokens, ref_tokens, max_n: int = 4, unit
     h, r = _c(hyp_tokens), _c(ref_tokens)
     out = df.withColumn(f"__{prefix}_h", h).withColumn(f"__{prefix}_r", r)
     hh, rr = F.col(f"__{prefix}_h"), F.col(f"__{prefix}_r")
+    out = out.withColumn(f"__{prefix}_nums", _counts_udf(max_n, sep)(hh, rr))
     for n in range(1, max_n + 1):
-        out = (out.withColumn(f"{prefix}_{n}_num", clipped_overlap(_grams(hh, n, sep), _grams(rr, n, sep)))
+        out = (out.withColumn(f"{prefix}_{n}_num", F.get(f"__{prefix}_nums", F.lit(n - 1)))
                   .withColumn(f"{prefix}_{n}_den", F.greatest(F.size(hh) - F.lit(n - 1), F.lit(1)).cast("long")))
     out = out.withColumn(f"{prefix}_c", F.size(hh).cast("long")).withColumn(f"{prefix}_r", F.size(rr).cast("long"))
-    return out.drop(f"__{prefix}_h", f"__{prefix}_r")
+    return out.drop(f"__{prefix}_h", f"__{prefix}_r", f"__{prefix}_nums")
 
 
 def bleu_from_counts(nums, dens, c: Column, r: Column) -> Column:

@@ -110,9 +110,30 @@ def keep_shared(a, b) -> Column:
     return F.filter(_c(a), lambda t: F.array_contains(bb, t))
 
 
+LONG = 512  # items from which the overlap is counted in a sorted pass
+
+
+def _merged_overlap(h: Column, r: Column) -> Column:
+    """Clipped overlap from one walk over the sorted items of both sides: every item of
+    ``r`` takes one equal item of ``h`` that is left."""
+    side = lambda a, k: F.transform(a, lambda x: F.struct(x.alias("g"), F.lit(k).alias("k")))
+    none = F.struct(F.lit(None).cast("string").alias("g"), F.lit(0).cast("long").alias("left"), F.lit(0).cast("long").alias("hits"))
+
+    def step(acc, z):
+        left = F.when(z["g"].eqNullSafe(acc["g"]), acc["left"]).otherwise(F.lit(0).cast("long"))
+        hit = F.when((z["k"] == 1) & (left > 0), F.lit(1)).otherwise(F.lit(0))
+        kept = F.when(z["k"] == 0, left + 1).otherwise(left - hit)
+        return F.struct(z["g"].alias("g"), kept.alias("left"), (acc["hits"] + hit).alias("hits"))
+
+    return F.aggregate(F.sort_array(F.concat(side(h, 0), side(r, 1))), none, step, lambda acc: acc["hits"])
+
+
 def clipped_overlap(h, r) -> Column:
-    """sum over distinct items g of min(count_h(g), count_r(g))."""
-    return F.size(F.array_intersect(_occurrence_tagged(_c(h)), _occurrence_tagged(_c(r)))).cast("long")
+    """sum over distinct items g of min(count_h(g), count_r(g)).  Tagging is quadratic in
+    the items, so long texts are sorted and walked once instead."""
+    h, r = _c(h), _c(r)
+    tagged = F.size(F.array_intersect(_occurrence_tagged(h), _occurrence_tagged(r))).cast("long")
+    return F.when(F.greatest(F.size(h), F.size(r)) > LONG, _merged_overlap(h, r)).otherwise(tagged)
 
 
 def ngram_count(tokens, n: int) -> Column:
@@ -343,10 +364,9 @@ def lcs_jvm(a, b) -> Column:
 
 
 def clipped_overlap_exploded(df: DataFrame, key: str, h: str, r: str, out: str = "overlap") -> DataFrame:
-    """Linear-work twin of ``clipped_overlap`` for long texts: the in-row form is
-    quadratic in one row's items (fine for summaries); this form explodes the
+    """Linear-work twin of ``clipped_overlap``: this form explodes the
     items, counts them per ``(key, item)`` with map-side partial aggregation and
-    sums ``least`` per key (two shuffles, no row ever quadratic).  ``key`` must
+    sums ``least`` per key (two shuffles).  ``key`` must
     be unique per row."""
     sides = df.select(key, F.explode(F.concat(
         F.transform(F.col(h), lambda x: F.struct(x.alias("g"), F.lit(1).alias("ch"), F.lit(0).alias("cr"))),
