@@ -62,3 +62,15 @@ def test_directory_of_pages(spark, fix):
     assert pages.count() == 4 and pages.where("malformed").count() == 1
     got = tree_section(pages.withColumn("w", pages["url"].substr(1, 0)), "w", "url").select("section_kind").distinct().collect()
     assert [r[0] for r in got] == ["missing"]
+
+
+def test_pages_leave_a_task_in_small_batches():
+    import pyarrow as pa
+
+    texts = ["x" * 900, None, "y" * 300, "", "z" * 5000, "w" * 10, "v" * 10] * 50
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["i", "xml"])
+    parts = list(xt._slices(batch, "xml", 2000))
+    assert [v for p in parts for v in p.column("xml").to_pylist()] == texts
+    assert max(sum(len(v or "") for v in p.column("xml").to_pylist()) for p in parts) <= 2000 + 5000
+    assert not list(xt._slices(batch.slice(0, 0), "xml"))
+    assert xt.BATCH_BYTES <= 4 << 20
