@@ -84,7 +84,9 @@ def rarest_runs(docs: DataFrame, passages: DataFrame, lengths: list[int], bc=lam
         _runs(passages.where(need == n), _inner(F.col("__pt")), [n], "__pk") for n in lengths]).distinct()
     rows = docs.withColumn("__row", F.monotonically_increasing_id())  # repeated rows count one by one
     found = _runs(rows, ws_tokens(F.col("__dt")), lengths, "__row", "__dk")
-    doc_runs = cut_lineage(found.join(bc(wanted.select("__run").distinct()), "__run").distinct()).select("__dk", "__run")
+    # dealt by what a retried task finds again; its row numbers may be others then
+    found = found.join(bc(wanted.select("__run").distinct()), "__run").repartition("__dk", "__run")
+    doc_runs = cut_lineage(found.distinct()).select("__dk", "__run")
     counted = doc_runs.groupBy("__run").agg(F.count(F.lit(1)).alias("__df"))
     rarest = (wanted.join(counted, "__run", "left").groupBy("__pk")
               .agg(F.min_by("__run", F.struct("__df", "__run")).alias("__run"),
