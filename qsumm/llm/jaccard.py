@@ -4,11 +4,15 @@ Two documents link when the Jaccard similarity of their sets of 5-word shingles
 is 75 percent or more (exact on 64-bit shingle hashes).
 
 1. Documents with equal sets are one class; only its smallest member goes on.
-2. Linked sets share a shingle among their rarest quarter (plus one) in any
-   global order, so classes are blocked by those prefix shingles.  The order is
-   by a count sketch of all shingles, rare first: a passage that many documents
-   share leaves the prefixes.  Prefix shingles meet in a packed exchange and
-   classes that share one are chained to a block (connected components).
+2. Linked sets share at least a quarter of their size (``shared_least``) among
+   their rarest halves (``prefix_length``) in any global order.  The first order
+   is by a count sketch of all shingles, rare first: a passage that many documents
+   share leaves the prefixes.  Prefix shingles meet in a packed exchange, where
+   the exact number of classes that hold one becomes known.  A class with fewer
+   shared prefix shingles than a link needs is alone; of the others only the
+   rarest shared ones, by that exact number, travel again, and classes that
+   share one are chained to a block (connected components).  So blocks do not
+   grow together with the corpus, however little the sketch tells apart.
 3. Inside a block, tokens (shingles) are hashed into groups; the counts per
    group make a point.  An R-tree over the points holds, per node, the largest
    count of every coordinate and the smallest size: the sum of coordinate
@@ -73,9 +77,19 @@ def shingle_sets(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return h, np.searchsorted(d, np.arange(docs + 1))
 
 
+def shared_least(n):
+    """Prefix shingles that a set of ``n`` has in common with the prefix of any linked set, at least.
+
+    Linked sets overlap in ``least`` = 75 percent of the larger one.  Of two prefixes the one that
+    ends first in the order lacks at most the rest of its set, ``n - prefix_length(n)``.  That rest
+    and this number both grow with ``n``, so the bound holds whichever ends first."""
+    least = -(-n * PERCENT // 100)
+    return least // 3 + 1
+
+
 def prefix_length(n):
-    """Shingles of a set of ``n`` of which a linked set holds at least one."""
-    return n - -(-n * PERCENT // 100) + 1
+    """Shingles of a set of ``n`` that travel: the rarest half, about."""
+    return n - -(-n * PERCENT // 100) + shared_least(n)
 
 
 def class_numbers(h: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -101,6 +115,9 @@ def classes(base: DataFrame) -> DataFrame:
     return base.select(*rows.KEY, "text", "id").mapInArrow(run, f"ka long, kb long, id {id_type}, n long, c long")
 
 
+SLICES = "slice int, counts binary"
+
+
 def sketch(texts: DataFrame) -> np.ndarray:
     """How often shingles of every cell occur, over all documents (log scale).
 
@@ -124,22 +141,141 @@ def sketch(texts: DataFrame) -> np.ndarray:
         level = np.minimum(np.log2(total + 1) * 8, 255).astype(np.uint8)  # eighths of a doubling
         return pa.table({"slice": table.column("slice")[:1], "counts": pa.array([level.tobytes()], pa.binary())})
 
+    return gathered(texts.select("text").mapInArrow(count, SLICES).groupBy("slice").applyInArrow(add, SLICES))
+
+
+def gathered(slices: DataFrame) -> np.ndarray:
+    """One table from its slices: SKETCH_CELLS bytes reach the driver, whatever the corpus."""
     out = np.zeros(SKETCH_CELLS, np.uint8)
-    # SKETCH_CELLS bytes reach the driver, whatever the corpus.
-    for r in (texts.select("text").mapInArrow(count, "slice int, counts binary")
-              .groupBy("slice").applyInArrow(add, "slice int, counts binary").collect()):
+    for r in slices.collect():
         out[r["slice"] * SLICE:(r["slice"] + 1) * SLICE] = np.frombuffer(r["counts"], np.uint8)
     return out
 
 
-def prefix_entries(buf: np.ndarray, offsets: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(shingle, class, set size) of all prefix shingles: the rarest by (level, hash)."""
+def _bit(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Byte and bit of class numbers in a table of SKETCH_CELLS bytes."""
+    cell = scan.mix(c.astype(np.int64).view(np.uint64)) & np.uint64(8 * SKETCH_CELLS - 1)
+    return (cell >> np.uint64(3)).astype(np.int64), np.left_shift(np.uint8(1), (cell & np.uint64(7)).astype(np.uint8))
+
+
+def marks(numbers: DataFrame) -> np.ndarray:
+    """A table of bits in which those of all ``numbers`` (one column of class numbers) are set."""
+    def mark(batches):
+        total = np.zeros(SKETCH_CELLS, np.uint8)
+        for batch in batches:
+            np.bitwise_or.at(total, *_bit(np.asarray(batch.column(0))))
+        for s in range(0, SKETCH_CELLS, SLICE):
+            if total[s:s + SLICE].any():
+                yield pa.RecordBatch.from_arrays([pa.array([s // SLICE], pa.int32()),
+                                                  pa.array([total[s:s + SLICE].tobytes()], pa.binary())], ["slice", "counts"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.zeros(SLICE, np.uint8)
+        for b in table.column("counts").to_pylist():
+            total |= np.frombuffer(b, np.uint8)
+        return pa.table({"slice": table.column("slice")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+
+    return gathered(numbers.mapInArrow(mark, SLICES).groupBy("slice").applyInArrow(add, SLICES))
+
+
+def marked(texts: DataFrame, bits) -> DataFrame:
+    """Rows of ``texts`` (c first) whose bit is set: all whose number is in ``marks`` and few others,
+    so that a join with those numbers moves little text."""
+    def pick(batches):
+        for batch in batches:
+            at, bit = _bit(np.asarray(batch.column(0)))
+            yield batch.filter(pa.array((bits.value[at] & bit) != 0))
+
+    return texts.mapInArrow(pick, texts.schema)
+
+
+def prefix_entries(buf: np.ndarray, offsets: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(shingle, document number) of all prefix shingles: the rarest by (level, hash)."""
     h, at = shingle_sets(buf, offsets)
     doc, n = scan.owner(at), np.diff(at)
     order = np.lexsort((h, level[(h & np.uint64(SKETCH_CELLS - 1)).astype(np.int64)], doc))
     pick = np.arange(len(h)) - at[doc] < prefix_length(n)[doc]
-    d = doc[pick]
-    return h[order][pick], class_numbers(h, at)[d], n[d]
+    return h[order][pick], doc[pick]
+
+
+def planes(x: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of whole numbers, one byte of all of them after the other."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def from_planes(b: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(b) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(b, np.uint8).reshape(width, -1).T
+    return out.view("<u8").ravel()
+
+
+# A shingle travels as its part and 40 other bits of its hash; a document by its number in its chunk.
+FP_BYTES, DOC_BYTES, COUNT_BYTES = 5, 3, 2
+SHINGLES = "part int, chunk long, fps binary, docs binary, own boolean"
+SHARED = "chunk long, part int, fps binary, docs binary, counts binary, own boolean"
+
+
+def shared(texts: DataFrame, level, parts: int) -> DataFrame:
+    """Prefix shingles that two classes or more hold, with the number of those classes, packed
+    per chunk and part.  ``texts``: c, n and one text of every class; a chunk is named after its
+    first class, and its classes and sizes (``own``) ride along through any part."""
+    def pack(batches):
+        for batch in batches:
+            c, n = (np.asarray(batch.column(i)).astype(np.int64) for i in (0, 1))
+            buf, off = scan.texts_of(batch.column(2))
+            for lo, hi in scan.chunks(off, fingerprints.PACK_BYTES):
+                sub = off[lo:hi + 1] - off[lo]
+                held = []
+                for x, y in scan.chunks(sub):
+                    fp, doc = prefix_entries(buf[off[lo] + sub[x]:off[lo] + sub[y]], sub[x:y + 1] - sub[x], level.value)
+                    held.append((fp, doc + x))
+                fp, doc = (np.concatenate(x) for x in zip(*held))
+                part = ((fp >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
+                by = np.argsort(part, kind="stable")  # by document inside: their numbers compress well
+                fp, doc, cut = fp[by], doc[by], np.searchsorted(part[by], np.arange(parts + 1))
+                out = [(int(i), planes(fp[cut[i]:cut[i + 1]], FP_BYTES), planes(doc[cut[i]:cut[i + 1]], DOC_BYTES), False)
+                       for i in np.flatnonzero(np.diff(cut))]
+                out.append((int(c[lo] % parts), c[lo:hi].astype("<i8").tobytes(), n[lo:hi].astype("<i4").tobytes(), True))
+                part, fps, docs, own = zip(*out)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(part, pa.int32()), pa.array([int(c[lo])] * len(out), pa.int64()),
+                     pa.array(fps, pa.binary()), pa.array(docs, pa.binary()), pa.array(own, pa.bool_())],
+                    ["part", "chunk", "fps", "docs", "own"])
+
+    def meet(table: pa.Table) -> pa.Table:
+        own = table.column("own").to_pylist()
+        held = table.column("fps").to_pylist()
+        fps = [np.zeros(0, np.uint64) if o else from_planes(b, FP_BYTES) for o, b in zip(own, held)]
+        every = np.concatenate(fps)
+        _, at, size = np.unique(every, return_inverse=True, return_counts=True)
+        count = np.minimum(size, (1 << 8 * COUNT_BYTES) - 1)[at]
+        first = np.concatenate([[0], np.cumsum([len(f) for f in fps])]).astype(np.int64)
+        out = []
+        for i, (chunk, part, docs) in enumerate(zip(*(table.column(x).to_pylist() for x in ("chunk", "part", "docs")))):
+            if own[i]:
+                out.append((chunk, part, held[i], docs, b"", True))
+                continue
+            k = count[first[i]:first[i + 1]]
+            many = k > 1
+            if many.any():
+                out.append((chunk, part, planes(fps[i][many], FP_BYTES), planes(from_planes(docs, DOC_BYTES)[many], DOC_BYTES),
+                            planes(k[many], COUNT_BYTES), False))
+        types = [pa.int64(), pa.int32(), *[pa.binary()] * 3, pa.bool_()]
+        cols = zip(*out) if out else [[]] * len(types)
+        return pa.table([pa.array(x, t) for x, t in zip(cols, types)], ["chunk", "part", "fps", "docs", "counts", "own"])
+
+    return (texts.select("c", "n", "text").mapInArrow(pack, SHINGLES)
+            .groupBy("part").applyInArrow(meet, SHARED))
+
+
+def rarest_shared(doc: np.ndarray, fp: np.ndarray, count: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Places of the entries that a link needs.  ``doc``, ``fp``, ``count``: shared prefix shingles of
+    sets of ``n``.  A linked set has ``shared_least`` of them; all but that number less one, in the order
+    of (count, shingle), hold one of these.  A set with fewer is alone."""
+    order = np.lexsort((fp, count, doc))
+    have = np.bincount(doc, minlength=len(n))
+    rank = np.arange(len(doc)) - (np.cumsum(have) - have)[doc[order]]
+    return order[rank < (have - shared_least(n) + 1)[doc[order]]]
 
 
 def size_level(n: np.ndarray) -> np.ndarray:
@@ -176,35 +312,39 @@ PREFIXES = "part int, fps binary, classes binary, sizes binary, own boolean"
 
 
 def chains(texts: DataFrame, level, parts: int) -> DataFrame:
-    """Edges (a, b) between classes that share a prefix shingle: inside a size
-    level all to the smallest, and between neighbouring levels that are near enough.
+    """Edges (a, b) between classes that share one of their rarest shared prefix
+    shingles: inside a size level all to the smallest, and between neighbouring
+    levels that are near enough.
 
     A task folds its chunk first: of the entries of one shingle and level only
     the smallest and the largest set travel, so a shingle that a third of all
     documents share costs two entries per chunk and level."""
-    def pack(batches):
-        for batch in batches:
-            buf, off = scan.texts_of(batch.column(0))
-            for lo, hi in scan.chunks(off, fingerprints.PACK_BYTES):
-                sub = off[lo:hi + 1]
-                held = [prefix_entries(buf[sub[a]:sub[b]], sub[a:b + 1] - sub[a], level.value)
-                        for a, b in scan.chunks(sub - sub[0])]
-                fp, c, n = (np.concatenate(x) for x in zip(*held)) if held else (np.zeros(0),) * 3
-                if not len(fp):
-                    continue
-                order, first, last, ea, eb = chained(fp, c, n)
-                ends = c[order[first]] != c[order[last]]
-                go = order[np.concatenate([first, last[ends]])]
-                part = ((fp[go] >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
-                by = np.lexsort((c[go], n[go], part))
-                go, cut = go[by], np.searchsorted(part[by], np.arange(parts + 1))
-                out = [(int(i), fp[x].astype("<u8").tobytes(), c[x].astype("<i8").tobytes(), n[x].astype("<i4").tobytes(), False)
-                       for i in np.flatnonzero(np.diff(cut)) for x in (go[cut[i]:cut[i + 1]],)]
-                if len(ea):  # edges ride along to any part
-                    out.append((out[0][0], ea.astype("<i8").tobytes(), eb.astype("<i8").tobytes(), b"", True))
-                types = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.bool_()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)],
-                                                 ["part", "fps", "classes", "sizes", "own"])
+    def pack(table: pa.Table) -> pa.Table:
+        held = table.select(["part", "fps", "docs", "counts", "own"]).to_pylist()
+        classes, sizes = next((np.frombuffer(r["fps"], "<i8"), np.frombuffer(r["docs"], "<i4")) for r in held if r["own"])
+        held = [r for r in held if not r["own"]]
+        fp = np.concatenate([from_planes(r["fps"], FP_BYTES) | np.uint64(r["part"] << 8 * FP_BYTES) for r in held]
+                            + [np.zeros(0, np.uint64)])
+        doc, count = (np.concatenate([from_planes(r[x], w) for r in held] + [np.zeros(0, np.uint64)]).astype(np.int64)
+                      for x, w in (("docs", DOC_BYTES), ("counts", COUNT_BYTES)))
+        go = rarest_shared(doc, fp, count, sizes.astype(np.int64))
+        fp, c, n = fp[go], classes[doc[go]], sizes[doc[go]].astype(np.int64)
+        out = []
+        if len(fp):
+            order, first, last, ea, eb = chained(fp, c, n)
+            ends = c[order[first]] != c[order[last]]
+            go = order[np.concatenate([first, last[ends]])]
+            part = (fp[go] >> np.uint64(8 * FP_BYTES)).astype(np.int64)
+            by = np.lexsort((c[go], n[go], part))
+            go, part = go[by], part[by]
+            cut = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part))
+            out = [(int(part[x]), fp[k].astype("<u8").tobytes(), c[k].astype("<i8").tobytes(), n[k].astype("<i4").tobytes(), False)
+                   for x, y in zip(cut[:-1], cut[1:]) for k in (go[x:y],)]
+            if len(ea):  # edges ride along to any part
+                out.append((out[0][0], ea.astype("<i8").tobytes(), eb.astype("<i8").tobytes(), b"", True))
+        types = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.bool_()]
+        cols = zip(*out) if out else [[]] * len(types)
+        return pa.table([pa.array(x, t) for x, t in zip(cols, types)], ["part", "fps", "classes", "sizes", "own"])
 
     def meet(table: pa.Table) -> pa.Table:
         held = table.select(["fps", "classes", "sizes", "own"]).to_pylist()
@@ -222,7 +362,8 @@ def chains(texts: DataFrame, level, parts: int) -> DataFrame:
         a, b = _distinct(*(np.concatenate(x) for x in zip(*edges)))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return texts.select("text").mapInArrow(pack, PREFIXES).groupBy("part").applyInArrow(meet, "a long, b long")
+    return (shared(texts, level, parts).groupBy("chunk").applyInArrow(pack, PREFIXES)
+            .groupBy("part").applyInArrow(meet, "a long, b long"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -441,16 +582,20 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     every = rows.stage(classes(base), "jaccard-docs")
     reps = rows.stage(every.where("n > 0").groupBy("c").agg(
         F.min(F.struct("ka", "kb")).alias("k"), F.max("n").alias("n"), F.min("id").alias("least")), "jaccard-classes")
-    # 2. blocks of classes that share a prefix shingle
-    level = docs.sparkSession.sparkContext.broadcast(sketch(base))
-    blocks = components(chains(base, level, fingerprints.parts_for(docs)))
-    members = (blocks.join(reps, blocks["node"] == reps["c"])
-               .select(F.col("root").alias("block"), "c", "n", F.col("k.ka").alias("ka"), F.col("k.kb").alias("kb")))
-    # Repeated rows share a key and are folded before the exchange: one text of each is enough.
+    # One text of every class: equal sets go no further.  Repeated rows share a key and are folded before the exchange.
     one = base.groupBy(*rows.KEY).agg(F.first("text").alias("text"))
-    text = rows.stage(one.join(members, list(rows.KEY)).select("block", "c", "n", "text"), "jaccard-texts")
+    named = reps.select("c", "n", F.col("k.ka").alias("ka"), F.col("k.kb").alias("kb"))
+    texts = rows.stage(one.join(named, list(rows.KEY)).select("c", "n", "text"), "jaccard-texts")
+    # 2. blocks of classes that share a prefix shingle
+    level = docs.sparkSession.sparkContext.broadcast(sketch(texts))
+    blocks = components(chains(texts, level, fingerprints.parts_for(docs)))
+    bits = docs.sparkSession.sparkContext.broadcast(marks(blocks.select("node")))
+    members = rows.stage(marked(texts, bits).join(blocks.select(F.col("node").alias("c"), F.col("root").alias("block")), "c")
+                         .select("block", "c", "n", "text"), "jaccard-members")
+    rows.discard(texts)
     # 3. links, 4. components
-    links = rows.stage(block_links(text, block_bytes, tile_bytes), "jaccard-links")
+    links = rows.stage(block_links(members, block_bytes, tile_bytes), "jaccard-links")
+    rows.discard(members)
     roots = components(links)
     least = (reps.join(roots, reps["c"] == roots["node"], "left")
              .select("c", F.coalesce("root", "c").alias("root"), "least"))
