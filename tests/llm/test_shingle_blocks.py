@@ -1,10 +1,15 @@
 """Blocks of the shingle join: exact for every pair that links, and small in a corpus whose texts share phrases."""
 
+import os
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from qsumm.llm import jaccard, scan
+from qsumm.session import ensure_checkpoint_dir
 
 
 def classes_of(texts):
@@ -81,3 +86,15 @@ def test_marked_texts_hold_all_members_and_few_others(spark):
     assert set(c[:300]) <= got and len(got) < 320
     none = spark.sparkContext.broadcast(jaccard.marks(spark.createDataFrame([], "node long")))
     assert jaccard.marked(texts, none).count() == 0
+
+
+def test_stage_of_the_pipeline_leaves_no_texts_behind(spark):
+    """Tables of whole texts that the search staged are gone before the next stage runs."""
+    near = " ".join(f"w{j}" for j in range(80))
+    docs = spark.createDataFrame([(i, f"{near} end{i}", "en", "s", 300) for i in range(4)] + [(9, "other words", "en", "s", 11)],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    path = ensure_checkpoint_dir(spark).removeprefix("file:")
+    there = set(os.listdir(path))
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()) == [0, 9]
+    left = [x for x in set(os.listdir(path)) - there if "text" in pq.ParquetDataset(f"{path}/{x}").schema.names]
+    assert left == []
